@@ -49,8 +49,8 @@ WHERE b.confidence > 0.25
 """
 
 
-def with_dets(*extra: str) -> str:
-    return X.with_views("boxes", "class_dim", *extra) + DETS_SQL
+def with_dets(*extra: str, recursive: bool = False) -> str:
+    return X.with_views("boxes", "class_dim", *extra, recursive=recursive) + DETS_SQL
 
 
 BEST_SQL = """, best AS (
@@ -137,3 +137,179 @@ register(
 FROM best b JOIN frames f ON f.frame_id = b.frame_id
 GROUP BY 1, 2""",
 )(flagship)
+
+
+# ---- events: A4, A5, F-functions, K2/S3, W8/K3 --------------------------------------------
+
+from ..operators import alerts as AL  # noqa: E402
+from ..operators import events as EV  # noqa: E402
+from ..operators import facts as FA  # noqa: E402
+from ..operators import paths as PA  # noqa: E402
+
+TS_SQL = "make_timestamp(CAST(epoch_s * 1000000 AS BIGINT))"
+FILE_TS_SQL = f"strftime({TS_SQL}, '%H%M%S_%y%m%d')"
+F6_SQL = "printf('%.2f', {x})"
+
+
+def frames_with_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 best per frame joined to the frame's source and time."""
+    best = D.best_species(kept_detections(spark, sf_dir))
+    return best.join(X.frames(spark, sf_dir).select("frame_id", "source", "epoch_s"), on="frame_id")
+
+
+BESTF_SQL = BEST_SQL + """, bestf AS (
+SELECT b.frame_id, f.source, f.epoch_s, b.best_species, b.best_species_conf
+FROM best b JOIN frames f ON f.frame_id = b.frame_id)
+"""
+
+DET_TEXT_SQL = (
+    "concat_ws(':', detector_label, printf('%.2f', confidence), CAST(bbox_x1 AS VARCHAR), CAST(bbox_y1 AS VARCHAR), "
+    "CAST(bbox_x2 AS VARCHAR), CAST(bbox_y2 AS VARCHAR), coalesce(species, '~'), "
+    "coalesce(printf('%.2f', species_confidence), '~'))"
+)
+
+
+@register(
+    "nest_detections",
+    with_dets()
+    + f"""SELECT frame_id, count(*) AS n_dets,
+       string_agg({DET_TEXT_SQL}, '|' ORDER BY det_idx) AS dets_text,
+       sum(CAST(confidence AS DOUBLE)) AS sum_conf
+FROM dets GROUP BY frame_id""",
+)
+def q_nest_detections(spark, sf_dir):
+    n = D.nest_detections(kept_detections(spark, sf_dir))
+
+    def text(d):
+        return F.concat_ws(
+            ":", d["class"], S.fixed2(d["confidence"]), *[d["bbox"][i].cast("string") for i in range(4)],
+            F.coalesce(d["species"], F.lit("~")), F.coalesce(S.fixed2(d["species_confidence"]), F.lit("~")),
+        )
+
+    return n.select(
+        "frame_id",
+        F.size("detections").cast("long").alias("n_dets"),
+        F.array_join(F.transform("detections", text), "|").alias("dets_text"),
+        F.aggregate("detections", F.lit(0.0), lambda acc, d: acc + d["confidence"]).alias("sum_conf"),
+    )
+
+
+@register(
+    "detection_summary",
+    with_dets()
+    + """SELECT frame_id, string_agg(
+    CASE WHEN species IS NOT NULL AND species <> ''
+         THEN detector_label || '(' || printf('%.2f', confidence) || ')->' || species || '(' || printf('%.2f', species_confidence) || ')'
+         ELSE detector_label || '(' || printf('%.2f', confidence) || ')' END, ', ' ORDER BY det_idx) AS summary
+FROM dets GROUP BY frame_id""",
+)
+def q_detection_summary(spark, sf_dir):
+    return D.detection_summary(kept_detections(spark, sf_dir))
+
+
+EVENT_BASE = "concat('  http://', source, '.local:8765//  ')"
+
+
+@register(
+    "event_fields",
+    with_dets("frames") + BEST_SQL
+    + f"""SELECT f.frame_id,
+       {FILE_TS_SQL} || '-' || CAST(CAST(trunc(f.epoch_s * 1000) AS BIGINT) AS VARCHAR) AS event_id,
+       strftime({TS_SQL}, '%Y-%m-%dT%H:%M:%S')
+         || CASE WHEN f.epoch_s = floor(f.epoch_s) THEN '' ELSE strftime({TS_SQL}, '.%f') END || '+00:00' AS ts,
+       {FILE_TS_SQL} AS file_ts,
+       'detections/detection_' || {FILE_TS_SQL} || '.jpg' AS annotated_image_path,
+       'http://' || f.source || '.local:8765/latest.jpg' AS annotated_image_url,
+       'frame_' || strftime({TS_SQL}, '%Y%m%d_%H%M%S') || '.jpg' AS frame_name,
+       trim(replace(b.best_species, '_', ' ')) AS spoken_text
+FROM frames f LEFT JOIN best b ON b.frame_id = f.frame_id
+WHERE EXISTS (SELECT 1 FROM dets d WHERE d.frame_id = f.frame_id)""",
+)
+def q_event_fields(spark, sf_dir):
+    dets = kept_detections(spark, sf_dir)
+    fr = X.frames(spark, sf_dir)
+    ev = EV.build_events(fr, dets, base_url=F.expr(EVENT_BASE))
+    t = F.timestamp_seconds("epoch_s")
+    return ev.select(
+        "frame_id", "event_id", "ts", S.file_ts(t).alias("file_ts"), "annotated_image_path",
+        "annotated_image_url", S.default_frame_name(t).alias("frame_name"),
+        S.spoken_text("best_species").alias("spoken_text"),
+    )
+
+
+@register(
+    "event_roundtrip",
+    with_dets("frames") + BEST_SQL
+    + f"""SELECT {FILE_TS_SQL} || '-' || CAST(CAST(trunc(f.epoch_s * 1000) AS BIGINT) AS VARCHAR) AS event_id,
+       f.epoch_s, f.source, b.best_species, b.best_species_conf,
+       d.n_dets, d.first_bbox_x1, d.sum_conf, d.n_species, 1 AS schema_version
+FROM frames f
+JOIN (SELECT frame_id, count(*) AS n_dets, arg_min(bbox_x1, det_idx) AS first_bbox_x1,
+             sum(CAST(confidence AS DOUBLE)) AS sum_conf, count(species) AS n_species
+      FROM dets GROUP BY frame_id) d ON d.frame_id = f.frame_id
+LEFT JOIN best b ON b.frame_id = f.frame_id""",
+)
+def q_event_roundtrip(spark, sf_dir):
+    ev = EV.build_events(X.frames(spark, sf_dir), kept_detections(spark, sf_dir))
+    parsed, _rejects = EV.read_events(EV.to_event_json(ev).select("value"))
+    return parsed.select(
+        "event_id", "epoch_s", "source", "best_species", "best_species_conf",
+        F.size("detections").cast("long").alias("n_dets"),
+        F.col("detections")[0]["bbox"][0].alias("first_bbox_x1"),
+        F.aggregate("detections", F.lit(0.0), lambda acc, d: acc + d["confidence"]).alias("sum_conf"),
+        F.size(F.filter("detections", lambda d: d["species"].isNotNull())).cast("long").alias("n_species"),
+        "schema_version",
+    )
+
+
+@register(
+    "latest_state",
+    with_dets("frames") + BEST_SQL
+    + f"""SELECT source, event_id, epoch_s, best_species FROM (
+  SELECT f.source, {FILE_TS_SQL} || '-' || CAST(CAST(trunc(f.epoch_s * 1000) AS BIGINT) AS VARCHAR) AS event_id,
+         f.epoch_s, b.best_species,
+         row_number() OVER (PARTITION BY f.source ORDER BY f.epoch_s DESC, f.frame_id DESC) AS rn
+  FROM frames f LEFT JOIN best b ON b.frame_id = f.frame_id
+  WHERE EXISTS (SELECT 1 FROM dets d WHERE d.frame_id = f.frame_id)) t
+WHERE rn = 1""",
+)
+def q_latest_state(spark, sf_dir):
+    ev = EV.build_events(X.frames(spark, sf_dir), kept_detections(spark, sf_dir))
+    latest = EV.latest_per_key(ev.select("frame_id", "source", "event_id", "epoch_s", "best_species"),
+                               ["source"], ["epoch_s", "frame_id"])
+    return latest.select("source", "event_id", "epoch_s", "best_species")
+
+
+# ---- W2 / W3 --------------------------------------------------------------------------------
+
+@register(
+    "crop_paths",
+    with_dets("frames")
+    + f"""SELECT frame_id, det_idx, safe_label, ts,
+       'crops/' || safe_label || '/' || ts
+         || CASE WHEN n = 0 THEN '' ELSE '_' || CAST(n AS VARCHAR) END || '.jpg' AS crop_path
+FROM (SELECT *, row_number() OVER (PARTITION BY safe_label, ts ORDER BY epoch_s, frame_id, det_idx) - 1 AS n
+      FROM (SELECT d.frame_id, d.det_idx, f.epoch_s, {FILE_TS_SQL} AS ts,
+                   regexp_replace(coalesce(nullif(d.species, ''), d.detector_label),
+                                  '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') AS safe_label
+            FROM dets d JOIN frames f ON f.frame_id = d.frame_id) x) y""",
+)
+def q_crop_paths(spark, sf_dir):
+    d = kept_detections(spark, sf_dir).join(X.frames(spark, sf_dir).select("frame_id", "epoch_s"), on="frame_id")
+    return PA.crop_paths(d).select("frame_id", "det_idx", "safe_label", "ts", "crop_path")
+
+
+@register(
+    "retain_last_n",
+    with_dets("frames")
+    + f"""SELECT source, path, rank FROM (
+  SELECT source, path, row_number() OVER (PARTITION BY source ORDER BY epoch_s DESC, path DESC) - 1 AS rank
+  FROM (SELECT DISTINCT f.source, f.epoch_s, 'detections/detection_' || {FILE_TS_SQL} || '.jpg' AS path
+        FROM frames f WHERE EXISTS (SELECT 1 FROM dets d WHERE d.frame_id = f.frame_id)) a) t
+WHERE rank < 10""",
+)
+def q_retain_last_n(spark, sf_dir):
+    ev = EV.build_events(X.frames(spark, sf_dir), kept_detections(spark, sf_dir))
+    files = ev.select("source", "epoch_s", F.col("annotated_image_path").alias("path")).distinct()
+    kept, _expired = PA.retain_last_n(files, ["source"], "epoch_s", "path", 10)
+    return kept.select("source", "path", "rank")

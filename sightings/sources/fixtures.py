@@ -172,7 +172,7 @@ FROM part WHERE p_partkey < 60""",
 _DEPENDS = {"boxes": ["boxes_ext"], "reviews": ["boxes_ext"]}
 
 
-def with_views(*names: str) -> str:
+def with_views(*names: str, recursive: bool = False) -> str:
     """A ``WITH`` clause defining the named adapters (and what they depend on), in order."""
     ordered: list[str] = []
     for n in names:
@@ -181,4 +181,4 @@ def with_views(*names: str) -> str:
                 ordered.append(dep)
         if n not in ordered:
             ordered.append(n)
-    return "WITH " + ",\n".join(f"{n} AS (\n{SQL[n]}\n)" for n in ordered) + "\n"
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{n} AS (\n{SQL[n]}\n)" for n in ordered) + "\n"
