@@ -313,3 +313,126 @@ def q_retain_last_n(spark, sf_dir):
     files = ev.select("source", "epoch_s", F.col("annotated_image_path").alias("path")).distinct()
     kept, _expired = PA.retain_last_n(files, ["source"], "epoch_s", "path", 10)
     return kept.select("source", "path", "rank")
+
+
+# ---- W4 / W5 / W6 / W9 / T1 / T2 ---------------------------------------------------------
+
+ALERT_MIN_CONF = 0.5  # FIXTURES.md anchors for W5/W6
+VISIT_GAP_S = 30.0
+CONFLATE_SLOT_S = 10.0
+
+
+@register(
+    "failure_runs",
+    X.with_views("attempts", recursive=True)
+    + """, att AS (SELECT attempt_id, source, epoch(ts) AS t, ok FROM attempts),
+isl AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END)
+          OVER (PARTITION BY source ORDER BY t, attempt_id ROWS UNBOUNDED PRECEDING) AS island FROM att),
+fails AS (SELECT attempt_id, source, t, island,
+                 row_number() OVER (PARTITION BY source, island ORDER BY t, attempt_id) AS fail_n
+          FROM isl WHERE NOT ok),
+walk AS (
+  SELECT attempt_id, source, island, fail_n, t, t AS last_log, true AS logged FROM fails WHERE fail_n = 1
+  UNION ALL
+  SELECT f.attempt_id, f.source, f.island, f.fail_n, f.t,
+         CASE WHEN f.t - w.last_log > 5 THEN f.t ELSE w.last_log END,
+         f.t - w.last_log > 5
+  FROM walk w JOIN fails f ON f.source = w.source AND f.island = w.island AND f.fail_n = w.fail_n + 1)
+SELECT attempt_id, source, CAST(fail_n AS BIGINT) AS fail_n,
+       least(CAST(0.2 AS DOUBLE) * fail_n, CAST(5.0 AS DOUBLE)) AS backoff_s, logged
+FROM walk""",
+)
+def q_failure_runs(spark, sf_dir):
+    r = AL.failure_runs(X.attempts(spark, sf_dir))
+    return r.select("attempt_id", "source", "fail_n", "backoff_s", "logged")
+
+
+CHG_SQL = f""", ann AS (SELECT * FROM bestf WHERE best_species_conf >= {ALERT_MIN_CONF}),
+chg AS (SELECT *, coalesce(lag(best_species) OVER (PARTITION BY source ORDER BY epoch_s, frame_id) <> best_species,
+                           true) AS changed FROM ann)
+"""
+
+
+@register(
+    "species_changes",
+    with_dets("frames") + BESTF_SQL + CHG_SQL
+    + "SELECT frame_id, source, epoch_s, best_species, changed FROM chg",
+)
+def q_species_changes(spark, sf_dir):
+    c = AL.species_changes(frames_with_best(spark, sf_dir), ALERT_MIN_CONF)
+    return c.select("frame_id", "source", "epoch_s", "best_species", "changed")
+
+
+@register(
+    "announce",
+    with_dets("frames", recursive=True) + BESTF_SQL + CHG_SQL
+    + """, runs AS (SELECT *, sum(CASE WHEN changed THEN 1 ELSE 0 END)
+          OVER (PARTITION BY source ORDER BY epoch_s, frame_id ROWS UNBOUNDED PRECEDING) AS run_id FROM chg),
+sp AS (SELECT *, row_number() OVER (PARTITION BY source, run_id ORDER BY epoch_s, frame_id) AS rn,
+              row_number() OVER (PARTITION BY source, best_species ORDER BY epoch_s, frame_id) AS rs FROM runs),
+speak_walk AS (
+  SELECT source, run_id, rn, frame_id, epoch_s AS last_t, true AS speak FROM sp WHERE rn = 1
+  UNION ALL
+  SELECT s.source, s.run_id, s.rn, s.frame_id,
+         CASE WHEN s.epoch_s - w.last_t >= 60 THEN s.epoch_s ELSE w.last_t END,
+         s.epoch_s - w.last_t >= 60
+  FROM speak_walk w JOIN sp s ON s.source = w.source AND s.run_id = w.run_id AND s.rn = w.rn + 1),
+song_walk AS (
+  SELECT source, best_species, rs, frame_id, epoch_s AS last_t, true AS play_song FROM sp WHERE rs = 1
+  UNION ALL
+  SELECT s.source, s.best_species, s.rs, s.frame_id,
+         CASE WHEN s.epoch_s - w.last_t >= 10 THEN s.epoch_s ELSE w.last_t END,
+         s.epoch_s - w.last_t >= 10
+  FROM song_walk w JOIN sp s ON s.source = w.source AND s.best_species = w.best_species AND s.rs = w.rs + 1)
+SELECT sp.frame_id, sp.source, sp.epoch_s, sp.best_species, sp.changed, a.speak, b.play_song,
+       trim(replace(sp.best_species, '_', ' ')) AS spoken_text
+FROM sp JOIN speak_walk a ON a.frame_id = sp.frame_id JOIN song_walk b ON b.frame_id = sp.frame_id""",
+)
+def q_announce(spark, sf_dir):
+    a = AL.announce(frames_with_best(spark, sf_dir), ALERT_MIN_CONF)
+    return a.select("frame_id", "source", "epoch_s", "best_species", "changed", "speak", "play_song", "spoken_text")
+
+
+@register(
+    "species_visits",
+    with_dets("frames") + BESTF_SQL
+    + f""", ann AS (SELECT * FROM bestf WHERE best_species_conf >= {ALERT_MIN_CONF}),
+flag AS (SELECT *, CASE WHEN lag(best_species) OVER w IS NULL OR lag(best_species) OVER w <> best_species
+                          OR epoch_s - lag(epoch_s) OVER w > {VISIT_GAP_S} THEN 1 ELSE 0 END AS new_visit
+         FROM ann WINDOW w AS (PARTITION BY source ORDER BY epoch_s, frame_id)),
+vis AS (SELECT *, sum(new_visit) OVER (PARTITION BY source ORDER BY epoch_s, frame_id ROWS UNBOUNDED PRECEDING) AS visit_no
+        FROM flag)
+SELECT source, CAST(visit_no AS BIGINT) AS visit_no, max(best_species) AS species, min(epoch_s) AS start_epoch_s,
+       max(epoch_s) AS end_epoch_s, count(*) AS frames, max(best_species_conf) AS max_conf
+FROM vis GROUP BY source, visit_no""",
+)
+def q_species_visits(spark, sf_dir):
+    return AL.species_visits(frames_with_best(spark, sf_dir), VISIT_GAP_S, ALERT_MIN_CONF)
+
+
+@register(
+    "aligned_ticks",
+    X.with_views("attempts")
+    + """SELECT attempt_id, epoch(ts) AS epoch_s,
+       (floor(epoch(ts) / CAST(2.0 AS DOUBLE)) + 1) * CAST(2.0 AS DOUBLE) AS next_tick
+FROM attempts""",
+)
+def q_aligned_ticks(spark, sf_dir):
+    a = X.attempts(spark, sf_dir).select("attempt_id", AL.epoch_seconds("ts").alias("epoch_s"))
+    return AL.aligned_ticks(a, "epoch_s")
+
+
+@register(
+    "conflate_frames",
+    X.with_views("frames")
+    + f"""SELECT source, slot_start, frames_in_slot, frame_id, epoch_s FROM (
+  SELECT source, floor(epoch_s / {CONFLATE_SLOT_S}) * {CONFLATE_SLOT_S} AS slot_start, frame_id, epoch_s,
+         count(*) OVER (PARTITION BY source, floor(epoch_s / {CONFLATE_SLOT_S})) AS frames_in_slot,
+         row_number() OVER (PARTITION BY source, floor(epoch_s / {CONFLATE_SLOT_S}) ORDER BY epoch_s DESC, frame_id DESC) AS rn
+  FROM frames) t WHERE rn = 1""",
+)
+def q_conflate_frames(spark, sf_dir):
+    f = X.frames(spark, sf_dir).select("source", "frame_id", "epoch_s")
+    c = AL.conflate(f, CONFLATE_SLOT_S)
+    return c.select("source", "slot_start", F.col("frames_in_slot").cast("long").alias("frames_in_slot"),
+                    "frame_id", "epoch_s")

@@ -64,8 +64,14 @@ def ordered_scan(
     for name, expr in maxes.items():
         base = base.withColumn(f"__sc_m_{name}", expr)
 
-    ranged = base.repartitionByRange(_n_blocks(df, partitions), *keys, *order).withColumn(
-        "__sc_blk", F.spark_partition_id()
+    # Block ids come from the physical range partitioning, so they are fixed once by a reliable
+    # checkpoint: every later branch (local windows, block summary) reads the same blocks, and the
+    # lineage is cut (a lost executor re-reads the checkpoint instead of re-sampling ranges).
+    ranged = _materialize(
+        base.repartitionByRange(_n_blocks(df, partitions), *keys, *order).withColumn(
+            "__sc_blk", F.spark_partition_id()
+        ),
+        True,
     )
     w_local = Window.partitionBy(*keys, "__sc_blk").orderBy(*order)
     w_run = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
