@@ -436,3 +436,379 @@ def q_conflate_frames(spark, sf_dir):
     c = AL.conflate(f, CONFLATE_SLOT_S)
     return c.select("source", "slot_start", F.col("frames_in_slot").cast("long").alias("frames_in_slot"),
                     "frame_id", "epoch_s")
+
+
+# ---- facts: P6, P7, P9, P10, P11, A6, A8, A9, A10 ----------------------------------------
+
+BETWEEN_T0, BETWEEN_T1 = "2024-01-01 06:00:00", "2024-01-01 12:00:00"
+
+
+def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6 over the fixture: kept detections of every frame, with review marks."""
+    return FA.to_sightings(kept_detections(spark, sf_dir), X.frames(spark, sf_dir), reviews=X.reviews(spark, sf_dir))
+
+
+FACTS_SQL = f""", facts AS (
+SELECT f.source, d.frame_id, d.det_idx, {TS_SQL} AS detected_at,
+       'detections/detection_' || {FILE_TS_SQL} || '.jpg' AS image_path,
+       'yolov8s.pt' AS detector_model, d.detector_label, d.confidence AS detector_confidence,
+       'bird_classifier.onnx' AS classifier_model,
+       CASE WHEN d.species IS NOT NULL AND d.species <> '' THEN d.species END AS classifier_label,
+       d.species_confidence AS classifier_confidence,
+       d.bbox_x1, d.bbox_y1, d.bbox_x2, d.bbox_y2, f.source AS video_source,
+       coalesce(r.reviewed, false) AS reviewed, r.corrected_label
+FROM dets d JOIN frames f ON f.frame_id = d.frame_id
+LEFT JOIN reviews r ON r.frame_id = d.frame_id AND r.det_idx = d.det_idx)
+"""
+
+FACT_OUT = ["source", "frame_id", "det_idx", "detected_at", "image_path", "detector_model", "detector_label",
+            "detector_confidence", "classifier_model", "classifier_label", "classifier_confidence", "bbox_x1",
+            "bbox_y1", "bbox_x2", "bbox_y2", "video_source", "reviewed", "corrected_label"]
+
+
+def _fact_cols(df: DataFrame) -> DataFrame:
+    return df.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c == "detected_at" else F.col(c)
+                       for c in FACT_OUT])
+
+
+FACT_SEL = ", ".join(
+    "strftime(detected_at, '%Y-%m-%d %H:%M:%S') AS detected_at" if c == "detected_at" else c for c in FACT_OUT
+)
+
+
+@register("sighting_rows", with_dets("frames", "reviews") + FACTS_SQL + f"SELECT {FACT_SEL} FROM facts")
+def q_sighting_rows(spark, sf_dir):
+    return _fact_cols(sightings(spark, sf_dir))
+
+
+@register(
+    "reject_rows",
+    with_dets("frames", "reviews") + FACTS_SQL
+    + """SELECT source, frame_id, det_idx,
+       CASE WHEN detected_at IS NULL THEN 'detected_at is null' ELSE 'image_path is null' END AS reject_reason
+FROM facts WHERE detected_at IS NULL OR image_path IS NULL""",
+)
+def q_reject_rows(spark, sf_dir):
+    _ok, rejects = FA.split_valid(sightings(spark, sf_dir))
+    return rejects.select("source", "frame_id", "det_idx", "reject_reason")
+
+
+@register(
+    "review_queue",
+    with_dets("frames", "reviews") + FACTS_SQL
+    + """SELECT row_number() OVER (ORDER BY classifier_confidence ASC NULLS FIRST, source, frame_id, det_idx) AS queue_pos,
+       source, frame_id, det_idx, classifier_label, classifier_confidence
+FROM (SELECT * FROM facts WHERE NOT reviewed
+      ORDER BY classifier_confidence ASC NULLS FIRST, source, frame_id, det_idx LIMIT 100) t""",
+)
+def q_review_queue(spark, sf_dir):
+    page = FA.review_queue(sightings(spark, sf_dir), 100)
+    # positions inside the 100-row page (bounded by the page size)
+    from pyspark.sql import Window
+    w = Window.orderBy(F.col("classifier_confidence").asc_nulls_first(), "source", "frame_id", "det_idx")
+    return page.select(F.row_number().over(w).cast("long").alias("queue_pos"), "source", "frame_id", "det_idx",
+                       "classifier_label", "classifier_confidence")
+
+
+@register(
+    "sightings_between",
+    with_dets("frames", "reviews") + FACTS_SQL
+    + f"""SELECT source, frame_id, det_idx, strftime(detected_at, '%Y-%m-%d %H:%M:%S') AS detected_at,
+       coalesce(corrected_label, classifier_label, detector_label) AS effective_label
+FROM facts WHERE detected_at >= TIMESTAMP '{BETWEEN_T0}' AND detected_at < TIMESTAMP '{BETWEEN_T1}'""",
+)
+def q_sightings_between(spark, sf_dir):
+    b = FA.with_effective_label(FA.between(sightings(spark, sf_dir), BETWEEN_T0, BETWEEN_T1))
+    return b.select("source", "frame_id", "det_idx", F.date_format("detected_at", "yyyy-MM-dd HH:mm:ss").alias("detected_at"),
+                    "effective_label")
+
+
+@register(
+    "species_by_time",
+    with_dets("frames", "reviews") + FACTS_SQL
+    + """, e AS (SELECT coalesce(corrected_label, classifier_label, detector_label) AS label,
+                  strftime(detected_at, '%Y-%m-%d') AS day, CAST(hour(detected_at) AS INTEGER) AS hour,
+                  source || '/' || CAST(frame_id AS VARCHAR) AS frame_key,
+                  CAST(coalesce(classifier_confidence, detector_confidence) AS DOUBLE) AS conf FROM facts)
+SELECT label, day, hour, count(*) AS sightings, count(DISTINCT frame_key) AS frames, avg(conf) AS mean_conf,
+       max(conf) AS max_conf,
+       CASE grouping(label, day, hour) WHEN 0 THEN 'hour' WHEN 1 THEN 'day' WHEN 3 THEN 'label' ELSE 'total' END AS level
+FROM e GROUP BY GROUPING SETS ((label, day, hour), (label, day), (label), ())""",
+)
+def q_species_by_time(spark, sf_dir):
+    return FA.species_by_time(sightings(spark, sf_dir))
+
+
+@register(
+    "label_agreement",
+    with_dets("frames", "reviews") + FACTS_SQL
+    + """, r AS (SELECT coalesce(classifier_label, detector_label) AS predicted_label,
+                  coalesce(corrected_label, classifier_label, detector_label) AS corrected_label
+           FROM facts WHERE reviewed)
+SELECT p.predicted_label, p.corrected_label, p.n, c.class_total, c.class_accuracy
+FROM (SELECT predicted_label, corrected_label, count(*) AS n FROM r GROUP BY 1, 2) p
+JOIN (SELECT predicted_label, count(*) AS class_total,
+             100.0 * sum(CASE WHEN predicted_label = corrected_label THEN 1 ELSE 0 END) / count(*) AS class_accuracy
+      FROM r GROUP BY 1) c ON c.predicted_label = p.predicted_label""",
+)
+def q_label_agreement(spark, sf_dir):
+    return FA.label_agreement(sightings(spark, sf_dir))
+
+
+@register(
+    "stage_latency",
+    X.with_views("frames")
+    + f"""SELECT source, strftime(date_trunc('hour', {TS_SQL}), '%Y-%m-%d %H:%M') AS bucket, count(*) AS frames,
+       avg(grab_ms) AS grab_mean, quantile_cont(grab_ms, 0.5) AS grab_p50, quantile_cont(grab_ms, 0.95) AS grab_p95,
+       max(grab_ms) AS grab_max,
+       avg(detect_ms) AS detect_mean, quantile_cont(detect_ms, 0.5) AS detect_p50,
+       quantile_cont(detect_ms, 0.95) AS detect_p95, max(detect_ms) AS detect_max,
+       avg(classify_ms) AS classify_mean, quantile_cont(classify_ms, 0.5) AS classify_p50,
+       quantile_cont(classify_ms, 0.95) AS classify_p95, max(classify_ms) AS classify_max
+FROM frames GROUP BY 1, 2""",
+)
+def q_stage_latency(spark, sf_dir):
+    return FA.stage_latency(X.frames(spark, sf_dir))
+
+
+@register(
+    "run_counters",
+    with_dets("frames", "attempts")
+    + """SELECT count(*) AS frames_processed,
+       count(*) FILTER (WHERE EXISTS (SELECT 1 FROM dets d WHERE d.frame_id = f.frame_id)) AS frames_with_detections,
+       (SELECT count(*) FROM attempts WHERE NOT ok) AS failed_attempts,
+       count(*) - count(*) FILTER (WHERE EXISTS (SELECT 1 FROM dets d WHERE d.frame_id = f.frame_id)) AS frames_without_detections
+FROM frames f""",
+)
+def q_run_counters(spark, sf_dir):
+    return D.run_counters(X.frames(spark, sf_dir), kept_detections(spark, sf_dir), X.attempts(spark, sf_dir))
+
+
+# ---- corpus and mapping: A1, A2, U3, W1, J4, O2, F10, J5, J6 ------------------------------
+
+from ..operators import corpus as CO  # noqa: E402
+from ..operators import vectors as VE  # noqa: E402
+
+CLASS_COUNTS_SQL = """, counts AS (
+SELECT c.class_name, coalesce(x.n, 0) AS n
+FROM (SELECT DISTINCT class_name FROM corpus) c
+LEFT JOIN (SELECT class_name, count(*) AS n FROM corpus
+           WHERE path LIKE '%.jpg' OR path LIKE '%.png' GROUP BY class_name) x ON x.class_name = c.class_name)
+"""
+
+
+def _index_sql(name: str, min_samples: int) -> str:
+    return f""", {name} AS (
+SELECT class_name, CAST(row_number() OVER (ORDER BY class_name) - 1 AS INTEGER) AS idx
+FROM counts WHERE n >= {min_samples})
+"""
+
+
+def corpus_counts(spark, sf_dir):
+    return CO.class_counts(X.corpus(spark, sf_dir))
+
+
+def corpus_index(spark, sf_dir, min_samples=config.MIN_SAMPLES):
+    return CO.class_index(CO.valid_classes(corpus_counts(spark, sf_dir), min_samples))
+
+
+@register("class_counts", X.with_views("corpus") + CLASS_COUNTS_SQL + "SELECT class_name, n FROM counts")
+def q_class_counts(spark, sf_dir):
+    return corpus_counts(spark, sf_dir)
+
+
+@register("valid_classes", X.with_views("corpus") + CLASS_COUNTS_SQL + "SELECT class_name, n FROM counts WHERE n >= 5")
+def q_valid_classes(spark, sf_dir):
+    return CO.valid_classes(corpus_counts(spark, sf_dir))
+
+
+@register(
+    "dropped_classes",
+    X.with_views("corpus") + CLASS_COUNTS_SQL
+    + "SELECT class_name, n, class_name || '(' || CAST(n AS VARCHAR) || ')' AS label FROM counts WHERE n < 5",
+)
+def q_dropped_classes(spark, sf_dir):
+    return CO.dropped_classes(corpus_counts(spark, sf_dir))
+
+
+@register("class_index", X.with_views("corpus") + CLASS_COUNTS_SQL + _index_sql("idx5", 5) + "SELECT * FROM idx5")
+def q_class_index(spark, sf_dir):
+    return corpus_index(spark, sf_dir)
+
+
+@register(
+    "sample_index",
+    X.with_views("corpus") + CLASS_COUNTS_SQL + _index_sql("idx5", 5)
+    + """SELECT c.path, c.class_name, i.idx AS class_idx FROM corpus c JOIN idx5 i ON i.class_name = c.class_name
+WHERE c.path LIKE '%.jpg' OR c.path LIKE '%.png'""",
+)
+def q_sample_index(spark, sf_dir):
+    return CO.sample_index(X.corpus(spark, sf_dir), corpus_index(spark, sf_dir))
+
+
+SPLIT_SEED = 42
+
+
+@register(
+    "split_sizes",
+    X.with_views("corpus") + CLASS_COUNTS_SQL + _index_sql("idx5", 5)
+    + """, s AS (SELECT count(*) AS n FROM corpus c JOIN idx5 i ON i.class_name = c.class_name
+           WHERE c.path LIKE '%.jpg' OR c.path LIKE '%.png')
+SELECT 'train' AS split, CAST(floor(CAST(0.8 AS DOUBLE) * n) AS BIGINT) AS samples FROM s
+UNION ALL
+SELECT 'val' AS split, n - CAST(floor(CAST(0.8 AS DOUBLE) * n) AS BIGINT) AS samples FROM s""",
+)
+def q_split_sizes(spark, sf_dir):
+    samples = CO.sample_index(X.corpus(spark, sf_dir), corpus_index(spark, sf_dir))
+    train, val = CO.split_exact(samples, config.TRAIN_FRACTION, SPLIT_SEED)
+    t = train.agg(F.count(F.lit(1)).alias("samples")).withColumn("split", F.lit("train"))
+    v = val.agg(F.count(F.lit(1)).alias("samples")).withColumn("split", F.lit("val"))
+    return t.unionByName(v).select("split", F.col("samples").cast("long"))
+
+
+@register(
+    "mapping_fingerprint",
+    X.with_views("corpus") + CLASS_COUNTS_SQL + _index_sql("idx5", 5)
+    + """SELECT count(*) AS n_classes,
+       sha256('{' || string_agg('"' || class_name || '":' || CAST(idx AS VARCHAR), ',' ORDER BY class_name) || '}')[1:12]
+         AS fingerprint
+FROM idx5""",
+)
+def q_mapping_fingerprint(spark, sf_dir):
+    return CO.mapping_fingerprint(corpus_index(spark, sf_dir))
+
+
+@register(
+    "mapping_diff",
+    X.with_views("corpus") + CLASS_COUNTS_SQL + _index_sql("idx5", 5) + _index_sql("idx3", 3)
+    + """SELECT coalesce(o.class_name, n.class_name) AS class_name, o.idx AS old_idx, n.idx AS new_idx,
+       CASE WHEN o.idx IS NULL THEN 'added' WHEN n.idx IS NULL THEN 'removed'
+            WHEN o.idx <> n.idx THEN 'reindexed' ELSE 'same' END AS status
+FROM idx5 o FULL OUTER JOIN idx3 n ON o.class_name = n.class_name""",
+)
+def q_mapping_diff(spark, sf_dir):
+    counts = corpus_counts(spark, sf_dir)
+    old = CO.class_index(CO.valid_classes(counts, 5))
+    new = CO.class_index(CO.valid_classes(counts, 3))
+    return CO.mapping_diff(old, new).select("class_name", "old_idx", "new_idx", "status")
+
+
+@register(
+    "key_shape_match",
+    X.with_views("corpus")
+    + """, l AS (SELECT class_name AS name, '[' || CAST(count(*) AS VARCHAR) || ']' AS shape
+           FROM corpus WHERE path LIKE '%.jpg' GROUP BY 1),
+r AS (SELECT class_name AS name, '[' || CAST(count(*) AS VARCHAR) || ']' AS shape
+      FROM corpus WHERE path LIKE '%.png' GROUP BY 1)
+SELECT coalesce(l.name, r.name) AS name, coalesce(l.shape, r.shape) AS shape,
+       CASE WHEN l.name IS NOT NULL AND r.name IS NOT NULL THEN 'matched'
+            WHEN l.name IS NOT NULL THEN 'skipped' ELSE 'missing' END AS status
+FROM l FULL OUTER JOIN r ON l.name = r.name AND l.shape = r.shape""",
+)
+def q_key_shape_match(spark, sf_dir):
+    c = X.corpus(spark, sf_dir)
+
+    def params(ext):
+        return c.where(F.col("path").endswith(ext)).groupBy(F.col("class_name").alias("name")).agg(
+            F.concat(F.lit("["), F.count(F.lit(1)).cast("string"), F.lit("]")).alias("shape"))
+
+    return CO.match_by_key_and_shape(params(".jpg"), params(".png"))
+
+
+# ---- vectors: F12, O4, M4, J2, A7, W7, F14 --------------------------------------------------
+
+@register(
+    "softmax_top1",
+    X.with_views("logits", "class_map")
+    + """SELECT t.vec_id, t.top_idx, coalesce(c.class_name, 'class_' || CAST(t.top_idx AS VARCHAR)) AS species,
+       round(t.top_prob, 9) AS top_prob
+FROM (SELECT vec_id, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS top_idx,
+             1.0 / list_sum(list_transform(logits, lambda x: exp(CAST(x AS DOUBLE) - CAST(list_max(logits) AS DOUBLE))))
+               AS top_prob
+      FROM logits) t
+LEFT JOIN class_map c ON c.idx = t.top_idx""",
+)
+def q_softmax_top1(spark, sf_dir):
+    t = VE.top1(X.logits(spark, sf_dir), X.class_map(spark, sf_dir))
+    return t.select("vec_id", "top_idx", "species", F.round("top_prob", 9).alias("top_prob"))
+
+
+@register(
+    "batch_metrics",
+    X.with_views("logits")
+    + """, l AS (SELECT vec_id, label, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred,
+       CAST(list_max(logits) AS DOUBLE)
+         + ln(list_sum(list_transform(logits, lambda x: exp(CAST(x AS DOUBLE) - CAST(list_max(logits) AS DOUBLE)))))
+         - CAST(logits[label + 1] AS DOUBLE) AS loss,
+       (row_number() OVER (ORDER BY vec_id) - 1) // 16 AS batch_id
+FROM logits),
+b AS (SELECT batch_id, avg(loss) AS bl, count(*) AS n, sum(CASE WHEN label = pred THEN 1 ELSE 0 END) AS c
+      FROM l GROUP BY batch_id)
+SELECT CAST(sum(n) AS BIGINT) AS samples, CAST(sum(c) AS BIGINT) AS correct,
+       CAST(100.0 AS DOUBLE) * sum(c) / sum(n) AS accuracy, round(avg(bl), 9) AS mean_batch_loss, count(*) AS batches
+FROM b""",
+)
+def q_batch_metrics(spark, sf_dir):
+    pred = VE.batch_ids(VE.with_loss(X.logits(spark, sf_dir)), ["vec_id"], config.BATCH_SIZE)
+    m = VE.classification_metrics(pred)
+    return m.withColumn("mean_batch_loss", F.round("mean_batch_loss", 9))
+
+
+@register(
+    "best_epochs",
+    X.with_views("epoch_log")
+    + """SELECT epoch, val_acc FROM (
+  SELECT epoch, val_acc, max(val_acc) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+  FROM epoch_log) t
+WHERE val_acc > coalesce(prev, 0.0)""",
+)
+def q_best_epochs(spark, sf_dir):
+    return VE.best_epochs(X.epoch_log(spark, sf_dir)).select("epoch", "val_acc")
+
+
+@register(
+    "cosine_lr",
+    X.with_views("epoch_log")
+    + "SELECT epoch, round(0.5 * CAST(0.0001 AS DOUBLE) * (1 + cos(pi() * epoch / CAST(30 AS DOUBLE))), 12) AS lr FROM epoch_log",
+)
+def q_cosine_lr(spark, sf_dir):
+    s = VE.cosine_schedule(X.epoch_log(spark, sf_dir))
+    return s.select("epoch", F.round("lr", 12).alias("lr"))
+
+
+# ---- scalar checks over whole tables: F1, F15 -------------------------------------------
+
+@register(
+    "safe_label",
+    "SELECT doc_id, sha256(regexp_replace(text, '[^\\p{L}\\p{N}_-]', '_', 'g')) AS safe_sha FROM documents",
+)
+def q_safe_label(spark, sf_dir):
+    from ..sources.tables import read_table
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return d.select("doc_id", F.sha2(S.safe_label("text"), 256).alias("safe_sha"))
+
+
+LENIENT_SQL = """SELECT event_id AS attempt_id,
+       lower(trim(CAST(user_id % 2 AS VARCHAR))) IN ('1', 'true', 'yes', 'y', 'on') AS flag,
+       CASE WHEN regexp_full_match(trim(regexp_extract(props, '"k": ([0-9]+)', 1)), '[+-]?[0-9]+(_[0-9]+)*')
+            THEN CAST(replace(trim(regexp_extract(props, '"k": ([0-9]+)', 1)), '_', '') AS BIGINT) ELSE -1 END AS k_int,
+       CASE WHEN regexp_full_match(trim(printf('%.2f', value)), '[+-]?[0-9]+(_[0-9]+)*(\\.([0-9]+(_[0-9]+)*)?)?')
+            THEN CAST(replace(trim(printf('%.2f', value)), '_', '') AS DOUBLE) ELSE -1.0 END AS value_float,
+       CASE WHEN regexp_full_match(trim(event_type), '[+-]?[0-9]+(_[0-9]+)*')
+            THEN CAST(trim(event_type) AS BIGINT) ELSE -1 END AS type_int,
+       CAST(-1.0 AS DOUBLE) AS props_float
+FROM events"""
+
+
+@register("lenient_parse", LENIENT_SQL)
+def q_lenient_parse(spark, sf_dir):
+    from ..sources.tables import read_table
+    e = read_table(spark, sf_dir, "events", ["event_id", "user_id", "props", "value", "event_type"])
+    return e.select(
+        F.col("event_id").alias("attempt_id"),
+        S.parse_bool((F.col("user_id") % 2).cast("string")).alias("flag"),
+        S.parse_int(F.regexp_extract("props", r'"k": ([0-9]+)', 1), -1).alias("k_int"),
+        S.parse_float(F.format_string("%.2f", "value"), -1.0).alias("value_float"),
+        S.parse_int("event_type", -1).alias("type_int"),
+        S.parse_float("props", -1.0).alias("props_float"),
+    )
