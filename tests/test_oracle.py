@@ -1,0 +1,31 @@
+"""Every registered query equals its DuckDB oracle at sf0.01 (the driver's correctness gate)."""
+
+import pytest
+
+import __spark_entry__ as E
+from tests.conftest import SF01
+from tests.oracle import compare, duck
+
+NAMES = sorted(E.oracle_sql())
+
+
+@pytest.fixture(scope="module")
+def con():
+    return duck(SF01)
+
+
+def test_every_query_has_an_oracle():
+    assert set(E.queries()) == set(E.oracle_sql())
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_matches_oracle(spark, con, name):
+    ok, msg = compare(spark, SF01, name, E.queries()[name], E.oracle_sql()[name], con)
+    assert ok, msg
+
+
+def test_entry_smoke(spark):
+    df = E.entry(spark)
+    rows = df.collect()
+    assert len(rows) > 0
+    assert df.columns == ["species", "day", "frames", "mean_conf"]
