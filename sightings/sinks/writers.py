@@ -77,7 +77,11 @@ def read_state(spark: SparkSession, target: str) -> DataFrame | None:
     ptr = jvm.org.apache.hadoop.fs.Path(target + "/_CURRENT")
     if not fs.exists(ptr):
         return None
-    name = spark.read.text(target + "/_CURRENT").first()[0].strip()
+    stream = fs.open(ptr)  # the pointer is one short line; Spark's file sources hide "_" files
+    try:
+        name = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
     return spark.read.parquet(f"{target}/{name}")
 
 
