@@ -11,28 +11,37 @@ from ..functions import scalars as S
 from ..plans.scan import ordered_scan
 
 
+def _staged_softmax(df: DataFrame, logits_col: str) -> DataFrame:
+    """Softmax in stages (max, exponentials, sum as their own columns) so the optimizer evaluates
+    each once per row instead of once per array element."""
+    return (
+        df.withColumn("_a", F.transform(F.col(logits_col), lambda x: x.cast("double")))
+        .withColumn("_m", F.array_max("_a"))
+        .withColumn("_e", F.transform("_a", lambda x: F.exp(x - F.col("_m"))))
+        .withColumn("_s", F.aggregate("_e", F.lit(0.0), lambda acc, x: acc + x))
+    )
+
+
 def top1(logits: DataFrame, class_map: DataFrame, logits_col: str = "logits") -> DataFrame:
     """M4: softmax -> first arg-max -> class name, or ``class_<idx>`` when the mapping lacks it.
 
     The class map is one row per class index; AQE broadcasts it after measuring its size.
     """
-    p = logits.withColumn("_p", S.softmax(logits_col))
+    p = _staged_softmax(logits, logits_col).withColumn("_p", F.transform("_e", lambda x: x / F.col("_s")))
     p = p.withColumn("top_idx", S.argmax_first("_p")).withColumn("top_prob", F.element_at("_p", F.col("top_idx") + 1))
     cm = class_map.select(F.col("idx").alias("top_idx"), F.col("class_name").alias("_name"))
     out = p.join(cm, on="top_idx", how="left")
     return out.withColumn(
         "species", F.coalesce(F.col("_name"), F.concat(F.lit("class_"), F.col("top_idx").cast("string")))
-    ).drop("_p", "_name")
+    ).drop("_a", "_m", "_e", "_s", "_p", "_name")
 
 
 def with_loss(logits: DataFrame, logits_col: str = "logits", label_col: str = "label") -> DataFrame:
     """Prediction and cross-entropy per row: pred = first arg-max, loss = logsumexp - logit[label]."""
-    a = F.transform(F.col(logits_col), lambda x: x.cast("double"))
-    m = F.array_max(a)
-    lse = m + F.log(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
-    return logits.withColumn("pred", S.argmax_first(logits_col)).withColumn(
-        "loss", lse - F.element_at(a, F.col(label_col) + 1)
-    )
+    st = _staged_softmax(logits, logits_col)
+    return st.withColumn("pred", S.argmax_first(logits_col)).withColumn(
+        "loss", F.col("_m") + F.log("_s") - F.element_at("_a", F.col(label_col) + 1)
+    ).drop("_a", "_m", "_e", "_s")
 
 
 def batch_ids(df: DataFrame, order: list[str], batch_size: int = config.BATCH_SIZE) -> DataFrame:
