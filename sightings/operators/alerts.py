@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import scalars as S
-from ..plans.scan import cooldown_flags, ordered_scan
+from ..plans.scan import cooldown_flags, keys_bounded, ordered_scan
 
 
 def epoch_seconds(ts_col: str) -> F.Column:
@@ -20,7 +20,8 @@ def epoch_seconds(ts_col: str) -> F.Column:
     return (F.unix_micros(F.col(ts_col)) / F.lit(1_000_000.0)).cast("double")
 
 
-def failure_runs(attempts: DataFrame, quiet_s: float = config.FAILURE_LOG_QUIET_S) -> DataFrame:
+def failure_runs(attempts: DataFrame, quiet_s: float = config.FAILURE_LOG_QUIET_S,
+                 bounded: bool | None = None) -> DataFrame:
     """W4 over ``attempts(attempt_id, source, ts, ok)``; one row per failed attempt with
 
     * ``fail_n``: consecutive failures so far (a success resets; a corrupt frame counts as success),
@@ -29,17 +30,20 @@ def failure_runs(attempts: DataFrame, quiet_s: float = config.FAILURE_LOG_QUIET_
       last printed failure (greedy, strict ``>``).
     """
     a = attempts.withColumn("t", epoch_seconds("ts"))
+    bounded = keys_bounded(a, ["source"]) if bounded is None else bounded
     s1 = ordered_scan(
         a, ["source"], ["t", "attempt_id"],
         sums={"_fails": F.when(F.col("ok"), 0).otherwise(1), "island": F.when(F.col("ok"), 1).otherwise(0)},
-        rank_col="_r",
+        rank_col="_r", bounded=bounded,
     )
     s2 = ordered_scan(s1, ["source"], ["t", "attempt_id"],
-                      maxes={"_f0": F.when(F.col("ok"), F.col("_fails")).otherwise(F.lit(0))}, rank_col="_r2")
+                      maxes={"_f0": F.when(F.col("ok"), F.col("_fails")).otherwise(F.lit(0))}, rank_col="_r2",
+                      bounded=bounded)
     fails = s2.where(~F.col("ok")).select(
         "attempt_id", "source", "t", "island", (F.col("_fails") - F.coalesce(F.col("_f0"), F.lit(0))).alias("fail_n")
     )
-    logged = cooldown_flags(fails, ["source", "island"], "t", "attempt_id", quiet_s, strict=True, out_col="logged")
+    logged = cooldown_flags(fails, ["source", "island"], "t", "attempt_id", quiet_s, strict=True, out_col="logged",
+                            bounded=bounded)
     return logged.select(
         "attempt_id", "source", "t", "island", F.col("fail_n").cast("long").alias("fail_n"),
         S.backoff_s("fail_n").alias("backoff_s"), "logged",
@@ -51,47 +55,66 @@ def announceable(best_frames: DataFrame, min_conf: float = config.MIN_ALERT_CONF
     return best_frames.where(F.col("best_species").isNotNull() & (F.col("best_species_conf") >= F.lit(float(min_conf))))
 
 
-def species_changes(best_frames: DataFrame, min_conf: float = config.MIN_ALERT_CONF) -> DataFrame:
+def species_changes(best_frames: DataFrame, min_conf: float = config.MIN_ALERT_CONF,
+                    bounded: bool | None = None) -> DataFrame:
     """``changed`` when first ever or different from the previous announceable best of the same
     source (ordered by epoch_s, frame_id). Frames without a best are ignored (A, none, A = no change).
 
     ``best_frames`` needs frame_id, source, epoch_s, best_species, best_species_conf.
     """
     ann = announceable(best_frames, min_conf)
-    s = ordered_scan(ann, ["source"], ["epoch_s", "frame_id"], lags={"prev_species": "best_species"}, rank_col="_r")
+    s = ordered_scan(ann, ["source"], ["epoch_s", "frame_id"], lags={"prev_species": "best_species"}, rank_col="_r",
+                     bounded=bounded)
     return s.withColumn("changed", ~F.col("prev_species").eqNullSafe(F.col("best_species"))).drop("_r")
 
 
 def announce(best_frames: DataFrame, min_conf: float = config.MIN_ALERT_CONF,
              repeat_s: float = config.SAME_SPECIES_REPEAT_S, song_s: float = config.SONG_EVERY_S,
-             songs_enabled: bool = config.SONGS_ENABLED) -> DataFrame:
+             songs_enabled: bool = config.SONGS_ENABLED, bounded: bool | None = None) -> DataFrame:
     """Per announceable frame, ``speak`` and ``play_song``.
 
     speak: on a species change, else when >= repeat_s since this species was last spoken. Since a
     change always speaks, runs of one species are independent: greedy cooldown per (source, run).
     song: when >= song_s since this species' song last played: greedy cooldown per (source, species).
     """
-    ch = species_changes(best_frames, min_conf)
+    if bounded is None:  # one size check on the coarsest key covers every step below
+        bounded = keys_bounded(announceable(best_frames, min_conf), ["source"])
+    ch = species_changes(best_frames, min_conf, bounded=bounded)
     runs = ordered_scan(ch, ["source"], ["epoch_s", "frame_id"],
-                        sums={"run_id": F.col("changed").cast("long")}, rank_col="_r").drop("_r")
-    spoke = cooldown_flags(runs, ["source", "run_id"], "epoch_s", "frame_id", repeat_s, out_col="speak")
+                        sums={"run_id": F.col("changed").cast("long")}, rank_col="_r", bounded=bounded).drop("_r")
+    # both clocks in one pointer-doubling pass: problem 0 = speak per (source, run),
+    # problem 1 = song per (source, species)
+    speak_in = runs.select(F.lit(0).alias("_prob"), "source", F.col("run_id").cast("string").alias("_k"),
+                           "epoch_s", "frame_id", F.lit(float(repeat_s)).alias("_c"))
+    parts = speak_in
     if songs_enabled:
-        out = cooldown_flags(spoke, ["source", "best_species"], "epoch_s", "frame_id", song_s, out_col="play_song")
+        parts = parts.unionByName(runs.select(F.lit(1).alias("_prob"), "source", F.col("best_species").alias("_k"),
+                                              "epoch_s", "frame_id", F.lit(float(song_s)).alias("_c")))
+    flags = cooldown_flags(parts, ["_prob", "source", "_k"], "epoch_s", "frame_id", F.col("_c"), out_col="_emit",
+                           bounded=bounded)
+    speak = flags.where(F.col("_prob") == 0).select("frame_id", F.col("_emit").alias("speak"))
+    out = runs.join(speak, on="frame_id")
+    if songs_enabled:
+        song = flags.where(F.col("_prob") == 1).select("frame_id", F.col("_emit").alias("play_song"))
+        out = out.join(song, on="frame_id")
     else:
-        out = spoke.withColumn("play_song", F.lit(False))
+        out = out.withColumn("play_song", F.lit(False))
     return out.withColumn("spoken_text", S.spoken_text("best_species"))
 
 
-def species_visits(best_frames: DataFrame, gap_s: float, min_conf: float = config.MIN_ALERT_CONF) -> DataFrame:
+def species_visits(best_frames: DataFrame, gap_s: float, min_conf: float = config.MIN_ALERT_CONF,
+                   bounded: bool | None = None) -> DataFrame:
     """Consecutive announceable frames of one species no more than ``gap_s`` apart form a
     visit: (source, visit_no, species, start, end, frames, max confidence)."""
     ann = announceable(best_frames, min_conf)
+    bounded = keys_bounded(ann, ["source"]) if bounded is None else bounded
     s = ordered_scan(ann, ["source"], ["epoch_s", "frame_id"],
-                     lags={"_ps": "best_species", "_pt": "epoch_s"}, rank_col="_r")
+                     lags={"_ps": "best_species", "_pt": "epoch_s"}, rank_col="_r", bounded=bounded)
     new = F.col("_pt").isNull() | (F.col("_ps") != F.col("best_species")) | \
         ((F.col("epoch_s") - F.col("_pt")) > F.lit(float(gap_s)))
     s = s.withColumn("_new", new.cast("long"))
-    v = ordered_scan(s, ["source"], ["epoch_s", "frame_id"], sums={"visit_no": F.col("_new")}, rank_col="_r2")
+    v = ordered_scan(s, ["source"], ["epoch_s", "frame_id"], sums={"visit_no": F.col("_new")}, rank_col="_r2",
+                     bounded=bounded)
     return v.groupBy("source", "visit_no").agg(
         F.max("best_species").alias("species"),
         F.min("epoch_s").alias("start_epoch_s"),

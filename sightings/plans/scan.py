@@ -26,6 +26,33 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 
+# Keys with at most this many rows are ordered with a plain window (one task per key); larger keys
+# take the range-partitioned path. Session conf ``sightings.scan.windowRowsLimit`` overrides it.
+WINDOW_ROWS_LIMIT = 1_000_000
+
+
+def window_rows_limit(df: DataFrame, override: int | None = None) -> int:
+    if override is not None:
+        return int(override)
+    return int(df.sparkSession.conf.get("sightings.scan.windowRowsLimit", str(WINDOW_ROWS_LIMIT)))
+
+
+def keys_bounded(df: DataFrame, keys: Sequence[str], window_limit: int | None = None) -> bool:
+    """True when every key group has at most the window limit of rows (one aggregation job).
+
+    A check on coarse keys also covers finer keys (their groups are subsets), so an operator
+    measures once and passes the answer to each step as ``bounded=``.
+    """
+    return max_rows_per_key(df, keys) <= window_rows_limit(df, window_limit)
+
+
+def max_rows_per_key(df: DataFrame, keys: Sequence[str]) -> int:
+    """Size of the largest key group (one aggregation job, partial counts per task)."""
+    if not keys:
+        return df.count()
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
 def _n_blocks(df: DataFrame, partitions: int | None) -> int:
     if partitions:
         return int(partitions)
@@ -42,6 +69,8 @@ def ordered_scan(
     lags: Mapping[str, str] | None = None,
     rank_col: str = "_rank",
     partitions: int | None = None,
+    window_limit: int | None = None,
+    bounded: bool | None = None,
 ) -> DataFrame:
     """Per key and in ascending ``order`` (must be a total order), add
 
@@ -50,13 +79,29 @@ def ordered_scan(
     * each ``maxes[name]``: inclusive running max,
     * each ``lags[name] = col``: ``col`` of the previous row of the same key (null on the first).
 
-    Keys must not be null. Nothing is collected per key: a hot key spreads over many range blocks.
+    Keys must not be null. The largest key is measured first: up to ``window_limit`` rows a plain
+    window per key is exact and cheapest; beyond it nothing is collected per key - a hot key
+    spreads over many range blocks.
     """
     sums = dict(sums or {})
     maxes = dict(maxes or {})
     lags = dict(lags or {})
     keys = list(keys)
     order = list(order)
+    if bounded is None:
+        bounded = keys_bounded(df, keys, window_limit)
+    if bounded:
+        # keys=[] (a global order) is a single-partition window, allowed because it was measured
+        w = Window.partitionBy(*keys).orderBy(*order)
+        w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = df.withColumn(rank_col, (F.row_number().over(w) - 1).cast("long"))
+        for name, expr in sums.items():
+            out = out.withColumn(name, F.sum(expr).over(w_run))
+        for name, expr in maxes.items():
+            out = out.withColumn(name, F.max(expr).over(w_run))
+        for name, col in lags.items():
+            out = out.withColumn(name, F.lag(col).over(w))
+        return out
 
     base = df
     for name, expr in sums.items():
@@ -126,11 +171,13 @@ def cooldown_flags(
     keys: Sequence[str],
     time_col: str,
     tie_col: str,
-    cooldown_s: float,
+    cooldown_s: float | Column,
     *,
     strict: bool = False,
     out_col: str = "emit",
     checkpoint: bool = True,
+    window_limit: int | None = None,
+    bounded: bool | None = None,
 ) -> DataFrame:
     """Greedy cooldown per key, in ``(time_col, tie_col)`` order.
 
@@ -142,12 +189,22 @@ def cooldown_flags(
        rows and probes ``t_i + cooldown``);
     3. the emitted set is the closure of the starts under ``next``; pointer doubling reaches it in
        ceil(log2(longest chain)) rounds of joins on ``(keys, rank)``, each round checkpointed.
+
+    ``cooldown_s`` may be a column (constant within a key), so independent problems with different
+    cooldowns can be solved in one pass by adding a problem tag to the keys.
     """
     keys = list(keys)
     t = F.col(time_col)
-    scanned = ordered_scan(df, keys, [time_col, tie_col], lags={"__prev_t": time_col}, rank_col="__r")
+    cool = F.lit(float(cooldown_s)) if isinstance(cooldown_s, (int, float)) else cooldown_s
+    df = df.withColumn("__cool", cool.cast("double"))
+    if bounded is None:
+        bounded = keys_bounded(df, keys, window_limit)
+    if bounded:
+        return _cooldown_grouped(df, keys, time_col, tie_col, strict, out_col).drop("__cool")
+    scanned = ordered_scan(df, keys, [time_col, tie_col], lags={"__prev_t": time_col}, rank_col="__r",
+                           bounded=False)
     gap = t - F.col("__prev_t")
-    start = F.col("__prev_t").isNull() | ((gap > F.lit(cooldown_s)) if strict else (gap >= F.lit(cooldown_s)))
+    start = F.col("__prev_t").isNull() | ((gap > F.col("__cool")) if strict else (gap >= F.col("__cool")))
     scanned = scanned.withColumn("__start", start)
     scanned = _materialize(scanned, checkpoint)
 
@@ -156,18 +213,17 @@ def cooldown_flags(
     probe_kind = 2 if strict else 0
     data = scanned.select(*keys, t.cast("double").alias("__t"), F.lit(1).alias("__kind"),
                           F.col("__r").alias("__ord"), F.lit(1).alias("__isdata"))
-    probes = scanned.select(*keys, (t.cast("double") + F.lit(float(cooldown_s))).alias("__t"),
+    probes = scanned.select(*keys, (t.cast("double") + F.col("__cool")).alias("__t"),
                             F.lit(probe_kind).alias("__kind"), F.col("__r").alias("__ord"),
                             F.lit(0).alias("__isdata"))
     both = ordered_scan(data.unionByName(probes), keys, ["__t", "__kind", "__ord"],
-                        sums={"__ndata": F.col("__isdata")}, rank_col="__u")
+                        sums={"__ndata": F.col("__isdata")}, rank_col="__u", bounded=False)
     jump = both.where(F.col("__isdata") == 0).select(
         *keys, F.col("__ord").alias("__r"), (F.col("__ndata")).cast("long").alias("__j")
     )
     jump = _materialize(jump, checkpoint)
 
-    reached = scanned.where("__start").select(*keys, "__r")
-    reached = _materialize(reached, checkpoint)
+    reached = scanned.where("__start").select(*keys, "__r")  # a filter of checkpointed rows
     n_reached = reached.count()
     while True:
         step = reached.join(jump, on=[*keys, "__r"]).where(F.col("__j").isNotNull()).select(
@@ -189,7 +245,41 @@ def cooldown_flags(
     out = scanned.join(flags, on=[*keys, "__r"], how="left").withColumn(
         out_col, F.coalesce(F.col(out_col), F.lit(False))
     )
-    return out.drop("__r", "__prev_t", "__start")
+    return out.drop("__r", "__prev_t", "__start", "__cool")
+
+
+def _cooldown_grouped(df: DataFrame, keys: list[str], time_col: str, tie_col: str, strict: bool,
+                      out_col: str) -> DataFrame:
+    """Bounded keys: hash-partition by key, sort inside partitions and walk each partition's Arrow
+    batches once in ``mapInPandas``, carrying (key, last emission) across batch boundaries."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.BooleanType(), False)])
+
+    def walk(batches):
+        prev_key, last = None, None
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                continue
+            t = pdf[time_col].to_numpy(dtype="float64")
+            c = pdf["__cool"].to_numpy(dtype="float64")
+            key_rows = list(zip(*[pdf[k].tolist() for k in keys]))
+            emit = np.zeros(n, dtype=bool)
+            for i in range(n):
+                if key_rows[i] != prev_key:
+                    prev_key, last = key_rows[i], None
+                gap_ok = last is None or ((t[i] - last > c[i]) if strict else (t[i] - last >= c[i]))
+                if gap_ok:
+                    emit[i] = True
+                    last = t[i]
+            pdf[out_col] = emit
+            yield pdf
+
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, time_col, tie_col)
+    return ordered.mapInPandas(walk, schema)
 
 
 def _materialize(df: DataFrame, enabled: bool) -> DataFrame:

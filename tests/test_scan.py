@@ -21,12 +21,13 @@ def simulate_cooldown(rows, c, strict):
     return out
 
 
-def test_ordered_scan_matches_windows(spark):
+@pytest.mark.parametrize("bounded", [False, True])
+def test_ordered_scan_matches_windows(spark, bounded):
     rnd = random.Random(3)
     rows = [(rnd.choice("aab"), float(rnd.randint(0, 500)), i, rnd.randint(-5, 5)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, t double, id int, v int")
     s = ordered_scan(df, ["k"], ["t", "id"], sums={"cs": F.col("v")}, maxes={"cm": F.col("v")},
-                     lags={"pv": "v"}, rank_col="r", partitions=7)
+                     lags={"pv": "v"}, rank_col="r", partitions=7, bounded=bounded)
     w = Window.partitionBy("k").orderBy("t", "id")
     ref = df.select("id", (F.row_number().over(w) - 1).alias("r2"),
                     F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cs2"),
@@ -38,14 +39,16 @@ def test_ordered_scan_matches_windows(spark):
 
 
 @pytest.mark.parametrize("strict", [False, True])
-def test_cooldown_flags_equals_simulation(spark, strict):
+@pytest.mark.parametrize("bounded", [False, True])
+def test_cooldown_flags_equals_simulation(spark, strict, bounded):
     rnd = random.Random(11 + strict)
     rows = []
     for i in range(600):
         rows.append((rnd.choice(["x", "y", "z"]), float(rnd.choice([0, 1, 2, 3, 5, 10]) + rnd.randint(0, 400)), i))
     c = 10.0
     df = spark.createDataFrame(rows, "k string, t double, tie int")
-    got = {(r["k"], r["tie"]) for r in cooldown_flags(df, ["k"], "t", "tie", c, strict=strict).where("emit").collect()}
+    flags = cooldown_flags(df, ["k"], "t", "tie", c, strict=strict, bounded=bounded)
+    got = {(r["k"], r["tie"]) for r in flags.where("emit").collect()}
     assert got == simulate_cooldown(rows, c, strict)
 
 
