@@ -82,23 +82,21 @@ def announce(best_frames: DataFrame, min_conf: float = config.MIN_ALERT_CONF,
     ch = species_changes(best_frames, min_conf, bounded=bounded)
     runs = ordered_scan(ch, ["source"], ["epoch_s", "frame_id"],
                         sums={"run_id": F.col("changed").cast("long")}, rank_col="_r", bounded=bounded).drop("_r")
-    # both clocks in one pointer-doubling pass: problem 0 = speak per (source, run),
-    # problem 1 = song per (source, species)
-    speak_in = runs.select(F.lit(0).alias("_prob"), "source", F.col("run_id").cast("string").alias("_k"),
-                           "epoch_s", "frame_id", F.lit(float(repeat_s)).alias("_c"))
-    parts = speak_in
+    # Both clocks in one cooldown pass over one lineage: each frame becomes two problem rows
+    # (0 = speak per (source, run), 1 = song per (source, species)), folded back per frame.
+    probs = [F.struct(F.lit(0).alias("_prob"), F.col("run_id").cast("string").alias("_k"),
+                      F.lit(float(repeat_s)).alias("_c"))]
     if songs_enabled:
-        parts = parts.unionByName(runs.select(F.lit(1).alias("_prob"), "source", F.col("best_species").alias("_k"),
-                                              "epoch_s", "frame_id", F.lit(float(song_s)).alias("_c")))
+        probs.append(F.struct(F.lit(1).alias("_prob"), F.col("best_species").alias("_k"),
+                              F.lit(float(song_s)).alias("_c")))
+    parts = runs.select("frame_id", "source", "epoch_s", "best_species", "best_species_conf", "changed",
+                        F.explode(F.array(*probs)).alias("_p")).select("*", "_p.*").drop("_p")
     flags = cooldown_flags(parts, ["_prob", "source", "_k"], "epoch_s", "frame_id", F.col("_c"), out_col="_emit",
                            bounded=bounded)
-    speak = flags.where(F.col("_prob") == 0).select("frame_id", F.col("_emit").alias("speak"))
-    out = runs.join(speak, on="frame_id")
-    if songs_enabled:
-        song = flags.where(F.col("_prob") == 1).select("frame_id", F.col("_emit").alias("play_song"))
-        out = out.join(song, on="frame_id")
-    else:
-        out = out.withColumn("play_song", F.lit(False))
+    out = flags.groupBy("frame_id", "source", "epoch_s", "best_species", "best_species_conf", "changed").agg(
+        F.max(F.when(F.col("_prob") == 0, F.col("_emit"))).alias("speak"),
+        F.coalesce(F.max(F.when(F.col("_prob") == 1, F.col("_emit"))), F.lit(False)).alias("play_song"),
+    )
     return out.withColumn("spoken_text", S.spoken_text("best_species"))
 
 

@@ -4,7 +4,7 @@ agreement (A10)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -158,9 +158,8 @@ def label_agreement(facts: DataFrame) -> DataFrame:
         F.coalesce("corrected_label", "classifier_label", "detector_label").alias("corrected_label"),
     )
     pair = r.groupBy("predicted_label", "corrected_label").agg(F.count(F.lit(1)).alias("n"))
-    per = r.groupBy("predicted_label").agg(
-        F.count(F.lit(1)).alias("class_total"),
-        (F.lit(100.0) * F.sum(F.when(F.col("predicted_label") == F.col("corrected_label"), 1).otherwise(0))
-         / F.count(F.lit(1))).alias("class_accuracy"),
-    )
-    return pair.join(per, on="predicted_label")
+    # class totals over the aggregated pairs (one row per label pair): one lineage, no second scan
+    w = Window.partitionBy("predicted_label")
+    hit = F.when(F.col("predicted_label") == F.col("corrected_label"), F.col("n")).otherwise(F.lit(0))
+    return pair.withColumn("class_total", F.sum("n").over(w)).withColumn(
+        "class_accuracy", F.lit(100.0) * F.sum(hit).over(w) / F.col("class_total"))

@@ -321,40 +321,41 @@ def top_k_per_key(
     )
 
 
-def exact_rank_threshold(df: DataFrame, hash_col: str, tie_col: str, k: int, n: int):
+def exact_rank_threshold(df: DataFrame, hash_col: str, tie_col: str, k: int, n: int,
+                         direct_limit: int = 100_000):
     """The ``(hash, tie)`` pair of 0-based rank ``k`` under ``(hash_col, tie_col)`` order.
 
     Radix narrowing over the signed 64-bit hash, 12 bits per round: each round is one scan that
-    returns at most 4096 bucket counts. The final bucket holds one hash value; its rows (only hash
-    collisions) are ranked by ``tie_col``. Returns None when ``k >= n``.
+    returns at most 4096 bucket counts. As soon as the bucket holding rank ``k`` has at most
+    ``direct_limit`` rows, those rows are ranked directly (a bounded top-n). Returns None when
+    ``k >= n``.
     """
     if k >= n or n == 0:
         return None
     h = F.col(hash_col)
     remaining = k
     cond = F.lit(True)
-    # (shift, width) rounds cover bits 63..0: 12 bits at a time, the top bucket keeps the sign.
+    size = n
+    # (shift, mask) rounds cover bits 63..0: 12 bits at a time, the top bucket keeps the sign.
     plan = [(52, None), (40, 0xFFF), (28, 0xFFF), (16, 0xFFF), (4, 0xFFF), (0, 0xF)]
     for shift, mask in plan:
+        if size <= direct_limit:
+            break
         bucket = F.shiftright(h, shift)
         if mask is not None:
             bucket = bucket.bitwiseAND(F.lit(mask))
-        counts = (
-            df.where(cond).groupBy(bucket.alias("b")).count().orderBy("b").collect()
-        )  # at most 4096 rows
-        chosen = None
+        counts = df.where(cond).groupBy(bucket.alias("b")).count().orderBy("b").collect()  # <= 4096 rows
         for row in counts:
             if remaining < row["count"]:
-                chosen = row["b"]
+                cond = cond & (bucket == F.lit(row["b"]))
+                size = row["count"]
                 break
             remaining -= row["count"]
-        cond = cond & (bucket == F.lit(chosen))
-    ties = (
+    last = (
         df.where(cond)
         .select(h.alias("h"), F.col(tie_col).alias("t"))
-        .orderBy("t")
+        .orderBy("h", "t")
         .limit(remaining + 1)
         .collect()
-    )  # rows sharing one 64-bit hash value
-    last = ties[remaining]
+    )[remaining]  # at most direct_limit rows (or one hash value's collisions)
     return last["h"], last["t"]
