@@ -351,11 +351,13 @@ def exact_rank_threshold(df: DataFrame, hash_col: str, tie_col: str, k: int, n:
                 size = row["count"]
                 break
             remaining -= row["count"]
+    # rank the (at most direct_limit) rows of the chosen bucket in Spark; one row reaches the driver
+    w = Window.orderBy("h", "t")
     last = (
         df.where(cond)
         .select(h.alias("h"), F.col(tie_col).alias("t"))
-        .orderBy("h", "t")
-        .limit(remaining + 1)
-        .collect()
-    )[remaining]  # at most direct_limit rows (or one hash value's collisions)
+        .withColumn("_r", F.row_number().over(w))
+        .where(F.col("_r") == remaining + 1)
+        .first()
+    )
     return last["h"], last["t"]

@@ -25,6 +25,9 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+EXACT = False  # set by --exact: compare doubles bit for bit
+
+
 def _norm(v):
     if v is None:
         return (0, "")
@@ -34,6 +37,8 @@ def _norm(v):
         f = float(v)
         if math.isnan(f):
             return (2, "nan")
+        if EXACT:
+            return (1, f)
         return (1, round(f, 9) if abs(f) < 1e6 else float(f"{f:.12g}"))
     if isinstance(v, (list, tuple)):
         return (3, tuple(_norm(x) for x in v))
@@ -74,6 +79,9 @@ def main(argv):
     import __spark_entry__ as E
     from sightings.session import build_session
 
+    global EXACT
+    if argv and argv[0] == "--exact":
+        EXACT, argv = True, argv[1:]
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or sorted(E.oracle_sql())
     spark = build_session("local[8]")
