@@ -84,27 +84,28 @@ def conflate_stream(frames: DataFrame, slot_s: float, watermark: str, t_col: str
 
 ANNOUNCE_OUT = ("frame_id LONG, source STRING, epoch_s DOUBLE, best_species STRING, changed BOOLEAN, "
                 "speak BOOLEAN, play_song BOOLEAN")
-ANNOUNCE_STATE = "current STRING, spoken STRING, song STRING"
+ANNOUNCE_STATE = "current STRING, spoken STRING, song STRING, pending STRING"
 
 
 def announce_stream(best: DataFrame, min_conf: float = config.MIN_ALERT_CONF,
                     repeat_s: float = config.SAME_SPECIES_REPEAT_S, song_s: float = config.SONG_EVERY_S,
-                    songs_enabled: bool = config.SONGS_ENABLED) -> DataFrame:
+                    songs_enabled: bool = config.SONGS_ENABLED, watermark: str | None = None) -> DataFrame:
     """W6 with state per source (current species; last spoken and last song time per species).
-    Equals the batch ``announce`` for input that is in order per source."""
 
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            cur, spoken_j, song_j = state.get
-            spoken, song = json.loads(spoken_j), json.loads(song_j)
-        else:
-            cur, spoken, song = None, {}, {}
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["epoch_s", "frame_id"], kind="mergesort")
-        out = {k: [] for k in ("frame_id", "source", "epoch_s", "best_species", "changed", "speak", "play_song")}
-        for r in rows.itertuples(index=False):
-            sp, conf, now = r.best_species, r.best_species_conf, float(r.epoch_s)
-            if sp is None or conf is None or not (conf >= min_conf):
-                continue
+    Without ``watermark`` rows are applied as they arrive (input in order per source). With a
+    ``watermark`` (e.g. "30 seconds") rows wait in state until the event-time watermark passes them
+    and are then applied in (epoch_s, frame_id) order, so out-of-order arrival within the delay gives
+    the batch result; rows later than the watermark are dropped by Spark. State per source: the
+    current species, one clock per species and the rows not yet final.
+    """
+    timed = watermark is not None
+    src = best.where(F.col("best_species").isNotNull() & (F.col("best_species_conf") >= F.lit(float(min_conf))))
+    if timed:
+        src = src.withColumn("_et", F.timestamp_seconds("epoch_s")).withWatermark("_et", watermark)
+
+    def apply(rows, cur, spoken, song, out):
+        for r in rows:
+            frame_id, source, now, sp = r
             changed = cur is None or sp != cur
             if changed:
                 cur = sp
@@ -114,14 +115,37 @@ def announce_stream(best: DataFrame, min_conf: float = config.MIN_ALERT_CONF,
                 spoken[sp] = now
             if play:
                 song[sp] = now
-            for k, v in (("frame_id", r.frame_id), ("source", r.source), ("epoch_s", now), ("best_species", sp),
+            for k, v in (("frame_id", frame_id), ("source", source), ("epoch_s", now), ("best_species", sp),
                          ("changed", changed), ("speak", bool(speak)), ("play_song", bool(play))):
                 out[k].append(v)
-        state.update((cur, json.dumps(spoken), json.dumps(song)))
+        return cur
+
+    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            cur, spoken_j, song_j, pending_j = state.get
+            spoken, song, pending = json.loads(spoken_j), json.loads(song_j), json.loads(pending_j)
+        else:
+            cur, spoken, song, pending = None, {}, {}, []
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                pending += [[int(f), s_, float(t), sp] for f, s_, t, sp in
+                            zip(pdf["frame_id"], pdf["source"], pdf["epoch_s"], pdf["best_species"])]
+        pending.sort(key=lambda r: (r[2], r[0]))
+        if timed:
+            wm = state.getCurrentWatermarkMs() / 1000.0
+            ready = [r for r in pending if r[2] <= wm]
+            pending = [r for r in pending if r[2] > wm]
+        else:
+            ready, pending = pending, []
+        out = {k: [] for k in ("frame_id", "source", "epoch_s", "best_species", "changed", "speak", "play_song")}
+        cur = apply(ready, cur, spoken, song, out)
+        state.update((cur, json.dumps(spoken), json.dumps(song), json.dumps(pending)))
+        if timed and pending:
+            state.setTimeoutTimestamp(int(pending[0][2] * 1000))
         yield pd.DataFrame(out)
 
-    return best.groupBy("source").applyInPandasWithState(
-        step, ANNOUNCE_OUT, ANNOUNCE_STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return src.groupBy("source").applyInPandasWithState(step, ANNOUNCE_OUT, ANNOUNCE_STATE, "append", timeout)
 
 
 # ---- T4 failure monitor -------------------------------------------------------------------------

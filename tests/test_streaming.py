@@ -125,3 +125,29 @@ def test_observed_counters(spark):
     q = _run(s, "obs_out")
     metrics = [p["observedMetrics"]["run_counters"] for p in q.recentProgress if p.get("observedMetrics")]
     assert sum(m["frames_processed"] for m in metrics) == 3
+
+
+def test_announce_stream_out_of_order_with_watermark(spark):
+    import random
+
+    bf = C.frames_with_best(spark, SF01)
+    batch = {(r["frame_id"], r["changed"], r["speak"], r["play_song"]) for r in AL.announce(bf, 0.5).collect()}
+    pdf = bf.toPandas().sort_values("epoch_s").reset_index(drop=True)
+    # arrival order: shuffled inside 40-second slices (disorder below the 60 s watermark delay)
+    rnd = random.Random(4)
+    pdf["_slice"] = (pdf["epoch_s"] // 40).astype(int)
+    pdf["_r"] = [rnd.random() for _ in range(len(pdf))]
+    pdf = pdf.sort_values(["_slice", "_r"]).drop(columns=["_slice", "_r"]).reset_index(drop=True)
+    d = tempfile.mkdtemp(prefix="sightings-ooo-")
+    base = time.time() - 1000
+    n = len(pdf)
+    for i in range(6):
+        f = os.path.join(d, f"part-{i:03d}.parquet")
+        pq.write_table(pa.Table.from_pandas(pdf.iloc[i * n // 6:(i + 1) * n // 6], preserve_index=False), f)
+        os.utime(f, (base + i, base + i))
+    s = ST.stream_table(spark, d, ST.BEST_SCHEMA, max_files=1)
+    _run(ST.announce_stream(s, 0.5, watermark="60 seconds"), "announce_ooo")
+    got = {(r["frame_id"], r["changed"], r["speak"], r["play_song"]) for r in spark.table("announce_ooo").collect()}
+    final_wm = pdf["epoch_s"].max() - 60
+    want = {x for x in batch if x[0] in set(pdf.loc[pdf["epoch_s"] <= final_wm, "frame_id"])}
+    assert got == want and len(got) > 4000
