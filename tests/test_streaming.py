@@ -151,3 +151,30 @@ def test_announce_stream_out_of_order_with_watermark(spark):
     final_wm = pdf["epoch_s"].max() - 60
     want = {x for x in batch if x[0] in set(pdf.loc[pdf["epoch_s"] <= final_wm, "frame_id"])}
     assert got == want and len(got) > 4000
+
+
+def test_failure_stream_out_of_order_with_watermark(spark):
+    import random
+
+    a = X.attempts(spark, SF01)
+    batch = {(r["attempt_id"], r["fail_n"], r["logged"]) for r in AL.failure_runs(a).collect()}
+    pdf = a.withColumn("t", AL.epoch_seconds("ts")).toPandas().sort_values("t").reset_index(drop=True)
+    rnd = random.Random(9)
+    pdf["_slice"] = (pdf["t"] // 3600).astype(int)
+    pdf["_r"] = [rnd.random() for _ in range(len(pdf))]
+    pdf = pdf.sort_values(["_slice", "_r"]).reset_index(drop=True)
+    t = pdf["t"]
+    pdf = pdf.drop(columns=["_slice", "_r", "t"])
+    d = tempfile.mkdtemp(prefix="sightings-ooo4-")
+    base = time.time() - 1000
+    n = len(pdf)
+    for i in range(5):
+        f = os.path.join(d, f"part-{i:03d}.parquet")
+        pq.write_table(pa.Table.from_pandas(pdf.iloc[i * n // 5:(i + 1) * n // 5], preserve_index=False), f,
+                       coerce_timestamps="us")
+        os.utime(f, (base + i, base + i))
+    s = ST.stream_table(spark, d, ST.ATTEMPT_SCHEMA, max_files=1)
+    _run(ST.failure_monitor_stream(s, watermark="2 hours"), "failure_ooo")
+    got = {(r["attempt_id"], r["fail_n"], r["logged"]) for r in spark.table("failure_ooo").collect()}
+    final = set(pdf.loc[t <= t.max() - 7200, "attempt_id"])
+    assert got == {x for x in batch if x[0] in final} and len(got) > 1500
