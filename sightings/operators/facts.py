@@ -33,6 +33,8 @@ def to_sightings(dets: DataFrame, frames: DataFrame, *, detector_model: str | No
     j = dets.join(f, on="frame_id")
     if reviews is not None:
         j = j.join(reviews, on=["frame_id", "det_idx"], how="left")
+    elif "reviewed" in dets.columns:  # review marks already carried by the detection rows
+        j = j.withColumn("corrected_label", F.col("corrected_label").cast("string"))
     else:
         j = j.withColumn("reviewed", F.lit(False)).withColumn("corrected_label", F.lit(None).cast("string"))
     ok_bbox = F.coalesce(F.size("bbox") == 4, F.lit(False))

@@ -444,8 +444,11 @@ BETWEEN_T0, BETWEEN_T1 = "2024-01-01 06:00:00", "2024-01-01 12:00:00"
 
 
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P6 over the fixture: kept detections of every frame, with review marks."""
-    return FA.to_sightings(kept_detections(spark, sf_dir), X.frames(spark, sf_dir), reviews=X.reviews(spark, sf_dir))
+    """P6 over the fixture: kept detections of every frame, with review marks. The marks come from
+    the same adapter rows as the boxes, so they ride along instead of being joined back."""
+    boxes = X.reviewed_boxes(spark, sf_dir)
+    dets = D.detections(boxes, X.class_dim(spark), config.DETECT_CONF)
+    return FA.to_sightings(dets, X.frames(spark, sf_dir))
 
 
 FACTS_SQL = f""", facts AS (

@@ -77,6 +77,11 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boxes_ext(spark, sf_dir).select(*BOX_COLS)
 
 
+def reviewed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """boxes plus their review marks (one adapter pass)."""
+    return _boxes_ext(spark, sf_dir)
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review marks keyed like boxes: lines with return flag R are reviewed; open lines carry a
     corrected label (the part type), closed ones confirm the prediction (null)."""
