@@ -815,3 +815,50 @@ def q_lenient_parse(spark, sf_dir):
         S.parse_int("event_type", -1).alias("type_int"),
         S.parse_float("props", -1.0).alias("props_float"),
     )
+
+
+# ---- P1 / A11 over frames derived from the embedding table; M5 / M6 -------------------------
+
+from ..operators import images as IM  # noqa: E402
+from ..operators import training as TR  # noqa: E402
+
+
+def embedding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An 8 x 8 grey frame per embedding vector (pixel = floor(16 x) + 128, the same byte in all
+    three BGR channels), built JVM-side as Spark's image struct."""
+    e = X.logits(spark, sf_dir)
+    px = F.transform("logits", lambda x: (F.floor(x.cast("double") * 16.0) + 128).cast("int"))
+    hexes = F.transform(px, lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), 3))
+    img = F.struct(
+        F.concat(F.lit("embedding:"), F.col("vec_id").cast("string")).alias("origin"),
+        F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("nChannels"),
+        F.lit(IM.CV_8UC3).alias("mode"), F.unhex(F.array_join(hexes, "")).alias("data"),
+    )
+    return e.select("vec_id", img.alias("image"))
+
+
+@register(
+    "frame_quality",
+    X.with_views("logits")
+    + """, px AS (SELECT vec_id, CAST(floor(CAST(x AS DOUBLE) * 16.0) AS BIGINT) + 128 AS v, (i - 1) // 8 AS r
+            FROM (SELECT vec_id, unnest(logits) AS x, generate_subscripts(logits, 1) AS i FROM logits) u),
+nd AS (SELECT vec_id, count(DISTINCT v) AS n_distinct FROM px GROUP BY vec_id),
+rw AS (SELECT vec_id, r, count(*) AS n, sum(v) AS s, sum(v * v) AS ss FROM px WHERE r >= 4 GROUP BY vec_id, r),
+fl AS (SELECT vec_id, sum(CASE WHEN n * ss - s * s < 4 * n * n THEN 1 ELSE 0 END) AS n_flat, count(*) AS n_rows
+       FROM rw GROUP BY vec_id)
+SELECT nd.vec_id,
+       nd.n_distinct <= 1 OR CAST(fl.n_flat AS DOUBLE) / greatest(fl.n_rows, 1) > 0.3 AS is_corrupt,
+       CASE WHEN nd.n_distinct <= 1 THEN 'single value'
+            WHEN CAST(fl.n_flat AS DOUBLE) / greatest(fl.n_rows, 1) > 0.3 THEN 'flat rows' END AS reason
+FROM nd JOIN fl ON fl.vec_id = nd.vec_id""",
+)
+def q_frame_quality(spark, sf_dir):
+    return IM.frame_quality(embedding_frames(spark, sf_dir)).select("vec_id", "is_corrupt", "reason")
+
+
+@register("classifier_eval", None)  # iterative training: rows-only check
+def q_classifier_eval(spark, sf_dir):
+    emb = X.logits(spark, sf_dir).withColumnRenamed("logits", "embedding")
+    model, _train, val = TR.train_species_classifier(emb, max_iter=50)
+    metrics, _confusion = TR.evaluate(model, val)
+    return metrics
