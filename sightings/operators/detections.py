@@ -68,18 +68,25 @@ def frames_with_detections(frames: DataFrame, dets: DataFrame) -> DataFrame:
     return frames.join(dets.select("frame_id"), on="frame_id", how="left_semi")
 
 
-def best_species(dets: DataFrame) -> DataFrame:
-    """A3: per frame the species with the highest species confidence.
+def best_candidate() -> F.Column:
+    """A3 as an aggregate expression: ``max`` over candidate structs (conf, -det_idx, species).
 
-    Candidates: truthy species, non-null and non-NaN confidence above -1.0. The first detection
-    (lowest ``det_idx``) wins ties. Frames without a candidate produce no row (their best is null).
-    Hash aggregation of ``max(struct(conf, -det_idx, species))`` - no sort, partial aggregation.
+    Candidates: truthy species, non-null and non-NaN confidence above -1.0; the first detection
+    (lowest ``det_idx``) wins ties. Non-candidates contribute null, which ``max`` ignores, so the
+    expression can share one aggregation with other per-frame aggregates.
     """
     c = F.col("species_confidence").cast("double")
-    cand = dets.where(S.truthy("species") & c.isNotNull() & ~F.isnan(c) & (c > F.lit(-1.0)))
-    best = cand.groupBy("frame_id").agg(
-        F.max(F.struct(c.alias("conf"), (-F.col("det_idx")).alias("neg_idx"), F.col("species"))).alias("b")
-    )
+    cand = S.truthy("species") & c.isNotNull() & ~F.isnan(c) & (c > F.lit(-1.0))
+    return F.max(F.when(cand, F.struct(c.alias("conf"), (-F.col("det_idx")).alias("neg_idx"), F.col("species"))))
+
+
+def best_species(dets: DataFrame) -> DataFrame:
+    """A3: per frame the species with the highest species confidence (see ``best_candidate``).
+
+    Frames without a candidate produce no row (their best is null). Aggregation, not a sort: the
+    max is combined map-side before the shuffle.
+    """
+    best = dets.groupBy("frame_id").agg(best_candidate().alias("b")).where(F.col("b").isNotNull())
     return best.select(
         "frame_id",
         F.col("b.species").alias("best_species"),
@@ -87,7 +94,7 @@ def best_species(dets: DataFrame) -> DataFrame:
     )
 
 
-def nest_detections(dets: DataFrame, with_crop_path: bool = False) -> DataFrame:
+def nest_detections(dets: DataFrame, with_crop_path: bool = False, with_best: bool = False) -> DataFrame:
     """A4: one row per frame with ``detections`` = ordered ARRAY<STRUCT<class, confidence, bbox,
     species, species_confidence, crop_path>>.
 
@@ -103,11 +110,14 @@ def nest_detections(dets: DataFrame, with_crop_path: bool = False) -> DataFrame:
         F.col("species_confidence").cast("double").alias("species_confidence"),
         crop.alias("crop_path"),
     )
-    nested = dets.groupBy("frame_id").agg(F.sort_array(F.collect_list(item)).alias("_d"))
-    return nested.select(
-        "frame_id",
-        F.transform(F.col("_d"), lambda d: d.dropFields("det_idx")).alias("detections"),
-    )
+    aggs = [F.sort_array(F.collect_list(item)).alias("_d")]
+    if with_best:  # A3 in the same aggregation (one pass over the detections)
+        aggs.append(best_candidate().alias("_b"))
+    nested = dets.groupBy("frame_id").agg(*aggs)
+    cols = ["frame_id", F.transform(F.col("_d"), lambda d: d.dropFields("det_idx")).alias("detections")]
+    if with_best:
+        cols += [F.col("_b.species").alias("best_species"), F.col("_b.conf").alias("best_species_conf")]
+    return nested.select(*cols)
 
 
 def detection_summary(dets: DataFrame) -> DataFrame:

@@ -52,14 +52,15 @@ def build_events(frames: DataFrame, dets: DataFrame, best: DataFrame | None = No
 
     ``frames`` needs frame_id, source, epoch_s. ``best`` defaults to A3 over ``dets``.
     """
-    best = D.best_species(dets) if best is None else best
-    nested = D.nest_detections(dets, with_crop_path)
+    if best is None:  # nested detections and A3 from one aggregation
+        nested = D.nest_detections(dets, with_crop_path, with_best=True)
+    else:
+        nested = D.nest_detections(dets, with_crop_path).join(best, on="frame_id", how="left")
     t = F.timestamp_seconds(F.col("epoch_s"))
     url = S.image_url(base_url if not isinstance(base_url, str) else F.lit(base_url)) if base_url is not None \
         else F.lit(None).cast("string")
     ev = (
         nested.join(frames.select("frame_id", source_col, "epoch_s"), on="frame_id")
-        .join(best, on="frame_id", how="left")
         .withColumn("detected_at", t)
     )
     return ev.select(
