@@ -178,3 +178,26 @@ def test_failure_stream_out_of_order_with_watermark(spark):
     got = {(r["attempt_id"], r["fail_n"], r["logged"]) for r in spark.table("failure_ooo").collect()}
     final = set(pdf.loc[t <= t.max() - 7200, "attempt_id"])
     assert got == {x for x in batch if x[0] in final} and len(got) > 1500
+
+
+def test_conflate_and_state_streams_equal_batch(spark):
+    f = X.frames(spark, SF01).select("source", "frame_id", "epoch_s") \
+        .withColumn("scheduled_at", F.timestamp_seconds("epoch_s"))
+    batch = {(r["source"], r["frame_id"], r["frames_in_slot"]) for r in AL.conflate(f, 10.0).collect()}
+    pdf = f.toPandas()
+    d = _split_files(pdf, "epoch_s", 4)
+    s = ST.stream_table(spark, d, "source STRING, frame_id LONG, epoch_s DOUBLE, scheduled_at TIMESTAMP", max_files=1)
+    _run(ST.conflate_stream(s, 10, "0 seconds"), "conflate_eq")
+    got = {(r["source"], r["frame_id"], r["frames_in_slot"]) for r in spark.table("conflate_eq").collect()}
+    # every slot except the newest one per source is closed by the watermark
+    last = pdf.groupby("source")["epoch_s"].max().to_dict()
+    open_slots = {(src, int(t // 10)) for src, t in last.items()}
+    closed = {x for x in batch
+              if (x[0], int(pdf.loc[pdf["frame_id"] == x[1], "epoch_s"].iloc[0] // 10)) not in open_slots}
+    assert got == closed and len(got) > 8000
+    ev = EV.build_events(X.frames(spark, SF01), C.kept_detections(spark, SF01)).select("source", "event_id", "epoch_s")
+    want = {(r["source"], r["event_id"]) for r in EV.latest_per_key(ev, ["source"], ["epoch_s", "event_id"]).collect()}
+    d2 = _split_files(ev.toPandas(), "epoch_s", 3)
+    s2 = ST.stream_table(spark, d2, "source STRING, event_id STRING, epoch_s DOUBLE", max_files=1)
+    _run(ST.latest_state_stream(s2), "state_eq", mode="complete")
+    assert {(r["source"], r["event_id"]) for r in spark.table("state_eq").collect()} == want
