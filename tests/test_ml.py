@@ -68,3 +68,45 @@ def test_train_and_evaluate(spark):
     # the model learns the training data well beyond chance (10 classes)
     tm, _ = TR.evaluate(model, train)
     assert tm.first()["accuracy"] > 20.0
+
+
+def test_onnx_classifier_path(spark):
+    from tests.onnx_model import linear_model
+
+    d = tempfile.mkdtemp(prefix="sightings-onnx-")
+    rnd = np.random.default_rng(3)
+    size, k = 8, 5
+    w = rnd.normal(size=(3 * size * size, k)).astype(np.float32)
+    b = rnd.normal(size=k).astype(np.float32)
+    path = os.path.join(d, "model.onnx")
+    with open(path, "wb") as fh:
+        fh.write(linear_model(w, b, size))
+    assert INF.onnx_input_size(path) == size
+    x = rnd.normal(size=(7, 3 * size * size)).astype(np.float32)
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(7)], "vec_id long, tensor array<float>")
+    out = INF.predict(df, INF.onnx_factory(path), "onnx8", shape=(3, size, size)).orderBy("vec_id").collect()
+    want = x @ w + b
+    assert np.allclose(np.array([r["logits"] for r in out]), want, atol=1e-4)
+
+
+def test_two_stage_with_onnx_classifier(spark):
+    from tests.onnx_model import linear_model
+
+    d = tempfile.mkdtemp(prefix="sightings-m8o-")
+    for name, data in fixture_images().items():
+        with open(os.path.join(d, name), "wb") as fh:
+            fh.write(data)
+    rnd = np.random.default_rng(5)
+    size = 16
+    path = os.path.join(d, "cls.onnx")
+    with open(path, "wb") as fh:
+        fh.write(linear_model(rnd.normal(size=(3 * size * size, 3)).astype(np.float32),
+                              np.zeros(3, dtype=np.float32), size))
+    frames, _ = FS.read_frames(spark, d)
+    frames = frames.withColumn("frame_id", F.xxhash64("path"))
+    cm = spark.createDataFrame([(0, "wren"), (1, "jay")], "idx int, class_name string")  # idx 2 -> class_2
+    dets, best = INF.two_stage(frames, X.class_dim(spark), _fake_detector, "fake", INF.onnx_factory(path),
+                               "onnx16", cm, size=INF.onnx_input_size(path))
+    species = {r["species"] for r in dets.collect()}
+    assert len(dets.collect()) == 4 and species <= {"wren", "jay", "class_2"}
+    assert best.count() == 4
