@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import scalars as S
-from ..plans.scan import cooldown_flags, keys_bounded, ordered_scan
+from ..plans.scan import cooldown_flags, measured, ordered_scan
 
 
 def epoch_seconds(ts_col: str) -> F.Column:
@@ -30,7 +30,8 @@ def failure_runs(attempts: DataFrame, quiet_s: float = config.FAILURE_LOG_QUIET_
       last printed failure (greedy, strict ``>``).
     """
     a = attempts.withColumn("t", epoch_seconds("ts"))
-    bounded = keys_bounded(a, ["source"]) if bounded is None else bounded
+    if bounded is None:
+        a, bounded = measured(a, ["source"])
     s1 = ordered_scan(
         a, ["source"], ["t", "attempt_id"],
         sums={"_fails": F.when(F.col("ok"), 0).otherwise(1), "island": F.when(F.col("ok"), 1).otherwise(0)},
@@ -63,6 +64,8 @@ def species_changes(best_frames: DataFrame, min_conf: float = config.MIN_ALERT_C
     ``best_frames`` needs frame_id, source, epoch_s, best_species, best_species_conf.
     """
     ann = announceable(best_frames, min_conf)
+    if bounded is None:
+        ann, bounded = measured(ann, ["source"])
     s = ordered_scan(ann, ["source"], ["epoch_s", "frame_id"], lags={"prev_species": "best_species"}, rank_col="_r",
                      bounded=bounded)
     return s.withColumn("changed", ~F.col("prev_species").eqNullSafe(F.col("best_species"))).drop("_r")
@@ -78,7 +81,7 @@ def announce(best_frames: DataFrame, min_conf: float = config.MIN_ALERT_CONF,
     song: when >= song_s since this species' song last played: greedy cooldown per (source, species).
     """
     if bounded is None:  # one size check on the coarsest key covers every step below
-        bounded = keys_bounded(announceable(best_frames, min_conf), ["source"])
+        best_frames, bounded = measured(announceable(best_frames, min_conf), ["source"])
     ch = species_changes(best_frames, min_conf, bounded=bounded)
     runs = ordered_scan(ch, ["source"], ["epoch_s", "frame_id"],
                         sums={"run_id": F.col("changed").cast("long")}, rank_col="_r", bounded=bounded).drop("_r")
@@ -105,7 +108,8 @@ def species_visits(best_frames: DataFrame, gap_s: float, min_conf: float = confi
     """Consecutive announceable frames of one species no more than ``gap_s`` apart form a
     visit: (source, visit_no, species, start, end, frames, max confidence)."""
     ann = announceable(best_frames, min_conf)
-    bounded = keys_bounded(ann, ["source"]) if bounded is None else bounded
+    if bounded is None:
+        ann, bounded = measured(ann, ["source"])
     s = ordered_scan(ann, ["source"], ["epoch_s", "frame_id"],
                      lags={"_ps": "best_species", "_pt": "epoch_s"}, rank_col="_r", bounded=bounded)
     new = F.col("_pt").isNull() | (F.col("_ps") != F.col("best_species")) | \

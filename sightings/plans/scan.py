@@ -46,6 +46,13 @@ def keys_bounded(df: DataFrame, keys: Sequence[str], window_limit: int | None =
     return max_rows_per_key(df, keys) <= window_rows_limit(df, window_limit)
 
 
+def measured(df: DataFrame, keys: Sequence[str], window_limit: int | None = None) -> tuple[DataFrame, bool]:
+    """Materialize ``df`` once (reliable checkpoint) and decide the path on it: the size check and
+    every later step read the checkpoint instead of recomputing the upstream plan."""
+    m = _materialize(df, True)
+    return m, keys_bounded(m, keys, window_limit)
+
+
 def max_rows_per_key(df: DataFrame, keys: Sequence[str]) -> int:
     """Size of the largest key group (one aggregation job, partial counts per task)."""
     if not keys:
@@ -89,7 +96,7 @@ def ordered_scan(
     keys = list(keys)
     order = list(order)
     if bounded is None:
-        bounded = keys_bounded(df, keys, window_limit)
+        df, bounded = measured(df, keys, window_limit)
     if bounded:
         # keys=[] (a global order) is a single-partition window, allowed because it was measured
         w = Window.partitionBy(*keys).orderBy(*order)
@@ -198,7 +205,7 @@ def cooldown_flags(
     cool = F.lit(float(cooldown_s)) if isinstance(cooldown_s, (int, float)) else cooldown_s
     df = df.withColumn("__cool", cool.cast("double"))
     if bounded is None:
-        bounded = keys_bounded(df, keys, window_limit)
+        df, bounded = measured(df, keys, window_limit)
     if bounded:
         return _cooldown_grouped(df, keys, time_col, tie_col, strict, out_col).drop("__cool")
     scanned = ordered_scan(df, keys, [time_col, tie_col], lags={"__prev_t": time_col}, rank_col="__r",
