@@ -8,13 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import scalars as S
+from ..operators import alerts as AL
+from ..operators import corpus as CO
 from ..operators import detections as D
+from ..operators import events as EV
+from ..operators import facts as FA
+from ..operators import images as IM
+from ..operators import paths as PA
+from ..operators import training as TR
+from ..operators import vectors as VE
 from ..sources import fixtures as X
+from ..sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,10 +150,6 @@ GROUP BY 1, 2""",
 
 # ---- events: A4, A5, F-functions, K2/S3, W8/K3 --------------------------------------------
 
-from ..operators import alerts as AL  # noqa: E402
-from ..operators import events as EV  # noqa: E402
-from ..operators import facts as FA  # noqa: E402
-from ..operators import paths as PA  # noqa: E402
 
 TS_SQL = "make_timestamp(CAST(epoch_s * 1000000 AS BIGINT))"
 FILE_TS_SQL = f"strftime({TS_SQL}, '%H%M%S_%y%m%d')"
@@ -507,7 +512,6 @@ FROM (SELECT * FROM facts WHERE NOT reviewed
 def q_review_queue(spark, sf_dir):
     page = FA.review_queue(sightings(spark, sf_dir), 100)
     # positions inside the 100-row page (bounded by the page size)
-    from pyspark.sql import Window
     w = Window.orderBy(F.col("classifier_confidence").asc_nulls_first(), "source", "frame_id", "det_idx")
     return page.select(F.row_number().over(w).cast("long").alias("queue_pos"), "source", "frame_id", "det_idx",
                        "classifier_label", "classifier_confidence")
@@ -589,8 +593,6 @@ def q_run_counters(spark, sf_dir):
 
 # ---- corpus and mapping: A1, A2, U3, W1, J4, O2, F10, J5, J6 ------------------------------
 
-from ..operators import corpus as CO  # noqa: E402
-from ..operators import vectors as VE  # noqa: E402
 
 CLASS_COUNTS_SQL = """, counts AS (
 SELECT c.class_name, coalesce(x.n, 0) AS n
@@ -786,7 +788,6 @@ def q_cosine_lr(spark, sf_dir):
     "SELECT doc_id, sha256(regexp_replace(text, '[^\\p{L}\\p{N}_-]', '_', 'g')) AS safe_sha FROM documents",
 )
 def q_safe_label(spark, sf_dir):
-    from ..sources.tables import read_table
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return d.select("doc_id", F.sha2(S.safe_label("text"), 256).alias("safe_sha"))
 
@@ -805,7 +806,6 @@ FROM events"""
 
 @register("lenient_parse", LENIENT_SQL)
 def q_lenient_parse(spark, sf_dir):
-    from ..sources.tables import read_table
     e = read_table(spark, sf_dir, "events", ["event_id", "user_id", "props", "value", "event_type"])
     return e.select(
         F.col("event_id").alias("attempt_id"),
@@ -819,8 +819,6 @@ def q_lenient_parse(spark, sf_dir):
 
 # ---- P1 / A11 over frames derived from the embedding table; M5 / M6 -------------------------
 
-from ..operators import images as IM  # noqa: E402
-from ..operators import training as TR  # noqa: E402
 
 
 def embedding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
