@@ -201,3 +201,18 @@ def test_conflate_and_state_streams_equal_batch(spark):
     s2 = ST.stream_table(spark, d2, "source STRING, event_id STRING, epoch_s DOUBLE", max_files=1)
     _run(ST.latest_state_stream(s2), "state_eq", mode="complete")
     assert {(r["source"], r["event_id"]) for r in spark.table("state_eq").collect()} == want
+
+
+def test_announce_transform_with_state_equals_batch(spark):
+    bf = C.frames_with_best(spark, SF01)
+    batch = {(r["frame_id"], r["changed"], r["speak"], r["play_song"]) for r in AL.announce(bf, 0.5).collect()}
+    d = _split_files(bf.toPandas(), "epoch_s", 4)
+    prev = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ST.ROCKSDB_PROVIDER)
+    try:
+        s = ST.stream_table(spark, d, ST.BEST_SCHEMA, max_files=1)
+        _run(ST.announce_stream_tws(s, 0.5), "announce_tws")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", prev)
+    got = {(r["frame_id"], r["changed"], r["speak"], r["play_song"]) for r in spark.table("announce_tws").collect()}
+    assert got == batch and len(got) == 4869
