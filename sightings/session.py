@@ -36,6 +36,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
         builder.config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("SIGHTINGS_DRIVER_MEMORY", "8g"))
+        # checkpoints written by the ordered operators are removed once their plans are gone
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in DEFAULTS.items():
         builder = builder.config(k, v)
