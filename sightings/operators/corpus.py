@@ -59,6 +59,12 @@ def shuffle_key(seed: int, path_col: str = "path") -> F.Column:
     return F.xxhash64(F.lit(int(seed)), F.col(path_col))
 
 
+def shuffle(samples: DataFrame, seed: int, path_col: str = "path") -> DataFrame:
+    """O1: the samples in a reproducible random order (a distributed sort on the seeded hash,
+    ties by path)."""
+    return samples.orderBy(shuffle_key(seed, path_col), F.col(path_col))
+
+
 def split_exact(samples: DataFrame, frac: float = config.TRAIN_FRACTION, seed: int = 0,
                 path_col: str = "path") -> tuple[DataFrame, DataFrame]:
     """O2: train = the first ``int(frac * n)`` samples of the seeded permutation, val = the rest.

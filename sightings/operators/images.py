@@ -103,6 +103,9 @@ def crop_images(frames: DataFrame, dets: DataFrame, image_col: str = "image") ->
     return j.withColumn("crop", cut(F.col(image_col), "crop_x1", "crop_y1", "crop_x2", "crop_y2")).drop(image_col)
 
 
+crop = crop_images  # survey name of M7
+
+
 def annotate(frames: DataFrame, dets: DataFrame, image_col: str = "image") -> DataFrame:
     """Per frame with detections, the frame with a 2-px green box per detection (detector
     order); the label text stays a column (``labels``, F5 annotation form)."""

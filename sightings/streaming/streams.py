@@ -44,7 +44,7 @@ def stream_events(spark: SparkSession, path: str, max_files: int | None = None)
     return EV.read_events(r.load(path))
 
 
-def stream_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet",
+def stream_table(spark: SparkSession, path: str, schema: "str | T.StructType", fmt: str = "parquet",
                  max_files: int | None = None) -> DataFrame:
     """An unbounded table (attempts, best frames, boxes) from files with a fixed schema."""
     r = spark.readStream.format(fmt).schema(schema)
@@ -53,6 +53,11 @@ def stream_table(spark: SparkSession, path: str, schema: str, fmt: str = "parque
     return r.load(path)
 
 
+def stream_attempts(spark: SparkSession, path: str, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
+    """Capture attempts ``(attempt_id, source, ts, ok)`` as an unbounded table."""
+    return stream_table(spark, path, ATTEMPT_SCHEMA, fmt, max_files)
+
+
 def stream_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     """Event messages from Kafka as a ``value`` string column (needs the Kafka connector)."""
     return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
@@ -266,6 +271,13 @@ def detections_batch_fn(frames: DataFrame, dim: DataFrame, on_events, conf: floa
     return run
 
 
+def detections_stream(boxes: DataFrame, frames: DataFrame, dim: DataFrame, on_events,
+                      conf: float = config.DETECT_CONF):
+    """T5: a configured ``DataStreamWriter`` over a stream of boxes; each micro-batch runs the
+    detection operators and hands the events to ``on_events`` (start it with ``.start()``)."""
+    return boxes.writeStream.foreachBatch(detections_batch_fn(frames, dim, on_events, conf))
+
+
 def latest_state_stream(events: DataFrame, key: str = "source") -> DataFrame:
     """K3 as a live table: newest event per source (update mode)."""
     cols = [c for c in events.columns]
@@ -274,6 +286,9 @@ def latest_state_stream(events: DataFrame, key: str = "source") -> DataFrame:
     ).select("_l.*")
 
 
+state_stream = latest_state_stream  # survey name of T6
+
+
 def dedupe_events(events: DataFrame, ts_col: str, watermark: str) -> DataFrame:
     """Drop repeated ``event_id`` deliveries (QoS >= 1) within the watermark."""
     return events.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark(["event_id"])

@@ -83,3 +83,29 @@ def test_detections_batch_and_image_stream(spark):
         .trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("frames_out").count() == 6
+
+
+def test_survey_names(spark):
+    from sightings.operators import corpus as CO
+    from sightings.operators import facts as FA
+    assert FA.to_sighting is FA.to_sightings and IM.crop is IM.crop_images and ST.state_stream is ST.latest_state_stream
+    s = spark.createDataFrame([(f"p{i}",) for i in range(50)], "path string")
+    a = [r[0] for r in CO.shuffle(s, 3).collect()]
+    b = [r[0] for r in CO.shuffle(s, 3).collect()]
+    assert a == b and sorted(a) == sorted(f"p{i}" for i in range(50)) and a != sorted(a)
+    d = tempfile.mkdtemp(prefix="sightings-att-")
+    X.attempts(spark, SF001).write.mode("overwrite").parquet(d + "/a")
+    seen = {}
+    q = ST.stream_attempts(spark, d + "/a").writeStream.foreachBatch(
+        lambda df, i: seen.__setitem__(i, df.count())).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sum(seen.values()) == X.attempts(spark, SF001).count()
+    got = {}
+    boxes_dir = d + "/boxes"
+    X.boxes(spark, SF001).write.mode("overwrite").parquet(boxes_dir)
+    bs = ST.stream_table(spark, boxes_dir, X.boxes(spark, SF001).schema)
+    w = ST.detections_stream(bs, X.frames(spark, SF001), X.class_dim(spark),
+                             lambda ev, i: got.__setitem__(i, ev.count()))
+    q2 = w.trigger(availableNow=True).start()
+    q2.awaitTermination()
+    assert sum(got.values()) == C.kept_detections(spark, SF001).select("frame_id").distinct().count()
