@@ -43,7 +43,8 @@ def dropped_classes(counts: DataFrame, min_samples: int = config.MIN_SAMPLES) ->
 
 def class_index(valid: DataFrame) -> DataFrame:
     """Classes sorted by name, dense index from 0 (``class_to_idx``; the inverse is the same
-    table read the other way). A range-partitioned rank, no single-partition window."""
+    table read the other way). A measured global rank: one window for a class list up to the
+    window limit, the range-partitioned rank beyond it."""
     return ordered_scan(valid.select("class_name").distinct(), [], ["class_name"], rank_col="idx") \
         .select("class_name", F.col("idx").cast("int").alias("idx"))
 

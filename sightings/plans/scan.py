@@ -3,13 +3,16 @@
 Many operators of the reference walk one camera's frames in time order (failure counters, species
 changes, cooldowns, visits). The textbook Spark form is a window partitioned by ``source``; with a
 handful of cameras that puts a whole camera - possibly a third of all rows - into one task. The
-helpers here keep every task bounded:
+helpers here keep every task bounded. Each first materializes its input and measures the largest
+key (one aggregation): keys up to ``sightings.scan.windowRowsLimit`` rows take the plain path (a
+window per key, or a sorted ``mapInPandas`` walk), larger keys the distributed path below. Both
+paths give identical results (tested on the same anchors).
 
 * ``ordered_scan`` range-partitions on ``(keys, order)``, computes running values inside each range
   block with ordinary windows, and carries the block totals forward with a window over the block
   summary (at most one row per key and block).
-* ``cooldown_flags`` solves the greedy "emit when at least C seconds since the last emission" rule
-  with pointer doubling: log2(path length) rounds of equi-joins on unique ids, no group is ever
+* ``cooldown_flags`` solves the greedy "emit when at least C seconds since the last emission" rule;
+  for large keys with pointer doubling: log2(path length) rounds of equi-joins on unique ids, no group is ever
   collected.
 * ``top_k_per_key`` is a two-phase (salted) top-k.
 * ``exact_rank_threshold`` finds the k-th smallest 64-bit hash by radix narrowing with bounded
