@@ -45,15 +45,18 @@ def _boxes_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
          "l_tax", "l_returnflag", "l_linestatus"],
     )
     p = read_table(spark, sf_dir, "part", ["p_partkey", "p_type", "p_size"])
+    # Number detections by frame_id itself (not l_orderkey): the window's hash partitioning on
+    # frame_id is then reused by every later per-frame aggregation and join, saving a shuffle.
+    li = li.withColumnRenamed("l_orderkey", "frame_id")
     j = li.join(p, li.l_partkey == p.p_partkey)
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    w = Window.partitionBy("frame_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     x0 = ((F.col("l_partkey") * 7) % 1900).cast("double")
     y0 = ((F.col("l_suppkey") * 13) % 1000).cast("double")
     conf = ((F.col("l_partkey") * 37 + F.col("l_linenumber") * 11 + F.col("l_suppkey")) % 129) / F.lit(128.0)
     sconf = ((F.col("l_partkey") * 53 + F.col("l_linenumber") * 7) % 129) / F.lit(128.0)
     null_sp = F.col("p_size") % 7 == 0
     return j.select(
-        F.col("l_orderkey").alias("frame_id"),
+        F.col("frame_id"),
         (F.row_number().over(w) - 1).cast("int").alias("det_idx"),
         (F.col("l_partkey") % 30).cast("int").alias("cls_id"),
         conf.cast("float").alias("confidence"),
