@@ -263,7 +263,6 @@ def _cooldown_grouped(df: DataFrame, keys: list[str], time_col: str, tie_col: st
     """Bounded keys: hash-partition by key, sort inside partitions and walk each partition's Arrow
     batches once in ``mapInPandas``, carrying (key, last emission) across batch boundaries."""
     import numpy as np
-    import pandas as pd
     from pyspark.sql import types as T
 
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.BooleanType(), False)])
