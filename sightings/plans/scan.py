@@ -81,6 +81,7 @@ def ordered_scan(
     partitions: int | None = None,
     window_limit: int | None = None,
     bounded: bool | None = None,
+    block_col: str | None = None,
 ) -> DataFrame:
     """Per key and in ascending ``order`` (must be a total order), add
 
@@ -89,6 +90,7 @@ def ordered_scan(
     * each ``maxes[name]``: inclusive running max,
     * each ``lags[name] = col``: ``col`` of the previous row of the same key (null on the first).
 
+    ``block_col`` keeps the range block of each row (diagnostics; distributed path only).
     Keys must not be null. The largest key is measured first: up to ``window_limit`` rows a plain
     window per key is exact and cheapest; beyond it nothing is collected per key - a hot key
     spreads over many range blocks.
@@ -173,6 +175,8 @@ def ordered_scan(
         out = out.withColumn(
             name, F.when(F.col("__sc_lpos") == 1, F.col(f"__sc_clast.{name}")).otherwise(F.col(f"__sc_ll_{name}"))
         )
+    if block_col:
+        out = out.withColumn(block_col, F.col("__sc_blk"))
     return out.drop(*[c for c in out.columns if c.startswith("__sc_")])
 
 

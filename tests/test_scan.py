@@ -68,3 +68,16 @@ def test_exact_split_sizes(spark, n):
     v = [r[0] for r in val.collect()]
     assert len(t) == int(0.8 * n) and len(v) == n - int(0.8 * n)
     assert not set(t) & set(v) and len(set(t) | set(v)) == n
+
+
+def test_hot_key_is_split_across_blocks(spark):
+    # one camera holds 90 % of the rows: the distributed path spreads it over the range blocks
+    rows = [("hot", float(i), i) for i in range(9000)] + [("cold", float(i), 10_000 + i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, t double, id int")
+    s = ordered_scan(df, ["k"], ["t", "id"], sums={"c": F.lit(1)}, rank_col="r", partitions=8, bounded=False,
+                     block_col="blk")
+    per_block = {(r["k"], r["blk"]): r["n"] for r in s.groupBy("k", "blk").agg(F.count("*").alias("n")).collect()}
+    hot_blocks = [n for (k, _), n in per_block.items() if k == "hot"]
+    assert len(hot_blocks) >= 6 and max(per_block.values()) <= 2 * 10_000 / 8
+    got = {r["id"]: (r["r"], r["c"]) for r in s.collect()}
+    assert got[8999] == (8999, 9000) and got[10_999] == (999, 1000)
