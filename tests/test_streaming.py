@@ -216,3 +216,24 @@ def test_announce_transform_with_state_equals_batch(spark):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", prev)
     got = {(r["frame_id"], r["changed"], r["speak"], r["play_song"]) for r in spark.table("announce_tws").collect()}
     assert got == batch and len(got) == 4869
+
+
+def test_windowed_counts_drop_and_count_late_rows(spark):
+    rows1 = [("wren", f"2024-01-01 00:{m:02d}:00") for m in range(0, 30, 3)]
+    rows2 = [("wren", "2024-01-01 00:40:00")]
+    # late: older than the watermark of the batch before it (Spark filters late input with it)
+    rows3 = [("wren", "2024-01-01 00:01:00"), ("wren", "2024-01-01 00:41:00")]
+    d = tempfile.mkdtemp(prefix="sightings-late-")
+    base = time.time() - 1000
+    for i, rows in enumerate([rows1, rows2, rows3]):
+        pdf = spark.createDataFrame(rows, "best_species string, t string") \
+            .withColumn("ts", F.to_timestamp("t")).drop("t").toPandas()
+        f = os.path.join(d, f"part-{i}.parquet")
+        pq.write_table(pa.Table.from_pandas(pdf, preserve_index=False), f, coerce_timestamps="us")
+        os.utime(f, (base + i, base + i))
+    s = ST.stream_table(spark, d, "best_species STRING, ts TIMESTAMP", max_files=1)
+    q = _run(ST.species_counts_stream(s, "ts", "5 minutes", window="10 minutes"), "late_out")
+    dropped = sum(op.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress for op in p.get("stateOperators", []))
+    assert dropped == 1
+    counts = {str(r["window_start"]): r["n"] for r in spark.table("late_out").collect()}
+    assert counts["2024-01-01 00:00:00"] == 4  # 00:00, 00:03, 00:06, 00:09 - the late 00:01 is not added
