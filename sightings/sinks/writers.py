@@ -38,7 +38,9 @@ def append_sightings(facts: DataFrame, path: str | None = None, *, jdbc: dict |
             w = ok.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
             parts.append("batch_id")
             mode = "overwrite"
-        (w.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
+        # rebalance: rows of one date land together (few files per date) while AQE splits a hot date
+        (w.hint("rebalance", *parts).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*parts).parquet(path))
     elif jdbc is not None:
         opts = dict(jdbc)
         opts["dbtable"] = S.safe_identifier(opts["dbtable"])
@@ -115,7 +117,7 @@ def write_crops(crops: DataFrame, root: str, existing: DataFrame | None = None)
     out = named.select("safe_label", "crop_path", "frame_id", "det_idx",
                        F.col("crop.height").alias("height"), F.col("crop.width").alias("width"),
                        F.col("crop.data").alias("data"))
-    out.write.mode("append").partitionBy("safe_label").parquet(root)
+    out.hint("rebalance", "safe_label").write.mode("append").partitionBy("safe_label").parquet(root)
     return named.select("frame_id", "det_idx", "crop_path")
 
 
@@ -124,7 +126,7 @@ def write_annotated(annotated: DataFrame, root: str, keep: int = config.KEEP_LAS
     per source are written (W3); returns the expired paths."""
     files = annotated.withColumn("path", EV.annotated_path(F.timestamp_seconds("epoch_s"), root))
     kept, expired = PA.retain_last_n(files, ["source"], "epoch_s", "path", keep)
-    kept.select("source", "path", "frame_id", F.col("annotated.data").alias("data")) \
+    kept.select("source", "path", "frame_id", F.col("annotated.data").alias("data")).hint("rebalance", "source") \
         .write.mode("overwrite").partitionBy("source").parquet(root)
     return expired.select("source", "path")
 
