@@ -110,6 +110,15 @@ def upsert_state(events: DataFrame, target: str, key: str = "source", order: tup
     return name
 
 
+def state_batch_writer(target: str, key: str = "source"):
+    """``foreachBatch`` function for K3 in a stream: each micro-batch is merged into the retained
+    state (newest per key wins, so a replayed batch leaves the same state)."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        upsert_state(batch, target, key)
+
+    return write
+
+
 def write_crops(crops: DataFrame, root: str, existing: DataFrame | None = None) -> DataFrame:
     """K4: crop images under ``<safe label>/`` with first-free collision numbering (W2). Rows are
     written as Parquet partitioned by ``safe_label`` (path, bytes, size); returns the path table."""

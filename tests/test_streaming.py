@@ -237,3 +237,16 @@ def test_windowed_counts_drop_and_count_late_rows(spark):
     assert dropped == 1
     counts = {str(r["window_start"]): r["n"] for r in spark.table("late_out").collect()}
     assert counts["2024-01-01 00:00:00"] == 4  # 00:00, 00:03, 00:06, 00:09 - the late 00:01 is not added
+
+
+def test_state_batch_writer_merges_micro_batches(spark):
+    from sightings.sinks import writers as W
+
+    ev = EV.build_events(X.frames(spark, SF01), C.kept_detections(spark, SF01)).select("source", "event_id", "epoch_s")
+    want = {(r["source"], r["event_id"]) for r in EV.latest_per_key(ev, ["source"], ["epoch_s", "event_id"]).collect()}
+    d = _split_files(ev.toPandas(), "epoch_s", 3)
+    target = tempfile.mkdtemp(prefix="sightings-state-") + "/state"
+    s = ST.stream_table(spark, d, "source STRING, event_id STRING, epoch_s DOUBLE", max_files=1)
+    q = s.writeStream.foreachBatch(W.state_batch_writer(target)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r["source"], r["event_id"]) for r in W.read_state(spark, target).collect()} == want
