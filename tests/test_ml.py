@@ -110,3 +110,12 @@ def test_two_stage_with_onnx_classifier(spark):
     species = {r["species"] for r in dets.collect()}
     assert len(dets.collect()) == 4 and species <= {"wren", "jay", "class_2"}
     assert best.count() == 4
+
+
+def test_predict_batch_udf_variant_matches(spark):
+    tmp = tempfile.mkdtemp(prefix="sightings-pbu-")
+    path = _linear(tmp, 64, 5)
+    df = X.logits(spark, SF01).select("vec_id", F.col("logits").alias("tensor"))
+    a = {r["vec_id"]: r["logits"] for r in INF.predict(df, INF.numpy_linear_factory(path), "lin64").collect()}
+    b = {r["vec_id"]: r["logits"] for r in INF.predict_batched(df, INF.numpy_linear_factory(path), (64,), batch_size=16).collect()}
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-5) for k in a)
