@@ -49,8 +49,13 @@ def _norm(v):
     return (5, str(v))
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT",
+                 "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "date": "DATE"}
+
+
 def compare(spark, sf_dir: str, name: str, query, sql: str, con=None):
-    """Returns (ok, message). Rows compared as sorted multisets with columns sorted by name."""
+    """Returns (ok, message). Column names and types must agree; rows are compared as sorted
+    multisets with columns sorted by name."""
     con = con or duck(sf_dir)
     t0 = time.time()
     sdf = query(spark, sf_dir)
@@ -63,6 +68,11 @@ def compare(spark, sf_dir: str, name: str, query, sql: str, con=None):
     idx = {c: i for i, c in enumerate(d_cols)}
     if sorted(s_cols) != sorted(d_cols):
         return False, f"{name}: columns differ spark={sorted(s_cols)} duck={sorted(d_cols)}"
+    d_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    bad_types = [(f.name, f.dataType.simpleString(), d_types[f.name]) for f in sdf.schema.fields
+                 if SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) != d_types[f.name]]
+    if bad_types:
+        return False, f"{name}: types differ {bad_types}"
     d_rows = [tuple(r[idx[c]] for c in sorted(d_cols)) for r in d_raw]
     a = sorted(tuple(_norm(v) for v in r) for r in s_rows)
     b = sorted(tuple(_norm(v) for v in r) for r in d_rows)
