@@ -1,0 +1,96 @@
+import numpy as np
+import xxhash
+from pyspark.sql import functions as F
+
+from sightings.llm import simhash_dedup as sd
+from tests.llm.util import DOC_SCHEMA, by_id, docs
+
+
+def brute_fp(text):
+    words = []
+    cur = ""
+    for ch in text or "":
+        if ch == " " or "\x09" <= ch <= "\x0d":
+            words, cur = (words + [cur] if cur else words), ""
+        else:
+            cur += ch.lower() if "A" <= ch <= "Z" else ch
+    words += [cur] if cur else []
+    if not words:
+        return 0
+    sh = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def brute_components(rows):
+    fps = [brute_fp(t) for _, t in rows]
+    comp = list(range(len(rows)))
+
+    def find(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2:
+                comp[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return fps, [least.get(find(i)) for i in range(len(rows))]
+
+
+def test_trie_join_equals_brute_force():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    near = np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) for _ in range(5)])
+    fp = np.unique(np.concatenate([base, near]))
+    i, j = sd.trie_join(fp, fp, True, 0, 2)
+    got = set(zip(i.tolist(), j.tolist()))
+    d = np.bitwise_count(fp[:, None] ^ fp[None, :])
+    want = {(a, b) for a, b in zip(*np.nonzero(d <= 2)) if a < b}
+    assert got == want and len(i) == len(got)
+
+
+def test_equals_brute_force_on_documents(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{k}É" for k in range(400)]
+    rows = []
+    for k in range(120):
+        t = list(rng.choice(words, rng.integers(1, 90)))
+        rows.append((1000 - k, " ".join(t)))
+        if k % 3 == 0:
+            t[rng.integers(0, len(t))] = "Zz"
+            rows.append((k, "\t".join(t)))
+    rows += [(5000, None), (5001, ""), (5002, " \n\x0b "), (None, rows[0][1]), (7, "A b"), (7, "a B"), (6000, "x " * 30000)]
+    fps, comps = brute_components(rows)
+    got = sorted((str(r.doc_id), r.fp & (2**64 - 1), str(r.component_id)) for r in
+                 sd.simhash_components(docs(spark, rows), node_limit=16).collect())
+    assert got == sorted((str(d), f, str(c)) for (d, _), f, c in zip(rows, fps, comps))
+
+
+def test_contract_columns_and_spark_hash(spark):
+    d = docs(spark, [(1, "Hello big World")])
+    row = sd.op10(d).first()
+    want = d.select(F.xxhash64(F.lit("hello big world")).alias("h")).first().h & (2**64 - 1)
+    assert row.asDict() == {"doc_id": 1, "fingerprint": f"{want:016x}", "component_id": 1}
+
+
+def test_keep_one_keeps_one_row_of_each_component(spark):
+    long = " ".join(f"t{k}" for k in range(200))
+    rows = [(3, long), (9, long), (4, "other words here"), (8, None), (11, ""), (20, long + " "), (4, "other words here"), (5, "alone")]
+    kept = sd.keep_one(docs(spark, rows).withColumn("fp", F.lit("clash")))
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 8] and "fp" in kept.columns
+    assert sorted(r.doc_id for r in sd.keep_one(docs(spark, rows[:4])).collect()) == [3, 4, 8]
+
+
+def test_empty_table(spark):
+    e = spark.createDataFrame([], DOC_SCHEMA)
+    assert sd.op10(e).count() == 0 and sd.keep_one(e).count() == 0
+
+
+def test_thousands_of_copies_and_a_dense_ball(spark):
+    rows = [(k, "same text in all of them") for k in range(3000)]
+    assert {r["component_id"] for r in by_id(sd.op10(docs(spark, rows))).values()} == {0}

@@ -1,0 +1,14 @@
+"""Small tables for the tests of this folder."""
+
+DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def docs(spark, rows, partitions=3):
+    """rows: (doc_id, text) or (doc_id, text, lang, source)."""
+    full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s0",
+             None if r[1] is None else len(r[1])) for r in rows]
+    return spark.createDataFrame(full, DOC_SCHEMA).repartition(partitions)
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r.asDict() for r in df.collect()}
