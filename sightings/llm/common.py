@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sightings.session import checkpoint_dir
 
@@ -29,6 +32,32 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def add_columns(df: DataFrame, compute: Callable[[pa.RecordBatch], list], fields: str, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of df (all, if not given) as they are, and new ones from each Arrow batch.
+
+    ``fields`` is the DDL of the new columns; they replace kept ones of the same name."""
+    new = StructType.fromDDL(fields)
+    kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
+    schema = StructType([*(df.schema[c] for c in kept), *new.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [c if isinstance(c, pa.Array) else pa.array(c) for c in compute(b)]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), *made], names=[*kept, *new.names])
+
+    return df.mapInArrow(run, schema)
+
+
+def filter_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows of each Arrow batch that ``keep`` marks, as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(np.asarray(keep(b), dtype=bool)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(modulus: int, remainder: int):
     """crc32 of the decimal doc_id, modulo ``modulus``, equals ``remainder`` (null id: false)."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))

@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
-from sightings.llm import mixing, simhash_dedup
+from sightings.llm import decontamination, embedding_dedup, mixing, simhash_dedup, suffix_dedup, toxicity, warc
 from sightings.llm.common import table
 
 
+def op1_fm_index_decontamination(spark, sf_dir):
+    return decontamination.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_run_length_dedup(spark, sf_dir):
+    return suffix_dedup.op2(table(spark, sf_dir, "documents"))
+
+
+def op3_warc_normaliser(spark, sf_dir):
+    return warc.op3(table(spark, sf_dir, "pages"))
+
+
 def op7_pivotal_mixing(spark, sf_dir):
     return mixing.op7(table(spark, sf_dir, "documents"))
 
 
+def op8_int8_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.op8(table(spark, sf_dir, "embeddings"))
+
+
+def op9_kneser_ney_toxicity(spark, sf_dir):
+    return toxicity.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash_trie(spark, sf_dir):
     return simhash_dedup.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_pivotal_mixing, op10_simhash_trie)}
+QUERIES = {f.__name__: f for f in (
+    op1_fm_index_decontamination, op2_run_length_dedup, op3_warc_normaliser, op7_pivotal_mixing, op8_int8_embedding_dedup,
+    op9_kneser_ney_toxicity, op10_simhash_trie)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_warc_normaliser": warc.OP3_SQL}

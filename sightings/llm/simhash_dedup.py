@@ -14,18 +14,17 @@ get a row; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from sightings.llm.common import connected_components, local_components, stage
+from sightings.llm.common import add_columns, connected_components, local_components, stage
 
-NODE_LIMIT = 1 << 15
+NODE_LIMIT = 1 << 13
 _LEAF = 16  # node pairs with at most this many fingerprint pairs are compared directly
 _FRONTIER = 1 << 20  # node pairs walked at a time
 
@@ -56,13 +55,12 @@ def fingerprint_of(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp) with the 64 bits as a signed bigint."""
+    return add_columns(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"),
+                       lambda b: [_fp_column(b, shingle, seed)], "fp bigint", ["doc_id"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint_of(t, shingle, seed) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, fp bigint")
+def _fp_column(b: pa.RecordBatch, shingle: int, seed: int) -> np.ndarray:
+    return np.array([fingerprint_of(t, shingle, seed) for t in b["text"].to_pylist()], dtype=np.uint64).view(np.int64)
 
 
 def trie_join(a: np.ndarray, b: np.ndarray, same: bool, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,12 +201,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 2, seed: int = 42)
         return once
     fields = [f.name for f in docs.schema.fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["_fp"] = np.array([fingerprint_of(t, shingle, seed) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield b
-
     rows = docs.join(again, same_id).drop("_id")
-    rows = rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("_fp", LongType())]))
+    rows = add_columns(rows, lambda b: [_fp_column(b, shingle, seed)], "_fp bigint")
     roots = found.select(F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
     return once.unionByName(rows.join(roots, "_fp").dropDuplicates(["_root"]).select(*fields))
