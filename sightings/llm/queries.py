@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from sightings.llm import decontamination, embedding_dedup, mixing, simhash_dedup, suffix_dedup, toxicity, warc
 from sightings.llm.common import table
 
@@ -34,8 +35,14 @@ def op10_simhash_trie(spark, sf_dir):
     return simhash_dedup.op10(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_fm_index_decontamination, op2_run_length_dedup, op3_warc_normaliser, op7_pivotal_mixing, op8_int8_embedding_dedup,
+    pipeline, op1_fm_index_decontamination, op2_run_length_dedup, op3_warc_normaliser, op7_pivotal_mixing, op8_int8_embedding_dedup,
     op9_kneser_ney_toxicity, op10_simhash_trie)}
 
 ORACLES: dict[str, str] = {"op3_warc_normaliser": warc.OP3_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
