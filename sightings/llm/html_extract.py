@@ -29,8 +29,10 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,16 +64,21 @@ _WORDS = re.compile(r"[^a-z0-9]+")
 
 
 def events(source: str) -> Iterator[tuple[str, str, str]]:
-    """("text", its raw content, ""), ("open", tag, attributes) and ("close", tag, "") in page order."""
-    at, low = 0, None
+    """("text", its raw content, ""), ("open", tag, attributes), ("raw", content, "") after a tag like
+    script, and ("close", tag, "") in page order."""
+    at, look, low = 0, 0, None
     while at < len(source):
-        m = _TOKEN.search(source, at)
+        spot = source.find("<", look)
+        m = _TOKEN.match(source, spot) if spot >= 0 else None
+        if m is None and spot >= 0:  # a bare <
+            look = spot + 1
+            continue
+        end = spot if m else len(source)
+        if end > at:
+            yield "text", source[at:end], ""
         if m is None:
-            yield "text", source[at:], ""
             return
-        if m.start() > at:
-            yield "text", source[at:m.start()], ""
-        at = m.end()
+        at = look = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
@@ -80,14 +87,15 @@ def events(source: str) -> Iterator[tuple[str, str, str]]:
             continue
         yield "open", tag, m[3] or ""
         if tag in _RAW:
-            low = source.lower() if low is None else low
-            end = low.find(f"</{tag}", at)
-            end = len(source) if end < 0 else end
-            if end > at:
-                yield "raw", source[at:end], ""
-            at = end
+            low = source.lower() if low is None and len(source.lower()) == len(source) else low
+            found = (low or source).find(f"</{tag}", at)
+            found = len(source) if found < 0 else found
+            if found > at:
+                yield "raw", source[at:found], ""
+            at = look = found
 
 
+@lru_cache(maxsize=1 << 14)
 def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool, str]:
     """(excluded, only excluded outside an article, marks the article, name in paths) of an element."""
     found = {}
@@ -142,8 +150,9 @@ def walk(source: str) -> Iterator[tuple[str, str, str, bool, bool, bool]]:
     yield from close_to(0)
 
 
-def _plain(raw: str) -> str:
-    return " ".join(html.unescape(raw).split())
+def _name(raw: str) -> str:
+    """A run of text as a token: its hash, as only equality counts."""
+    return xxhash.xxh64_hexdigest(raw.strip().encode("utf-8", "surrogatepass"))
 
 
 def main_text(source: str | None, constants: frozenset[tuple[str, str]] | set = frozenset()) -> str:
@@ -171,7 +180,7 @@ def main_text(source: str | None, constants: frozenset[tuple[str, str]] | set =
             if article != state:
                 flush()
                 state = article
-            if article or (path, _plain(what)) not in constants:
+            if article or not constants or (path, _name(what)) not in constants:
                 cur.append(html.unescape(what))
     flush()
     out = (" ".join("".join(pieces).split()) for pieces, article in blocks if article or not marked)
@@ -179,13 +188,13 @@ def main_text(source: str | None, constants: frozenset[tuple[str, str]] | set =
 
 
 def tokens(source: str | None) -> Counter:
-    """(kind, path, text) of a page's tokens and how often each occurs; text is empty for tags."""
+    """(kind, path, text) of a page's tokens and how often each occurs; text is a hash, empty for tags."""
     out: Counter = Counter()
     for kind, path, what, _, _, _ in walk(source or ""):
         if kind in ("open", "close"):
             out[kind, path, ""] += 1
-        elif kind == "text" and (text := _plain(what)):
-            out["text", path, text] += 1
+        elif kind == "text" and what.strip():
+            out["text", path, _name(what)] += 1
     return out
 
 
@@ -199,7 +208,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     A class is (pages, path, paths, words): on how many pages, its outermost path, the paths of its
     tags, and its (path, text) tokens. Per host there are at most 1/min_share as many frequent tokens
     as a page has on average, which bounds the lists."""
-    known = pages.select("host", F.xxhash64("html").alias("page"), "html").filter("html is not null and html <> ''")
+    known = pages.select("page_id", "host", F.xxhash64("html").alias("page"), "html").filter("html is not null and html <> ''")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,12 +220,18 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()))],
                                                  names=["host", "page", "kind", "path", "text", "n"])
 
-    distinct = known.groupBy("host", "page").agg(F.first("html").alias("html"))
-    size = known.groupBy("host").agg(F.count_distinct("page").alias("host_pages"))
-    found = distinct.mapInArrow(emit, "host string, page bigint, kind string, path string, text string, n bigint")
-    # the occurrence vector of a token, as an order-free hash of its (page, count) pairs
-    per_token = found.groupBy("host", "kind", "path", "text").agg(
-        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("on_pages"), F.sum("n").alias("total"))
+    # equal pages but the first are left out, by their ids, so that no html is moved for it
+    first = known.groupBy("host", "page").agg(F.min("page_id").alias("first_id"))
+    size = first.groupBy("host").agg(F.count("*").alias("host_pages"))
+    spare = stage(known.select("page_id", "host", "page").join(first, ["host", "page"]).filter("page_id > first_id")
+                  .select("page_id", "page").distinct(), "html-copies")
+    distinct = known.join(spare, ["page_id", "page"], "left_anti")
+    found = distinct.select("host", "page", "html").mapInArrow(emit, "host string, page bigint, kind string, path string, text string, n bigint")
+    # the occurrence vector of a token, as order-free sums over two hashes of its (page, count) pairs
+    low = F.lit((1 << 31) - 1)
+    per_token = found.withColumn("h", F.xxhash64("page", "n")).groupBy("host", "kind", "path", "text").agg(
+        F.struct(F.sum(F.col("h").bitwiseAND(low)), F.sum(F.shiftright("h", 31).bitwiseAND(low))).alias("vector"),
+        F.count("*").alias("on_pages"), F.sum("n").alias("total"))
     frequent = per_token.join(size, "host").filter((F.col("on_pages") >= min_pages) & (F.col("on_pages") >= min_share * F.col("host_pages")))
     token = F.struct(F.length("path").alias("depth"), "path", "kind", "text")
     classes = (frequent.groupBy("host", "vector", "on_pages", "total").agg(F.sort_array(F.collect_list(token)).alias("tokens"))

@@ -3,7 +3,18 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sightings.llm import decontamination, embedding_dedup, mixing, simhash_dedup, suffix_dedup, toxicity, warc
+from sightings.llm import (
+    decontamination,
+    embedding_dedup,
+    html_extract,
+    language_id,
+    mixing,
+    quality,
+    simhash_dedup,
+    suffix_dedup,
+    toxicity,
+    warc,
+)
 from sightings.llm.common import table
 
 
@@ -19,6 +30,18 @@ def op3_warc_normaliser(spark, sf_dir):
     return warc.op3(table(spark, sf_dir, "pages"))
 
 
+def op4_centroid_language_id(spark, sf_dir):
+    return language_id.op4(table(spark, sf_dir, "documents"))
+
+
+def op5_template_extraction(spark, sf_dir):
+    return html_extract.op5(table(spark, sf_dir, "pages"))
+
+
+def op6_co_trained_quality(spark, sf_dir):
+    return quality.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pivotal_mixing(spark, sf_dir):
     return mixing.op7(table(spark, sf_dir, "documents"))
 
@@ -40,7 +63,8 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    pipeline, op1_fm_index_decontamination, op2_run_length_dedup, op3_warc_normaliser, op7_pivotal_mixing, op8_int8_embedding_dedup,
+    pipeline, op1_fm_index_decontamination, op2_run_length_dedup, op3_warc_normaliser, op4_centroid_language_id,
+    op5_template_extraction, op6_co_trained_quality, op7_pivotal_mixing, op8_int8_embedding_dedup,
     op9_kneser_ney_toxicity, op10_simhash_trie)}
 
 ORACLES: dict[str, str] = {"op3_warc_normaliser": warc.OP3_SQL}
