@@ -1,8 +1,9 @@
 """Ordered per-camera operators: capture failure runs (W4), species changes (W5), announcement
 cooldowns (W6), visits (W9), aligned capture ticks (T1/F11) and conflation (T2).
 
-All ordered work goes through ``plans.scan`` (range-partitioned scans and pointer doubling), so a
-single busy camera never has to fit into one task.
+All ordered work goes through ``plans.scan``, which cuts a camera into blocks of time, so a single busy
+camera never has to fit into one task. A null source is a camera of its own. Rows without a time come
+first among a camera's rows; they neither emit nor move a clock.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import scalars as S
-from ..plans.scan import cooldown_flags, measured, ordered_scan
+from ..plans.scan import cooldown_flags, ordered_scan, runs, time_block
 
 
 def epoch_seconds(ts_col: str) -> F.Column:
@@ -20,31 +21,22 @@ def epoch_seconds(ts_col: str) -> F.Column:
     return (F.unix_micros(F.col(ts_col)) / F.lit(1_000_000.0)).cast("double")
 
 
-def failure_runs(attempts: DataFrame, quiet_s: float = config.FAILURE_LOG_QUIET_S,
-                 bounded: bool | None = None) -> DataFrame:
+def failure_runs(attempts: DataFrame, quiet_s: float = config.FAILURE_LOG_QUIET_S) -> DataFrame:
     """W4 over ``attempts(attempt_id, source, ts, ok)``; one row per failed attempt with
 
     * ``fail_n``: consecutive failures so far (a success resets; a corrupt frame counts as success),
     * ``backoff_s``: min(0.2 * n, 5.0),
     * ``logged``: the producer prints when n = 1 or more than ``quiet_s`` seconds passed since the
-      last printed failure (greedy, strict ``>``).
+      last printed failure (greedy, strict ``>``); never without a time.
     """
     a = attempts.withColumn("t", epoch_seconds("ts"))
-    if bounded is None:
-        a, bounded = measured(a, ["source"])
-    s1 = ordered_scan(
-        a, ["source"], ["t", "attempt_id"],
-        sums={"_fails": F.when(F.col("ok"), 0).otherwise(1), "island": F.when(F.col("ok"), 1).otherwise(0)},
-        rank_col="_r", bounded=bounded,
-    )
-    s2 = ordered_scan(s1, ["source"], ["t", "attempt_id"],
-                      maxes={"_f0": F.when(F.col("ok"), F.col("_fails")).otherwise(F.lit(0))}, rank_col="_r2",
-                      bounded=bounded)
-    fails = s2.where(~F.col("ok")).select(
-        "attempt_id", "source", "t", "island", (F.col("_fails") - F.coalesce(F.col("_f0"), F.lit(0))).alias("fail_n")
-    )
-    logged = cooldown_flags(fails, ["source", "island"], "t", "attempt_id", quiet_s, strict=True, out_col="logged",
-                            bounded=bounded)
+    s = ordered_scan(
+        a, ["source"], ["t", "attempt_id"], [time_block("t")],
+        sums={"_fails": F.when(F.col("ok"), 0).otherwise(1), "island": F.when(F.col("ok"), 1).otherwise(0)})
+    fails = s.where(~F.col("ok")).select("attempt_id", "source", "t", "island", "_fails").withColumn("_i", F.struct("source", "island"))
+    begin = fails.groupBy("_i").agg(F.min("_fails").alias("_f1"))
+    fails = fails.join(begin, "_i").select("attempt_id", "source", "t", "island", (F.col("_fails") - F.col("_f1") + 1).alias("fail_n"))
+    logged = cooldown_flags(fails, ["source", "island"], "t", "attempt_id", quiet_s, strict=True, out_col="logged")
     return logged.select(
         "attempt_id", "source", "t", "island", F.col("fail_n").cast("long").alias("fail_n"),
         S.backoff_s("fail_n").alias("backoff_s"), "logged",
@@ -56,67 +48,45 @@ def announceable(best_frames: DataFrame, min_conf: float = config.MIN_ALERT_CONF
     return best_frames.where(F.col("best_species").isNotNull() & (F.col("best_species_conf") >= F.lit(float(min_conf))))
 
 
-def species_changes(best_frames: DataFrame, min_conf: float = config.MIN_ALERT_CONF,
-                    bounded: bool | None = None) -> DataFrame:
+def species_changes(best_frames: DataFrame, min_conf: float = config.MIN_ALERT_CONF) -> DataFrame:
     """``changed`` when first ever or different from the previous announceable best of the same
     source (ordered by epoch_s, frame_id). Frames without a best are ignored (A, none, A = no change).
+    ``run_id`` numbers the stretches between changes.
 
     ``best_frames`` needs frame_id, source, epoch_s, best_species, best_species_conf.
     """
-    ann = announceable(best_frames, min_conf)
-    if bounded is None:
-        ann, bounded = measured(ann, ["source"])
-    s = ordered_scan(ann, ["source"], ["epoch_s", "frame_id"], lags={"prev_species": "best_species"}, rank_col="_r",
-                     bounded=bounded)
-    return s.withColumn("changed", ~F.col("prev_species").eqNullSafe(F.col("best_species"))).drop("_r")
+    return runs(announceable(best_frames, min_conf), ["source"], ["epoch_s", "frame_id"], [time_block("epoch_s")],
+                {"prev_species": "best_species"},
+                lambda prev, first: first | ~prev["prev_species"].eqNullSafe(F.col("best_species")), break_col="changed")
 
 
 def announce(best_frames: DataFrame, min_conf: float = config.MIN_ALERT_CONF,
              repeat_s: float = config.SAME_SPECIES_REPEAT_S, song_s: float = config.SONG_EVERY_S,
-             songs_enabled: bool = config.SONGS_ENABLED, bounded: bool | None = None) -> DataFrame:
+             songs_enabled: bool = config.SONGS_ENABLED) -> DataFrame:
     """Per announceable frame, ``speak`` and ``play_song``.
 
     speak: on a species change, else when >= repeat_s since this species was last spoken. Since a
     change always speaks, runs of one species are independent: greedy cooldown per (source, run).
     song: when >= song_s since this species' song last played: greedy cooldown per (source, species).
     """
-    if bounded is None:  # one size check on the coarsest key covers every step below
-        best_frames, bounded = measured(announceable(best_frames, min_conf), ["source"])
-    ch = species_changes(best_frames, min_conf, bounded=bounded)
-    runs = ordered_scan(ch, ["source"], ["epoch_s", "frame_id"],
-                        sums={"run_id": F.col("changed").cast("long")}, rank_col="_r", bounded=bounded).drop("_r")
-    # Both clocks in one cooldown pass over one lineage: each frame becomes two problem rows
-    # (0 = speak per (source, run), 1 = song per (source, species)), folded back per frame.
-    probs = [F.struct(F.lit(0).alias("_prob"), F.col("run_id").cast("string").alias("_k"),
-                      F.lit(float(repeat_s)).alias("_c"))]
+    cols = ["frame_id", "source", "epoch_s", "best_species", "best_species_conf", "changed"]
+    out = cooldown_flags(species_changes(best_frames, min_conf).select(*cols, "run_id"), ["source", "run_id"],
+                         "epoch_s", "frame_id", repeat_s, out_col="speak")
     if songs_enabled:
-        probs.append(F.struct(F.lit(1).alias("_prob"), F.col("best_species").alias("_k"),
-                              F.lit(float(song_s)).alias("_c")))
-    parts = runs.select("frame_id", "source", "epoch_s", "best_species", "best_species_conf", "changed",
-                        F.explode(F.array(*probs)).alias("_p")).select("*", "_p.*").drop("_p")
-    flags = cooldown_flags(parts, ["_prob", "source", "_k"], "epoch_s", "frame_id", F.col("_c"), out_col="_emit",
-                           bounded=bounded)
-    out = flags.groupBy("frame_id", "source", "epoch_s", "best_species", "best_species_conf", "changed").agg(
-        F.max(F.when(F.col("_prob") == 0, F.col("_emit"))).alias("speak"),
-        F.coalesce(F.max(F.when(F.col("_prob") == 1, F.col("_emit"))), F.lit(False)).alias("play_song"),
-    )
-    return out.withColumn("spoken_text", S.spoken_text("best_species"))
+        out = cooldown_flags(out, ["source", "best_species"], "epoch_s", "frame_id", song_s, out_col="play_song")
+    else:
+        out = out.withColumn("play_song", F.lit(False))
+    return out.select(*cols, "speak", "play_song", S.spoken_text("best_species").alias("spoken_text"))
 
 
-def species_visits(best_frames: DataFrame, gap_s: float, min_conf: float = config.MIN_ALERT_CONF,
-                   bounded: bool | None = None) -> DataFrame:
+def species_visits(best_frames: DataFrame, gap_s: float, min_conf: float = config.MIN_ALERT_CONF) -> DataFrame:
     """Consecutive announceable frames of one species no more than ``gap_s`` apart form a
     visit: (source, visit_no, species, start, end, frames, max confidence)."""
-    ann = announceable(best_frames, min_conf)
-    if bounded is None:
-        ann, bounded = measured(ann, ["source"])
-    s = ordered_scan(ann, ["source"], ["epoch_s", "frame_id"],
-                     lags={"_ps": "best_species", "_pt": "epoch_s"}, rank_col="_r", bounded=bounded)
-    new = F.col("_pt").isNull() | (F.col("_ps") != F.col("best_species")) | \
-        ((F.col("epoch_s") - F.col("_pt")) > F.lit(float(gap_s)))
-    s = s.withColumn("_new", new.cast("long"))
-    v = ordered_scan(s, ["source"], ["epoch_s", "frame_id"], sums={"visit_no": F.col("_new")}, rank_col="_r2",
-                     bounded=bounded)
+    v = runs(announceable(best_frames, min_conf), ["source"], ["epoch_s", "frame_id"], [time_block("epoch_s")],
+             {"_ps": "best_species", "_pt": "epoch_s"},
+             lambda prev, first: first | ~prev["_ps"].eqNullSafe(F.col("best_species"))
+             | F.coalesce(F.col("epoch_s") - prev["_pt"] > F.lit(float(gap_s)), ~prev["_pt"].eqNullSafe(F.col("epoch_s"))),
+             run_col="visit_no")
     return v.groupBy("source", "visit_no").agg(
         F.max("best_species").alias("species"),
         F.min("epoch_s").alias("start_epoch_s"),

@@ -4,7 +4,7 @@ diff (J5), key-and-shape match (J6/U2) and the mapping document (K6 payload)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -43,9 +43,9 @@ def dropped_classes(counts: DataFrame, min_samples: int = config.MIN_SAMPLES) ->
 
 def class_index(valid: DataFrame) -> DataFrame:
     """Classes sorted by name, dense index from 0 (``class_to_idx``; the inverse is the same
-    table read the other way). A measured global rank: one window for a class list up to the
-    window limit, the range-partitioned rank beyond it."""
-    return ordered_scan(valid.select("class_name").distinct(), [], ["class_name"], rank_col="idx") \
+    table read the other way). Ranked in blocks of names with the same two first characters."""
+    first_two = F.substring("class_name", 1, 2)
+    return ordered_scan(valid.select("class_name").distinct(), [], ["class_name"], [first_two], rank_col="idx") \
         .select("class_name", F.col("idx").cast("int").alias("idx"))
 
 
@@ -79,9 +79,14 @@ def split_exact(samples: DataFrame, frac: float = config.TRAIN_FRACTION, seed: i
     cut = exact_rank_threshold(keyed, "_h", path_col, k, n)
     if cut is None:
         return keyed.drop("_h"), keyed.limit(0).drop("_h")
-    h, p = cut
+    h, p, copies = cut
     before = (F.col("_h") < F.lit(h)) | ((F.col("_h") == F.lit(h)) & (F.col(path_col) < F.lit(p)))
-    return keyed.where(before).drop("_h"), keyed.where(~before).drop("_h")
+    if copies:  # the cut falls among equal samples
+        at = (F.col("_h") == F.lit(h)) & (F.col(path_col) == F.lit(p))
+        nth = F.row_number().over(Window.partitionBy("_h", path_col).orderBy(path_col))
+        keyed = keyed.withColumn("_n", F.when(at, nth))
+        before = before | (at & (F.col("_n") <= copies))
+    return keyed.where(before).drop("_h", "_n"), keyed.where(~before).drop("_h", "_n")
 
 
 def mapping_fingerprint(index: DataFrame) -> DataFrame:

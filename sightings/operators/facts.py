@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import scalars as S
+from ..plans.scan import ordered_scan
 from .events import annotated_path
 
 FACT_COLUMNS = [
@@ -80,12 +81,20 @@ def with_effective_label(facts: DataFrame) -> DataFrame:
     return facts.withColumn("effective_label", S.effective_label("corrected_label", "classifier_label", "detector_label"))
 
 
-def review_queue(facts: DataFrame, n: int = 100) -> DataFrame:
-    """Unreviewed rows, least confident first (rows without classifier confidence first), then
-    the stable key; the first ``n`` as a page (TakeOrdered: per-task top-n, then merge)."""
+def review_queue(facts: DataFrame, n: int | None = None) -> DataFrame:
+    """All unreviewed rows, least confident first (rows without classifier confidence first), then
+    the stable key. ``n`` asks for the first page only."""
     order = [F.col("classifier_confidence").asc_nulls_first(), *[F.col(k).asc() for k in KEY]]
-    page = facts.where(~F.col("reviewed")).orderBy(*order).limit(n)
-    return page
+    queue = facts.where(~F.col("reviewed")).orderBy(*order)
+    return queue if n is None else queue.limit(n)
+
+
+def review_positions(facts: DataFrame) -> DataFrame:
+    """P9 with ``queue_pos`` (from 1): ranked in blocks of confidence, source and frame, so that no
+    task holds the whole queue."""
+    blocks = [F.floor(F.col("classifier_confidence") * 1024), F.col("source"), F.floor(F.col("frame_id") / 65536)]
+    ranked = ordered_scan(facts.where(~F.col("reviewed")), [], ["classifier_confidence", *KEY], blocks, rank_col="_r")
+    return ranked.withColumn("queue_pos", F.col("_r") + 1).drop("_r")
 
 
 def between(facts: DataFrame, t0: str, t1: str) -> DataFrame:

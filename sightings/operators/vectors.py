@@ -3,7 +3,7 @@ best epochs (W7) and the cosine learning-rate schedule (F14)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -44,9 +44,10 @@ def with_loss(logits: DataFrame, logits_col: str = "logits", label_col: str = "l
     ).drop("_a", "_m", "_e", "_s")
 
 
-def batch_ids(df: DataFrame, order: list[str], batch_size: int = config.BATCH_SIZE) -> DataFrame:
-    """Loader batches: consecutive rows in ``order`` grouped by ``batch_size`` (global rank)."""
-    r = ordered_scan(df, [], order, rank_col="_pos")
+def batch_ids(df: DataFrame, order: list[str], batch_size: int = config.BATCH_SIZE, block_rows: int = 1 << 16) -> DataFrame:
+    """Loader batches: consecutive rows in ``order`` grouped by ``batch_size`` (global rank). The first
+    order column is a number; its ranges of ``block_rows`` are ranked apart."""
+    r = ordered_scan(df, [], order, [F.floor(F.col(order[0]) / F.lit(block_rows))], rank_col="_pos")
     return r.withColumn("batch_id", F.floor(F.col("_pos") / F.lit(int(batch_size))).cast("long")).drop("_pos")
 
 
@@ -68,11 +69,11 @@ def classification_metrics(pred: DataFrame, label_col: str = "label", pred_col:
 
 
 def best_epochs(log: DataFrame, epoch_col: str = "epoch", acc_col: str = "val_acc") -> DataFrame:
-    """Epochs saved as best: val accuracy strictly above every earlier one and above 0.0."""
-    s = ordered_scan(log, [], [epoch_col], maxes={"_runmax": F.col(acc_col)}, rank_col="_r")
-    s = ordered_scan(s, [], [epoch_col], lags={"_prevmax": "_runmax"}, rank_col="_r2")
-    saved = F.col(acc_col) > F.coalesce(F.col("_prevmax"), F.lit(0.0))
-    return s.where(saved & (F.col(acc_col) > F.lit(0.0))).drop("_runmax", "_prevmax", "_r", "_r2")
+    """Epochs saved as best: val accuracy strictly above every earlier one and above 0.0. The
+    earlier maximum is the running maximum of the accuracies one epoch before."""
+    w = Window.orderBy(epoch_col).rowsBetween(Window.unboundedPreceding, -1)  # one row per epoch of one training
+    saved = F.col(acc_col) > F.coalesce(F.max(acc_col).over(w), F.lit(0.0))
+    return log.withColumn("_saved", saved & (F.col(acc_col) > F.lit(0.0))).where("_saved").drop("_saved")
 
 
 def cosine_schedule(df: DataFrame, epoch_col: str = "epoch", lr0: float = config.LEARNING_RATE,

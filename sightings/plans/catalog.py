@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
@@ -398,6 +398,71 @@ def q_announce(spark, sf_dir):
     return a.select("frame_id", "source", "epoch_s", "best_species", "changed", "speak", "play_song", "spoken_text")
 
 
+def _no_source_no_time(df: DataFrame, key: str, time: str) -> DataFrame:
+    """The ordered rows with one camera's source missing, and every 50th row's time."""
+    return df.withColumns({"source": F.when(F.col("source") != "cam_0", F.col("source")),
+                           time: F.when(F.col(key) % 50 != 0, F.col(time))})
+
+
+@register(
+    "failure_runs_null_source",
+    X.with_views("attempts", recursive=True)
+    + """, att AS (SELECT attempt_id, nullif(source, 'cam_0') AS source,
+                          CASE WHEN attempt_id % 50 <> 0 THEN epoch(ts) END AS t, ok FROM attempts),
+isl AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END)
+          OVER (PARTITION BY source ORDER BY t NULLS FIRST, attempt_id ROWS UNBOUNDED PRECEDING) AS island FROM att),
+fails AS (SELECT attempt_id, source, t, island,
+                 row_number() OVER (PARTITION BY source, island ORDER BY t NULLS FIRST, attempt_id) AS fail_n
+          FROM isl WHERE NOT ok),
+timed AS (SELECT *, row_number() OVER (PARTITION BY source, island ORDER BY t, attempt_id) AS k FROM fails WHERE t IS NOT NULL),
+walk AS (
+  SELECT attempt_id, source, island, k, t AS last_log, true AS logged FROM timed WHERE k = 1
+  UNION ALL
+  SELECT f.attempt_id, f.source, f.island, f.k,
+         CASE WHEN f.t - w.last_log > 5 THEN f.t ELSE w.last_log END, f.t - w.last_log > 5
+  FROM walk w JOIN timed f ON f.source IS NOT DISTINCT FROM w.source AND f.island = w.island AND f.k = w.k + 1)
+SELECT f.attempt_id, f.source, CAST(f.fail_n AS BIGINT) AS fail_n,
+       least(CAST(0.2 AS DOUBLE) * f.fail_n, CAST(5.0 AS DOUBLE)) AS backoff_s, coalesce(w.logged, false) AS logged
+FROM fails f LEFT JOIN walk w ON w.attempt_id = f.attempt_id""",
+)
+def q_failure_runs_null_source(spark, sf_dir):
+    r = AL.failure_runs(_no_source_no_time(X.attempts(spark, sf_dir), "attempt_id", "ts"))
+    return r.select("attempt_id", "source", "fail_n", "backoff_s", "logged")
+
+
+@register(
+    "announce_null_source",
+    with_dets("frames", recursive=True) + BESTF_SQL
+    + f""", nulled AS (SELECT frame_id, nullif(source, 'cam_0') AS source, CASE WHEN frame_id % 50 <> 0 THEN epoch_s END AS epoch_s,
+                            best_species, best_species_conf FROM bestf),
+ann AS (SELECT * FROM nulled WHERE best_species_conf >= {ALERT_MIN_CONF}),
+chg AS (SELECT *, coalesce(lag(best_species) OVER (PARTITION BY source ORDER BY epoch_s NULLS FIRST, frame_id) <> best_species,
+                           true) AS changed FROM ann),
+runs AS (SELECT *, sum(CASE WHEN changed THEN 1 ELSE 0 END)
+          OVER (PARTITION BY source ORDER BY epoch_s NULLS FIRST, frame_id ROWS UNBOUNDED PRECEDING) AS run_id FROM chg),
+sp AS (SELECT *, row_number() OVER (PARTITION BY source, run_id ORDER BY epoch_s, frame_id) AS rn,
+              row_number() OVER (PARTITION BY source, best_species ORDER BY epoch_s, frame_id) AS rs FROM runs WHERE epoch_s IS NOT NULL),
+speak_walk AS (
+  SELECT source, run_id, rn, frame_id, epoch_s AS last_t, true AS speak FROM sp WHERE rn = 1
+  UNION ALL
+  SELECT s.source, s.run_id, s.rn, s.frame_id,
+         CASE WHEN s.epoch_s - w.last_t >= 60 THEN s.epoch_s ELSE w.last_t END, s.epoch_s - w.last_t >= 60
+  FROM speak_walk w JOIN sp s ON s.source IS NOT DISTINCT FROM w.source AND s.run_id = w.run_id AND s.rn = w.rn + 1),
+song_walk AS (
+  SELECT source, best_species, rs, frame_id, epoch_s AS last_t, true AS play_song FROM sp WHERE rs = 1
+  UNION ALL
+  SELECT s.source, s.best_species, s.rs, s.frame_id,
+         CASE WHEN s.epoch_s - w.last_t >= 10 THEN s.epoch_s ELSE w.last_t END, s.epoch_s - w.last_t >= 10
+  FROM song_walk w JOIN sp s ON s.source IS NOT DISTINCT FROM w.source AND s.best_species = w.best_species AND s.rs = w.rs + 1)
+SELECT r.frame_id, r.source, r.epoch_s, r.best_species, r.changed, coalesce(a.speak, false) AS speak,
+       coalesce(b.play_song, false) AS play_song
+FROM runs r LEFT JOIN speak_walk a ON a.frame_id = r.frame_id LEFT JOIN song_walk b ON b.frame_id = r.frame_id""",
+)
+def q_announce_null_source(spark, sf_dir):
+    a = AL.announce(_no_source_no_time(frames_with_best(spark, sf_dir), "frame_id", "epoch_s"), ALERT_MIN_CONF)
+    return a.select("frame_id", "source", "epoch_s", "best_species", "changed", "speak", "play_song")
+
+
 @register(
     "species_visits",
     with_dets("frames") + BESTF_SQL
@@ -506,15 +571,11 @@ def q_reject_rows(spark, sf_dir):
     with_dets("frames", "reviews") + FACTS_SQL
     + """SELECT row_number() OVER (ORDER BY classifier_confidence ASC NULLS FIRST, source, frame_id, det_idx) AS queue_pos,
        source, frame_id, det_idx, classifier_label, classifier_confidence
-FROM (SELECT * FROM facts WHERE NOT reviewed
-      ORDER BY classifier_confidence ASC NULLS FIRST, source, frame_id, det_idx LIMIT 100) t""",
+FROM facts WHERE NOT reviewed""",
 )
 def q_review_queue(spark, sf_dir):
-    page = FA.review_queue(sightings(spark, sf_dir), 100)
-    # positions inside the 100-row page (bounded by the page size)
-    w = Window.orderBy(F.col("classifier_confidence").asc_nulls_first(), "source", "frame_id", "det_idx")
-    return page.select(F.row_number().over(w).cast("long").alias("queue_pos"), "source", "frame_id", "det_idx",
-                       "classifier_label", "classifier_confidence")
+    return FA.review_positions(sightings(spark, sf_dir)).select(
+        "queue_pos", "source", "frame_id", "det_idx", "classifier_label", "classifier_confidence")
 
 
 @register(

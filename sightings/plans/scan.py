@@ -1,183 +1,145 @@
-"""Skew-safe ordered building blocks.
+"""Ordered building blocks that split a key into blocks of its order.
 
 Many operators of the reference walk one camera's frames in time order (failure counters, species
-changes, cooldowns, visits). The textbook Spark form is a window partitioned by ``source``; with a
-handful of cameras that puts a whole camera - possibly a third of all rows - into one task. The
-helpers here keep every task bounded. Each first materializes its input and measures the largest
-key (one aggregation): keys up to ``sightings.scan.windowRowsLimit`` rows take the plain path (a
-window per key, or a sorted ``mapInPandas`` walk), larger keys the distributed path below. Both
-paths give identical results (tested on the same anchors).
-
-* ``ordered_scan`` range-partitions on ``(keys, order)``, computes running values inside each range
-  block with ordinary windows, and carries the block totals forward with a window over the block
-  summary (at most one row per key and block).
-* ``cooldown_flags`` solves the greedy "emit when at least C seconds since the last emission" rule;
-  for large keys with pointer doubling: log2(path length) rounds of equi-joins on unique ids, no group is ever
-  collected.
-* ``top_k_per_key`` is a two-phase (salted) top-k.
-* ``exact_rank_threshold`` finds the k-th smallest 64-bit hash by radix narrowing with bounded
-  histograms, for exact-size splits without a global sort.
+changes, cooldowns, visits). A window partitioned by ``source`` alone would put a whole camera - a
+third of all rows, perhaps - into one task. Here a key is cut into blocks of its order, for instance
+six hours of time: ordinary windows run within (key, block), one summary row per (key, block) carries
+totals forward, and a join on (key, block) brings them back. There is one path for every size, it is
+all lazy (building a query runs no job), and nulls in keys or order form a group of their own that
+sorts first, as in Spark's windows.
+
+* ``ordered_scan``: ranks, running sums and maxima, previous rows.
+* ``runs``: numbers stretches of rows between breaks, a break being decided by two neighbours.
+* ``cooldown_flags``: the greedy "emit when at least C seconds since the last emission" rule.
+* ``exact_rank_threshold``: the k-th smallest 64-bit hash by radix narrowing with bounded histograms,
+  for exact-size splits without a global sort.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+BLOCK_S = 6 * 3600.0
 
 
-# Keys with at most this many rows are ordered with a plain window (one task per key); larger keys
-# take the range-partitioned path. Session conf ``sightings.scan.windowRowsLimit`` overrides it.
-WINDOW_ROWS_LIMIT = 1_000_000
+def time_block(time_col: str, seconds: float = BLOCK_S) -> Column:
+    """The block of a time in epoch seconds."""
+    return F.floor(F.col(time_col) / F.lit(float(seconds)))
 
 
-def window_rows_limit(df: DataFrame, override: int | None = None) -> int:
-    if override is not None:
-        return int(override)
-    return int(df.sparkSession.conf.get("sightings.scan.windowRowsLimit", str(WINDOW_ROWS_LIMIT)))
+def _keyed(df: DataFrame, keys: Sequence[str], blocks: Sequence[Column]) -> DataFrame:
+    """Adds __key and __blk, structs that are never null and equal if their fields are (null = null)."""
+    names = [f"k{i}" for i in range(len(keys))]
+    key = F.struct(F.lit(0).alias("z"), *[F.col(k).alias(n) for k, n in zip(keys, names)])
+    blk = F.struct(F.lit(0).alias("z"), *[b.alias(f"b{i}") for i, b in enumerate(blocks)])
+    return df.withColumns({"__key": key, "__blk": blk})
 
 
-def keys_bounded(df: DataFrame, keys: Sequence[str], window_limit: int | None = None) -> bool:
-    """True when every key group has at most the window limit of rows (one aggregation job).
-
-    A check on coarse keys also covers finer keys (their groups are subsets), so an operator
-    measures once and passes the answer to each step as ``bounded=``.
-    """
-    return max_rows_per_key(df, keys) <= window_rows_limit(df, window_limit)
-
-
-def measured(df: DataFrame, keys: Sequence[str], window_limit: int | None = None) -> tuple[DataFrame, bool]:
-    """Materialize ``df`` once (reliable checkpoint) and decide the path on it: the size check and
-    every later step read the checkpoint instead of recomputing the upstream plan."""
-    m = _materialize(df, True)
-    return m, keys_bounded(m, keys, window_limit)
-
-
-def max_rows_per_key(df: DataFrame, keys: Sequence[str]) -> int:
-    """Size of the largest key group (one aggregation job, partial counts per task)."""
-    if not keys:
-        return df.count()
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+def _local(order: Sequence[str]):
+    w = Window.partitionBy("__key", "__blk").orderBy(*order)
+    return w, w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _n_blocks(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return int(partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _dropped(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("__")])
 
 
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
+    blocks: Sequence[Column],
     *,
     sums: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
     lags: Mapping[str, str] | None = None,
     rank_col: str = "_rank",
-    partitions: int | None = None,
-    window_limit: int | None = None,
-    bounded: bool | None = None,
-    block_col: str | None = None,
 ) -> DataFrame:
-    """Per key and in ascending ``order`` (must be a total order), add
+    """Per key and in ascending ``order`` (a total order, nulls first), add
 
     * ``rank_col``: 0-based position of the row inside its key,
     * each ``sums[name]``: inclusive running sum,
     * each ``maxes[name]``: inclusive running max,
     * each ``lags[name] = col``: ``col`` of the previous row of the same key (null on the first).
 
-    ``block_col`` keeps the range block of each row (diagnostics; distributed path only).
-    Keys must not be null. The largest key is measured first: up to ``window_limit`` rows a plain
-    window per key is exact and cheapest; beyond it nothing is collected per key - a hot key
-    spreads over many range blocks.
+    ``blocks`` cut a key's order: expressions that ascend with it, most significant first. A key's
+    summary has one row per block and stands in one task; the rows themselves never do.
     """
-    sums = dict(sums or {})
-    maxes = dict(maxes or {})
-    lags = dict(lags or {})
-    keys = list(keys)
-    order = list(order)
-    if bounded is None:
-        df, bounded = measured(df, keys, window_limit)
-    if bounded:
-        # keys=[] (a global order) is a single-partition window, allowed because it was measured
-        w = Window.partitionBy(*keys).orderBy(*order)
-        w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = df.withColumn(rank_col, (F.row_number().over(w) - 1).cast("long"))
-        for name, expr in sums.items():
-            out = out.withColumn(name, F.sum(expr).over(w_run))
-        for name, expr in maxes.items():
-            out = out.withColumn(name, F.max(expr).over(w_run))
-        for name, col in lags.items():
-            out = out.withColumn(name, F.lag(col).over(w))
-        return out
-
-    base = df
-    for name, expr in sums.items():
-        base = base.withColumn(f"__sc_s_{name}", expr)
-    for name, expr in maxes.items():
-        base = base.withColumn(f"__sc_m_{name}", expr)
-
-    # Block ids come from the physical range partitioning, so they are fixed once by a reliable
-    # checkpoint: every later branch (local windows, block summary) reads the same blocks, and the
-    # lineage is cut (a lost executor re-reads the checkpoint instead of re-sampling ranges).
-    ranged = _materialize(
-        base.repartitionByRange(_n_blocks(df, partitions), *keys, *order).withColumn(
-            "__sc_blk", F.spark_partition_id()
-        ),
-        True,
-    )
-    w_local = Window.partitionBy(*keys, "__sc_blk").orderBy(*order)
-    w_run = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn("__sc_lpos", F.row_number().over(w_local))
-    for name in sums:
-        local = local.withColumn(f"__sc_ls_{name}", F.sum(f"__sc_s_{name}").over(w_run))
-    for name in maxes:
-        local = local.withColumn(f"__sc_lm_{name}", F.max(f"__sc_m_{name}").over(w_run))
-    for name, col in lags.items():
-        local = local.withColumn(f"__sc_ll_{name}", F.lag(col).over(w_local))
-
-    # One row per (key, block): its size, totals and last row. Bounded by blocks + keys.
-    aggs = [F.count(F.lit(1)).alias("__sc_bn")]
-    aggs += [F.sum(f"__sc_s_{name}").alias(f"__sc_bs_{name}") for name in sums]
-    aggs += [F.max(f"__sc_m_{name}").alias(f"__sc_bm_{name}") for name in maxes]
-    if lags:
-        aggs.append(
-            F.max_by(
-                F.struct(*[F.col(c).alias(n) for n, c in lags.items()]), F.struct(*order)
-            ).alias("__sc_blast")
-        )
-    summary = ranged.groupBy(*keys, "__sc_blk").agg(*aggs)
-    w_prev = Window.partitionBy(*keys).orderBy("__sc_blk")
-    w_before = w_prev.rowsBetween(Window.unboundedPreceding, -1)
-    carry_cols = [F.coalesce(F.sum("__sc_bn").over(w_before), F.lit(0)).alias("__sc_off")]
-    carry_cols += [F.sum(f"__sc_bs_{name}").over(w_before).alias(f"__sc_cs_{name}") for name in sums]
-    carry_cols += [F.max(f"__sc_bm_{name}").over(w_before).alias(f"__sc_cm_{name}") for name in maxes]
-    if lags:
-        carry_cols.append(F.lag("__sc_blast").over(w_prev).alias("__sc_clast"))
-    carry = summary.select(*keys, "__sc_blk", *carry_cols)
-
-    out = local.join(carry, on=[*keys, "__sc_blk"], how="left")
-    out = out.withColumn(rank_col, (F.col("__sc_off") + F.col("__sc_lpos") - 1).cast("long"))
-    for name in sums:
-        out = out.withColumn(
-            name,
-            F.when(F.col(f"__sc_cs_{name}").isNull(), F.col(f"__sc_ls_{name}")).otherwise(
-                F.col(f"__sc_cs_{name}") + F.col(f"__sc_ls_{name}")
-            ),
-        )
-    for name in maxes:
-        out = out.withColumn(name, F.greatest(F.col(f"__sc_cm_{name}"), F.col(f"__sc_lm_{name}")))
-    for name in lags:
-        out = out.withColumn(
-            name, F.when(F.col("__sc_lpos") == 1, F.col(f"__sc_clast.{name}")).otherwise(F.col(f"__sc_ll_{name}"))
-        )
-    if block_col:
-        out = out.withColumn(block_col, F.col("__sc_blk"))
-    return out.drop(*[c for c in out.columns if c.startswith("__sc_")])
+    sums, maxes, lags = dict(sums or {}), dict(maxes or {}), dict(lags or {})
+    w, w_run = _local(order)
+    local = _keyed(df, keys, blocks).withColumns({
+        "__pos": F.row_number().over(w), "__last": F.lead(F.lit(1)).over(w).isNull(),
+        **{f"__s_{n}": F.sum(e).over(w_run) for n, e in sums.items()},
+        **{f"__m_{n}": F.max(e).over(w_run) for n, e in maxes.items()},
+        **{f"__l_{n}": F.lag(c).over(w) for n, c in lags.items()},
+    })
+    ends = local.where("__last").select(
+        "__key", "__blk", "__pos", *[f"__s_{n}" for n in sums], *[f"__m_{n}" for n in maxes],
+        F.struct(F.lit(0).alias("z"), *[F.col(c).alias(n) for n, c in lags.items()]).alias("__end"))
+    per_key = Window.partitionBy("__key").orderBy("__blk")
+    before = per_key.rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(
+        "__key", "__blk", F.coalesce(F.sum("__pos").over(before), F.lit(0)).alias("__off"),
+        *[F.sum(f"__s_{n}").over(before).alias(f"__cs_{n}") for n in sums],
+        *[F.max(f"__m_{n}").over(before).alias(f"__cm_{n}") for n in maxes],
+        F.lag("__end").over(per_key).alias("__prev"))
+    out = local.join(carry, ["__key", "__blk"])
+    return _dropped(out.withColumns({
+        rank_col: (F.col("__off") + F.col("__pos") - 1).cast("long"),
+        **{n: F.when(F.col(f"__cs_{n}").isNull(), F.col(f"__s_{n}")).otherwise(
+            F.col(f"__cs_{n}") + F.coalesce(F.col(f"__s_{n}"), F.lit(0))) for n in sums},
+        **{n: F.greatest(F.col(f"__cm_{n}"), F.col(f"__m_{n}")) for n in maxes},
+        **{n: F.when(F.col("__pos") == 1, F.col(f"__prev.{n}")).otherwise(F.col(f"__l_{n}")) for n in lags},
+    }))
+
+
+def runs(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    blocks: Sequence[Column],
+    prev: Mapping[str, str],
+    breaks: Callable[[Mapping[str, Column], Column], Column],
+    *,
+    run_col: str = "run_id",
+    break_col: str = "_break",
+) -> DataFrame:
+    """Number the runs of each key from 1, in ascending ``order``.
+
+    ``prev[name] = col`` names columns of the previous row; ``breaks(previous, is_first)`` says
+    whether a new run begins, from those and the row's own columns. Adds the ``prev`` names,
+    ``break_col`` and ``run_col``. One pass: only a block's first row has to wait for the block before it.
+    """
+    w, w_run = _local(order)
+    local = _keyed(df, keys, blocks).withColumns({
+        "__pos": F.row_number().over(w), "__last": F.lead(F.lit(1)).over(w).isNull(),
+        **{f"__l_{n}": F.lag(c).over(w) for n, c in prev.items()},
+    })
+    inner = breaks({n: F.col(f"__l_{n}") for n in prev}, F.lit(False))
+    local = local.withColumn("__in", F.when(F.col("__pos") > 1, inner.cast("long")).otherwise(F.lit(0)))
+    own = sorted({c for c in df.columns})
+    local = local.withColumns({
+        "__sum": F.sum("__in").over(w_run),
+        "__first": F.first(F.struct(*[F.col(c) for c in own])).over(w_run)})
+    ends = local.where("__last").select(
+        "__key", "__blk", "__sum", *[F.col(f"__first.{c}").alias(c) for c in own],
+        F.struct(F.lit(0).alias("z"), *[F.col(c).alias(n) for n, c in prev.items()]).alias("__end"))
+    per_key = Window.partitionBy("__key").orderBy("__blk")
+    ends = ends.withColumn("__prev", F.lag("__end").over(per_key)).withColumn("__none", F.lag(F.lit(1)).over(per_key).isNull())
+    ends = ends.withColumn("__open", breaks({n: F.col(f"__prev.{n}") for n in prev}, F.col("__none")).cast("long"))
+    before = per_key.rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(
+        "__key", "__blk", "__prev", "__open",
+        (F.coalesce(F.sum(F.col("__sum") + F.col("__open")).over(before), F.lit(0)) + F.col("__open")).alias("__off"))
+    out = local.join(carry, ["__key", "__blk"])
+    return _dropped(out.withColumns({
+        **{n: F.when(F.col("__pos") == 1, F.col(f"__prev.{n}")).otherwise(F.col(f"__l_{n}")) for n in prev},
+        break_col: F.when(F.col("__pos") == 1, F.col("__open") == 1).otherwise(F.col("__in") == 1),
+        run_col: F.col("__off") + F.col("__sum"),
+    }))
 
 
 def cooldown_flags(
@@ -189,188 +151,91 @@ def cooldown_flags(
     *,
     strict: bool = False,
     out_col: str = "emit",
-    checkpoint: bool = True,
-    window_limit: int | None = None,
-    bounded: bool | None = None,
+    block_s: float = BLOCK_S,
 ) -> DataFrame:
     """Greedy cooldown per key, in ``(time_col, tie_col)`` order.
 
     The first row of a key emits; a later row emits when ``time - last emitted time >= cooldown``
-    (``>`` when ``strict``). Solved without per-key state:
-
-    1. a row whose gap to the previous row already meets the rule must emit (a *start*);
-    2. ``next(i)`` = first row at least ``cooldown`` after row i (a running count over the union of
-       rows and probes ``t_i + cooldown``);
-    3. the emitted set is the closure of the starts under ``next``; pointer doubling reaches it in
-       ceil(log2(longest chain)) rounds of joins on ``(keys, rank)``, each round checkpointed.
+    (``>`` when ``strict``). A row without a time has no place in the order: it never emits and
+    leaves the clock alone. ``cooldown_s`` may be a column that is constant within a key.
 
-    ``cooldown_s`` may be a column (constant within a key), so independent problems with different
-    cooldowns can be solved in one pass by adding a problem tag to the keys.
+    The only thing a block of time needs from those before it is the time of the last emission, and
+    that matters only to the block's first ``cooldown`` seconds. So each block is summed up by what it
+    would hand on for each row that could be its first emission; these few entries are chained per
+    key, and then every block walks its own rows from its true start.
     """
-    keys = list(keys)
-    t = F.col(time_col)
-    cool = F.lit(float(cooldown_s)) if isinstance(cooldown_s, (int, float)) else cooldown_s
-    df = df.withColumn("__cool", cool.cast("double"))
-    if bounded is None:
-        df, bounded = measured(df, keys, window_limit)
-    if bounded:
-        return _cooldown_grouped(df, keys, time_col, tie_col, strict, out_col).drop("__cool")
-    scanned = ordered_scan(df, keys, [time_col, tie_col], lags={"__prev_t": time_col}, rank_col="__r",
-                           bounded=False)
-    gap = t - F.col("__prev_t")
-    start = F.col("__prev_t").isNull() | ((gap > F.col("__cool")) if strict else (gap >= F.col("__cool")))
-    scanned = scanned.withColumn("__start", start)
-    scanned = _materialize(scanned, checkpoint)
-
-    # Probe i sorts before (>=) or after (>) data rows at time t_i + C; the number of data rows
-    # before it is the rank of next(i).
-    probe_kind = 2 if strict else 0
-    data = scanned.select(*keys, t.cast("double").alias("__t"), F.lit(1).alias("__kind"),
-                          F.col("__r").alias("__ord"), F.lit(1).alias("__isdata"))
-    probes = scanned.select(*keys, (t.cast("double") + F.col("__cool")).alias("__t"),
-                            F.lit(probe_kind).alias("__kind"), F.col("__r").alias("__ord"),
-                            F.lit(0).alias("__isdata"))
-    both = ordered_scan(data.unionByName(probes), keys, ["__t", "__kind", "__ord"],
-                        sums={"__ndata": F.col("__isdata")}, rank_col="__u", bounded=False)
-    jump = both.where(F.col("__isdata") == 0).select(
-        *keys, F.col("__ord").alias("__r"), (F.col("__ndata")).cast("long").alias("__j")
-    )
-    jump = _materialize(jump, checkpoint)
-
-    reached = scanned.where("__start").select(*keys, "__r")  # a filter of checkpointed rows
-    n_reached = reached.count()
-    while True:
-        step = reached.join(jump, on=[*keys, "__r"]).where(F.col("__j").isNotNull()).select(
-            *keys, F.col("__j").alias("__r")
-        )
-        grown = _materialize(reached.unionByName(step).distinct(), checkpoint)
-        n_grown = grown.count()
-        if n_grown == n_reached:
-            break
-        reached, n_reached = grown, n_grown
-        nxt = jump.alias("a").join(
-            jump.alias("b"),
-            on=[F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.__j") == F.col("b.__r")],
-            how="left",
-        ).select(*[F.col(f"a.{k}") for k in keys], F.col("a.__r"), F.col("b.__j").alias("__j"))
-        jump = _materialize(nxt, checkpoint)
-
-    flags = reached.withColumn(out_col, F.lit(True))
-    out = scanned.join(flags, on=[*keys, "__r"], how="left").withColumn(
-        out_col, F.coalesce(F.col(out_col), F.lit(False))
-    )
-    return out.drop("__r", "__prev_t", "__start", "__cool")
-
-
-def _cooldown_grouped(df: DataFrame, keys: list[str], time_col: str, tie_col: str, strict: bool,
-                      out_col: str) -> DataFrame:
-    """Bounded keys: hash-partition by key, sort inside partitions and walk each partition's Arrow
-    batches once in ``mapInPandas``, carrying (key, last emission) across batch boundaries."""
-    import numpy as np
-    from pyspark.sql import types as T
-
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.BooleanType(), False)])
-
-    def walk(batches):
-        prev_key, last = None, None
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            t = pdf[time_col].to_numpy(dtype="float64")
-            c = pdf["__cool"].to_numpy(dtype="float64")
-            key_rows = list(zip(*[pdf[k].tolist() for k in keys]))
-            emit = np.zeros(n, dtype=bool)
-            for i in range(n):
-                if key_rows[i] != prev_key:
-                    prev_key, last = key_rows[i], None
-                gap_ok = last is None or ((t[i] - last > c[i]) if strict else (t[i] - last >= c[i]))
-                if gap_ok:
-                    emit[i] = True
-                    last = t[i]
-            pdf[out_col] = emit
-            yield pdf
-
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, time_col, tie_col)
-    return ordered.mapInPandas(walk, schema)
-
-
-def _materialize(df: DataFrame, enabled: bool) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the session's checkpoint dir."""
-    if not enabled:
-        return df
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def top_k_per_key(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    k: int,
-    *,
-    salt_cols: Sequence[str],
-    salts: int = 64,
-    rank_col: str = "rank",
-) -> DataFrame:
-    """Rows ranked ``< k`` per key under ``order`` (a total order), with ``rank_col`` 0-based.
-
-    Phase one keeps the top k per (key, salt) so a hot key is cut into ``salts`` bounded pieces;
-    phase two ranks at most ``salts * k`` candidates per key.
-    """
-    if k <= 0:
-        return df.withColumn(rank_col, F.lit(None).cast("long"))
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salts))
-    w1 = Window.partitionBy(*keys, "__salt").orderBy(*order)
-    cand = (
-        df.withColumn("__salt", salt)
-        .withColumn("__r1", F.row_number().over(w1))
-        .where(F.col("__r1") <= k)
-        .drop("__r1", "__salt")
-    )
-    w2 = Window.partitionBy(*keys).orderBy(*order)
-    return cand.withColumn(rank_col, (F.row_number().over(w2) - 1).cast("long")).where(
-        F.col(rank_col) < k
-    )
-
-
-def exact_rank_threshold(df: DataFrame, hash_col: str, tie_col: str, k: int, n: int,
-                         direct_limit: int = 100_000):
-    """The ``(hash, tie)`` pair of 0-based rank ``k`` under ``(hash_col, tie_col)`` order.
+    cool = F.lit(float(cooldown_s)) if isinstance(cooldown_s, (int, float)) else cooldown_s.cast("double")
+    cols = df.columns
+    rows = _keyed(df, keys, [time_block(time_col, block_s)]).withColumns({"__t": F.col(time_col).cast("double"), "__c": cool})
+    item = F.struct(F.col("__t").alias("t"), F.col(tie_col).alias("tie"), F.struct(*[F.col(c) for c in cols]).alias("row"))
+    timed = rows.where(F.col("__t").isNotNull())
+    block = timed.groupBy("__key", "__blk").agg(F.sort_array(F.collect_list(item)).alias("rows"), F.max("__c").alias("c"))
+
+    def due(t: Column, last: Column, c: Column) -> Column:
+        return (t - last > c) if strict else (t - last >= c)
+
+    # what the block hands on if row k is its first emission, for each k within a cooldown of its start
+    # and the one after
+    begin = F.col("__blk.b0") * F.lit(float(block_s))
+    times = F.transform("rows", lambda x: x["t"])
+    reach = F.size(F.filter("times", lambda t: t <= begin + F.col("c"))) + 1
+    entries = F.transform(F.slice("times", F.lit(1), reach), lambda first: F.struct(
+        first.alias("t"), F.aggregate("times", first, lambda last, t: F.when((t > first) & due(t, last, F.col("c")), t).otherwise(last)).alias("last")))
+    summed = block.select("__key", "__blk", "c", times.alias("times")).select("__key", "__blk", "c", entries.alias("entries"))
+    chain = summed.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("__blk", "c", "entries"))).alias("blocks"))
+
+    def step(acc: Column, b: Column) -> Column:
+        hits = F.filter(b["entries"], lambda e: acc["last"].isNull() | due(e["t"], acc["last"], b["c"]))
+        return F.struct(
+            F.when(F.size(hits) > 0, F.element_at(hits, 1)["last"]).otherwise(acc["last"]).alias("last"),
+            F.concat(acc["starts"], F.array(F.struct(b["__blk"].alias("__blk"), acc["last"].alias("last")))).alias("starts"))
+
+    blk_type = chain.schema["blocks"].dataType.elementType["__blk"].dataType.simpleString()
+    zero = F.struct(F.lit(None).cast("double").alias("last"),
+                    F.array().cast(f"array<struct<__blk:{blk_type},last:double>>").alias("starts"))
+    starts = chain.select("__key", F.inline(F.aggregate("blocks", zero, step)["starts"]))
+
+    # the true walk of each block; emissions are kept as positions
+    indexed = F.transform("rows", lambda x, i: F.struct(x["t"].alias("t"), i.alias("i")))
+    walk = F.aggregate(indexed, F.struct(F.col("last"), F.array().cast("array<int>").alias("at")), lambda acc, x: F.when(
+        acc["last"].isNull() | due(x["t"], acc["last"], F.col("c")),
+        F.struct(x["t"].alias("last"), F.concat(acc["at"], F.array(x["i"])).alias("at"))).otherwise(acc))["at"]
+    flagged = block.join(starts, ["__key", "__blk"]).withColumn("at", walk).select(F.inline(F.transform(
+        "rows", lambda x, i: F.struct(x["row"].alias("row"), F.array_contains("at", i).alias("emit")))))
+    out = flagged.select(*[F.col(f"row.{c}").alias(c) for c in cols], F.col("emit").alias(out_col))
+    untimed = df.where(F.col(time_col).isNull()).withColumn(out_col, F.lit(False))
+    return out.unionByName(untimed.select(*out.columns))
+
+
+def exact_rank_threshold(df: DataFrame, hash_col: str, tie_col: str, k: int, n: int):
+    """The ``(hash, tie, copies)`` of 0-based rank ``k`` under ``(hash_col, tie_col)`` order: rows of equal
+    hash and tie are alike, and ``copies`` of them lie before the cut. None when ``k >= n``.
 
     Radix narrowing over the signed 64-bit hash, 12 bits per round: each round is one scan that
-    returns at most 4096 bucket counts. As soon as the bucket holding rank ``k`` has at most
-    ``direct_limit`` rows, those rows are ranked directly (a bounded top-n). Returns None when
-    ``k >= n``.
+    returns at most 4096 bucket counts. At the end a bucket of at most 4096 rows is left, or one hash
+    value, of which the distinct ties (colliding hashes) are few; these are counted in order.
     """
     if k >= n or n == 0:
         return None
     h = F.col(hash_col)
     remaining = k
     cond = F.lit(True)
-    size = n
     # (shift, mask) rounds cover bits 63..0: 12 bits at a time, the top bucket keeps the sign.
-    plan = [(52, None), (40, 0xFFF), (28, 0xFFF), (16, 0xFFF), (4, 0xFFF), (0, 0xF)]
-    for shift, mask in plan:
-        if size <= direct_limit:
-            break
+    for shift, mask in [(52, None), (40, 0xFFF), (28, 0xFFF), (16, 0xFFF), (4, 0xFFF), (0, 0xF)]:
         bucket = F.shiftright(h, shift)
         if mask is not None:
             bucket = bucket.bitwiseAND(F.lit(mask))
         counts = df.where(cond).groupBy(bucket.alias("b")).count().orderBy("b").collect()  # <= 4096 rows
         for row in counts:
             if remaining < row["count"]:
-                cond = cond & (bucket == F.lit(row["b"]))
-                size = row["count"]
+                cond, left = cond & (bucket == F.lit(row["b"])), row["count"]
                 break
             remaining -= row["count"]
-    # rank the (at most direct_limit) rows of the chosen bucket in Spark; one row reaches the driver
-    w = Window.orderBy("h", "t")
-    last = (
-        df.where(cond)
-        .select(h.alias("h"), F.col(tie_col).alias("t"))
-        .withColumn("_r", F.row_number().over(w))
-        .where(F.col("_r") == remaining + 1)
-        .first()
-    )
-    return last["h"], last["t"]
+        if left <= 4096:  # few enough to look at one by one
+            break
+    ties = df.where(cond).groupBy(h.alias("h"), F.col(tie_col).alias("t")).count().orderBy("h", "t")
+    for row in ties.toLocalIterator():
+        if remaining < row["count"]:
+            return row["h"], row["t"], remaining
+        remaining -= row["count"]
+    raise AssertionError("the ranks of the bucket counts and of its rows differ")

@@ -1,6 +1,5 @@
 """FIXTURES.md anchor values at sf0.01."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from sightings.operators import alerts as AL
@@ -37,28 +36,23 @@ def test_detections_best_and_crops(spark):
     assert clamped == 5724
 
 
-@pytest.mark.parametrize("bounded", [None, False])  # measured (window path here) / distributed path
-def test_failure_runs(spark, bounded):
-    r = AL.failure_runs(X.attempts(spark, SF01), bounded=bounded).agg(
+def test_failure_runs(spark):
+    r = AL.failure_runs(X.attempts(spark, SF01)).agg(
         F.count("*"), F.max("fail_n"), F.sum("backoff_s")).first()
     assert (r[0], r[1]) == (2014, 5) and abs(r[2] - 501.4) < 1e-9
 
 
-@pytest.mark.parametrize("bounded", [None, False])
-def test_changes_and_announce(spark, bounded):
+def test_changes_and_announce(spark):
     bf = C.frames_with_best(spark, SF01)
-    ch = AL.species_changes(bf, 0.5, bounded=bounded)
+    ch = AL.species_changes(bf, 0.5)
     assert ch.count() == 4869 and ch.where("changed").count() == 4071
-    a = AL.announce(bf, 0.5, bounded=bounded).agg(
+    a = AL.announce(bf, 0.5).agg(
         F.count("*"), F.sum(F.col("speak").cast("int")), F.sum(F.col("play_song").cast("int"))).first()
     assert tuple(a) == (4869, 4109, 4617)
 
 
-def test_visits_paths_agree(spark):
-    bf = C.frames_with_best(spark, SF01)
-    a = {tuple(r) for r in AL.species_visits(bf, 30.0, 0.5, bounded=True).collect()}
-    b = {tuple(r) for r in AL.species_visits(bf, 30.0, 0.5, bounded=False).collect()}
-    assert a == b and len(a) == 4189
+def test_visits(spark):
+    assert AL.species_visits(C.frames_with_best(spark, SF01), 30.0, 0.5).count() == 4189
 
 
 def test_corpus_and_vectors(spark):

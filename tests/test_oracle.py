@@ -41,18 +41,3 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) > 0
     assert df.columns == ["species", "day", "frames", "mean_conf"]
-
-
-ORDERED = ["crop_paths", "class_index", "sample_index", "best_epochs", "batch_metrics", "species_visits",
-           "species_changes", "failure_runs", "announce", "mapping_diff"]
-
-
-@pytest.mark.parametrize("name", ORDERED)
-def test_distributed_path_matches_oracle(spark, con, name):
-    # a window limit of 0 sends every ordered operator down the range-partitioned path
-    spark.conf.set("sightings.scan.windowRowsLimit", "0")
-    try:
-        ok, msg = compare(spark, SF01, name, E.queries()[name], E.oracle_sql()[name], con)
-    finally:
-        spark.conf.unset("sightings.scan.windowRowsLimit")
-    assert ok, msg
