@@ -2,9 +2,12 @@
 stateful announcement (T3) and failure monitor (T4), per-batch detections (T5), live state (T6),
 event de-duplication (T7), windowed species counts (T8) and run counters (T9).
 
-State is per camera and bounded: the current species plus one clock per species seen (T3), two
-numbers (T4). Input is expected in event-time order per camera inside the stream; rows that arrive
-out of order should pass a watermark buffer first.
+T3 and T4 follow the batch rules of ``operators.alerts`` run by run: a change of species (a success
+after failures) begins a run, whose first row always emits, and within a run a cooldown decides. So
+the state of a camera is the run it is in, the time of that run's last emission, and (T3) one song
+clock per species; a clock that hasn't run yet is absent, not zero. Input is expected in event-time
+order per camera inside the stream; rows that arrive out of order should pass a watermark buffer
+first. Rows without a time are left out.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,82 +76,121 @@ def capture_trigger(interval_s: float = config.CAPTURE_INTERVAL_S) -> dict:
 
 
 def conflate_stream(frames: DataFrame, slot_s: float, watermark: str, t_col: str = "scheduled_at",
-                    key: str = "source") -> DataFrame:
-    """The latest frame per (source, slot) in event time; a slot is emitted once the watermark
+                    key: str = "source", tie: str = "frame_id") -> DataFrame:
+    """The latest frame per (source, slot) in event time (ties by ``tie``, as in batch); a slot is emitted once the watermark
     passes its end (append mode), older frames of the slot are dropped."""
     cols = [c for c in frames.columns]
     return (
         frames.withWatermark(t_col, watermark)
         .groupBy(key, F.window(t_col, f"{slot_s} seconds").alias("slot"))
-        .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(t_col)).alias("_l"),
+        .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(t_col, tie)).alias("_l"),
              F.count(F.lit(1)).alias("frames_in_slot"))
         .select(F.col("slot.start").alias("slot_start"), "frames_in_slot", *[F.col(f"_l.{c}").alias(c) for c in cols if c != key], key)
     )
 
 
+# ---- runs and cooldowns of one camera's rows ----------------------------------------------------
+
+def emissions(times: np.ndarray, last: float | None, gap: float, strict: bool = False) -> tuple[np.ndarray, float | None]:
+    """Which of the ascending ``times`` emit if the one before them was ``last`` (None: none yet), and
+    the last emission. Jumps from emission to emission."""
+    flags, at = np.zeros(len(times), bool), 0
+    while at < len(times):
+        if last is not None:
+            at = max(at, int(np.searchsorted(times, last + gap - 1e-3)))
+            waited = times[at:] - last
+            due = np.flatnonzero(waited > gap if strict else waited >= gap)
+            if not len(due):
+                break
+            at += int(due[0])
+        flags[at], last = True, float(times[at])
+        at += 1
+    return flags, last
+
+
+def _stretches(first: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of the stretches that begin where ``first`` is true (and at the start)."""
+    at = np.flatnonzero(np.concatenate([[True], first[1:]])) if len(first) else np.zeros(0, int)
+    return list(zip(at.tolist(), [*at[1:].tolist(), len(first)]))
+
+
+def announce_rows(rows: pd.DataFrame, run: tuple[str | None, float | None], songs: dict[str, float], repeat_s: float,
+                  song_s: float, songs_enabled: bool) -> tuple[pd.DataFrame, tuple[str | None, float | None]]:
+    """W6 for a camera's next rows in order; ``run`` is the species it shows and when that was last
+    spoken. ``songs`` is updated. Returns the rows with their flags and the new ``run``."""
+    species, times = rows["best_species"].to_numpy(object), rows["epoch_s"].to_numpy(float)
+    before = np.concatenate([[run[0]], species[:-1]]) if len(rows) else species
+    changed = np.array([a != b for a, b in zip(species, before)], bool)
+    speak, play = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+    for lo, hi in _stretches(changed):
+        speak[lo:hi], spoken = emissions(times[lo:hi], None if changed[lo] else run[1], repeat_s)
+        run = (species[lo], spoken)
+    for name, at in pd.Series(np.arange(len(rows))).groupby(species).groups.items() if songs_enabled else ():
+        play[at], songs[name] = emissions(times[at], songs.get(name), song_s)
+    return rows[["frame_id", "source", "epoch_s", "best_species"]].assign(changed=changed, speak=speak, play_song=play), run
+
+
+def failure_rows(rows: pd.DataFrame, failures: int, logged_at: float | None, quiet_s: float) -> tuple[pd.DataFrame, int, float | None]:
+    """W4 for a camera's next attempts in order; ``failures`` in a row so far, the last one printed at
+    ``logged_at``. Returns the failed attempts, and both numbers anew."""
+    ok, times = rows["ok"].to_numpy(bool), rows["t"].to_numpy(float)
+    fail_n, logged = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+    for lo, hi in _stretches(ok):
+        if ok[lo]:
+            failures, logged_at, lo = 0, None, lo + 1
+        fail_n[lo:hi] = failures + np.arange(1, hi - lo + 1)
+        logged[lo:hi], logged_at = emissions(times[lo:hi], logged_at, quiet_s, strict=True)
+        failures += hi - lo
+    out = rows[["attempt_id", "source"]].assign(
+        fail_n=fail_n, backoff_s=np.minimum(config.BACKOFF_STEP_S * fail_n, config.BACKOFF_CAP_S), logged=logged)
+    return out[~ok], failures, logged_at
+
+
+def _released(waiting: list, new: pd.DataFrame, columns: list[str], time: str, tie: str, state: GroupState, timed: bool) -> tuple[pd.DataFrame, list]:
+    """The rows that are final, in order, and those that still wait for the watermark."""
+    rows = pd.concat([pd.DataFrame(waiting, columns=columns), new[columns]]) if waiting else new[columns]
+    rows = rows.sort_values([time, tie], kind="stable", ignore_index=True)
+    if not timed:
+        return rows, []
+    final = rows[time] <= state.getCurrentWatermarkMs() / 1000.0
+    later = rows[~final]
+    if len(later):
+        state.setTimeoutTimestamp(int(later[time].iloc[0] * 1000))
+    return rows[final], json.loads(later.to_json(orient="values", double_precision=15))
+
+
 # ---- T3 announce ------------------------------------------------------------------------------
 
 ANNOUNCE_OUT = ("frame_id LONG, source STRING, epoch_s DOUBLE, best_species STRING, changed BOOLEAN, "
                 "speak BOOLEAN, play_song BOOLEAN")
-ANNOUNCE_STATE = "current STRING, spoken STRING, song STRING, pending STRING"
+ANNOUNCE_STATE = "species STRING, spoken DOUBLE, songs STRING, waiting STRING"
 
 
 def announce_stream(best: DataFrame, min_conf: float = config.MIN_ALERT_CONF,
                     repeat_s: float = config.SAME_SPECIES_REPEAT_S, song_s: float = config.SONG_EVERY_S,
                     songs_enabled: bool = config.SONGS_ENABLED, watermark: str | None = None) -> DataFrame:
-    """W6 with state per source (current species; last spoken and last song time per species).
+    """W6 with state per source (the species shown, when it was last spoken, song clocks).
 
     Without ``watermark`` rows are applied as they arrive (input in order per source). With a
     ``watermark`` (e.g. "30 seconds") rows wait in state until the event-time watermark passes them
     and are then applied in (epoch_s, frame_id) order, so out-of-order arrival within the delay gives
-    the batch result; rows later than the watermark are dropped by Spark. State per source: the
-    current species, one clock per species and the rows not yet final.
+    the batch result; rows later than the watermark are dropped by Spark.
     """
     timed = watermark is not None
-    src = best.where(F.col("best_species").isNotNull() & (F.col("best_species_conf") >= F.lit(float(min_conf))))
+    src = best.where(F.col("best_species").isNotNull() & (F.col("best_species_conf") >= F.lit(float(min_conf)))
+                     & F.col("epoch_s").isNotNull())
     if timed:
         src = src.withColumn("_et", F.timestamp_seconds("epoch_s")).withWatermark("_et", watermark)
-
-    def apply(rows, cur, spoken, song, out):
-        for r in rows:
-            frame_id, source, now, sp = r
-            changed = cur is None or sp != cur
-            if changed:
-                cur = sp
-            speak = changed or (now - spoken.get(sp, 0.0) >= repeat_s)
-            play = songs_enabled and (now - song.get(sp, 0.0) >= song_s)
-            if speak:
-                spoken[sp] = now
-            if play:
-                song[sp] = now
-            for k, v in (("frame_id", frame_id), ("source", source), ("epoch_s", now), ("best_species", sp),
-                         ("changed", changed), ("speak", bool(speak)), ("play_song", bool(play))):
-                out[k].append(v)
-        return cur
+    columns = ["frame_id", "source", "epoch_s", "best_species"]
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            cur, spoken_j, song_j, pending_j = state.get
-            spoken, song, pending = json.loads(spoken_j), json.loads(song_j), json.loads(pending_j)
-        else:
-            cur, spoken, song, pending = None, {}, {}, []
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                pending += [[int(f), s_, float(t), sp] for f, s_, t, sp in
-                            zip(pdf["frame_id"], pdf["source"], pdf["epoch_s"], pdf["best_species"])]
-        pending.sort(key=lambda r: (r[2], r[0]))
-        if timed:
-            wm = state.getCurrentWatermarkMs() / 1000.0
-            ready = [r for r in pending if r[2] <= wm]
-            pending = [r for r in pending if r[2] > wm]
-        else:
-            ready, pending = pending, []
-        out = {k: [] for k in ("frame_id", "source", "epoch_s", "best_species", "changed", "speak", "play_song")}
-        cur = apply(ready, cur, spoken, song, out)
-        state.update((cur, json.dumps(spoken), json.dumps(song), json.dumps(pending)))
-        if timed and pending:
-            state.setTimeoutTimestamp(int(pending[0][2] * 1000))
-        yield pd.DataFrame(out)
+        species, spoken, songs, waiting = state.get if state.exists else (None, None, "{}", "[]")
+        clocks = json.loads(songs)
+        new = pd.concat([pd.DataFrame(columns=columns), *([] if state.hasTimedOut else [p[columns] for p in pdfs])])
+        ready, later = _released(json.loads(waiting), new, columns, "epoch_s", "frame_id", state, timed)
+        out, (species, spoken) = announce_rows(ready, (species, spoken), clocks, repeat_s, song_s, songs_enabled)
+        state.update((species, spoken, json.dumps(clocks), json.dumps(later)))
+        yield out
 
     timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
     return src.groupBy("source").applyInPandasWithState(step, ANNOUNCE_OUT, ANNOUNCE_STATE, "append", timeout)
@@ -159,55 +202,40 @@ ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateS
 def announce_stream_tws(best: DataFrame, min_conf: float = config.MIN_ALERT_CONF,
                         repeat_s: float = config.SAME_SPECIES_REPEAT_S, song_s: float = config.SONG_EVERY_S,
                         songs_enabled: bool = config.SONGS_ENABLED) -> DataFrame:
-    """T3 on ``transformWithStateInPandas``: a value state (current species) and two map states
-    (species -> last spoken, species -> last song) per source, kept in the RocksDB state store
-    (``spark.sql.streaming.stateStore.providerClass`` must name it). Input in order per source."""
+    """T3 on ``transformWithStateInPandas``: a value state (the run) and a map state (song clocks) per
+    source, kept in the RocksDB state store (``spark.sql.streaming.stateStore.providerClass`` must
+    name it). Input in order per source."""
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     class Announce(StatefulProcessor):
         def init(self, handle) -> None:
-            self.current = handle.getValueState("current", "species STRING")
-            self.spoken = handle.getMapState("spoken", "species STRING", "t DOUBLE")
-            self.song = handle.getMapState("song", "species STRING", "t DOUBLE")
+            self.run = handle.getValueState("run", "species STRING, spoken DOUBLE")
+            self.songs = handle.getMapState("songs", "species STRING", "t DOUBLE")
 
         def handleInputRows(self, key, rows, timerValues):
-            pdf = pd.concat(list(rows), ignore_index=True).sort_values(["epoch_s", "frame_id"], kind="mergesort")
-            cur = self.current.get()[0] if self.current.exists() else None
-            out = {k: [] for k in ("frame_id", "source", "epoch_s", "best_species", "changed", "speak", "play_song")}
-            for fid, src, now, sp, conf in zip(pdf["frame_id"], pdf["source"], pdf["epoch_s"],
-                                               pdf["best_species"], pdf["best_species_conf"]):
-                if sp is None or conf is None or not (conf >= min_conf):
-                    continue
-                now = float(now)
-                changed = cur is None or sp != cur
-                if changed:
-                    cur = sp
-                last_spoken = self.spoken.getValue((sp,)) if self.spoken.containsKey((sp,)) else (0.0,)
-                last_song = self.song.getValue((sp,)) if self.song.containsKey((sp,)) else (0.0,)
-                speak = changed or (now - last_spoken[0] >= repeat_s)
-                play = songs_enabled and (now - last_song[0] >= song_s)
-                if speak:
-                    self.spoken.updateValue((sp,), (now,))
-                if play:
-                    self.song.updateValue((sp,), (now,))
-                for k, v in (("frame_id", int(fid)), ("source", src), ("epoch_s", now), ("best_species", sp),
-                             ("changed", changed), ("speak", bool(speak)), ("play_song", bool(play))):
-                    out[k].append(v)
-            if cur is not None:
-                self.current.update((cur,))
-            yield pd.DataFrame(out)
+            new = pd.concat(list(rows)).sort_values(["epoch_s", "frame_id"], kind="stable", ignore_index=True)
+            seen = new["best_species"].unique().tolist()
+            clocks = {n: self.songs.getValue((n,))[0] for n in seen if self.songs.containsKey((n,))}
+            run = tuple(self.run.get()) if self.run.exists() else (None, None)
+            out, run = announce_rows(new, run, clocks, repeat_s, song_s, songs_enabled)
+            for name, t in clocks.items():
+                self.songs.updateValue((name,), (t,))
+            self.run.update(run)
+            yield out
 
         def close(self) -> None:
             pass
 
-    return best.groupBy("source").transformWithStateInPandas(
+    src = best.where(F.col("best_species").isNotNull() & (F.col("best_species_conf") >= F.lit(float(min_conf)))
+                     & F.col("epoch_s").isNotNull())
+    return src.groupBy("source").transformWithStateInPandas(
         statefulProcessor=Announce(), outputStructType=ANNOUNCE_OUT, outputMode="Append", timeMode="None")
 
 
 # ---- T4 failure monitor -------------------------------------------------------------------------
 
 FAILURE_OUT = "attempt_id LONG, source STRING, fail_n LONG, backoff_s DOUBLE, logged BOOLEAN"
-FAILURE_STATE = "n LONG, last_log DOUBLE, pending STRING"
+FAILURE_STATE = "failures LONG, logged_at DOUBLE, waiting STRING"
 
 
 def failure_monitor_stream(attempts: DataFrame, quiet_s: float = config.FAILURE_LOG_QUIET_S,
@@ -218,40 +246,21 @@ def failure_monitor_stream(attempts: DataFrame, quiet_s: float = config.FAILURE_
     then applied in (ts, attempt_id) order, as in ``announce_stream``.
     """
     timed = watermark is not None
-    src = attempts.withWatermark("ts", watermark) if timed else attempts
-
-    def step(key, pdfs, state: GroupState):
-        n, last_log, pending_j = state.get if state.exists else (0, 0.0, "[]")
-        pending = json.loads(pending_j)
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                # epoch seconds from integer microseconds, exactly as the batch operator computes them
-                t = (pd.to_datetime(pdf["ts"], utc=True).astype("int64") // 1000) / 1e6
-                pending += [[float(x), int(a), s_, bool(o)] for x, a, s_, o in
-                            zip(t, pdf["attempt_id"], pdf["source"], pdf["ok"])]
-        pending.sort(key=lambda r: (r[0], r[1]))
-        if timed:
-            wm = state.getCurrentWatermarkMs() / 1000.0
-            ready = [r for r in pending if r[0] <= wm]
-            pending = [r for r in pending if r[0] > wm]
-        else:
-            ready, pending = pending, []
-        out = {k: [] for k in ("attempt_id", "source", "fail_n", "backoff_s", "logged")}
-        for now, attempt_id, source, ok in ready:
-            if ok:
-                n = 0
-                continue
-            n += 1
-            logged = n == 1 or now - last_log > quiet_s
-            if logged:
-                last_log = now
-            for k, v in (("attempt_id", attempt_id), ("source", source), ("fail_n", n),
-                         ("backoff_s", min(config.BACKOFF_STEP_S * n, config.BACKOFF_CAP_S)), ("logged", logged)):
-                out[k].append(v)
-        state.update((int(n), float(last_log), json.dumps(pending)))
-        if timed and pending:
-            state.setTimeoutTimestamp(int(pending[0][0] * 1000))
-        yield pd.DataFrame(out)
+    src = attempts.where(F.col("ts").isNotNull())
+    src = src.withWatermark("ts", watermark) if timed else src
+    columns = ["t", "attempt_id", "source", "ok"]
+
+    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        failures, logged_at, waiting = state.get if state.exists else (0, None, "[]")
+        frames = [pd.DataFrame(columns=columns)]
+        for pdf in [] if state.hasTimedOut else pdfs:
+            # epoch seconds from integer microseconds, exactly as the batch operator computes them
+            micros = pd.to_datetime(pdf["ts"], utc=True).astype("datetime64[us, UTC]").astype("int64")
+            frames.append(pdf.assign(t=micros / 1e6)[columns])
+        ready, later = _released(json.loads(waiting), pd.concat(frames), columns, "t", "attempt_id", state, timed)
+        out, failures, logged_at = failure_rows(ready, int(failures), logged_at, quiet_s)
+        state.update((int(failures), logged_at, json.dumps(later)))
+        yield out
 
     timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
     return src.groupBy("source").applyInPandasWithState(step, FAILURE_OUT, FAILURE_STATE, "append", timeout)
@@ -286,8 +295,6 @@ def latest_state_stream(events: DataFrame, key: str = "source") -> DataFrame:
     ).select("_l.*")
 
 
-state_stream = latest_state_stream  # survey name of T6
-
 
 def dedupe_events(events: DataFrame, ts_col: str, watermark: str) -> DataFrame:
     """Drop repeated ``event_id`` deliveries (QoS >= 1) within the watermark."""
