@@ -103,8 +103,8 @@ def augment(bgr: np.ndarray, size: int, seed: int, train: bool = True, jitter: f
     saturation jitter in [1-j, 1+j] in random order, normalise. Val: resize S, normalise.
     The generator is seeded per row, so a (seed, path, epoch) key reproduces the sample."""
     rgb = bgr[:, :, ::-1].astype(np.float64)
-    if not train:
-        return normalise_chw(np.clip(resize_bilinear(rgb, size, size), 0, 255) / 255.0)
+    if not train:  # the serving tensor, bit for bit
+        return tensorize(bgr, size)
     rng = np.random.default_rng(np.uint64(seed & 0xFFFFFFFFFFFFFFFF))
     big = np.clip(resize_bilinear(rgb, size + 32, size + 32), 0, 255) / 255.0
     top = int(rng.integers(0, 33))

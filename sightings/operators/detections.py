@@ -18,10 +18,10 @@ from ..functions import scalars as S
 def filter_classes(boxes: DataFrame, dim: DataFrame) -> DataFrame:
     """Inner equi join on ``cls_id``; unmatched ids are dropped, ``detector_label`` added.
 
-    The class dimension is a fixed list of ten ids, so broadcasting it is always safe.
+    Spark broadcasts the class dimension if it is as small as it should be (it measures that).
     """
     d = dim.select("cls_id", F.col("class_name").alias("detector_label"))
-    return boxes.join(F.broadcast(d), on="cls_id", how="inner")
+    return boxes.join(d, on="cls_id", how="inner")
 
 
 def filter_confidence(boxes: DataFrame, conf: float = config.DETECT_CONF) -> DataFrame:

@@ -60,8 +60,6 @@ def to_sightings(dets: DataFrame, frames: DataFrame, *, detector_model: str | No
     )
 
 
-to_sighting = to_sightings  # survey name of P6
-
 
 def split_valid(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows violating NOT NULL (detected_at, image_path) go to rejects with a reason; the other

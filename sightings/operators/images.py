@@ -45,7 +45,8 @@ def frame_quality(frames: DataFrame, image_col: str = "image", low_std: float =
                   flat_ratio: float = config.FLAT_RATIO) -> DataFrame:
     """Adds ``is_corrupt`` and ``reason``. Undecodable / empty images are decided in SQL."""
     img = F.col(image_col)
-    empty = img.isNull() | (img["height"] <= 0) | (img["width"] <= 0) | (F.length(img["data"]) == 0)
+    # unknown sizes or bytes are no frame either
+    empty = F.coalesce(img.isNull() | (img["height"] <= 0) | (img["width"] <= 0) | (F.length(img["data"]) == 0), F.lit(True))
     q = _quality_udf(low_std, flat_ratio)(img)
     out = frames.withColumn("_q", F.when(~empty, q))
     return out.withColumn("is_corrupt", F.when(empty, F.lit(True)).otherwise(F.col("_q.is_corrupt"))) \
@@ -103,8 +104,6 @@ def crop_images(frames: DataFrame, dets: DataFrame, image_col: str = "image") ->
     return j.withColumn("crop", cut(F.col(image_col), "crop_x1", "crop_y1", "crop_x2", "crop_y2")).drop(image_col)
 
 
-crop = crop_images  # survey name of M7
-
 
 def annotate(frames: DataFrame, dets: DataFrame, image_col: str = "image") -> DataFrame:
     """Per frame with detections, the frame with a 2-px green box per detection (detector

@@ -57,10 +57,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def is_local_master(master: str | None) -> bool:
+    """True if driver and executors are one process."""
+    return (master or "").split("[")[0] == "local"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) a scratch folder is made and set.
+    A local session without one gets a scratch folder; on a cluster that would be a folder on each
+    machine's own disk, so there a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -68,6 +74,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not is_local_master(sc.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share (master {sc.master})")
         configured = tempfile.mkdtemp(prefix="sightings-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

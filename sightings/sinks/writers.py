@@ -18,6 +18,15 @@ from ..operators import corpus as CO
 from ..operators import events as EV
 from ..operators import facts as FA
 from ..operators import paths as PA
+from ..session import checkpoint_dir
+
+
+#: the columns of the fact table that a writer fills (fixed values: the table fills in its own id,
+#: created_at and review columns)
+INSERT_COLUMNS = (
+    "detected_at", "image_path", "detector_model", "detector_label", "detector_confidence", "classifier_model",
+    "classifier_label", "classifier_confidence", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2", "video_source",
+)
 
 
 def append_sightings(facts: DataFrame, path: str | None = None, *, jdbc: dict | None = None,
@@ -25,17 +34,20 @@ def append_sightings(facts: DataFrame, path: str | None = None, *, jdbc: dict |
     """K1: write valid fact rows, return the rejects (P7) for logging. A bad row never blocks the
     others.
 
-    Parquet: partitioned by ``detected_date`` (and ``batch_id`` for stream batches, written with
-    dynamic partition overwrite so a replayed batch id is idempotent). JDBC: batched appends.
+    The facts are computed once: they are written whole to the shared checkpoint folder, and both the
+    valid rows and the rejects come from there. Parquet: partitioned by ``detected_date`` (and
+    ``batch_id`` for stream batches, written with dynamic partition overwrite, so a replayed batch
+    replaces itself). JDBC: batched appends of ``INSERT_COLUMNS``; with a ``batch_id`` a marker in the
+    folder ``jdbc["batches"]`` makes a batch that was written before a no-op.
     """
-    ok, rejects = FA.split_valid(facts)
-    ok = ok.withColumn("detected_date", F.to_date("detected_at"))
+    spark = facts.sparkSession
+    scratch = f"{checkpoint_dir(spark)}/facts-{uuid.uuid4().hex}"
+    facts.write.parquet(scratch)
+    ok, rejects = FA.split_valid(spark.read.schema(facts.schema).parquet(scratch))
     if path is not None:
-        w = ok
-        parts = ["detected_date"]
-        mode = "append"
+        w, parts, mode = ok.withColumn("detected_date", F.to_date("detected_at")), ["detected_date"], "append"
         if batch_id is not None:
-            w = ok.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
+            w = w.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
             parts.append("batch_id")
             mode = "overwrite"
         # rebalance: rows of one date land together (few files per date) while AQE splits a hot date
@@ -43,9 +55,13 @@ def append_sightings(facts: DataFrame, path: str | None = None, *, jdbc: dict |
          .partitionBy(*parts).parquet(path))
     elif jdbc is not None:
         opts = dict(jdbc)
+        batches = opts.pop("batches", None)
         opts["dbtable"] = S.safe_identifier(opts["dbtable"])
-        ok.drop("detected_date", "created_at").write.format("jdbc").options(**opts).option("batchsize", "1000") \
-            .mode("append").save()
+        done = f"{batches}/batch-{batch_id}" if batches and batch_id is not None else None
+        if done is None or not _exists(spark, done):
+            ok.select(*INSERT_COLUMNS).write.format("jdbc").options(**opts).option("batchsize", "1000").mode("append").save()
+            if done is not None:
+                _put(spark, done, "")
     return rejects
 
 
@@ -57,56 +73,84 @@ def sightings_batch_writer(path: str):
     return write
 
 
-def write_events(events: DataFrame, path: str | None = None, *, kafka: dict | None = None) -> None:
+def write_events(events: DataFrame, path: str | None = None, *, kafka: dict | None = None,
+                 batch_id: int | None = None) -> None:
     """K2: one compact JSON message per frame with >= 1 detection (``events`` come from
-    ``build_events``, which only has such frames). Text files (one JSON per line) or Kafka."""
+    ``build_events``, which only has such frames). Text files (one JSON per line) or Kafka. A stream
+    gives its ``batch_id``: each batch has a folder of its own, so a replayed batch replaces its
+    messages. (Kafka delivers at least once; ``dedupe_events`` drops what comes twice.)"""
     msgs = EV.to_event_json(events).select(F.col("event_id").alias("key"), "value")
     if kafka is not None:
         msgs.write.format("kafka").options(**kafka).save()
+    elif batch_id is not None:
+        msgs.select("value", F.lit(int(batch_id)).alias("batch_id")).write.mode("overwrite") \
+            .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").text(path)
     else:
         msgs.select("value").write.mode("append").text(path)
 
 
+def events_batch_writer(path: str):
+    """``foreachBatch`` function for K2 in a stream."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_events(batch, path, batch_id=batch_id)
+
+    return write
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    return [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def _state_versions(spark: SparkSession, target: str) -> list[int]:
+    """The complete versions of a retained state, oldest first: those whose write was committed."""
+    return sorted(int(n.removeprefix("v-")) for n in _names(spark, target)
+                  if n.startswith("v-") and _exists(spark, f"{target}/{n}/_SUCCESS"))
 
 
 def read_state(spark: SparkSession, target: str) -> DataFrame | None:
     """Current retained state (K3) or None when nothing was published yet."""
-    fs, jvm = _fs(spark, target)
-    ptr = jvm.org.apache.hadoop.fs.Path(target + "/_CURRENT")
-    if not fs.exists(ptr):
-        return None
-    stream = fs.open(ptr)  # the pointer is one short line; Spark's file sources hide "_" files
-    try:
-        name = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
-    finally:
-        stream.close()
-    return spark.read.parquet(f"{target}/{name}")
-
-
-def upsert_state(events: DataFrame, target: str, key: str = "source", order: tuple[str, ...] = ("epoch_s", "event_id")) -> str:
+    versions = _state_versions(spark, target)
+    return spark.read.parquet(f"{target}/v-{versions[-1]:012d}") if versions else None
+
+
+def upsert_state(events: DataFrame, target: str, key: str = "source", order: tuple[str, ...] = ("epoch_s", "event_id"),
+                 keep_versions: int = 2) -> str:
     """K3: retained state - only the newest event per key survives (W8), merged with the current
-    state. Written to a new version directory, then the ``_CURRENT`` pointer is replaced (write
-    new, then swap), so readers see the old or the new state, never a partial one."""
+    state. Every write is a new version; the highest one that was committed is the state. Nothing is
+    swapped or overwritten, so a stop at any point leaves the state before or after it. One writer at
+    a time; versions older than the last ``keep_versions`` go, for readers that began earlier."""
     spark = events.sparkSession
+    versions = _state_versions(spark, target)
     cols = events.columns
-    current = read_state(spark, target)
-    merged = events if current is None else events.unionByName(current.select(*cols))
-    latest = EV.latest_per_key(merged, [key], list(order))
-    name = f"state-{uuid.uuid4().hex}"
-    latest.write.mode("overwrite").parquet(f"{target}/{name}")
-    fs, jvm = _fs(spark, target)
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{target}/_CURRENT.{uuid.uuid4().hex}.tmp")
-    out = fs.create(tmp, True)
-    out.write(bytearray(name.encode("utf-8")))
-    out.close()
-    dst = jvm.org.apache.hadoop.fs.Path(target + "/_CURRENT")
-    if fs.exists(dst):
-        fs.delete(dst, False)
-    fs.rename(tmp, dst)
+    merged = events if not versions else events.unionByName(read_state(spark, target).select(*cols))
+    name = f"v-{(versions[-1] if versions else 0) + 1:012d}"
+    EV.latest_per_key(merged, [key], list(order)).write.mode("overwrite").parquet(f"{target}/{name}")
+    for old in versions[:max(0, len(versions) + 1 - keep_versions)]:
+        _delete(spark, f"{target}/v-{old:012d}")
     return name
 
 
@@ -131,13 +175,34 @@ def write_crops(crops: DataFrame, root: str, existing: DataFrame | None = None)
 
 
 def write_annotated(annotated: DataFrame, root: str, keep: int = config.KEEP_LAST_ANNOTATED) -> DataFrame:
-    """K5: annotated frames (``frame_id, source, epoch_s, annotated``); only the newest ``keep``
-    per source are written (W3); returns the expired paths."""
-    files = annotated.withColumn("path", EV.annotated_path(F.timestamp_seconds("epoch_s"), root))
-    kept, expired = PA.retain_last_n(files, ["source"], "epoch_s", "path", keep)
-    kept.select("source", "path", "frame_id", F.col("annotated.data").alias("data")).hint("rebalance", "source") \
-        .write.mode("overwrite").partitionBy("source").parquet(root)
-    return expired.select("source", "path")
+    """K5: annotated frames (``frame_id, source, epoch_s, annotated``); the newest ``keep`` per source
+    survive (W3), those already below ``root`` included; returns the expired ``(source, path)``.
+
+    Two frames of a source in the same second share a path: the later one replaces the earlier. Only
+    narrow rows (source, path, time) are ranked, old and new together; pixels go straight from the
+    frames to their files, one folder per path, and only expired folders are removed.
+    """
+    spark = annotated.sparkSession
+    named = annotated.withColumn("path", EV.annotated_path(F.timestamp_seconds("epoch_s"), "detections")) \
+        .withColumn("file", F.sha2(F.concat_ws("/", F.coalesce("source", F.lit("")), "path"), 256))
+    narrow = named.groupBy("source", "path", "file").agg(F.max(F.struct("epoch_s", "frame_id")).alias("m")) \
+        .select("source", "path", "file", "m.*")
+    old = narrow.limit(0) if not _names(spark, root) else spark.read.schema(
+        "source string, path string, epoch_s double, frame_id bigint, data binary, file string").parquet(root).select(*narrow.columns)
+    both = old.join(narrow.select("file"), "file", "left_anti").select(*narrow.columns).withColumn("new", F.lit(False)) \
+        .unionByName(narrow.withColumn("new", F.lit(True)))
+    scratch = f"{checkpoint_dir(spark)}/retain-{uuid.uuid4().hex}"
+    PA.ranked_files(both, ["source"], "epoch_s", "path", keep).write.parquet(scratch)
+    ranked = spark.read.parquet(scratch)
+    fresh = ranked.where(F.col("new") & F.col("kept")).select(F.col("file").alias("_f"), F.col("frame_id").alias("_i"))
+    (named.join(fresh, (F.col("file") == F.col("_f")) & (F.col("frame_id") == F.col("_i")))
+     .select("source", F.concat(F.lit(f"{root}/"), F.regexp_extract("path", "[^/]*$", 0)).alias("path"), "epoch_s", "frame_id",
+             F.col("annotated.data").alias("data"), "file")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(root))
+    expired = ranked.where(~F.col("kept"))
+    for row in expired.where(~F.col("new")).select("file").toLocalIterator():  # one folder at a time
+        _delete(spark, f"{root}/file={row['file']}")
+    return expired.select("source", F.concat(F.lit(f"{root}/"), F.regexp_extract("path", "[^/]*$", 0)).alias("path"))
 
 
 def write_class_mapping(index: DataFrame, path: str) -> None:

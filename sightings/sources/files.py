@@ -4,7 +4,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from urllib.parse import quote
+from urllib.parse import quote, unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,21 +12,40 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 
-def read_frames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Decode image files (BGR). Returns ``(frames, rejects)``; an undecodable file becomes a
-    reject ``decode failed (<n> bytes)`` and never stops the scan. Zero-byte files are not listed by
-    Spark's file sources, so "empty response" can only come from an attempts table.
-    """
-    img = spark.read.format("image").option("dropInvalid", False).load(path)
-    frames = img.where(F.col("image.height") > 0).select(F.col("image.origin").alias("path"), "image")
-    bad = img.where(~(F.col("image.height") > 0)).select(F.col("image.origin").alias("path"))
-    # the two sources spell file URIs differently (file:/x vs file:///x): join on the path part
-    norm = lambda c: F.regexp_replace(F.col(c), "^[a-zA-Z][a-zA-Z0-9+.-]*:/+", "/")
-    sizes = spark.read.format("binaryFile").load(path).select(norm("path").alias("_k"), "length")  # no content read
-    rejects = bad.withColumn("_k", norm("path")).join(sizes, on="_k", how="left").select(
-        "path", F.concat(F.lit("decode failed ("), F.coalesce(F.col("length"), F.lit(0)).cast("string"),
-                         F.lit(" bytes)")).alias("reason"))
-    return frames, rejects
+FRAME_COLUMNS = ("path", "image", "source", "frame_id", "scheduled_at", "epoch_s", "grab_ms", "reason")
+_FRAME_TIME = r"frame_([0-9]{8}_[0-9]{6})[^/]*$"
+
+
+def with_frame_identity(img: DataFrame, source: str | None = None) -> DataFrame:
+    """Image rows as frames: ``source`` (given, or the folder the file is in), ``frame_id`` (hash of the
+    path), ``scheduled_at`` / ``epoch_s`` (the time in a name ``frame_yyyyMMdd_HHmmss``, else when the
+    file was written), ``grab_ms`` (null: a file isn't grabbed) and ``reason`` (null if decoded)."""
+    path = F.col("image.origin")
+    named = F.try_to_timestamp(F.regexp_extract(path, _FRAME_TIME, 1), F.lit("yyyyMMdd_HHmmss"))
+    when = F.coalesce(named, F.col("_metadata.file_modification_time"))
+    bad = F.col("image").isNull() | (F.col("image.height") <= 0)
+    return img.select(
+        path.alias("path"), "image",
+        (F.lit(source) if source is not None else F.element_at(F.split(path, "/"), -2)).alias("source"),
+        F.xxhash64(path).alias("frame_id"), when.alias("scheduled_at"),
+        (F.unix_micros(when) / F.lit(1_000_000.0)).cast("double").alias("epoch_s"), F.lit(None).cast("double").alias("grab_ms"),
+        F.when(F.coalesce(bad, F.lit(True)), F.concat(
+            F.lit("decode failed ("), F.col("_metadata.file_size").cast("string"), F.lit(" bytes)"))).alias("reason"))
+
+
+def scan_frames(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
+    """S1 in one scan: every image file as a frame, undecodable ones with a ``reason``."""
+    return with_frame_identity(spark.read.format("image").option("dropInvalid", False).load(path), source)
+
+
+def read_frames(spark: SparkSession, path: str, source: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(frames, rejects)`` of ``scan_frames``; an undecodable file becomes a reject
+    ``decode failed (<n> bytes)`` and never stops the scan. Zero-byte files are not listed by Spark's
+    file sources, so "empty response" can only come from an attempts table. A job that needs both
+    sides should keep ``scan_frames`` and split what it has written."""
+    seen = scan_frames(spark, path, source)
+    return seen.where(F.col("reason").isNull()).drop("reason"), \
+        seen.where(F.col("reason").isNotNull()).select("path", "source", "scheduled_at", "reason")
 
 
 def read_labelled_images(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
@@ -59,41 +78,42 @@ def read_class_mapping(spark: SparkSession, path: str) -> DataFrame:
         .select(F.col("key").cast("int").alias("idx"), F.col("value").alias("class_name"))
 
 
+def _from_dsn(dsn: str) -> dict[str, str]:
+    """JDBC options of a database URL: user and password leave the URL, all else stays."""
+    if dsn.startswith("jdbc:"):
+        return {"url": dsn}
+    parts = urlsplit(dsn)
+    host = parts.hostname or ""
+    host = f"[{host}]" if ":" in host else host
+    url = f"jdbc:postgresql://{host}{f':{parts.port}' if parts.port else ''}{parts.path}"
+    opts = {"url": url + (f"?{parts.query}" if parts.query else "")}
+    for name, value in (("user", parts.username), ("password", parts.password)):
+        if value is not None:
+            opts[name] = unquote(value)
+    return opts
+
+
+def _whole_number(text: str | None) -> str | None:
+    t = (text or "").strip()
+    return str(int(t)) if t.isdecimal() else None
+
+
 def jdbc_options(settings: Mapping[str, str | None], table: str) -> dict[str, str]:
     """S4 connection options from env-style settings. ``DATABASE_URL`` wins; otherwise PGHOST,
     PGDATABASE and PGUSER are required, PGPORT / PGCONNECT_TIMEOUT parse leniently (invalid ->
     unset), PGPASSWORD / PGSSLMODE are optional. The table name must be a safe identifier."""
-    def get(k):
-        v = settings.get(k)
-        return v if v else None
-
-    def as_int(k):
-        v = get(k)
-        try:
-            return int(v.strip()) if v else None
-        except ValueError:
-            return None
-
     opts: dict[str, str] = {"dbtable": S.safe_identifier(table), "driver": "org.postgresql.Driver"}
-    dsn = get("DATABASE_URL")
-    if dsn:
-        url = dsn if dsn.startswith("jdbc:") else "jdbc:" + dsn.replace("postgres://", "postgresql://", 1)
-        opts["url"] = url
-        return opts
-    missing = [k for k in ("PGHOST", "PGDATABASE", "PGUSER") if not get(k)]
-    if missing:
-        raise ValueError("Missing required Postgres settings. Provide DATABASE_URL or set: " + ", ".join(missing))
-    port = as_int("PGPORT")
-    host = get("PGHOST") + (f":{port}" if port is not None else "")
-    params = {"ApplicationName": settings.get("PGAPPLICATION_NAME") or "sightings"}
-    if get("PGSSLMODE"):
-        params["sslmode"] = get("PGSSLMODE")
-    timeout = as_int("PGCONNECT_TIMEOUT")
-    if timeout is not None:
-        params["connectTimeout"] = str(timeout)
-    query = "&".join(f"{k}={quote(v)}" for k, v in params.items())
-    opts["url"] = f"jdbc:postgresql://{host}/{get('PGDATABASE')}?{query}"
-    opts["user"] = get("PGUSER")
+    if settings.get("DATABASE_URL"):
+        return opts | _from_dsn(settings["DATABASE_URL"])
+    host, database, user = (settings.get(k) or "" for k in ("PGHOST", "PGDATABASE", "PGUSER"))
+    if not (host and database and user):
+        unset = [k for k, v in (("PGHOST", host), ("PGDATABASE", database), ("PGUSER", user)) if not v]
+        raise ValueError(f"no database to connect to: {' and '.join(unset)} not set, nor DATABASE_URL")
+    port, timeout = _whole_number(settings.get("PGPORT")), _whole_number(settings.get("PGCONNECT_TIMEOUT"))
+    params = {"ApplicationName": settings.get("PGAPPLICATION_NAME") or "sightings",
+              "sslmode": settings.get("PGSSLMODE"), "connectTimeout": timeout}
+    query = "&".join(f"{k}={quote(v)}" for k, v in params.items() if v)
+    opts |= {"url": f"jdbc:postgresql://{host}{f':{port}' if port else ''}/{database}?{query}", "user": user}
     if settings.get("PGPASSWORD") is not None:
         opts["password"] = settings["PGPASSWORD"]
     return opts

@@ -25,6 +25,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from .. import config
 from ..operators import events as EV
 from ..operators.images import IMAGE_TYPE
+from ..sources.files import with_frame_identity
 
 ATTEMPT_SCHEMA = "attempt_id LONG, source STRING, ts TIMESTAMP, ok BOOLEAN"
 BEST_SCHEMA = "frame_id LONG, source STRING, epoch_s DOUBLE, best_species STRING, best_species_conf DOUBLE"
@@ -32,12 +33,13 @@ BEST_SCHEMA = "frame_id LONG, source STRING, epoch_s DOUBLE, best_species STRING
 
 # ---- S6 sources ---------------------------------------------------------------------------
 
-def stream_frames(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """New image files as frames (BGR image struct); undecodable files have height -1."""
+def stream_frames(spark: SparkSession, path: str, max_files: int | None = None, source: str | None = None) -> DataFrame:
+    """New image files as frames with identity and time (S1's columns); undecodable files carry a
+    ``reason``."""
     r = spark.readStream.format("image").schema(T.StructType([T.StructField("image", IMAGE_TYPE)]))
     if max_files:
         r = r.option("maxFilesPerTrigger", str(max_files))
-    return r.load(path).select(F.col("image.origin").alias("path"), "image")
+    return with_frame_identity(r.load(path), source)
 
 
 def stream_events(spark: SparkSession, path: str, max_files: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -57,6 +57,44 @@ def test_two_stage(spark):
     assert best.count() == 4
 
 
+def test_two_stage_runs_models_once_and_keeps_reasons(spark):
+    d = tempfile.mkdtemp(prefix="sightings-m8c-")
+    for name, data in fixture_images().items():
+        with open(os.path.join(d, name), "wb") as fh:
+            fh.write(data)
+    calls = tempfile.mkdtemp(prefix="sightings-m8calls-")
+
+    def counting():
+        def detect(a):
+            with open(os.path.join(calls, "calls"), "a") as fh:
+                fh.write("x")
+            if a[0, 0, 0] % 2:
+                raise RuntimeError("no luck")
+            return [(14, 0.9, 5.0, 6.0, 30.0, 25.0), (14, 0.1, 1, 1, 2, 2)]
+        return detect
+
+    def broken():
+        def classify(x):
+            raise ValueError("bad input")
+        return classify
+
+    frames = FS.scan_frames(spark, d)
+    dets, best, seen = INF.run_two_stage(frames, X.class_dim(spark), counting, "counting", broken, "broken", size=8, keep_crops=True)
+    for _ in range(3):  # however many sinks read it
+        rows, table = dets.collect(), seen.collect()
+        best.count()
+    good = [r for r in table if not r.is_corrupt]
+    assert len(table) == frames.count() and len(open(os.path.join(calls, "calls")).read()) == len(good)
+    assert {r.reason for r in table if r.is_corrupt} and all(r.reason for r in table if r.is_corrupt)
+    failed = [r for r in good if r.error]
+    assert all(r.error == "detector: RuntimeError: no luck" and r.detections == 0 for r in failed)
+    assert all(r.detect_ms >= 0 and r.detections == 1 for r in good if not r.error)
+    assert len(rows) == len(good) - len(failed)
+    for r in rows:
+        assert r.species is None and r.species_confidence is None and r.error == "classifier: ValueError: bad input"
+        assert len(r.crop.data) == r.crop.height * r.crop.width * 3
+
+
 def test_train_and_evaluate(spark):
     emb = X.logits(spark, SF01).withColumnRenamed("logits", "embedding")
     model, train, val = TR.train_species_classifier(emb, max_iter=50)

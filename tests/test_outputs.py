@@ -44,7 +44,7 @@ def test_write_events_lines_parse_back(spark):
 def _frames_and_dets(spark):
     frames, _ = FS.read_frames(spark, _png_dir())
     frames = frames.withColumn("frame_id", F.xxhash64("path")).withColumn(
-        "source", F.lit("cam_0")).withColumn("epoch_s", F.lit(1704067200.0) + F.abs(F.col("frame_id") % 100))
+        "source", F.lit("cam_0")).withColumn("epoch_s", F.lit(1704067200.0) + F.abs(F.col("frame_id") % 1000000))  # a second of its own for each
     boxes = frames.select("frame_id", F.lit(0).alias("det_idx"), F.lit("bird").alias("detector_label"),
                           F.lit(0.9).cast("float").alias("confidence"), F.array(F.lit(2), F.lit(3), F.lit(20), F.lit(15)).alias("bbox"),
                           F.lit("blue jay").alias("species"), F.lit(0.8).cast("float").alias("species_confidence"))
@@ -68,6 +68,63 @@ def test_write_crops_and_annotated(spark):
     assert expired.count() == 2 and spark.read.parquet(root + "/detections").count() == 4
 
 
+def _annotated(spark, rows):
+    img = F.struct(F.lit("o").alias("origin"), F.lit(1).alias("height"), F.lit(1).alias("width"), F.lit(3).alias("nChannels"),
+                   F.lit(16).alias("mode"), F.col("data"))
+    return spark.createDataFrame(rows, "frame_id long, source string, epoch_s double, data binary").withColumn("annotated", img).drop("data")
+
+
+def test_retention_counts_files_already_there(spark):
+    root = tempfile.mkdtemp(prefix="sightings-k5-") + "/annotated"
+    t = 1704067200.0
+    W.write_annotated(_annotated(spark, [(i, "cam_0", t + i, b"a") for i in range(3)]), root, keep=10)
+    W.write_annotated(_annotated(spark, [(10, "cam_1", t, b"b"), (11, None, t, b"c"), (12, None, t, b"d")]), root, keep=10)
+    seen = {(r.source, r.epoch_s, bytes(r.data)) for r in spark.read.parquet(root).collect()}
+    # another camera's frames stay; of two frames in one second the later one has the path
+    assert seen == {("cam_0", t, b"a"), ("cam_0", t + 1, b"a"), ("cam_0", t + 2, b"a"), ("cam_1", t, b"b"), (None, t, b"d")}
+    expired = W.write_annotated(_annotated(spark, [(20, "cam_0", t + 9, b"n")]), root, keep=2)
+    assert expired.count() == 2
+    seen = {(r.source, r.epoch_s) for r in spark.read.parquet(root).collect()}
+    assert seen == {("cam_0", t + 2), ("cam_0", t + 9), ("cam_1", t), (None, t)}
+
+
+def test_replayed_event_batch_replaces_itself(spark):
+    ev = EV.build_events(X.frames(spark, SF001), C.kept_detections(spark, SF001))
+    out = tempfile.mkdtemp(prefix="sightings-k2r-") + "/events"
+    write = W.events_batch_writer(out)
+    for batch in (0, 1, 1, 0):
+        write(ev, batch)
+    assert spark.read.text(out).count() == 2 * ev.count()
+
+
+def test_state_survives_a_stop_during_a_write(spark):
+    target = tempfile.mkdtemp(prefix="sightings-k3-") + "/state"
+    one = spark.createDataFrame([("a", "e1", 9.0)], "source string, event_id string, epoch_s double")
+    W.upsert_state(one, target)
+    # a version whose write never committed is no state
+    one.withColumn("epoch_s", F.lit(99.0)).write.parquet(target + "/v-000000000002")
+    os.remove(target + "/v-000000000002/_SUCCESS")
+    assert W.read_state(spark, target).first().epoch_s == 9.0
+    W.upsert_state(spark.createDataFrame([("a", "e0", 1.0), ("b", "x", 2.0)], one.schema), target)
+    assert {(r.source, r.epoch_s) for r in W.read_state(spark, target).collect()} == {("a", 9.0), ("b", 2.0)}
+
+
+def test_frames_have_identity_and_time(spark):
+    d = tempfile.mkdtemp(prefix="sightings-s1-")
+    os.makedirs(d + "/cam_7")
+    for name, data in list(fixture_images().items())[:2]:
+        with open(f"{d}/cam_7/frame_20240102_030405{name[-4:] if len(name) > 4 else ''}", "wb") as fh:
+            fh.write(data)
+        break
+    with open(f"{d}/cam_7/bad.png", "wb") as fh:
+        fh.write(b"junk")
+    frames, rejects = FS.read_frames(spark, d + "/cam_7")
+    f = frames.first()
+    assert f.source == "cam_7" and f.epoch_s == 1704164645.0 and f.frame_id is not None and f.grab_ms is None
+    r = rejects.first()
+    assert r.reason == "decode failed (4 bytes)" and r.scheduled_at is not None
+
+
 def test_detections_batch_and_image_stream(spark):
     d = _png_dir()
     seen = {}
@@ -87,8 +144,6 @@ def test_detections_batch_and_image_stream(spark):
 
 def test_survey_names(spark):
     from sightings.operators import corpus as CO
-    from sightings.operators import facts as FA
-    assert FA.to_sighting is FA.to_sightings and IM.crop is IM.crop_images and ST.state_stream is ST.latest_state_stream
     s = spark.createDataFrame([(f"p{i}",) for i in range(50)], "path string")
     a = [r[0] for r in CO.shuffle(s, 3).collect()]
     b = [r[0] for r in CO.shuffle(s, 3).collect()]

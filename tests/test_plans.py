@@ -22,7 +22,7 @@ def plan(df) -> str:
     return buf.getvalue()
 
 
-def test_class_join_broadcasts_fixed_dimension_only(spark):
+def test_class_join_is_broadcast_by_its_size(spark):
     p = plan(D.filter_classes(X.boxes(spark, SF01), X.class_dim(spark)))
     assert "BroadcastHashJoin" in p
 
@@ -65,3 +65,29 @@ def test_labelled_image_scan_does_not_read_bytes(spark):
     from sightings.sources import files as FS
     p = plan(FS.read_labelled_images(spark, root))
     assert "content" not in p.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    import pytest
+
+    from sightings import session
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())
+    assert session.is_local_master("local[8]") and not session.is_local_master("local-cluster[3,2,1024]")

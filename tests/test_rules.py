@@ -129,7 +129,8 @@ def test_jdbc_options():
     o = FS.jdbc_options({"PGHOST": "db", "PGPORT": "x", "PGDATABASE": "w", "PGUSER": "u", "PGPASSWORD": "p",
                          "PGSSLMODE": "require", "PGCONNECT_TIMEOUT": "5"}, "wildlife")
     assert o["url"] == "jdbc:postgresql://db/w?ApplicationName=sightings&sslmode=require&connectTimeout=5"
-    assert FS.jdbc_options({"DATABASE_URL": "postgresql://u:p@h:5432/d"}, "t")["url"] == "jdbc:postgresql://u:p@h:5432/d"
+    o = FS.jdbc_options({"DATABASE_URL": "postgresql://u:p%40x@h:5432/d?sslmode=require"}, "t")
+    assert (o["url"], o["user"], o["password"]) == ("jdbc:postgresql://h:5432/d?sslmode=require", "u", "p@x")
     import pytest
     with pytest.raises(ValueError):
         FS.jdbc_options({"PGHOST": "db"}, "wildlife")
