@@ -19,6 +19,7 @@ from ..operators import detections as D
 from ..operators import events as EV
 from ..operators import facts as FA
 from ..operators import images as IM
+from ..operators import inference as INF
 from ..operators import paths as PA
 from ..operators import training as TR
 from ..operators import vectors as VE
@@ -558,11 +559,14 @@ def q_sighting_rows(spark, sf_dir):
     "reject_rows",
     with_dets("frames", "reviews") + FACTS_SQL
     + """SELECT source, frame_id, det_idx,
-       CASE WHEN detected_at IS NULL THEN 'detected_at is null' ELSE 'image_path is null' END AS reject_reason
-FROM facts WHERE detected_at IS NULL OR image_path IS NULL""",
+       CASE WHEN frame_id % 50 = 0 THEN 'detected_at is null' ELSE 'image_path is null' END AS reject_reason
+FROM facts WHERE frame_id % 50 = 0 OR frame_id % 53 = 0""",
 )
 def q_reject_rows(spark, sf_dir):
-    _ok, rejects = FA.split_valid(sightings(spark, sf_dir))
+    holes = sightings(spark, sf_dir).withColumns({
+        "detected_at": F.when(F.col("frame_id") % 50 != 0, F.col("detected_at")),
+        "image_path": F.when(F.col("frame_id") % 53 != 0, F.col("image_path"))})
+    _ok, rejects = FA.split_valid(holes)
     return rejects.select("source", "frame_id", "det_idx", "reject_reason")
 
 
@@ -921,3 +925,207 @@ def q_classifier_eval(spark, sf_dir):
     model, _train, val = TR.train_species_classifier(emb, max_iter=50)
     metrics, _confusion = TR.evaluate(model, val)
     return metrics
+
+
+# ---- branches that the queries above don't reach ---------------------------------------------
+
+@register(
+    "lenient_parse_forms",
+    """SELECT event_id,
+       CASE event_id % 5 WHEN 0 THEN user_id WHEN 1 THEN user_id * 10 + 5 WHEN 2 THEN user_id WHEN 4 THEN 12 ELSE -1 END AS as_int,
+       CASE event_id % 5 WHEN 0 THEN user_id + CAST(0.5 AS DOUBLE) WHEN 1 THEN user_id * CAST(100 AS DOUBLE)
+            WHEN 2 THEN CAST(10.25 AS DOUBLE) WHEN 4 THEN CAST(0.25 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS as_float,
+       event_id % 4 IN (0, 1) AS as_bool
+FROM events""",
+)
+def q_lenient_parse_forms(spark, sf_dir):
+    u, k = F.col("user_id").cast("string"), F.col("event_id") % 5
+    whole = (F.when(k == 0, F.concat(F.lit("\u00a0"), u, F.lit("\u2003"))).when(k == 1, F.concat(u, F.lit("_5"))).when(k == 2, F.concat(F.lit("+"), u))
+             .when(k == 4, F.lit("\uff11\uff12")).otherwise(F.concat(F.lit("x"), u)))
+    real = (F.when(k == 0, F.concat(u, F.lit(".5"))).when(k == 1, F.concat(F.lit("\t"), u, F.lit("e2"))).when(k == 2, F.lit("1_0.25"))
+            .when(k == 4, F.lit(" .25")).otherwise(F.lit("1__0")))
+    word = F.element_at(F.array(F.lit(" Yes "), F.lit("\u00a0ON"), F.lit("nope"), F.lit("")), (F.col("event_id") % 4 + 1).cast("int"))
+    e = read_table(spark, sf_dir, "events", ["event_id", "user_id"])
+    return e.select("event_id", S.parse_int(whole, -1).alias("as_int"), S.parse_float(real, -1.0).alias("as_float"), S.parse_bool(word).alias("as_bool"))
+
+
+@register(
+    "split_membership",
+    X.with_views("corpus") + CLASS_COUNTS_SQL + _index_sql("idx5", 5)
+    + """SELECT c.path, CAST(1 AS BIGINT) AS sides FROM corpus c JOIN idx5 i ON i.class_name = c.class_name
+WHERE c.path LIKE '%.jpg' OR c.path LIKE '%.png'""",
+)
+def q_split_membership(spark, sf_dir):
+    """O2: the sides are disjoint and cover all samples."""
+    samples = CO.sample_index(X.corpus(spark, sf_dir), corpus_index(spark, sf_dir))
+    train, val = CO.split_exact(samples, config.TRAIN_FRACTION, SPLIT_SEED)
+    both = train.withColumn("side", F.lit("train")).unionByName(val.withColumn("side", F.lit("val")))
+    return both.groupBy("path").agg(F.count("side").alias("sides"))
+
+
+FRACTION_FRAMES = "(SELECT frame_id, source, epoch_s + (frame_id % 8) * CAST(0.125 AS DOUBLE) AS epoch_s FROM frames)"
+
+
+@register(
+    "event_fields_fraction",
+    with_dets("frames")
+    + f"""SELECT frame_id, {FILE_TS_SQL} || '-' || CAST(CAST(trunc(epoch_s * 1000) AS BIGINT) AS VARCHAR) AS event_id,
+       strftime({TS_SQL}, '%Y-%m-%dT%H:%M:%S')
+         || CASE WHEN epoch_s = floor(epoch_s) THEN '' ELSE strftime({TS_SQL}, '.%f') END || '+00:00' AS ts
+FROM {FRACTION_FRAMES} f WHERE EXISTS (SELECT 1 FROM dets d WHERE d.frame_id = f.frame_id)""",
+)
+def q_event_fields_fraction(spark, sf_dir):
+    fr = X.frames(spark, sf_dir).withColumn("epoch_s", F.col("epoch_s") + (F.col("frame_id") % 8) * F.lit(0.125))
+    return EV.build_events(fr, kept_detections(spark, sf_dir)).select("frame_id", "event_id", "ts")
+
+
+@register(
+    "sightings_short_bbox",
+    with_dets("frames", "reviews") + FACTS_SQL
+    + """SELECT source, frame_id, det_idx, CASE WHEN det_idx % 2 = 0 THEN bbox_x1 END AS bbox_x1,
+       CASE WHEN det_idx % 2 = 0 THEN bbox_y2 END AS bbox_y2 FROM facts""",
+)
+def q_sightings_short_bbox(spark, sf_dir):
+    dets = D.detections(X.reviewed_boxes(spark, sf_dir), X.class_dim(spark), config.DETECT_CONF)
+    short = dets.withColumn("bbox", F.when(F.col("det_idx") % 2 == 0, F.col("bbox")).otherwise(F.slice("bbox", 1, 3)))
+    return FA.to_sightings(short, X.frames(spark, sf_dir)).select("source", "frame_id", "det_idx", "bbox_x1", "bbox_y2")
+
+
+@register(
+    "flat_events",
+    with_dets("frames")
+    + """SELECT 'e-' || CAST(d.frame_id AS VARCHAR) || '-' || CAST(d.det_idx AS VARCHAR) AS event_id, f.source, f.epoch_s, d.species AS best_species,
+       CAST(d.species_confidence AS DOUBLE) AS best_species_conf, d.detector_label AS class, CAST(d.confidence AS DOUBLE) AS confidence,
+       'p/' || CAST(d.frame_id AS VARCHAR) AS annotated_image_path, 2 AS schema_version
+FROM dets d JOIN frames f ON f.frame_id = d.frame_id""",
+)
+def q_flat_events(spark, sf_dir):
+    """S3: the flat version, one detection a message."""
+    d = kept_detections(spark, sf_dir).join(X.frames(spark, sf_dir).select("frame_id", "source", "epoch_s"), "frame_id")
+    flat = F.to_json(F.struct(
+        F.concat_ws("-", F.lit("e"), "frame_id", "det_idx").alias("event_id"), F.lit("2024-01-01T00:00:00+00:00").alias("ts"), "epoch_s", "source",
+        F.col("detector_label").alias("yolo_label"), F.col("confidence").cast("double").alias("yolo_conf"), "species",
+        F.col("species_confidence").cast("double").alias("species_conf"), F.concat(F.lit("p/"), F.col("frame_id").cast("string")).alias("annotated_image")),
+        {"ignoreNullFields": "false"})
+    events, _rejects = EV.read_events(d.select(flat.alias("value")))
+    return events.select("event_id", "source", "epoch_s", "best_species", "best_species_conf", F.col("detections")[0]["class"].alias("class"),
+                         F.col("detections")[0]["confidence"].alias("confidence"), "annotated_image_path", "schema_version")
+
+
+@register(
+    "mapping_fingerprint_escaped",
+    X.with_views("corpus") + CLASS_COUNTS_SQL + _index_sql("idx5", 5)
+    + """SELECT count(*) AS n_classes,
+       sha256('{' || string_agg('"gr\\u00f6\\u00dfe_\\ud83d\\udc26' || class_name || '":' || CAST(idx AS VARCHAR), ',' ORDER BY class_name) || '}')[1:12]
+         AS fingerprint
+FROM idx5""",
+)
+def q_mapping_fingerprint_escaped(spark, sf_dir):
+    index = corpus_index(spark, sf_dir)
+    return CO.mapping_fingerprint(index.withColumn("class_name", F.concat(F.lit("gr\u00f6\u00dfe_\U0001f426"), F.col("class_name"))))
+
+
+@register(
+    "mapping_mismatch",
+    X.with_views("corpus") + CLASS_COUNTS_SQL + _index_sql("idx5", 5) + _index_sql("idx3", 3)
+    + """, fp AS (SELECT 'old' AS side, count(*) AS n, sha256('{' || string_agg('"' || class_name || '":' || CAST(idx AS VARCHAR), ',' ORDER BY class_name) || '}')[1:12] AS fp FROM idx5
+UNION ALL SELECT 'new', count(*), sha256('{' || string_agg('"' || class_name || '":' || CAST(idx AS VARCHAR), ',' ORDER BY class_name) || '}')[1:12] FROM idx3)
+SELECT o.n AS old_classes, w.n AS new_classes, o.fp AS old_fp, w.fp AS new_fp, o.n <> w.n OR o.fp <> w.fp AS mismatch
+FROM fp o, fp w WHERE o.side = 'old' AND w.side = 'new'""",
+)
+def q_mapping_mismatch(spark, sf_dir):
+    counts = corpus_counts(spark, sf_dir)
+    return CO.mapping_mismatch(CO.class_index(CO.valid_classes(counts, 5)), CO.class_index(CO.valid_classes(counts, 3))).select(
+        "old_classes", "new_classes", "old_fp", "new_fp", "mismatch")
+
+
+@register(
+    "for_species",
+    with_dets("frames", "reviews") + FACTS_SQL
+    + "SELECT source, frame_id, det_idx, classifier_confidence FROM facts WHERE classifier_label = 'promo'",
+)
+def q_for_species(spark, sf_dir):
+    return FA.for_species(sightings(spark, sf_dir), "promo").select("source", "frame_id", "det_idx", "classifier_confidence")
+
+
+@register(
+    "names_and_masks",
+    X.with_views("frames")
+    + """SELECT frame_id, frame_id % 3 <> 0 AS safe,
+       CASE frame_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE '***' END AS masked,
+       CASE WHEN frame_id % 5 = 0 THEN 'http://other/x.jpg' ELSE 'http://host-' || CAST(frame_id % 7 AS VARCHAR) || '/api/' || source || '/latest.jpg' END AS url
+FROM frames""",
+)
+def q_names_and_masks(spark, sf_dir):
+    """F16, F19, F20."""
+    k = F.col("frame_id")
+    name = F.concat(F.lit(" sightings_"), k.cast("string"), F.when(k % 3 == 0, F.lit("-drop")).otherwise(F.lit("")))
+    secret = F.when(k % 4 == 1, F.lit("")).when(k % 4 != 0, F.concat(F.lit("pw"), k.cast("string")))
+    host = F.concat(F.lit("host-"), (k % 7).cast("string"))
+    return X.frames(spark, sf_dir).select(
+        "frame_id", S.is_safe_identifier(name).alias("safe"), S.mask_secret(secret).alias("masked"),
+        S.snapshot_url(host, "source", F.when(k % 5 == 0, F.lit("http://other/x.jpg"))).alias("url"))
+
+
+PIXELS_SQL = """, px AS (SELECT vec_id, CAST(floor(CAST(x AS DOUBLE) * 16.0) AS BIGINT) + 128 AS v, (i - 1) // 8 AS r, (i - 1) % 8 AS c
+            FROM (SELECT vec_id, unnest(logits) AS x, generate_subscripts(logits, 1) AS i FROM logits) u)
+"""
+
+
+@register(
+    "frame_crops",
+    X.with_views("logits") + PIXELS_SQL
+    + """SELECT vec_id AS frame_id, string_agg(repeat(lower(lpad(to_hex(v), 2, '0')), 3), '' ORDER BY r, c) AS pixels
+FROM px WHERE c >= vec_id % 3 AND c < 7 AND r >= 1 AND r < 5 + vec_id % 4 GROUP BY vec_id""",
+)
+def q_frame_crops(spark, sf_dir):
+    """M7 over the 8 x 8 frames: windows that differ by frame."""
+    frames = embedding_frames(spark, sf_dir).withColumnRenamed("vec_id", "frame_id")
+    k = F.col("frame_id")
+    windows = frames.select("frame_id", F.lit(0).alias("det_idx"), (k % 3).cast("int").alias("crop_x1"), F.lit(1).alias("crop_y1"),
+                            F.lit(7).alias("crop_x2"), (5 + k % 4).cast("int").alias("crop_y2"))
+    return IM.crop_images(frames, windows).select("frame_id", F.lower(F.hex("crop.data")).alias("pixels"))
+
+
+@register(
+    "frame_tensors",
+    X.with_views("logits") + PIXELS_SQL
+    + """SELECT vec_id, r * 8 + c AS at,
+       CAST(round((CAST(v AS DOUBLE) / 255 - 0.485) / 0.229, 4) AS DOUBLE) AS red,
+       CAST(round((CAST(v AS DOUBLE) / 255 - 0.406) / 0.225, 4) AS DOUBLE) AS blue
+FROM px WHERE (r + c) % 5 = 0""",
+)
+def q_frame_tensors(spark, sf_dir):
+    """M1 over the 8 x 8 frames at their own size (CHW: red first), to four decimals."""
+    t = IM.tensorize(embedding_frames(spark, sf_dir), size=8)
+    cells = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct(
+        i.cast("bigint").alias("at"), F.element_at("tensor", i + 1).cast("double").alias("red"), F.element_at("tensor", i + 129).cast("double").alias("blue")))
+    return t.select("vec_id", F.inline(cells)).where((F.floor(F.col("at") / 8) + F.col("at") % 8) % 5 == 0).select(
+        "vec_id", "at", F.round("red", 4).alias("red"), F.round("blue", 4).alias("blue"))
+
+
+def _corner_detector():
+    """Two boxes whose confidences are read off the frame, and one of a class that P2 drops."""
+    return lambda a: [(14, (int(a[0, 0, 0]) % 64) / 64, 1.9, 2.0, 6.0, 7.0), (15, (int(a[0, 1, 0]) % 64) / 64, 0.0, 0.0, 8.0, 8.0), (3, 0.9, 0, 0, 4, 4)]
+
+
+@register(
+    "two_stage_boxes",
+    X.with_views("logits") + PIXELS_SQL
+    + """, nd AS (SELECT vec_id, count(DISTINCT v) AS n_distinct FROM px GROUP BY vec_id),
+rw AS (SELECT vec_id, r, count(*) AS n, sum(v) AS s, sum(v * v) AS ss FROM px WHERE r >= 4 GROUP BY vec_id, r),
+fl AS (SELECT vec_id, sum(CASE WHEN n * ss - s * s < 4 * n * n THEN 1 ELSE 0 END) AS n_flat, count(*) AS n_rows FROM rw GROUP BY vec_id),
+good AS (SELECT nd.vec_id FROM nd JOIN fl ON fl.vec_id = nd.vec_id
+         WHERE nd.n_distinct > 1 AND CAST(fl.n_flat AS DOUBLE) / greatest(fl.n_rows, 1) <= 0.3),
+bx AS (SELECT p.vec_id AS frame_id, CAST(p.c AS INTEGER) AS det_idx, CASE WHEN p.c = 0 THEN 'bird' ELSE 'cat' END AS detector_label,
+              CAST((p.v % 64) / CAST(64 AS DOUBLE) AS FLOAT) AS confidence, p.c
+       FROM px p JOIN good g ON g.vec_id = p.vec_id WHERE p.r = 0 AND p.c < 2)
+SELECT frame_id, det_idx, detector_label, confidence, CASE WHEN c = 0 THEN 1 ELSE 0 END AS bbox_x1,
+       0 AS crop_x1, CASE WHEN c = 0 THEN 7 ELSE 8 END AS crop_x2, CASE WHEN c = 0 THEN 8 ELSE 8 END AS crop_y2
+FROM bx WHERE confidence > 0.25""",
+)
+def q_two_stage_boxes(spark, sf_dir):
+    """M8 without a classifier over the 8 x 8 frames, padding 1."""
+    frames = embedding_frames(spark, sf_dir).withColumnRenamed("vec_id", "frame_id")
+    dets, _best = INF.two_stage(frames, X.class_dim(spark), _corner_detector, "corner", padding=1)
+    return dets.select("frame_id", "det_idx", "detector_label", "confidence", "bbox_x1", "crop_x1", "crop_x2", "crop_y2")
