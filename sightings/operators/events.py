@@ -91,11 +91,10 @@ def read_events(df: DataFrame, json_col: str = "value") -> tuple[DataFrame, Data
 
     Returns ``(events, rejects)``; rejects keep the raw text and a reason.
     """
-    parsed = df.withColumn(
-        "_e",
+    # exploding an array of one keeps the optimizer from copying the parse into every use of its result
+    parsed = df.select("*", F.explode(F.array(
         F.from_json(F.col(json_col), EVENT_SCHEMA,
-                    {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}),
-    )
+                    {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))).alias("_e"))
     bad = F.col("_e").isNull() | F.col("_e._corrupt_record").isNotNull() | F.col("_e.event_id").isNull()
     flat_det = F.array(F.struct(
         F.col("_e.yolo_label").alias("class"),

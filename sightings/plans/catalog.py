@@ -640,7 +640,7 @@ def q_label_agreement(spark, sf_dir):
 FROM frames GROUP BY 1, 2""",
 )
 def q_stage_latency(spark, sf_dir):
-    return FA.stage_latency(X.frames(spark, sf_dir))
+    return FA.stage_latency(X.frames(spark, sf_dir), exact=True)
 
 
 @register(

@@ -91,3 +91,15 @@ def test_a_cluster_without_a_shared_folder_is_refused():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Session())
     assert session.is_local_master("local[8]") and not session.is_local_master("local-cluster[3,2,1024]")
+
+
+def test_events_are_parsed_once(spark):
+    from sightings.operators import events as EV
+    events, rejects = EV.read_events(spark.createDataFrame([("{}",)], "value string"))
+    for side in (events.select("event_id", "ts", "detections"), rejects):
+        assert side._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_species_by_time_rolls_up_hourly_rows(spark):
+    p = plan(FA.species_by_time(C.sightings(spark, SF01)))
+    assert p.count("Expand") <= 2 and p.index("partial_count(1)") > 0  # one Expand, listed in the tree and below it

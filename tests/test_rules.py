@@ -144,7 +144,7 @@ def test_approximate_variants_track_exact(spark):
     from tests.conftest import SF01
 
     f = X.frames(spark, SF01)
-    ex = {(r["source"], r["bucket"]): r for r in FA.stage_latency(f).collect()}
+    ex = {(r["source"], r["bucket"]): r for r in FA.stage_latency(f, exact=True).collect()}
     ap = {(r["source"], r["bucket"]): r for r in FA.stage_latency(f, exact=False).collect()}
     assert ex.keys() == ap.keys()
     for k in ex:
