@@ -9,9 +9,9 @@ Equal strings have to meet, without gathering the corpus and without sending eve
 2. A ``WIDTH``-byte string is routed by the smallest hash among its ``K``-byte substrings. Runs of
    neighbouring strings share that hash, so a run is sent as one short segment. First only the
    hashes are sent, 6 bytes each and once a chunk, to find those that occur more than once.
-3. Segments of repeated hashes go to their hash's bucket. Equal segments collapse to the smallest
-   doc_id that has them; all others of them are repeats from end to end. What is left, segments that
-   share a hash but differ somewhere, is indexed.
+3. Segments of repeated hashes go to their hash's bucket, the bytes of equal ones once a chunk. There
+   equal segments collapse to the smallest doc_id that has them; all others of them are repeats from
+   end to end. What is left, segments that share a hash but differ somewhere, is indexed.
 4. The index of a bucket is a run-length one: the Burrows-Wheeler transform of its segments, cut
    into runs, with the suffix position and the common prefix with the row above sampled at the ends
    of runs. Inside a run both follow from the sample one text position further right (position
@@ -20,8 +20,7 @@ Equal strings have to meet, without gathering the corpus and without sending eve
    the smallest doc_id along the links decides who keeps the string.
 5. The marks go back to the chunks, which cut the marked bytes.
 
-A passage in a third of all documents is one segment per chunk and bucket row after step 3's
-collapse in the chunk, so its group grows with the number of chunks, not of documents.
+A passage in a third of all documents sends its bytes once a chunk, and twelve bytes an occurrence.
 
 Rules for odd rows: a null text is empty and stays null; texts under ``WIDTH`` bytes lose nothing;
 rows with the same doc_id aren't repeats of each other; a null doc_id counts as larger than any;
@@ -220,8 +219,17 @@ def _repeated_hashes(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "mask": masks}).dropna(subset=["mask"])
 
 
+def _digests(body: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the segments end to end in ``body``."""
+    first = np.cumsum(size) - size
+    place = np.arange(len(body)) - np.repeat(first, size)
+    return np.add.reduceat((body.astype(np.uint64) + _C[1]) * powers(_C[0], int(size.max()))[place], first)
+
+
 def _segments(chunk: pd.DataFrame, masks: pd.DataFrame, bits: int, out_bits: int, width: int) -> pd.DataFrame:
-    """A chunk's segments of repeated hashes, packed by bucket."""
+    """A chunk's segments of repeated hashes, packed by bucket. Equal ones of a chunk share their bytes:
+    a blob has the number of different segments, where each occurrence stands, in which document and
+    whether it is a new segment, and of each new segment length, hash and bytes."""
     found = []
     if len(chunk) and len(masks):
         table = _unpack(chunk["blob"].iloc[0])
@@ -234,40 +242,52 @@ def _segments(chunk: pd.DataFrame, masks: pd.DataFrame, bits: int, out_bits: int
             lo, hi = place[b]
             often[lo:hi] = np.unpackbits(np.frombuffer(mask, np.uint8), count=hi - lo).astype(bool)
         pick = np.flatnonzero(often[back])
-        pick = pick[np.argsort(g[pick], kind="stable")]
         start, count, g = start[pick], count[pick], g[pick]
+        same = np.zeros(len(pick), np.uint64)
+        step = max(1, (8 << 20) // (4 * width))
+        for lo in range(0, len(pick), step):
+            size = count[lo:lo + step] + width - 1
+            same[lo:lo + step] = _digests(buf[_ranges(start[lo:lo + step], size)], size)
+        order = np.lexsort((start, same, g))
+        start, count, g, same = start[order], count[order], g[order], same[order]
         ids = pc.fill_null(table["doc_id"].cast(pa.int64()), _NULL_ID).to_numpy()
         doc = ids[np.searchsorted(at[1:], start, side="right")]
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         for b, lo, hi in _slices(g, out_bits):
-            s, c = start[lo:hi], count[lo:hi]
-            body = buf[_ranges(s, c + width - 1)].tobytes()
-            head = s.astype("<i8").tobytes() + c.astype("<i4").tobytes() + doc[lo:hi].astype("<i8").tobytes() + (
-                g[lo:hi] >> np.uint64(16)).astype("<u4").tobytes()
+            new = np.concatenate([[True], (same[lo + 1:hi] != same[lo:hi - 1]) | (g[lo + 1:hi] != g[lo:hi - 1])])
+            reps = lo + np.flatnonzero(new)
+            body = buf[_ranges(start[reps], count[reps] + width - 1)].tobytes()
+            head = (np.array([len(reps)], "<i8").tobytes() + start[lo:hi].astype("<i4").tobytes() + doc[lo:hi].astype("<i8").tobytes()
+                    + np.packbits(new).tobytes() + count[reps].astype("<i4").tobytes() + (g[reps] >> np.uint64(16)).astype("<u4").tobytes())
             found.append((int(chunk["chunk"].iloc[0]), b, hi - lo, packer.compress(head + body)))
     return pd.DataFrame(found, columns=["chunk", "bucket", "n", "blob"])
 
 
 def _marks(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
     """The repeated strings of a bucket's segments, as (first, number) pairs by chunk."""
-    starts, counts, docs, routes, bodies, sizes = [], [], [], [], [], pdf["n"].to_numpy()
-    unzip = zstandard.ZstdDecompressor()
+    starts, docs, stands_for, counts, routes, bodies, sizes = [], [], [], [], [], [], pdf["n"].to_numpy()
+    unzip, reps = zstandard.ZstdDecompressor(), 0
     for n, blob in zip(sizes.tolist(), pdf["blob"]):
         raw = unzip.decompress(blob)
-        starts.append(np.frombuffer(raw, "<i8", n))
-        counts.append(np.frombuffer(raw, "<i4", n, 8 * n).astype(np.int64))
-        docs.append(np.frombuffer(raw, "<i8", n, 12 * n))
-        routes.append(np.frombuffer(raw, "<u4", n, 20 * n))
-        bodies.append(np.frombuffer(raw, np.uint8, offset=24 * n))
-    start, count, doc, route, body = (np.concatenate(x) for x in (starts, counts, docs, routes, bodies))
+        m, at = int(np.frombuffer(raw, "<i8", 1)[0]), 8
+        for out, kind, k in ((starts, "<i4", n), (docs, "<i8", n)):
+            out.append(np.frombuffer(raw, kind, k, at).astype(np.int64))
+            at += k * np.dtype(kind).itemsize
+        new = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), at), count=n)
+        stands_for.append(reps + np.cumsum(new, dtype=np.int64) - 1)
+        at += -(-n // 8)
+        for out, kind in ((counts, "<i4"), (routes, "<u4")):
+            out.append(np.frombuffer(raw, kind, m, at).astype(np.int64))
+            at += m * np.dtype(kind).itemsize
+        bodies.append(np.frombuffer(raw, np.uint8, offset=at))
+        reps += m
+    start, doc, stands_for, count, route, body = (np.concatenate(x) for x in (starts, docs, stands_for, counts, routes, bodies))
     chunk = np.repeat(pdf["chunk"].to_numpy(), sizes)
     size = count + width - 1
     first = np.cumsum(size) - size
     # equal segments: one stands for all of them
-    place = np.arange(len(body)) - np.repeat(first, size)
-    power = powers(_C[0], int(size.max()))
-    digest = np.add.reduceat((body.astype(np.uint64) + _C[1]) * power[place], first)
-    _, stands, same = np.unique(digest, return_index=True, return_inverse=True)
+    _, stands, same = np.unique(_digests(body, size), return_index=True, return_inverse=True)
+    same, count = same[stands_for], count[stands_for]
     least = np.full(len(stands), _NULL_ID)
     np.minimum.at(least, same, doc)
     # those that share their hash with a different segment are indexed
@@ -326,7 +346,7 @@ def dedup(docs: DataFrame, schema: StructType | str, finish, width: int = WIDTH,
             with pa.ipc.new_stream(sink, held[0].schema) as w:
                 for b in held:
                     w.write_batch(b)
-            blob = zstandard.ZstdCompressor(level=1, write_content_size=True).compress(sink.getvalue().to_pybytes())
+            blob = zstandard.ZstdCompressor(level=3, write_content_size=True).compress(sink.getvalue().to_pybytes())
             return pa.RecordBatch.from_pylist([{"chunk": random.SystemRandom().getrandbits(62), "size": size, "blob": blob}],
                                               pa.schema([("chunk", pa.int64()), ("size", pa.int64()), ("blob", pa.binary())]))
 
