@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sightings.llm.common import scratch_path, stage
 
 MIN_BYTES = 1000
-ARCHIVE_BYTES = 32 << 20
+ARCHIVE_BYTES = 16 << 20
 _END = "\r\n\r\n"
 _RECORD = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
