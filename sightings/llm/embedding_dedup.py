@@ -163,3 +163,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, group_rows
 
 def op8(vectors: DataFrame) -> DataFrame:
     return near_duplicates(vectors)
+
+
+OP8_SQL = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT a.r AS x, b.r AS y FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+reach(x, y) AS (SELECT r, r FROM v UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+comp AS (SELECT reach.x AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.y GROUP BY reach.x),
+n AS (SELECT x AS r, count(*) AS n FROM links GROUP BY x)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, comp.component_id, v.vec_id = comp.component_id AS kept
+FROM v JOIN comp ON comp.r = v.r LEFT JOIN n ON n.r = v.r
+"""

@@ -67,6 +67,10 @@ QUERIES = {f.__name__: f for f in (
     op5_template_extraction, op6_co_trained_quality, op7_pivotal_mixing, op8_int8_embedding_dedup,
     op9_kneser_ney_toxicity, op10_simhash_trie)}
 
-ORACLES: dict[str, str] = {"op3_warc_normaliser": warc.OP3_SQL}
+ORACLES: dict[str, str] = {
+    "op1_fm_index_decontamination": decontamination.OP1_SQL,
+    "op3_warc_normaliser": warc.OP3_SQL,
+    "op8_int8_embedding_dedup": embedding_dedup.OP8_SQL,
+}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
