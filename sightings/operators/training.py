@@ -7,6 +7,8 @@ O2. Evaluation reports accuracy, the loss of A7 and a confusion matrix.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -39,6 +41,34 @@ def train_species_classifier(df: DataFrame, key_col: str = "vec_id", array_col:
     return est.fit(train), train, val
 
 
+def train_epochs(df: DataFrame, hidden: list[int], epochs: int = config.EPOCHS, steps: int = 20, lr0: float = 0.5,
+                 key_col: str = "vec_id", array_col: str = "embedding", label_col: str = "label",
+                 frac: float = config.TRAIN_FRACTION, seed: int = 0):
+    """M5 with its epoch log: an MLP trained ``epochs`` times ``steps`` gradient steps, each epoch from the
+    weights of the one before and with the step size of the cosine schedule (F14). Returns ``(model of the
+    last saved epoch, log, val)``; the log has epoch, lr, train and val loss and accuracy, and is what W7
+    reads. A saved epoch is one that W7 would save: the best validation accuracy so far.
+    """
+    keyed = features(df, array_col).withColumn("path", F.col(key_col).cast("string"))
+    train, val = CO.split_exact(keyed, frac, seed)
+    layers = [len(df.select(array_col).first()[0]), *hidden, df.agg(F.max(label_col)).first()[0] + 1]
+    weights, best, top, rows = None, None, 0.0, []
+    for epoch in range(epochs):
+        lr = lr0 * 0.5 * (1 + math.cos(math.pi * epoch / epochs))
+        est = MultilayerPerceptronClassifier(layers=layers, maxIter=steps, solver="gd", stepSize=max(lr, 1e-6), seed=seed,
+                                             labelCol=label_col, featuresCol="features")
+        if weights is not None:
+            est = est.setInitialWeights(weights)
+        model = est.fit(train)
+        weights = model.weights
+        seen = [evaluate(model, part, label_col, key_col=key_col)[0].first() for part in (train, val)]
+        rows.append((epoch, lr, *(float(r[c]) for r in seen for c in ("mean_batch_loss", "accuracy"))))
+        if rows[-1][-1] > top:
+            best, top = model, rows[-1][-1]
+    log = df.sparkSession.createDataFrame(rows, "epoch int, lr double, train_loss double, train_acc double, val_loss double, val_acc double")
+    return best, log, val
+
+
 def evaluate(model, val: DataFrame, label_col: str = "label", batch_size: int = config.BATCH_SIZE,
              key_col: str = "vec_id") -> tuple[DataFrame, DataFrame]:
     """M6: (metrics row, confusion matrix). Metrics: A7 accuracy and mean of per-batch mean

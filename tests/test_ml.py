@@ -108,6 +108,21 @@ def test_train_and_evaluate(spark):
     assert tm.first()["accuracy"] > 20.0
 
 
+def test_epoch_log_feeds_best_epochs(spark):
+    from sightings.operators import vectors as VE
+
+    # two classes that a plane separates
+    rows = [(i, [float(i % 2) + 0.01 * (i % 7), 1.0 - float(i % 2)], i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    best, log, val = TR.train_epochs(df, [4], epochs=3, steps=10)
+    got = log.orderBy("epoch").collect()
+    assert [r.epoch for r in got] == [0, 1, 2] and got[0].lr > got[1].lr > got[2].lr > 0
+    assert all(0 <= r.val_acc <= 100 and r.train_loss > 0 for r in got)
+    saved = [r.epoch for r in VE.best_epochs(log).orderBy("epoch").collect()]
+    if saved:
+        assert TR.evaluate(best, val)[0].first()["accuracy"] == got[saved[-1]].val_acc
+
+
 def test_onnx_classifier_path(spark):
     from tests.onnx_model import linear_model
 
