@@ -189,19 +189,19 @@ def op10(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 2, seed: int = 42) -> DataFrame:
     """The documents without near-duplicates: of each component a row with its smallest doc_id.
 
-    All columns of ``docs`` pass through. Usually doc_ids differ and one join on them selects the
-    rows; if the kept ids stand on several rows, those rows are fingerprinted again with their
-    columns, and one row of each component stays."""
-    found = simhash_components(docs, shingle, budget, seed).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = stage(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "simhash-keep")
+    All columns of ``docs`` pass through. The ids that go are far fewer than those that stay, so an anti
+    join on them selects the rows; texts move only if the ids that go are many. Rows whose doc_id stands
+    on several rows, one of which stays, are told apart by fingerprinting them again."""
+    found = simhash_components(docs, shingle, budget, seed)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.count(F.when(stays, 1)).alias("_kept"))
+    apart = stage(ids.filter("_kept = 0 or _rows > 1"), "simhash-apart")
     same_id = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id"))
-    once = docs.join(keep.filter("_n = 1").select("_id"), same_id).drop("_id")
-    again = keep.filter("_n > 1").select("_id")
+    once = docs.join(apart.select("_id"), same_id, "left_anti")
+    again = apart.filter("_kept > 0").select("_id")
     if again.isEmpty():
         return once
-    fields = [f.name for f in docs.schema.fields]
-
-    rows = docs.join(again, same_id).drop("_id")
-    rows = add_columns(rows, lambda b: [_fp_column(b, shingle, seed)], "_fp bigint")
-    roots = found.select(F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
-    return once.unionByName(rows.join(roots, "_fp").dropDuplicates(["_root"]).select(*fields))
+    rows = add_columns(docs.join(again, same_id, "left_semi"), lambda b: [_fp_column(b, shingle, seed)], "_fp bigint")
+    roots = found.filter(stays).select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("doc_id").alias("_id")).distinct()
+    picked = rows.join(roots, (rows["_fp"] == roots["_fp"]) & same_id).dropDuplicates(["_root"])
+    return once.unionByName(picked.select(*[rows[c] for c in docs.columns]))

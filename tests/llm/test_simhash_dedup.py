@@ -84,6 +84,10 @@ def test_keep_one_keeps_one_row_of_each_component(spark):
     kept = sd.keep_one(docs(spark, rows).withColumn("fp", F.lit("clash")))
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 8] and "fp" in kept.columns
     assert sorted(r.doc_id for r in sd.keep_one(docs(spark, rows[:4])).collect()) == [3, 4, 8]
+    # one id on a row that stays and on one that goes; null ids
+    mixed = [(1, long), (2, "all by itself"), (2, long + " "), (None, "nobody knows"), (None, long)]
+    assert sorted((str(r.doc_id), r.text) for r in sd.keep_one(docs(spark, mixed)).collect()) == [
+        ("1", long), ("2", "all by itself"), ("None", "nobody knows")]
 
 
 def test_empty_table(spark):
