@@ -34,7 +34,7 @@ from sightings.llm.common import add_columns
 
 WINDOW = 13
 SHARE = 20  # contaminated from one hit word in so many
-SHARD_SYMBOLS = 1 << 20
+SHARD_SYMBOLS = 1 << 18
 BLOCK_BYTES = 8 << 20
 SAMPLE = 8
 
