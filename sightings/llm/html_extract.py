@@ -11,9 +11,10 @@ text tokens are the template's own words, and all other text sits in slots.
 
 A slot is main text unless an element around it says otherwise: navigation, header, footer, aside,
 form, script, style, an advert, notice, comment or the like, by tag, role, class or id. If a page marks
-its article (article, main, role=main, itemprop=articleBody), only slots within count, and all of
-them: text within an article is kept even if the host repeats it. Else the template's words are
-left out too.
+its article (article, main, role=main, itemprop=articleBody), only slots within count. The template's
+words are left out: outside an article each of them, within one those in a box (div, section, list,
+table or the like) that holds no other text. A line that the host repeats in the article's own flow,
+or in a box with text of the page, is kept.
 
 White space within a block becomes one space, blocks are trimmed, empty ones left out, the rest
 joined by one line break. Inline tags and line breaks (br) don't end a block.
@@ -45,6 +46,8 @@ MIN_TOKENS = 2
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
                     "small span strike strong sub sup time tt u var wbr".split())
+#: elements that a template fills as a whole within an article
+_BOXES = frozenset("div section ul ol dl table figure blockquote details fieldset center address hgroup".split())
 _RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
 #: elements whose text is never main text
 _DROP = frozenset("script style noscript template textarea title head iframe nav footer aside form button select option svg "
@@ -163,12 +166,25 @@ def main_text(source: str | None, constants: frozenset[tuple[str, str]] | set =
     cur: list[str] = []
     marked = False
     state = False
+    root = None  # path of the element that marks the article
+    boxes: list[list] = []  # path, blocks before it, has words of the template, has other text
 
     def flush() -> None:
         if cur:
             blocks.append((list(cur), state))
             cur.clear()
 
+    def close_box(path: str) -> None:
+        while boxes:
+            at, first, words, other = boxes.pop()
+            if at == path and words and not other:
+                del blocks[first:]
+            if boxes:
+                boxes[-1][2] |= words
+                boxes[-1][3] |= other
+            if at == path:
+                return
+
     for kind, path, what, drop, article, ends in walk(source):
         if kind in ("open", "close"):
             marked |= kind == "open" and article
@@ -176,11 +192,25 @@ def main_text(source: str | None, constants: frozenset[tuple[str, str]] | set =
                 flush()
             elif what == "br":
                 cur.append(" ") if cur else None
+            if article and root is None and kind == "open" and what not in _VOID:
+                root = path
+            elif path == root:
+                root = None if kind == "close" else root
+            elif constants and article and kind == "open" and what in ("article", "main") and boxes:
+                boxes[-1][3] = True
+            elif constants and article and what in _BOXES:
+                if kind == "open":
+                    boxes.append([path, len(blocks), False, False])
+                elif any(b[0] == path for b in boxes):
+                    close_box(path)
         elif kind == "text" and not drop:
             if article != state:
                 flush()
                 state = article
-            if article or not constants or (path, _name(what)) not in constants:
+            own = not constants or (path, _name(what)) not in constants
+            if article and boxes and what.strip():
+                boxes[-1][3 if own else 2] = True
+            if article or own:
                 cur.append(html.unescape(what))
     flush()
     out = (" ".join("".join(pieces).split()) for pieces, article in blocks if article or not marked)

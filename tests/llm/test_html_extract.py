@@ -68,5 +68,18 @@ def test_articles_keep_text_that_the_host_repeats(spark):
     assert all(got[k]["text"] == f"Title {k}\nSame line everywhere" for k in range(20))
 
 
+def test_boxes_of_the_template_within_articles_are_left_out(spark):
+    rows = [(k, "http://h/", f"<body><main><div><article><h1>Title {k}</h1><div><p>Read our <b>terms</b> first</p><ul><li>Rules</ul></div><p>Same line"
+             f"</p><div><p>Same too</p><p>own {k}</p></div><section/><p>body {k}</p></article></div></main></body>") for k in range(20)]
+    got = by_id(hx.op5(spark.createDataFrame(rows, SCHEMA)), "page_id")
+    assert all(got[k]["text"] == f"Title {k}\nSame line\nSame too\nown {k}\nbody {k}" for k in range(20))
+
+
+def test_an_article_that_is_all_template_stays():
+    source = "<div role=main><div>a</div><p>b</p></div>"
+    constants = {(path, hx._name(what)) for kind, path, what, *_ in hx.walk(source) if kind == "text"}
+    assert hx.main_text(source, constants) == "b"
+
+
 def test_empty_table(spark):
     assert hx.op5(spark.createDataFrame([], SCHEMA)).count() == 0
