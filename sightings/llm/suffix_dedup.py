@@ -18,9 +18,12 @@ Equal strings have to meet, without gathering the corpus and without sending eve
    minus one, prefix plus one), so the matching statistics of all positions stream out of the
    samples, right to left. Positions that match their neighbour for ``WIDTH`` bytes are linked to it;
    the smallest doc_id along the links decides who keeps the string.
-5. The marks go back to the chunks, which cut the marked bytes.
+5. A hash that occurs more than ``HOT`` times, as that of a short phrase in many contexts, isn't
+   indexed, as all its segments would meet in one task. Its strings are routed one by one by a hash
+   of all their bytes, each once a chunk with its smallest doc_id, so no task gets more than its share.
+6. The marks go back to the chunks, which cut the marked bytes.
 
-A passage in a third of all documents sends its bytes once a chunk, and twelve bytes an occurrence.
+A passage in a third of all documents sends 16 bytes a string and chunk, however often it occurs there.
 
 Rules for odd rows: a null text is empty and stays null; texts under ``WIDTH`` bytes lose nothing;
 rows with the same doc_id aren't repeats of each other; a null doc_id counts as larger than any;
@@ -32,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,6 +52,8 @@ from sightings.llm.decontamination import powers, suffix_array
 WIDTH = 50
 K = 20
 CHUNK_BYTES = 4 << 20
+HOT = 1 << 13  # occurrences of a routing hash, of which a chunk with 2 to 7 counts as 2
+_OFTEN = 8
 _BLOCK = 1 << 20
 _NULL_ID = np.iinfo(np.int64).max
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -110,6 +116,25 @@ def runs(buf: np.ndarray, at: np.ndarray, width: int = WIDTH, k: int = K) -> tup
     return np.concatenate(starts), np.concatenate(counts), np.concatenate(routes)
 
 
+@lru_cache(maxsize=1)
+def _unpowers(n: int) -> np.ndarray:
+    return powers(np.uint64(pow(int(_C[0]), -1, 1 << 64)), n)
+
+
+def string_hashes(buf: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each ``width``-byte string of buf, from prefix sums of a polynomial."""
+    n = len(buf) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    size = 1 << (len(buf) - 1).bit_length()
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf + _C[1]) * powers(_C[0], size)[:len(buf)], dtype=np.uint64)])
+    h = (total[width:] - total[:-width]) * _unpowers(size)[:n]
+    h ^= h >> np.uint64(32)
+    h *= _C[3]
+    h ^= h >> np.uint64(29)
+    return h * _C[2]
+
+
 def _slices(g: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, from, to) for sorted hashes, by their top bits."""
     b = (g >> np.uint64(64 - bits)).astype(np.int64)
@@ -192,10 +217,16 @@ def _pack_hashes(rows: Iterator[pa.RecordBatch], bits: int, width: int) -> Itera
             buf, at = text_bytes(_unpack(blob))
             _, _, g = runs(buf, at, width)
             u, n = np.unique(g, return_counts=True)
-            out = [(chunk, b, hi - lo, _six(u[lo:hi], bits) + np.packbits(n[lo:hi] > 1).tobytes()) for b, lo, hi in _slices(u, bits)]
+            out = [(chunk, b, hi - lo, _six(u[lo:hi], bits) + np.packbits(n[lo:hi] > 1).tobytes() + _many(n[lo:hi])) for b, lo, hi in _slices(u, bits)]
             yield pa.RecordBatch.from_pylist([dict(zip(("chunk", "bucket", "n", "blob"), o)) for o in out], _HASH_SCHEMA)
 
 
+def _many(n: np.ndarray) -> bytes:
+    """Place and number of those with ``_OFTEN`` or more."""
+    at = np.flatnonzero(n >= _OFTEN)
+    return np.column_stack([at, n[at]]).astype("<u4").tobytes()
+
+
 _HASH_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
 
 
@@ -203,8 +234,8 @@ def _unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
 
 
-def _repeated_hashes(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of each chunk's hashes in a bucket, the bit mask of those that occur more than once."""
+def _repeated_hashes(pdf: pd.DataFrame, hot: int = HOT) -> pd.DataFrame:
+    """Of each chunk's hashes in a bucket, the bit masks of those that occur more than once and of the hot ones."""
     sizes = pdf["n"].to_numpy()
     values, weight = [], []
     for n, blob in zip(sizes.tolist(), pdf["blob"]):
@@ -212,11 +243,17 @@ def _repeated_hashes(pdf: pd.DataFrame) -> pd.DataFrame:
         raw[:, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(n, 6)
         values.append(raw.reshape(-1).view("<u8"))
         weight.append(1 + np.unpackbits(np.frombuffer(blob, np.uint8, offset=6 * n), count=n).astype(np.int64))
+        place, number = np.frombuffer(blob, "<u4", offset=6 * n + -(-n // 8)).reshape(-1, 2).T
+        weight[-1][place] = number
     _, at = np.unique(np.concatenate(values), return_inverse=True)
-    often = (np.bincount(at, np.concatenate(weight)) > 1)[at]
+    total = np.bincount(at, np.concatenate(weight))
     ends = np.cumsum(sizes)
-    masks = [np.packbits(often[e - n:e]).tobytes() if often[e - n:e].any() else None for n, e in zip(sizes.tolist(), ends.tolist())]
-    return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "mask": masks}).dropna(subset=["mask"])
+
+    def masks(found: np.ndarray) -> list:
+        return [np.packbits(found[e - n:e]).tobytes() if found[e - n:e].any() else None for n, e in zip(sizes.tolist(), ends.tolist())]
+
+    return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "mask": masks((total > 1)[at]),
+                         "hot": masks((total > max(hot, 1))[at])}).dropna(subset=["mask"])
 
 
 def _digests(body: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -229,19 +266,37 @@ def _digests(body: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _segments(chunk: pd.DataFrame, masks: pd.DataFrame, bits: int, out_bits: int, width: int) -> pd.DataFrame:
     """A chunk's segments of repeated hashes, packed by bucket. Equal ones of a chunk share their bytes:
     a blob has the number of different segments, where each occurrence stands, in which document and
-    whether it is a new segment, and of each new segment length, hash and bytes."""
+    whether it is a new segment, and of each new segment length, hash and bytes. Strings of hot hashes
+    go to buckets of their own, from 2^out_bits on: a blob has of each different string its hash, its
+    smallest doc_id and whether others of the chunk have it."""
     found = []
     if len(chunk) and len(masks):
         table = _unpack(chunk["blob"].iloc[0])
         buf, at = text_bytes(table)
         start, count, g = runs(buf, at, width)
         u, back = np.unique(g, return_inverse=True)
-        often = np.zeros(len(u), bool)
+        often, hot = np.zeros(len(u), bool), np.zeros(len(u), bool)
         place = {b: (lo, hi) for b, lo, hi in _slices(u, bits)}
-        for b, mask in zip(masks["bucket"].tolist(), masks["mask"]):
+        for b, mask, heat in zip(masks["bucket"].tolist(), masks["mask"], masks["hot"]):
             lo, hi = place[b]
             often[lo:hi] = np.unpackbits(np.frombuffer(mask, np.uint8), count=hi - lo).astype(bool)
-        pick = np.flatnonzero(often[back])
+            if heat is not None:
+                hot[lo:hi] = np.unpackbits(np.frombuffer(heat, np.uint8), count=hi - lo).astype(bool)
+        ids = pc.fill_null(table["doc_id"].cast(pa.int64()), _NULL_ID).to_numpy()
+        packer = zstandard.ZstdCompressor(level=3)
+        if hot.any():
+            pick = np.flatnonzero(hot[back])
+            string = _ranges(start[pick], count[pick])
+            h, doc = string_hashes(buf, width)[string], ids[np.searchsorted(at[1:], string, side="right")]
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            final = np.concatenate([first[1:], [len(h)]]) - 1
+            h, least, more = h[first], doc[first], doc[final] > doc[first]
+            for b, lo, hi in _slices(h, out_bits):
+                body = h[lo:hi].astype("<u8").tobytes() + least[lo:hi].astype("<i8").tobytes() + np.packbits(more[lo:hi]).tobytes()
+                found.append((int(chunk["chunk"].iloc[0]), (1 << out_bits) + b, hi - lo, packer.compress(body)))
+        pick = np.flatnonzero((often & ~hot)[back])
         start, count, g = start[pick], count[pick], g[pick]
         same = np.zeros(len(pick), np.uint64)
         step = max(1, (8 << 20) // (4 * width))
@@ -250,9 +305,7 @@ def _segments(chunk: pd.DataFrame, masks: pd.DataFrame, bits: int, out_bits: int
             same[lo:lo + step] = _digests(buf[_ranges(start[lo:lo + step], size)], size)
         order = np.lexsort((start, same, g))
         start, count, g, same = start[order], count[order], g[order], same[order]
-        ids = pc.fill_null(table["doc_id"].cast(pa.int64()), _NULL_ID).to_numpy()
         doc = ids[np.searchsorted(at[1:], start, side="right")]
-        packer = zstandard.ZstdCompressor(level=3)
         for b, lo, hi in _slices(g, out_bits):
             new = np.concatenate([[True], (same[lo + 1:hi] != same[lo:hi - 1]) | (g[lo + 1:hi] != g[lo:hi - 1])])
             reps = lo + np.flatnonzero(new)
@@ -263,8 +316,29 @@ def _segments(chunk: pd.DataFrame, masks: pd.DataFrame, bits: int, out_bits: int
     return pd.DataFrame(found, columns=["chunk", "bucket", "n", "blob"])
 
 
-def _marks(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
+def _hot_marks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of each chunk's hot strings in a bucket, hash and smallest doc_id of those that a larger one has."""
+    unzip, sizes = zstandard.ZstdDecompressor(), pdf["n"].tolist()
+    raws = [unzip.decompress(blob) for blob in pdf["blob"]]
+    h = np.concatenate([np.frombuffer(r, "<u8", n) for r, n in zip(raws, sizes)])
+    doc = np.concatenate([np.frombuffer(r, "<i8", n, 8 * n) for r, n in zip(raws, sizes)])
+    more = np.concatenate([np.unpackbits(np.frombuffer(r, np.uint8, offset=16 * n), count=n) for r, n in zip(raws, sizes)]) > 0
+    u, at = np.unique(h, return_inverse=True)
+    least = np.full(len(u), _NULL_ID)
+    np.minimum.at(least, at, doc)
+    hit, out, end = more | (least[at] < doc), [], 0
+    for chunk, n in zip(pdf["chunk"].tolist(), sizes):
+        pick = end + np.flatnonzero(hit[end:end + n])
+        end += n
+        if len(pick):
+            out.append((chunk, None, h[pick].astype("<u8").tobytes() + least[at[pick]].astype("<i8").tobytes()))
+    return pd.DataFrame(out, columns=["chunk", "marks", "strings"])
+
+
+def _marks(pdf: pd.DataFrame, out_bits: int, width: int) -> pd.DataFrame:
     """The repeated strings of a bucket's segments, as (first, number) pairs by chunk."""
+    if pdf["bucket"].iloc[0] >= 1 << out_bits:
+        return _hot_marks(pdf)
     starts, docs, stands_for, counts, routes, bodies, sizes = [], [], [], [], [], [], pdf["n"].to_numpy()
     unzip, reps = zstandard.ZstdDecompressor(), 0
     for n, blob in zip(sizes.tolist(), pdf["blob"]):
@@ -305,15 +379,38 @@ def _marks(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
     turn = np.flatnonzero(np.concatenate([[True], (np.diff(string) != 1) | (owner[1:] != owner[:-1])])) if len(string) else np.zeros(0, np.int64)
     marks = pd.DataFrame({"chunk": np.concatenate([chunk[whole], owner[turn]]), "first": np.concatenate([start[whole], string[turn]]),
                           "number": np.concatenate([count[whole], np.diff(np.concatenate([turn, [len(string)]]))])})
-    rows = [(int(c), np.column_stack([m["first"], m["number"]]).astype("<i8").tobytes()) for c, m in marks.groupby("chunk")]
-    return pd.DataFrame(rows, columns=["chunk", "marks"])
+    rows = [(int(c), np.column_stack([m["first"], m["number"]]).astype("<i8").tobytes(), None) for c, m in marks.groupby("chunk")]
+    return pd.DataFrame(rows, columns=["chunk", "marks", "strings"])
+
+
+def _hot_strings(table: pa.Table, buf: np.ndarray, at: np.ndarray, strings: list[bytes], width: int) -> np.ndarray:
+    """Where the strings start that are repeats by (hash, smallest doc_id) of ``strings``."""
+    h = np.concatenate([np.frombuffer(b, "<u8", len(b) // 16) for b in strings])
+    least = np.concatenate([np.frombuffer(b, "<i8", offset=len(b) // 2) for b in strings])
+    order = np.argsort(h)
+    h, least = h[order], least[order]
+    own = string_hashes(buf, width)
+    maybe = np.zeros(1 << 20, bool)
+    maybe[(h >> np.uint64(44)).astype(np.int64)] = True
+    spot = np.flatnonzero(maybe[(own >> np.uint64(44)).astype(np.int64)])
+    place = np.minimum(np.searchsorted(h, own[spot]), len(h) - 1)
+    row = np.searchsorted(at[1:], spot, side="right")
+    ids = pc.fill_null(table["doc_id"].cast(pa.int64()), _NULL_ID).to_numpy()
+    return spot[(h[place] == own[spot]) & (spot + width <= at[row + 1]) & (least[place] < ids[row])]
 
 
 def _cut(chunk: pd.DataFrame, marks: pd.DataFrame, width: int) -> tuple[pa.Table, pd.DataFrame]:
     table = _unpack(chunk["blob"].iloc[0])
     buf, at = text_bytes(table)
     delta = np.zeros(len(buf) + 1, np.int32)
+    strings = [b for b in marks["strings"] if b is not None]
+    if strings:
+        spot = _hot_strings(table, buf, at, strings, width)
+        delta[spot] += 1
+        delta[spot + width] -= 1
     for blob in marks["marks"]:
+        if blob is None:
+            continue
         first, number = np.frombuffer(blob, "<i8").reshape(-1, 2).T
         np.add.at(delta, first, 1)
         np.add.at(delta, first + number + width - 1, -1)
@@ -331,7 +428,8 @@ def _cut(chunk: pd.DataFrame, marks: pd.DataFrame, width: int) -> tuple[pa.Table
     return table, out
 
 
-def dedup(docs: DataFrame, schema: StructType | str, finish, width: int = WIDTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, schema: StructType | str, finish, width: int = WIDTH, chunk_bytes: int = CHUNK_BYTES,
+          hot: int = HOT) -> DataFrame:
     """Apply the operator to ``docs`` (doc_id bigint, text and any others).
 
     finish(table, result) makes the rows of ``schema`` from a chunk's rows as an Arrow table and a
@@ -374,11 +472,12 @@ def dedup(docs: DataFrame, schema: StructType | str, finish, width: int = WIDTH,
     out_bits = max(6, (total // (4 << 20)).bit_length())
 
     hashes = chunks.select("chunk", "blob").mapInArrow(lambda rows: _pack_hashes(rows, bits, width), "chunk bigint, bucket bigint, n bigint, blob binary")
-    masks = hashes.groupBy("bucket").applyInPandas(_repeated_hashes, "chunk bigint, bucket bigint, mask binary")
+    masks = hashes.groupBy("bucket").applyInPandas(
+        lambda p: _repeated_hashes(p, hot), "chunk bigint, bucket bigint, mask binary, hot binary")
     by_chunk = chunks.select("chunk", "blob").groupBy("chunk")
     segments = by_chunk.cogroup(masks.groupBy("chunk")).applyInPandas(
         lambda a, b: _segments(a, b, bits, out_bits, width), "chunk bigint, bucket bigint, n bigint, blob binary")
-    marks = segments.groupBy("bucket").applyInPandas(lambda p: _marks(p, width), "chunk bigint, marks binary")
+    marks = segments.groupBy("bucket").applyInPandas(lambda p: _marks(p, out_bits, width), "chunk bigint, marks binary, strings binary")
 
     def last(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return finish(*_cut(a, b, width))

@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sightings.llm import suffix_dedup as sx
@@ -95,6 +97,46 @@ def test_contract_and_stage(spark):
     assert kept[4].text is None and kept[4].n_chars is None and kept[3].chunk == "own"
 
 
+def phrases(n=300):
+    rng = np.random.default_rng(8)
+    text = lambda k: "".join(rng.choice(list("abcdefghij"), k))
+    phrase = text(49)
+    rows = [(k % 250, text(60) + phrase + text(60) + phrase[:30] + text(60)) for k in range(n)]
+    return rows + [(700 + k, rows[k][1][20:130] + text(40)) for k in range(20)] + [(None, rows[3][1]), (2, rows[9][1]), (800, phrase + "é")]
+
+
+def test_hot_hashes_equal_brute_force(spark):
+    def finish(table, r):
+        r["doc_id"] = table["doc_id"].to_pandas().astype("Int64")
+        r["sha"] = [hashlib.sha256(k).hexdigest() for k in r["kept"]]
+        return r[["doc_id", "n_bytes", "n_removed", "n_spans", "sha"]]
+    for rows, hot in ((phrases(), 40), (corpus(1), 1), (corpus(2), 5)):
+        got = sx.dedup(docs(spark, rows), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, sha string", finish, chunk_bytes=3000, hot=hot)
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in got.collect()) == expected(rows)
+
+
+def test_a_phrase_in_many_contexts_is_not_gathered():
+    import zstandard
+
+    blobs = []
+    for k in range(0, 300, 50):
+        rows = phrases()[k:k + 50]
+        t = pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": [x for _, x in rows]})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema) as w:
+            w.write_table(t)
+        blobs.append((k, zstandard.ZstdCompressor().compress(sink.getvalue().to_pybytes())))
+    chunks = pa.RecordBatch.from_pydict({"chunk": [k for k, _ in blobs], "blob": [b for _, b in blobs]})
+    hashes = pd.concat([b.to_pandas() for b in sx._pack_hashes(iter([chunks]), 6, 50)])
+    masks = pd.concat([sx._repeated_hashes(g, 40) for _, g in hashes.groupby("bucket")])
+    assert masks["hot"].notna().any()
+    frame = chunks.to_pandas()
+    found = pd.concat([sx._segments(frame[frame.chunk == k], masks[masks.chunk == k], 6, 6, 50) for k in frame.chunk])
+    segments = found[found.bucket < 64].groupby("bucket").n.sum()
+    strings = found[found.bucket >= 64].groupby("bucket").n.sum()
+    assert segments.max() <= 80 and strings.max() < 0.1 * strings.sum()
+
+
 def test_empty_table(spark):
     e = spark.createDataFrame([], DOC_SCHEMA)
     assert sx.op2(e).count() == 0 and sx.strip_repeats(e).count() == 0
