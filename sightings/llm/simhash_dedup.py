@@ -5,7 +5,8 @@ first (map-side combined), so the join sees each distinct fingerprint once and t
 cost one trie path. The trie's top levels are spread over tasks: a node is a prefix of ``b`` bits,
 and two nodes meet in one task only if their prefixes differ in at most the budget. There the two
 subtrees are walked together level by level, the differing bits add up, and a node pair over the
-budget is pruned. ``b`` grows until no node is fuller than ``node_limit``.
+budget is pruned. Node pairs with over 4 ``node_limit`` fingerprints are split ``_STEP`` levels
+further, again and again down to all 64 bits, where a pair of nodes has two fingerprints at most.
 
 Rules for odd rows: a null or blank text has fingerprint zero, which links like any other; a null
 doc_id takes part and is never the smallest unless all of its component are null; repeated rows each
@@ -27,6 +28,9 @@ from sightings.llm.common import add_columns, connected_components, local_compon
 NODE_LIMIT = 1 << 13
 _LEAF = 16  # node pairs with at most this many fingerprint pairs are compared directly
 _FRONTIER = 1 << 20  # node pairs walked at a time
+_BLOCK = 1 << 16  # node pairs compared at a time
+_HELD = 1 << 20  # links kept before they are reduced to a star per component
+_STEP = 4  # levels by which overfull node pairs are split
 
 
 def fingerprint_of(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -63,17 +67,22 @@ def _fp_column(b: pa.RecordBatch, shingle: int, seed: int) -> np.ndarray:
     return np.array([fingerprint_of(t, shingle, seed) for t in b["text"].to_pylist()], dtype=np.uint64).view(np.int64)
 
 
-def trie_join(a: np.ndarray, b: np.ndarray, same: bool, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_join(a: np.ndarray, b: np.ndarray, same: bool, depth: int, budget: int, reduce=None,
+              places: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i, j) with a[i] and b[j] at most ``budget`` bits apart.
 
-    a and b are sorted distinct uint64, each below one trie node of ``depth`` bits. With ``same``
+    ``places`` are other numbers for the rows of a and b. With ``reduce`` the pairs found so far are
+    replaced by reduce(i, j) whenever there are many. a and b are sorted distinct uint64, each below one trie node of ``depth`` bits. With ``same``
     (a is b) every pair comes once, with i < j."""
     start = int(np.bitwise_count(a[0] ^ b[0]) if depth == 64 else np.bitwise_count((a[0] ^ b[0]) >> np.uint64(64 - depth)) if depth else 0)
     if start > budget:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     found_i, found_j = [], []
 
+    held = 0
+
     def compare(f: np.ndarray) -> None:
+        nonlocal held
         wide = f[3] - f[2]
         size = (f[1] - f[0]) * wide
         k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -82,8 +91,12 @@ def trie_join(a: np.ndarray, b: np.ndarray, same: bool, depth: int, budget: int)
         near = np.bitwise_count(a[i] ^ b[j]) <= budget
         if same:
             near &= i < j
-        found_i.append(i[near])
-        found_j.append(j[near])
+        found_i.append(places[0][i[near]] if places else i[near])
+        found_j.append(places[1][j[near]] if places else j[near])
+        held += len(found_i[-1])
+        if reduce and held > _HELD:
+            less = reduce(np.concatenate(found_i), np.concatenate(found_j))
+            found_i[:], found_j[:], held = [less[0]], [less[1]], 0
 
     ones: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -103,7 +116,9 @@ def trie_join(a: np.ndarray, b: np.ndarray, same: bool, depth: int, budget: int)
             continue
         small = (f[1] - f[0]) * (f[3] - f[2]) <= _LEAF if at < 64 else np.ones(f.shape[1], bool)
         if small.any():
-            compare(f[:, small])
+            near = f[:, small]
+            for lo in range(0, near.shape[1], _BLOCK):
+                compare(near[:, lo:lo + _BLOCK])
             f = f[:, ~small]
         if not f.shape[1]:
             continue
@@ -130,35 +145,66 @@ def links(distinct: DataFrame, budget: int = 2, node_limit: int = NODE_LIMIT) ->
 
     Each task reduces the pairs it finds to a star per component, so a dense neighbourhood gives
     at most one row per fingerprint and task, with the same components."""
-    n = distinct.count()
-    bits = max(0, (max(n, 1) - 1) // node_limit).bit_length()
-    while bits < 24:
-        nodes = distinct.select((F.shiftrightunsigned("fp", 64 - bits) if bits else F.col("fp") * 0).alias("u"))
-        full = nodes.groupBy("u").count().agg(F.max("count")).first()[0]
-        if not full or full <= 4 * node_limit:
-            break
-        bits += 2
-    masks = [sum(1 << i for i in c) for k in range(budget + 1) for c in combinations(range(bits), k)]
-    node = F.shiftrightunsigned("fp", 64 - bits) if bits else F.lit(0).cast("bigint")
-    placed = (distinct.withColumn("u", node)
-              .select("fp", "u", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks])).alias("mask"))
-              .withColumn("v", F.col("u").bitwiseXOR(F.col("mask")))
-              .select("fp", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    bits = min(24, max(0, (max(distinct.count(), 1) - 1) // node_limit).bit_length())
+    limit = 4 * node_limit
+    start = distinct.select("fp", F.lit(0).cast("bigint").alias("u"), F.lit(0).cast("bigint").alias("v"))
+    placed, found = _split(start, 0, bits, budget), []
+    nodes = distinct.groupBy(_node(bits).alias("u")).count().agg(F.max("count")).first()[0]
+    deeper = bool(nodes) and 2 * nodes > limit
+    while deeper:
+        own = F.count(F.when(_node(bits) == F.col("u"), 1))
+        sizes = placed.groupBy("u", "v").agg(F.count("*").alias("n"), own.alias("own")).filter(
+            F.when(F.col("u") == F.col("v"), F.col("n") > 1).otherwise((F.col("own") > 0) & (F.col("own") < F.col("n"))))
+        sizes = stage(sizes.select("u", "v", ((F.col("n") > limit) & F.lit(bits < 64)).alias("full")), "simhash-sizes")
+        full, rest = sizes.filter("full").select("u", "v"), sizes.filter("not full").select("u", "v")
+        found.append(_walked(placed.join(F.broadcast(full), ["u", "v"], "left_anti").join(rest, ["u", "v"], "left_semi"), bits, budget))
+        deeper = not full.isEmpty()
+        if deeper:
+            step = min(_STEP, 64 - bits)
+            placed = stage(_split(placed.join(F.broadcast(full), ["u", "v"], "left_semi"), bits, step, budget), "simhash-deeper")
+            bits += step
+    if not found:
+        return _walked(placed, bits, budget)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _node(bits: int):
+    return F.shiftrightunsigned("fp", 64 - bits) if bits else F.lit(0).cast("bigint")
+
+
+def _split(placed: DataFrame, bits: int, step: int, budget: int) -> DataFrame:
+    """(fp, u, v) of node pairs of ``bits`` levels dealt out to the pairs ``step`` levels below, within the budget."""
+    masks = [(sum(1 << i for i in c), k) for k in range(min(budget, step) + 1) for c in combinations(range(step), k)]
+    apart = F.col("u").bitwiseXOR(F.col("v"))
+    mask = F.explode(F.array(*[F.struct(F.lit(m).cast("bigint").alias("m"), F.lit(k).alias("k")) for m, k in masks])).alias("mask")
+    return (placed.select("fp", apart.alias("apart"), mask)
+            .filter(F.bit_count("apart") + F.col("mask.k") <= budget)
+            .select("fp", _node(bits + step).alias("u"),
+                    _node(bits + step).bitwiseXOR(F.shiftleft("apart", step)).bitwiseXOR(F.col("mask.m")).alias("v"))
+            .select("fp", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+
+
+def _walked(placed: DataFrame, bits: int, budget: int) -> DataFrame:
+    """The links of each node pair's fingerprints, a star per component."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         fp = np.sort(pdf["fp"].to_numpy().view(np.uint64))
-        u, v = int(pdf["u"].iloc[0]), int(pdf["v"].iloc[0])
-        if u == v:
-            i, j = trie_join(fp, fp, True, bits, budget)
-        else:
-            cut = int(np.searchsorted(fp >> np.uint64(64 - bits), np.uint64(v)))
-            if cut in (0, len(fp)):
-                return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-            i, j = trie_join(fp[:cut], fp[cut:], False, bits, budget)
-            j = j + cut
-        root = local_components(len(fp), i, j)
-        moved = np.flatnonzero(root != np.arange(len(fp)))
-        return pd.DataFrame({"a": fp[moved].view(np.int64), "b": fp[root[moved]].view(np.int64)})
+        ends = pdf[["u", "v"]].iloc[0].to_numpy().view(np.uint64)
+        nodes = fp >> np.uint64(64 - bits) if bits else np.zeros(len(fp), np.uint64)
+        left, right = (np.flatnonzero(nodes == x) for x in ends)
+
+        def star(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            root = local_components(len(fp), i, j)
+            moved = np.flatnonzero(root != np.arange(len(fp)))
+            return moved, root[moved]
+
+        i = j = np.zeros(0, np.int64)
+        if len(left) and len(right):
+            i, j = star(*trie_join(fp[left], fp[right], bool(ends[0] == ends[1]), bits, budget, star, (left, right)))
+        return pd.DataFrame({"a": fp[i].view(np.int64), "b": fp[j].view(np.int64)})
 
     return placed.groupBy("u", "v").applyInPandas(walk, "a bigint, b bigint")
 

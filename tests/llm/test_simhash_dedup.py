@@ -95,6 +95,45 @@ def test_empty_table(spark):
     assert sd.op10(e).count() == 0 and sd.keep_one(e).count() == 0
 
 
+def test_fingerprints_that_share_40_bits_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    low = rng.integers(0, 1 << 24, 120, dtype=np.uint64)
+    near = np.concatenate([low] + [low ^ (np.uint64(1) << rng.integers(0, 40, 120).astype(np.uint64)) for _ in range(2)])
+    fp = np.unique(np.concatenate([near ^ (np.uint64(h) << np.uint64(40)) for h in (0xABCDEF, 0xABCDEE, 0x2BCDEF, 0x2BCDE1)]))
+    d = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp bigint")
+    depths, walked = [], sd._walked
+
+    def seen(placed, bits, budget):
+        depths.append((bits, max([r["count"] for r in placed.groupBy("u", "v").count().collect()], default=0)))
+        return walked(placed, bits, budget)
+
+    monkeypatch.setattr(sd, "_walked", seen)
+    got = sd.links(d, 2, node_limit=32).collect()
+    place = {int(x): k for k, x in enumerate(fp.view(np.int64))}
+    i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 2, 1))
+    want = sd.local_components(len(fp), i, j)
+    have = sd.local_components(len(fp), np.array([place[r.a] for r in got]), np.array([place[r.b] for r in got]))
+    assert (want == have).all() and len(set(want.tolist())) > 1
+    assert max(b for b, _ in depths) > 24 and max(n for _, n in depths) <= 4 * 32
+
+
+def test_reduced_pairs_keep_the_components(monkeypatch):
+    monkeypatch.setattr(sd, "_HELD", 50)
+    rng = np.random.default_rng(7)
+    fp = np.unique(rng.integers(0, 1 << 12, 800, dtype=np.uint64))
+    sizes = []
+
+    def star(i, j):
+        sizes.append(len(i))
+        root = sd.local_components(len(fp), i, j)
+        return np.flatnonzero(root != np.arange(len(fp))), root[root != np.arange(len(fp))]
+
+    all_i, all_j = sd.trie_join(fp, fp, True, 0, 2)
+    i, j = sd.trie_join(fp, fp, True, 0, 2, star)
+    assert sizes and len(i) < len(all_i)
+    assert (sd.local_components(len(fp), i, j) == sd.local_components(len(fp), all_i, all_j)).all()
+
+
 def test_thousands_of_copies_and_a_dense_ball(spark):
     rows = [(k, "same text in all of them") for k in range(3000)]
     assert {r["component_id"] for r in by_id(sd.op10(docs(spark, rows))).values()} == {0}
