@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 from sightings.llm import (
+    alignment,
+    compression,
     decontamination,
     embedding_dedup,
     html_extract,
@@ -58,6 +60,14 @@ def op10_simhash_trie(spark, sf_dir):
     return simhash_dedup.op10(table(spark, sf_dir, "documents"))
 
 
+def op12_compression_bands(spark, sf_dir):
+    return compression.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_distinct_text_alignment(spark, sf_dir):
+    return alignment.op13(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -65,7 +75,7 @@ def pipeline(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     pipeline, op1_fm_index_decontamination, op2_run_length_dedup, op3_warc_normaliser, op4_centroid_language_id,
     op5_template_extraction, op6_co_trained_quality, op7_pivotal_mixing, op8_int8_embedding_dedup,
-    op9_kneser_ney_toxicity, op10_simhash_trie)}
+    op9_kneser_ney_toxicity, op10_simhash_trie, op12_compression_bands, op13_distinct_text_alignment)}
 
 ORACLES: dict[str, str] = {
     "op1_fm_index_decontamination": decontamination.OP1_SQL,
