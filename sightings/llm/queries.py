@@ -10,6 +10,7 @@ from sightings.llm import (
     embedding_dedup,
     html_extract,
     language_id,
+    lexical,
     mixing,
     quality,
     simhash_dedup,
@@ -60,6 +61,10 @@ def op10_simhash_trie(spark, sf_dir):
     return simhash_dedup.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_term_pipeline(spark, sf_dir):
+    return lexical.op11(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_compression_bands(spark, sf_dir):
     return compression.op12(table(spark, sf_dir, "documents"))
 
@@ -75,12 +80,14 @@ def pipeline(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     pipeline, op1_fm_index_decontamination, op2_run_length_dedup, op3_warc_normaliser, op4_centroid_language_id,
     op5_template_extraction, op6_co_trained_quality, op7_pivotal_mixing, op8_int8_embedding_dedup,
-    op9_kneser_ney_toxicity, op10_simhash_trie, op12_compression_bands, op13_distinct_text_alignment)}
+    op9_kneser_ney_toxicity, op10_simhash_trie, op11_term_pipeline,
+    op12_compression_bands, op13_distinct_text_alignment)}
 
 ORACLES: dict[str, str] = {
     "op1_fm_index_decontamination": decontamination.OP1_SQL,
     "op3_warc_normaliser": warc.OP3_SQL,
     "op8_int8_embedding_dedup": embedding_dedup.OP8_SQL,
+    "op11_term_pipeline": lexical.OP11_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

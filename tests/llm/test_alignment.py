@@ -12,8 +12,7 @@ from tests.llm.util import docs
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
-@pytest.fixture(scope="module")
-def tokenizers():
+def load():
     import sentencepiece
     from tokenizers import Tokenizer
 
@@ -36,6 +35,11 @@ def tokenizers():
     return tokens_a, tokens_b
 
 
+@pytest.fixture(scope="module")
+def tokenizers():
+    return load()
+
+
 def ranges(tokens):
     out, at = [], 0
     for i, raw in tokens:

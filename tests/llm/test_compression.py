@@ -3,6 +3,7 @@
 import base64
 import random
 import re
+from collections import Counter
 
 import zstandard
 
@@ -16,7 +17,8 @@ def brute(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
-    hit = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 3)} if len(words) < 2000 else None
+    times = Counter(windows)
+    hit = {j for i, w in enumerate(windows) if times[w] > 1 for j in range(i, i + 3)}
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     dup = sum(x in lines[:i] for i, x in enumerate(lines))
     rep = len(hit)

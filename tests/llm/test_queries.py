@@ -18,7 +18,7 @@ def rows(spark, *cols, name="documents"):
 
 def test_every_operator_is_registered_once():
     numbers = sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES if n != "pipeline")
-    assert numbers == list(range(1, 11)) and "pipeline" in E.queries() and set(Q.QUERIES) <= set(E.queries())
+    assert numbers == list(range(1, 14)) and "pipeline" in E.queries() and set(Q.QUERIES) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
@@ -54,6 +54,27 @@ def test_embeddings(spark):
     assert got == t8.brute(rows(spark, "vec_id", "embedding", name="embeddings"))
 
 
+def test_alignment(spark):
+    from tests.llm import test_alignment as t13
+    assert t13.result(E.queries()["op13_distinct_text_alignment"](spark, SF001)) == t13.brute(rows(spark, "doc_id", "text"), t13.load())[0]
+
+
+def test_compression_bands(spark):
+    from tests.llm import test_compression as t12
+    got = {r.doc_id: r for r in E.queries()["op12_compression_bands"](spark, SF001).collect()}
+    docs = rows(spark, "doc_id", "text")
+    assert len(got) == len(docs)
+    for d, text in docs:
+        want = t12.brute(text)
+        assert [got[d][c] for c in t12.BASE] == want and got[d].kept == (not want[-1] and t12.verdict(text))
+
+
+def test_lexical_search(spark):
+    from tests.llm import test_lexical as t11
+    got = t11.result(E.queries()["op11_term_pipeline"](spark, SF001))
+    assert got == t11.brute(rows(spark, "doc_id", "text"), rows(spark, "item_id", "text", name="benchmark")) and got
+
+
 def test_mixing(spark):
     from sightings.llm import mixing
     from sightings.llm.common import table
