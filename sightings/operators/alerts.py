@@ -32,10 +32,10 @@ def failure_runs(attempts: DataFrame, quiet_s: float = config.FAILURE_LOG_QUIET_
     a = attempts.withColumn("t", epoch_seconds("ts"))
     s = ordered_scan(
         a, ["source"], ["t", "attempt_id"], [time_block("t")],
-        sums={"_fails": F.when(F.col("ok"), 0).otherwise(1), "island": F.when(F.col("ok"), 1).otherwise(0)})
-    fails = s.where(~F.col("ok")).select("attempt_id", "source", "t", "island", "_fails").withColumn("_i", F.struct("source", "island"))
-    begin = fails.groupBy("_i").agg(F.min("_fails").alias("_f1"))
-    fails = fails.join(begin, "_i").select("attempt_id", "source", "t", "island", (F.col("_fails") - F.col("_f1") + 1).alias("fail_n"))
+        sums={"_fails": F.when(F.col("ok"), 0).otherwise(1), "island": F.when(F.col("ok"), 1).otherwise(0)},
+        at_last={"_before": ("_fails", F.col("ok"))})
+    fails = s.where(~F.col("ok")).select(
+        "attempt_id", "source", "t", "island", (F.col("_fails") - F.coalesce("_before", F.lit(0))).alias("fail_n"))
     logged = cooldown_flags(fails, ["source", "island"], "t", "attempt_id", quiet_s, strict=True, out_col="logged")
     return logged.select(
         "attempt_id", "source", "t", "island", F.col("fail_n").cast("long").alias("fail_n"),
@@ -57,7 +57,8 @@ def species_changes(best_frames: DataFrame, min_conf: float = config.MIN_ALERT_C
     """
     return runs(announceable(best_frames, min_conf), ["source"], ["epoch_s", "frame_id"], [time_block("epoch_s")],
                 {"prev_species": "best_species"},
-                lambda prev, first: first | ~prev["prev_species"].eqNullSafe(F.col("best_species")), break_col="changed")
+                lambda prev, first: first | ~prev["prev_species"].eqNullSafe(F.col("best_species")),
+                own=["best_species"], break_col="changed")
 
 
 def announce(best_frames: DataFrame, min_conf: float = config.MIN_ALERT_CONF,
@@ -86,7 +87,7 @@ def species_visits(best_frames: DataFrame, gap_s: float, min_conf: float = confi
              {"_ps": "best_species", "_pt": "epoch_s"},
              lambda prev, first: first | ~prev["_ps"].eqNullSafe(F.col("best_species"))
              | F.coalesce(F.col("epoch_s") - prev["_pt"] > F.lit(float(gap_s)), ~prev["_pt"].eqNullSafe(F.col("epoch_s"))),
-             run_col="visit_no")
+             own=["best_species", "epoch_s"], run_col="visit_no")
     return v.groupBy("source", "visit_no").agg(
         F.max("best_species").alias("species"),
         F.min("epoch_s").alias("start_epoch_s"),

@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import scalars as S
+from ..plans.sizes import sized_broadcast
 
 
 def filter_classes(boxes: DataFrame, dim: DataFrame) -> DataFrame:
     """Inner equi join on ``cls_id``; unmatched ids are dropped, ``detector_label`` added.
 
-    Spark broadcasts the class dimension if it is as small as it should be (it measures that).
+    The class dimension is broadcast if it is as small as it should be: by Spark where it has statistics,
+    else after counting it (``sized_broadcast``); otherwise Spark plans the join. So boxes are neither
+    shuffled by class nor broadcast themselves.
     """
-    d = dim.select("cls_id", F.col("class_name").alias("detector_label"))
+    d = sized_broadcast(dim.select("cls_id", F.col("class_name").alias("detector_label")))
     return boxes.join(d, on="cls_id", how="inner")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import scalars as S
-from ..plans.scan import ordered_scan
+from ..plans.ranges import ranked
 from .events import annotated_path
 
 FACT_COLUMNS = [
@@ -88,11 +88,11 @@ def review_queue(facts: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def review_positions(facts: DataFrame) -> DataFrame:
-    """P9 with ``queue_pos`` (from 1): ranked in blocks of confidence, source and frame, so that no
-    task holds the whole queue."""
-    blocks = [F.floor(F.col("classifier_confidence") * 1024), F.col("source"), F.floor(F.col("frame_id") / 65536)]
-    ranked = ordered_scan(facts.where(~F.col("reviewed")), [], ["classifier_confidence", *KEY], blocks, rank_col="_r")
-    return ranked.withColumn("queue_pos", F.col("_r") + 1).drop("_r")
+    """P9 with ``queue_pos`` (from 1) over all unreviewed rows: ranked in ranges of the order with sampled
+    bounds (``plans.ranges``); the only thing in one task is one count a range."""
+    order = [F.col("classifier_confidence").asc_nulls_first(), *[F.col(k).asc() for k in KEY]]
+    place = ranked(facts.where(~F.col("reviewed")), order, "_r")
+    return place.withColumn("queue_pos", F.col("_r") + 1).drop("_r")
 
 
 def between(facts: DataFrame, t0: str, t1: str) -> DataFrame:

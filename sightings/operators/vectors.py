@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import scalars as S
-from ..plans.scan import ordered_scan
+from ..plans.ranges import ranked
 
 
 def _staged_softmax(df: DataFrame, logits_col: str) -> DataFrame:
@@ -44,10 +44,10 @@ def with_loss(logits: DataFrame, logits_col: str = "logits", label_col: str = "l
     ).drop("_a", "_m", "_e", "_s")
 
 
-def batch_ids(df: DataFrame, order: list[str], batch_size: int = config.BATCH_SIZE, block_rows: int = 1 << 16) -> DataFrame:
-    """Loader batches: consecutive rows in ``order`` grouped by ``batch_size`` (global rank). The first
-    order column is a number; its ranges of ``block_rows`` are ranked apart."""
-    r = ordered_scan(df, [], order, [F.floor(F.col(order[0]) / F.lit(block_rows))], rank_col="_pos")
+def batch_ids(df: DataFrame, order: list[str], batch_size: int = config.BATCH_SIZE) -> DataFrame:
+    """Loader batches: consecutive rows in ``order`` (any types) grouped by ``batch_size``, by their global
+    position in ranges of the order."""
+    r = ranked(df, order, "_pos")
     return r.withColumn("batch_id", F.floor(F.col("_pos") / F.lit(int(batch_size))).cast("long")).drop("_pos")
 
 

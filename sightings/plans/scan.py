@@ -10,7 +10,7 @@ sorts first, as in Spark's windows.
 
 * ``ordered_scan``: ranks, running sums and maxima, previous rows.
 * ``runs``: numbers stretches of rows between breaks, a break being decided by two neighbours.
-* ``cooldown_flags``: the greedy "emit when at least C seconds since the last emission" rule.
+* ``cooldown_flags`` (``plans.cooldown``): the greedy "emit when at least C seconds since the last emission" rule.
 * ``exact_rank_threshold``: the k-th smallest 64-bit hash by radix narrowing with bounded histograms,
   for exact-size splits without a global sort.
 """
@@ -22,6 +22,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cooldown import cooldown_flags  # noqa: F401
+
 BLOCK_S = 6 * 3600.0
 
 
@@ -56,6 +58,7 @@ def ordered_scan(
     sums: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
     lags: Mapping[str, str] | None = None,
+    at_last: Mapping[str, tuple[str, Column]] | None = None,
     rank_col: str = "_rank",
 ) -> DataFrame:
     """Per key and in ascending ``order`` (a total order, nulls first), add
@@ -63,12 +66,14 @@ def ordered_scan(
     * ``rank_col``: 0-based position of the row inside its key,
     * each ``sums[name]``: inclusive running sum,
     * each ``maxes[name]``: inclusive running max,
-    * each ``lags[name] = col``: ``col`` of the previous row of the same key (null on the first).
+    * each ``lags[name] = col``: ``col`` of the previous row of the same key (null on the first),
+    * each ``at_last[name] = (sum, condition)``: that running sum, of values that are not negative, at the
+      latest row so far for which the condition holds (null before the first).
 
     ``blocks`` cut a key's order: expressions that ascend with it, most significant first. A key's
     summary has one row per block and stands in one task; the rows themselves never do.
     """
-    sums, maxes, lags = dict(sums or {}), dict(maxes or {}), dict(lags or {})
+    sums, maxes, lags, at_last = dict(sums or {}), dict(maxes or {}), dict(lags or {}), dict(at_last or {})
     w, w_run = _local(order)
     local = _keyed(df, keys, blocks).withColumns({
         "__pos": F.row_number().over(w), "__last": F.lead(F.lit(1)).over(w).isNull(),
@@ -76,8 +81,9 @@ def ordered_scan(
         **{f"__m_{n}": F.max(e).over(w_run) for n, e in maxes.items()},
         **{f"__l_{n}": F.lag(c).over(w) for n, c in lags.items()},
     })
+    local = local.withColumns({f"__a_{n}": F.max(F.when(cond, F.col(f"__s_{total}"))).over(w_run) for n, (total, cond) in at_last.items()})
     ends = local.where("__last").select(
-        "__key", "__blk", "__pos", *[f"__s_{n}" for n in sums], *[f"__m_{n}" for n in maxes],
+        "__key", "__blk", "__pos", *[f"__s_{n}" for n in sums], *[f"__m_{n}" for n in maxes], *[f"__a_{n}" for n in at_last],
         F.struct(F.lit(0).alias("z"), *[F.col(c).alias(n) for n, c in lags.items()]).alias("__end"))
     per_key = Window.partitionBy("__key").orderBy("__blk")
     before = per_key.rowsBetween(Window.unboundedPreceding, -1)
@@ -85,13 +91,18 @@ def ordered_scan(
         "__key", "__blk", F.coalesce(F.sum("__pos").over(before), F.lit(0)).alias("__off"),
         *[F.sum(f"__s_{n}").over(before).alias(f"__cs_{n}") for n in sums],
         *[F.max(f"__m_{n}").over(before).alias(f"__cm_{n}") for n in maxes],
+        *[f"__a_{n}" for n in at_last],
         F.lag("__end").over(per_key).alias("__prev"))
+    carry = carry.withColumns({f"__a_{n}": F.max(F.coalesce(F.col(f"__cs_{total}"), F.lit(0)) + F.col(f"__a_{n}")).over(before).alias(n)
+                               for n, (total, _) in at_last.items()}).withColumnsRenamed({f"__a_{n}": f"__ca_{n}" for n in at_last})
     out = local.join(carry, ["__key", "__blk"])
     return _dropped(out.withColumns({
         rank_col: (F.col("__off") + F.col("__pos") - 1).cast("long"),
         **{n: F.when(F.col(f"__cs_{n}").isNull(), F.col(f"__s_{n}")).otherwise(
             F.col(f"__cs_{n}") + F.coalesce(F.col(f"__s_{n}"), F.lit(0))) for n in sums},
         **{n: F.greatest(F.col(f"__cm_{n}"), F.col(f"__m_{n}")) for n in maxes},
+        **{n: F.greatest(F.col(f"__ca_{n}"), F.coalesce(F.col(f"__cs_{total}"), F.lit(0)) + F.col(f"__a_{n}"))
+           for n, (total, _) in at_last.items()},
         **{n: F.when(F.col("__pos") == 1, F.col(f"__prev.{n}")).otherwise(F.col(f"__l_{n}")) for n in lags},
     }))
 
@@ -104,14 +115,16 @@ def runs(
     prev: Mapping[str, str],
     breaks: Callable[[Mapping[str, Column], Column], Column],
     *,
+    own: Sequence[str] | None = None,
     run_col: str = "run_id",
     break_col: str = "_break",
 ) -> DataFrame:
     """Number the runs of each key from 1, in ascending ``order``.
 
     ``prev[name] = col`` names columns of the previous row; ``breaks(previous, is_first)`` says
-    whether a new run begins, from those and the row's own columns. Adds the ``prev`` names,
-    ``break_col`` and ``run_col``. One pass: only a block's first row has to wait for the block before it.
+    whether a new run begins, from those and the columns ``own`` of the row itself (any, if not given).
+    Adds the ``prev`` names, ``break_col`` and ``run_col``. One pass: only a block's first row has to wait
+    for the block before it.
     """
     w, w_run = _local(order)
     local = _keyed(df, keys, blocks).withColumns({
@@ -120,7 +133,7 @@ def runs(
     })
     inner = breaks({n: F.col(f"__l_{n}") for n in prev}, F.lit(False))
     local = local.withColumn("__in", F.when(F.col("__pos") > 1, inner.cast("long")).otherwise(F.lit(0)))
-    own = sorted({c for c in df.columns})
+    own = sorted(df.columns if own is None else own)
     local = local.withColumns({
         "__sum": F.sum("__in").over(w_run),
         "__first": F.first(F.struct(*[F.col(c) for c in own])).over(w_run)})
@@ -142,71 +155,6 @@ def runs(
     }))
 
 
-def cooldown_flags(
-    df: DataFrame,
-    keys: Sequence[str],
-    time_col: str,
-    tie_col: str,
-    cooldown_s: float | Column,
-    *,
-    strict: bool = False,
-    out_col: str = "emit",
-    block_s: float = BLOCK_S,
-) -> DataFrame:
-    """Greedy cooldown per key, in ``(time_col, tie_col)`` order.
-
-    The first row of a key emits; a later row emits when ``time - last emitted time >= cooldown``
-    (``>`` when ``strict``). A row without a time has no place in the order: it never emits and
-    leaves the clock alone. ``cooldown_s`` may be a column that is constant within a key.
-
-    The only thing a block of time needs from those before it is the time of the last emission, and
-    that matters only to the block's first ``cooldown`` seconds. So each block is summed up by what it
-    would hand on for each row that could be its first emission; these few entries are chained per
-    key, and then every block walks its own rows from its true start.
-    """
-    cool = F.lit(float(cooldown_s)) if isinstance(cooldown_s, (int, float)) else cooldown_s.cast("double")
-    cols = df.columns
-    rows = _keyed(df, keys, [time_block(time_col, block_s)]).withColumns({"__t": F.col(time_col).cast("double"), "__c": cool})
-    item = F.struct(F.col("__t").alias("t"), F.col(tie_col).alias("tie"), F.struct(*[F.col(c) for c in cols]).alias("row"))
-    timed = rows.where(F.col("__t").isNotNull())
-    block = timed.groupBy("__key", "__blk").agg(F.sort_array(F.collect_list(item)).alias("rows"), F.max("__c").alias("c"))
-
-    def due(t: Column, last: Column, c: Column) -> Column:
-        return (t - last > c) if strict else (t - last >= c)
-
-    # what the block hands on if row k is its first emission, for each k within a cooldown of its start
-    # and the one after
-    begin = F.col("__blk.b0") * F.lit(float(block_s))
-    times = F.transform("rows", lambda x: x["t"])
-    reach = F.size(F.filter("times", lambda t: t <= begin + F.col("c"))) + 1
-    entries = F.transform(F.slice("times", F.lit(1), reach), lambda first: F.struct(
-        first.alias("t"), F.aggregate("times", first, lambda last, t: F.when((t > first) & due(t, last, F.col("c")), t).otherwise(last)).alias("last")))
-    summed = block.select("__key", "__blk", "c", times.alias("times")).select("__key", "__blk", "c", entries.alias("entries"))
-    chain = summed.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("__blk", "c", "entries"))).alias("blocks"))
-
-    def step(acc: Column, b: Column) -> Column:
-        hits = F.filter(b["entries"], lambda e: acc["last"].isNull() | due(e["t"], acc["last"], b["c"]))
-        return F.struct(
-            F.when(F.size(hits) > 0, F.element_at(hits, 1)["last"]).otherwise(acc["last"]).alias("last"),
-            F.concat(acc["starts"], F.array(F.struct(b["__blk"].alias("__blk"), acc["last"].alias("last")))).alias("starts"))
-
-    blk_type = chain.schema["blocks"].dataType.elementType["__blk"].dataType.simpleString()
-    zero = F.struct(F.lit(None).cast("double").alias("last"),
-                    F.array().cast(f"array<struct<__blk:{blk_type},last:double>>").alias("starts"))
-    starts = chain.select("__key", F.inline(F.aggregate("blocks", zero, step)["starts"]))
-
-    # the true walk of each block; emissions are kept as positions
-    indexed = F.transform("rows", lambda x, i: F.struct(x["t"].alias("t"), i.alias("i")))
-    walk = F.aggregate(indexed, F.struct(F.col("last"), F.array().cast("array<int>").alias("at")), lambda acc, x: F.when(
-        acc["last"].isNull() | due(x["t"], acc["last"], F.col("c")),
-        F.struct(x["t"].alias("last"), F.concat(acc["at"], F.array(x["i"])).alias("at"))).otherwise(acc))["at"]
-    flagged = block.join(starts, ["__key", "__blk"]).withColumn("at", walk).select(F.inline(F.transform(
-        "rows", lambda x, i: F.struct(x["row"].alias("row"), F.array_contains("at", i).alias("emit")))))
-    out = flagged.select(*[F.col(f"row.{c}").alias(c) for c in cols], F.col("emit").alias(out_col))
-    untimed = df.where(F.col(time_col).isNull()).withColumn(out_col, F.lit(False))
-    return out.unionByName(untimed.select(*out.columns))
-
-
 def exact_rank_threshold(df: DataFrame, hash_col: str, tie_col: str, k: int, n: int):
     """The ``(hash, tie, copies)`` of 0-based rank ``k`` under ``(hash_col, tie_col)`` order: rows of equal
     hash and tie are alike, and ``copies`` of them lie before the cut. None when ``k >= n``.

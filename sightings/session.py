@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PKG_DIR = os.path.dirname(os.path.abspath(__file__))
 _SHIPPED: set[int] = set()
@@ -81,6 +82,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared checkpoint folder and read back: computed once, lineage cut there."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to executors so pandas UDFs can import it (once per SparkContext)."""
     sc = spark.sparkContext

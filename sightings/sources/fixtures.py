@@ -35,7 +35,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ANIMAL_CLASSES, "cls_id INT, class_name STRING")
+    """The classes as a literal relation, of which the optimizer knows the size."""
+    rows = ", ".join(f"({i}, '{name}')" for i, name in ANIMAL_CLASSES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(cls_id, class_name)")
 
 
 def _boxes_ext(spark: SparkSession, sf_dir: str) -> DataFrame:

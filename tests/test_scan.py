@@ -115,3 +115,48 @@ def test_hot_key_is_split_across_blocks(spark):
     assert windows and sum("__blk" not in line.split("windowspecdefinition")[1].split(" ASC")[0] for line in windows) <= len(windows)
     got = {r["id"]: (r["r"], r["c"]) for r in s.collect()}
     assert got[99] == (99, 100) and got[37] == (37, 38)
+
+
+def test_sum_at_the_last_matching_row(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["a", "b", None]), float(rnd.randint(0, 300)), i, rnd.random() < 0.3) for i in range(1200)]
+    df = spark.createDataFrame(rows, "k string, t double, id int, ok boolean")
+    s = ordered_scan(df, ["k"], ["t", "id"], [time_block("t", 15.0)], sums={"n": F.lit(1)}, at_last={"at": ("n", F.col("ok"))})
+    want, count, seen = {}, {}, {}
+    for k, _, i, ok in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        count[k] = count.get(k, 0) + 1
+        if ok:
+            seen[k] = count[k]
+        want[i] = seen.get(k)
+    assert {r.id: r["at"] for r in s.collect()} == want
+
+
+def test_cooldown_kernels():
+    import numpy as np
+
+    from sightings.plans import cooldown as C
+    rnd = np.random.default_rng(2)
+    for strict in (False, True):
+        t = np.sort(rnd.integers(0, 400, 300) / 4.0)
+        end, gap = np.full(300, 300), np.full(300, 2.5)
+        following = C.next_rows(t, end, gap, strict)
+        for i in range(300):
+            later = [j for j in range(i + 1, 300) if (t[j] - t[i] > 2.5 if strict else t[j] - t[i] >= 2.5)]
+            assert following[i] == (later[0] if later else 300)
+        walk = [0]
+        while following[walk[-1]] < 300:
+            walk.append(int(following[walk[-1]]))
+        assert np.flatnonzero(C.marked(np.array([0]), following, end)).tolist() == walk
+        assert C.last_reached(following, end)[0] == walk[-1]
+
+
+def test_many_rows_in_one_block_take_linear_time(spark):
+    import time
+    took = {}
+    for n in (50_000, 50_000, 200_000):
+        df = spark.range(n).select(F.lit("hot").alias("k"), (F.col("id") * 0.1).alias("t"), "id")
+        t0 = time.perf_counter()
+        flags = cooldown_flags(df, ["k"], "t", "id", 0.25, block_s=1e6)
+        assert flags.where("emit").count() == -(-n // 3)
+        took[n] = time.perf_counter() - t0
+    assert took[200_000] < 8 * took[50_000] + 2
