@@ -32,6 +32,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -46,7 +47,7 @@ from sightings.llm.common import stage
 TOKENIZER_A = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_BYTES = 64 << 20
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 BLOCK = 1 << 8  # plain pieces encoded in one call
 
 # Fixed value: how byte-level vocabularies of this kind cut a text before their merges.
@@ -55,6 +56,7 @@ BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CUT = f"(?<=[{_LETTER}.,;:!?]) (?=[{_LETTER}])"
 # kinds of letters below U+0250 are the same in all versions of Unicode that libraries carry
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 _PLAIN = f"^[{_LETTER}]([\\x00-\\x{{24f}}]*[{_LETTER}.,;:!?])?\\z"
 _TEXT_COLUMNS = ["n_a", "n_b", "n_groups", "n_links"]
 
@@ -80,13 +82,12 @@ class Pair:
 
     def __init__(self, a: bytes, b: bytes) -> None:
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(a.decode())
-        self.a.encode_special_tokens = True
+        self.source_a = a
         letters, model = byte_letters(), json.loads(a)
-        self.bytes_a = [b""] * self.a.get_vocab_size()
-        for token, i in model["model"]["vocab"].items():
+        vocab = model["model"]["vocab"]
+        self.bytes_a = [b""] * (1 + max([*vocab.values(), *(t["id"] for t in model["added_tokens"])]))
+        for token, i in vocab.items():
             self.bytes_a[i] = bytes(letters.get(c, 0) for c in token)
         self.by_rank = self._by_rank(model)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
@@ -99,6 +100,15 @@ class Pair:
         self.written = [b"%d%s" % (i, end) for n, ends in ((len(self.size_a), b",|"), (len(self.size_b), b",;"))
                         for end in (ends[:1], ends[1:]) for i in range(n)]
 
+    @cached_property
+    def a(self):
+        """Tokenizer A itself; loaded where ranks don't do."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_str(self.source_a.decode())
+        out.encode_special_tokens = True
+        return out
+
     @property
     def joins(self) -> bool:
         """Whether texts may be cut and their plain pieces be encoded together."""
@@ -120,7 +130,8 @@ class Pair:
     def encode_each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of A, how many a piece has, the same for B, and whether a piece's joined bytes are those of
         blank and piece on both sides; without ids where not."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
+        a = [self.by_rank.encode_ordinary(" " + p) if self.by_rank and not _BEYOND_LATIN.search(p)
+             else self.a.encode(" " + p, add_special_tokens=False).ids for p in pieces]
         b = self.b.encode(pieces, num_threads=1)
         ok = np.zeros(len(pieces), bool)
         for i, p in enumerate(pieces):
@@ -284,6 +295,7 @@ def chunks(texts: DataFrame, a: bytes, b: bytes, chunk_bytes: int) -> DataFrame:
                     yield flush()
                     number, filled = number + 1, 0
                     waiting.clear()
+                    pa.default_memory_pool().release_unused()
         if waiting:
             yield flush()
 
