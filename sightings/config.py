@@ -47,3 +47,7 @@ FLAT_RATIO = 0.3
 # Frame geometry of the fixture camera (FIXTURES.md): 1920 x 1080.
 FRAME_W = 1920
 FRAME_H = 1080
+
+# size of a latency sketch: its rank error is about 0.3 % at 1000
+LATENCY_SKETCH_K = 1000
+LATENCY_RANK_ERROR = 0.01

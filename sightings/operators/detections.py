@@ -97,12 +97,9 @@ def best_species(dets: DataFrame) -> DataFrame:
     )
 
 
-def nest_detections(dets: DataFrame, with_crop_path: bool = False, with_best: bool = False) -> DataFrame:
-    """A4: one row per frame with ``detections`` = ordered ARRAY<STRUCT<class, confidence, bbox,
-    species, species_confidence, crop_path>>.
-
-    The array is per frame; its length is bounded by the detector's box limit per image.
-    """
+def nesting(with_crop_path: bool = False, with_best: bool = False) -> tuple[list[F.Column], list[F.Column]]:
+    """A4 as aggregates of one frame's detections, and the columns to take from them: ``detections``, and with
+    ``with_best`` A3's ``best_species`` and ``best_species_conf``."""
     crop = F.col("crop_path") if with_crop_path else F.lit(None).cast("string")
     item = F.struct(
         F.col("det_idx"),
@@ -114,13 +111,21 @@ def nest_detections(dets: DataFrame, with_crop_path: bool = False, with_best: bo
         crop.alias("crop_path"),
     )
     aggs = [F.sort_array(F.collect_list(item)).alias("_d")]
+    cols = [F.transform(F.col("_d"), lambda d: d.dropFields("det_idx")).alias("detections")]
     if with_best:  # A3 in the same aggregation (one pass over the detections)
         aggs.append(best_candidate().alias("_b"))
-    nested = dets.groupBy("frame_id").agg(*aggs)
-    cols = ["frame_id", F.transform(F.col("_d"), lambda d: d.dropFields("det_idx")).alias("detections")]
-    if with_best:
         cols += [F.col("_b.species").alias("best_species"), F.col("_b.conf").alias("best_species_conf")]
-    return nested.select(*cols)
+    return aggs, cols
+
+
+def nest_detections(dets: DataFrame, with_crop_path: bool = False, with_best: bool = False) -> DataFrame:
+    """A4: one row per frame with ``detections`` = ordered ARRAY<STRUCT<class, confidence, bbox,
+    species, species_confidence, crop_path>>.
+
+    The array is per frame; its length is bounded by the detector's box limit per image.
+    """
+    aggs, cols = nesting(with_crop_path, with_best)
+    return dets.groupBy("frame_id").agg(*aggs).select("frame_id", *cols)
 
 
 def detection_summary(dets: DataFrame) -> DataFrame:

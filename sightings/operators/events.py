@@ -56,13 +56,14 @@ def build_events(frames: DataFrame, dets: DataFrame, best: DataFrame | None = No
         nested = D.nest_detections(dets, with_crop_path, with_best=True)
     else:
         nested = D.nest_detections(dets, with_crop_path).join(best, on="frame_id", how="left")
-    t = F.timestamp_seconds(F.col("epoch_s"))
+    return event_columns(nested.join(frames.select("frame_id", source_col, "epoch_s"), on="frame_id"), base_url, source_col)
+
+
+def event_columns(nested: DataFrame, base_url: F.Column | str | None = None, source_col: str = "source") -> DataFrame:
+    """The event fields of frames with nested detections, best species and time."""
     url = S.image_url(base_url if not isinstance(base_url, str) else F.lit(base_url)) if base_url is not None \
         else F.lit(None).cast("string")
-    ev = (
-        nested.join(frames.select("frame_id", source_col, "epoch_s"), on="frame_id")
-        .withColumn("detected_at", t)
-    )
+    ev = nested.withColumn("detected_at", F.timestamp_seconds(F.col("epoch_s")))
     return ev.select(
         "frame_id",
         S.event_id("detected_at", "epoch_s").alias("event_id"),

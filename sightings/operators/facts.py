@@ -132,6 +132,43 @@ def stage_latency(frames: DataFrame, every: str = "1 hour", exact: bool = False)
     return g.withColumn("bucket", F.date_format("_bucket", "yyyy-MM-dd HH:mm")).drop("_bucket")
 
 
+LATENCY_STAGES = ("grab", "detect", "classify")
+
+
+def latency_sketches(frames: DataFrame, every: str = "1 hour", k: int = config.LATENCY_SKETCH_K) -> DataFrame:
+    """A6 in a form that can be stored and merged: per source and ``bucket`` (its start) the number of frames, and per
+    stage count, sum, maximum and a KLL sketch of the times. A sketch has a bounded size whatever it has seen, and
+    is combined map-side."""
+    aggs = [F.count(F.lit(1)).alias("frames")]
+    for stage in LATENCY_STAGES:
+        c = F.col(f"{stage}_ms").cast("double")
+        aggs += [F.count(c).alias(f"{stage}_n"), F.sum(c).alias(f"{stage}_sum"), F.max(c).alias(f"{stage}_max"),
+                 F.kll_sketch_agg_double(c, F.lit(int(k))).alias(f"{stage}_sketch")]
+    bucket = F.window(F.timestamp_seconds("epoch_s"), every).start
+    return frames.where(F.col("epoch_s").isNotNull()).groupBy("source", bucket.alias("bucket")).agg(*aggs)
+
+
+def merge_latency(sketches: DataFrame, unit: str) -> DataFrame:
+    """Rows of ``latency_sketches`` merged to longer buckets (``day``, ``month``, ...), of the same shape: days come from
+    stored hours, without the frames."""
+    aggs = [F.sum("frames").alias("frames")]
+    for stage in LATENCY_STAGES:
+        aggs += [F.sum(f"{stage}_n").alias(f"{stage}_n"), F.sum(f"{stage}_sum").alias(f"{stage}_sum"),
+                 F.max(f"{stage}_max").alias(f"{stage}_max"), F.kll_merge_agg_double(f"{stage}_sketch").alias(f"{stage}_sketch")]
+    return sketches.groupBy("source", F.date_trunc(unit, "bucket").alias("bucket")).agg(*aggs)
+
+
+def latency_quantiles(sketches: DataFrame, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """Count, mean, maximum and quantiles (``<stage>_p50`` ...) of ``latency_sketches`` or ``merge_latency``; null for a
+    stage without times."""
+    cols = ["source", "bucket", "frames"]
+    for stage in LATENCY_STAGES:
+        some = F.col(f"{stage}_n") > 0
+        cols += [F.try_divide(f"{stage}_sum", f"{stage}_n").alias(f"{stage}_mean"), F.col(f"{stage}_max")]
+        cols += [F.when(some, F.kll_sketch_get_quantile_double(f"{stage}_sketch", F.lit(p))).alias(f"{stage}_p{round(p * 100)}") for p in shares]
+    return sketches.select(*cols)
+
+
 def species_by_time(facts: DataFrame, exact_distinct: bool = True) -> DataFrame:
     """Per effective label and hour, with roll-ups to label+day, label and grand total:
     sightings, distinct frames, mean and max confidence (classifier, else detector).

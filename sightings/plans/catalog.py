@@ -643,6 +643,41 @@ def q_stage_latency(spark, sf_dir):
     return FA.stage_latency(X.frames(spark, sf_dir), exact=True)
 
 
+_RANKS = [(stage, p) for stage in FA.LATENCY_STAGES for p in (50, 95)]
+
+
+def _latency_level_sql(level: str) -> str:
+    return f"""SELECT '{level}' AS level, source, strftime(date_trunc('{level}', {TS_SQL}), '%Y-%m-%d %H:%M') AS bucket,
+       count(*) AS frames, avg(grab_ms) AS grab_mean, max(grab_ms) AS grab_max, avg(detect_ms) AS detect_mean, max(detect_ms) AS detect_max,
+       avg(classify_ms) AS classify_mean, max(classify_ms) AS classify_max,
+       """ + ", ".join(f"true AS {stage}_p{p}_ok" for stage, p in _RANKS) + "\nFROM frames GROUP BY 2, 3"
+
+
+@register(
+    "stage_latency_sketch",
+    X.with_views("frames") + _latency_level_sql("hour") + "\nUNION ALL\n" + _latency_level_sql("day"),
+)
+def q_stage_latency_sketch(spark, sf_dir):
+    """Hourly sketches, and days merged from them. Each quantile is held against the frames: the share of times below
+    it and up to it must enclose the asked share, give or take the sketch's rank error."""
+    frames = X.frames(spark, sf_dir)
+    hours = FA.latency_sketches(frames)
+    out = None
+    for level, sketches in (("hour", hours), ("day", FA.merge_latency(hours, "day"))):
+        q = FA.latency_quantiles(sketches)
+        times = frames.withColumn("_b", F.date_trunc(level, F.timestamp_seconds("epoch_s"))).withColumnRenamed("source", "_s")
+        seen = times.join(q, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
+        names = [c for c in q.columns if "_p" not in c]
+        oks = []
+        for stage, p in _RANKS:
+            c, at, e = F.col(f"{stage}_ms"), F.col(f"{stage}_p{p}"), config.LATENCY_RANK_ERROR
+            below, upto = F.avg((c < at).cast("double")), F.avg((c <= at).cast("double"))
+            oks.append(((below - e <= p / 100) & (p / 100 <= upto + e)).alias(f"{stage}_p{p}_ok"))
+        rows = seen.groupBy(*names).agg(*oks).withColumn("level", F.lit(level)).withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd HH:mm"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @register(
     "run_counters",
     with_dets("frames", "attempts")
@@ -1092,16 +1127,16 @@ def q_frame_crops(spark, sf_dir):
     X.with_views("logits") + PIXELS_SQL
     + """SELECT vec_id, r * 8 + c AS at,
        CAST(round((CAST(v AS DOUBLE) / 255 - 0.485) / 0.229, 4) AS DOUBLE) AS red,
+       CAST(round((CAST(v AS DOUBLE) / 255 - 0.456) / 0.224, 4) AS DOUBLE) AS green,
        CAST(round((CAST(v AS DOUBLE) / 255 - 0.406) / 0.225, 4) AS DOUBLE) AS blue
-FROM px WHERE (r + c) % 5 = 0""",
+FROM px""",
 )
 def q_frame_tensors(spark, sf_dir):
-    """M1 over the 8 x 8 frames at their own size (CHW: red first), to four decimals."""
+    """M1 over the 8 x 8 frames at their own size (CHW: red first), all cells and channels, to four decimals."""
     t = IM.tensorize(embedding_frames(spark, sf_dir), size=8)
-    cells = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct(
-        i.cast("bigint").alias("at"), F.element_at("tensor", i + 1).cast("double").alias("red"), F.element_at("tensor", i + 129).cast("double").alias("blue")))
-    return t.select("vec_id", F.inline(cells)).where((F.floor(F.col("at") / 8) + F.col("at") % 8) % 5 == 0).select(
-        "vec_id", "at", F.round("red", 4).alias("red"), F.round("blue", 4).alias("blue"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct(i.cast("bigint").alias("at"), *[
+        F.round(F.element_at("tensor", i + 64 * k + 1).cast("double"), 4).alias(c) for k, c in enumerate(("red", "green", "blue"))]))
+    return t.select("vec_id", F.inline(cells))
 
 
 def _corner_detector():
@@ -1109,10 +1144,7 @@ def _corner_detector():
     return lambda a: [(14, (int(a[0, 0, 0]) % 64) / 64, 1.9, 2.0, 6.0, 7.0), (15, (int(a[0, 1, 0]) % 64) / 64, 0.0, 0.0, 8.0, 8.0), (3, 0.9, 0, 0, 4, 4)]
 
 
-@register(
-    "two_stage_boxes",
-    X.with_views("logits") + PIXELS_SQL
-    + """, nd AS (SELECT vec_id, count(DISTINCT v) AS n_distinct FROM px GROUP BY vec_id),
+GOOD_FRAMES_SQL = """, nd AS (SELECT vec_id, count(DISTINCT v) AS n_distinct FROM px GROUP BY vec_id),
 rw AS (SELECT vec_id, r, count(*) AS n, sum(v) AS s, sum(v * v) AS ss FROM px WHERE r >= 4 GROUP BY vec_id, r),
 fl AS (SELECT vec_id, sum(CASE WHEN n * ss - s * s < 4 * n * n THEN 1 ELSE 0 END) AS n_flat, count(*) AS n_rows FROM rw GROUP BY vec_id),
 good AS (SELECT nd.vec_id FROM nd JOIN fl ON fl.vec_id = nd.vec_id
@@ -1120,7 +1152,13 @@ good AS (SELECT nd.vec_id FROM nd JOIN fl ON fl.vec_id = nd.vec_id
 bx AS (SELECT p.vec_id AS frame_id, CAST(p.c AS INTEGER) AS det_idx, CASE WHEN p.c = 0 THEN 'bird' ELSE 'cat' END AS detector_label,
               CAST((p.v % 64) / CAST(64 AS DOUBLE) AS FLOAT) AS confidence, p.c
        FROM px p JOIN good g ON g.vec_id = p.vec_id WHERE p.r = 0 AND p.c < 2)
-SELECT frame_id, det_idx, detector_label, confidence, CASE WHEN c = 0 THEN 1 ELSE 0 END AS bbox_x1,
+"""
+
+
+@register(
+    "two_stage_boxes",
+    X.with_views("logits") + PIXELS_SQL + GOOD_FRAMES_SQL
+    + """SELECT frame_id, det_idx, detector_label, confidence, CASE WHEN c = 0 THEN 1 ELSE 0 END AS bbox_x1,
        0 AS crop_x1, CASE WHEN c = 0 THEN 7 ELSE 8 END AS crop_x2, CASE WHEN c = 0 THEN 8 ELSE 8 END AS crop_y2
 FROM bx WHERE confidence > 0.25""",
 )
@@ -1129,3 +1167,27 @@ def q_two_stage_boxes(spark, sf_dir):
     frames = embedding_frames(spark, sf_dir).withColumnRenamed("vec_id", "frame_id")
     dets, _best = INF.two_stage(frames, X.class_dim(spark), _corner_detector, "corner", padding=1)
     return dets.select("frame_id", "det_idx", "detector_label", "confidence", "bbox_x1", "crop_x1", "crop_x2", "crop_y2")
+
+
+def _row_classifier():
+    """Five logits read off the top row of the crop."""
+    return lambda x: x[:, 0, 0, :5] * 4.0
+
+
+@register(
+    "two_stage_species",
+    X.with_views("logits", "class_map") + PIXELS_SQL + GOOD_FRAMES_SQL
+    + """, lg AS (SELECT vec_id, c, (CAST(v AS DOUBLE) / 255 - 0.485) / 0.229 * 4 AS y FROM px WHERE r = 0 AND c < 5),
+sm AS (SELECT vec_id, c, exp(y - max(y) OVER w) / sum(exp(y - m)) OVER w AS p, row_number() OVER (PARTITION BY vec_id ORDER BY y DESC, c) AS k
+       FROM (SELECT *, max(y) OVER (PARTITION BY vec_id) AS m FROM lg) z WINDOW w AS (PARTITION BY vec_id)),
+top AS (SELECT vec_id, coalesce(m.class_name, 'class_' || CAST(c AS VARCHAR)) AS species, p FROM sm LEFT JOIN class_map m ON m.idx = sm.c WHERE k = 1)
+SELECT frame_id, det_idx, detector_label, species, round(p, 3) AS species_confidence, species AS best_species, round(p, 3) AS best_species_conf
+FROM bx JOIN top ON top.vec_id = bx.frame_id WHERE confidence > 0.25""",
+)
+def q_two_stage_species(spark, sf_dir):
+    """M8 whole: quality, detector, crops (padded to the frame), tensors, classifier, names and best species."""
+    frames = embedding_frames(spark, sf_dir).withColumnRenamed("vec_id", "frame_id")
+    dets, best = INF.two_stage(frames, X.class_dim(spark), _corner_detector, "corner", _row_classifier, "top-row", X.class_map(spark, sf_dir),
+                               padding=8, size=8)
+    out = dets.select("frame_id", "det_idx", "detector_label", "species", F.round(F.col("species_confidence").cast("double"), 3).alias("species_confidence"))
+    return out.join(best.withColumn("best_species_conf", F.round("best_species_conf", 3)), "frame_id")
