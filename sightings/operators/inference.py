@@ -9,8 +9,7 @@ written once and read by every sink. A model that fails on a row leaves its erro
 from __future__ import annotations
 
 import time
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import config
 from ..functions import kernels as K
-from ..session import checkpoint_dir
+from ..session import written
 from . import detections as D
 from . import images as IM
 from . import vectors as VE
@@ -138,46 +137,52 @@ def predict_batched(df: DataFrame, factory: Callable[[], Callable], shape: tuple
 def detect(frames: DataFrame, factory: Callable[[], Callable], key: str, image_col: str = "image") -> DataFrame:
     """Detector stage as a UDF: frame -> ARRAY<box>; then one row per box (posexplode gives the
     detector order ``det_idx``). The detector callable maps a BGR array to (cls, conf, x1, y1, x2, y2)
-    tuples. Frames whose detection fails get no boxes."""
+    tuples. A frame whose detection fails has one row with null box columns and the ``error`` text;
+    other rows have a null ``error``."""
 
-    @F.pandas_udf(BOX_TYPE)
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    @F.pandas_udf(T.StructType([T.StructField("boxes", BOX_TYPE), T.StructField("error", T.StringType())]))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _load(key, factory)
         for img in batches:
-            res = []
+            res, errors = [], []
             for a in IM._arrays(img):
                 try:
                     boxes = [] if a is None else list(model(a))
                     res.append([{"cls_id": int(c), "confidence": float(p), "x1": float(x1), "y1": float(y1),
                                  "x2": float(x2), "y2": float(y2)} for c, p, x1, y1, x2, y2 in boxes])
-                except Exception:
+                    errors.append(None)
+                except Exception as e:
                     res.append([])
-            yield pd.Series(res)
+                    errors.append(f"detector: {type(e).__name__}: {e}")
+            yield pd.DataFrame({"boxes": res, "error": errors})
 
-    with_boxes = frames.withColumn("_boxes", run.asNondeterministic()(F.col(image_col)))
-    return with_boxes.select(
-        "frame_id", F.posexplode("_boxes").alias("det_idx", "_b")
-    ).select("frame_id", F.col("det_idx").cast("int"), "_b.*")
+    found = frames.withColumn("_r", run.asNondeterministic()(F.col(image_col)))
+    one_if_failed = F.when(F.col("_r.error").isNotNull(), F.array(F.lit(None).cast(BOX_TYPE.elementType))).otherwise(F.col("_r.boxes"))
+    return found.select("frame_id", "_r.error", F.posexplode(one_if_failed).alias("det_idx", "_b")).select(
+        "frame_id", F.col("det_idx").cast("int"), "_b.*", "error")
 
 
 _DETECTION = ("struct<det_idx:int,cls_id:int,confidence:float,x1:double,y1:double,x2:double,y2:double,logits:array<float>,"
               "error:string,crop:struct<height:int,width:int,data:binary>>")
 PASS_SCHEMA = ("frame_id bigint, width int, height int, is_corrupt boolean, reason string, error string, detect_ms double, "
-               f"classify_ms double, found array<{_DETECTION}>")
+               f"classify_ms double, found array<{_DETECTION}>, annotated struct<height:int,width:int,data:binary>")
 MAX_CLASSES = 10_000  # a detector's class list; its ids go to the tasks
 
 
 def frame_pass(frames: DataFrame, class_ids: set[int], detector: Callable[[], Callable], detector_key: str,
                classifier: Callable[[], Callable] | None = None, classifier_key: str = "classifier",
                conf: float = config.DETECT_CONF, padding: int = config.DETECT_PADDING, size: int = config.INPUT_SIZE,
-               batch_size: int = config.BATCH_SIZE, keep_crops: bool = False) -> DataFrame:
+               batch_size: int = config.BATCH_SIZE, keep_crops: bool = False, draw: bool = False,
+               carry: Sequence[str] = ()) -> DataFrame:
     """One row of ``PASS_SCHEMA`` per frame (frame_id, image): P1, the detector once, P2-P5 on its boxes,
-    M7 + M1 on the crops and M3 in batches of ``batch_size``. Boxes that P2 or P3 drop are left out."""
+    M7 + M1 on the crops and M3 in batches of ``batch_size``. Boxes that P2 or P3 drop are left out. With
+    ``draw`` frames that keep a box are drawn on as well (M10), while their pixels are here. The columns
+    ``carry`` of the frames go along, so that nothing has to be joined back to the pixels."""
 
     def one(img, detect, classify) -> dict:
         height, width = (img or {}).get("height"), (img or {}).get("width")
         out = {"width": width, "height": height, "is_corrupt": True, "reason": "empty frame", "error": None,
-               "detect_ms": None, "classify_ms": None, "found": []}
+               "detect_ms": None, "classify_ms": None, "found": [], "annotated": None}
         if not img or not img["data"] or not height or not width or height <= 0 or width <= 0:
             return out
         pixels = K.to_array(img["data"], height, width, img["nChannels"])
@@ -206,6 +211,9 @@ def frame_pass(frames: DataFrame, class_ids: set[int], detector: Callable[[], Ca
             for at in range(0, len(crops), batch_size):
                 _classify(classify, crops[at:at + batch_size], out["found"][at:at + batch_size], size)
             out["classify_ms"] = (time.perf_counter() - began) * 1000
+        if draw and out["found"]:
+            drawn = K.draw_boxes(pixels, [[int(d[c]) for c in ("x1", "y1", "x2", "y2")] for d in out["found"]])
+            out["annotated"] = {"height": height, "width": width, "data": np.ascontiguousarray(drawn).tobytes()}
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,10 +222,13 @@ def frame_pass(frames: DataFrame, class_ids: set[int], detector: Callable[[], Ca
         for b in batches:
             for i in range(len(b)):  # a frame at a time: its pixels are the largest thing here
                 row = {"frame_id": b["frame_id"][i].as_py(), **one(b["image"][i].as_py(), detect, classify)}
-                yield pa.RecordBatch.from_pylist([row], arrow)
+                made = pa.RecordBatch.from_pylist([row], arrow)
+                yield pa.RecordBatch.from_arrays([*made.columns, *(b[c].slice(i, 1) for c in carry)], names=[*arrow.names, *carry])
 
-    arrow = to_arrow_schema(T.StructType.fromDDL(PASS_SCHEMA))
-    return frames.select("frame_id", "image").mapInArrow(run, PASS_SCHEMA)
+    schema = T.StructType.fromDDL(PASS_SCHEMA)
+    arrow = to_arrow_schema(schema)
+    whole = T.StructType([*schema.fields, *(frames.schema[c] for c in carry)])
+    return frames.select("frame_id", "image", *carry).mapInArrow(run, whole)
 
 
 def _classify(model: Callable, crops: list[np.ndarray], found: list[dict], size: int) -> None:
@@ -251,21 +262,20 @@ def run_two_stage(frames: DataFrame, dim: DataFrame, detector: Callable[[], Call
                   classifier: Callable[[], Callable] | None = None, classifier_key: str | None = None,
                   class_map: DataFrame | None = None, conf: float = config.DETECT_CONF,
                   padding: int = config.DETECT_PADDING, size: int = config.INPUT_SIZE,
-                  keep_crops: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+                  keep_crops: bool = False, draw: bool = False, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """M8: P1 -> detect -> P2/P3 -> P4/P5 -> M7 -> M1 -> M3 -> M4 -> A3. The classifier is optional.
 
     ``frames(frame_id, image)``; returns ``(detections, best, frame table)``, the last with quality,
-    reason, error and timings of every frame, corrupt ones included. The models run when this is called,
+    reason, error and timings of every frame, corrupt ones included, the columns ``carry`` of the frames, and with
+    ``draw`` the ``annotated`` frame. The models run when this is called,
     once a frame, however often the results are read: they are written to the shared checkpoint folder.
     """
     spark = frames.sparkSession
     ids = {r.cls_id for r in dim.select("cls_id").limit(MAX_CLASSES + 1).collect()}
     if len(ids) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} detector classes")
-    path = f"{checkpoint_dir(spark)}/frame-pass-{uuid.uuid4().hex}"
-    frame_pass(frames, ids, detector, detector_key, classifier, classifier_key or "classifier", conf, padding, size,
-               keep_crops=keep_crops).write.parquet(path)
-    seen = spark.read.schema(T.StructType.fromDDL(PASS_SCHEMA)).parquet(path)
+    seen = written(frame_pass(frames, ids, detector, detector_key, classifier, classifier_key or "classifier", conf, padding, size,
+                              keep_crops=keep_crops, draw=draw, carry=carry), "frame-pass")
     boxes = seen.select("frame_id", F.col("width").alias("_w"), F.col("height").alias("_h"), F.inline("found"))
     dets = D.crop_window(D.detections(boxes, dim, conf), F.col("_w"), F.col("_h"), padding).drop("_w", "_h")
     if classifier is None:
@@ -275,7 +285,7 @@ def run_two_stage(frames: DataFrame, dim: DataFrame, detector: Callable[[], Call
         dets = VE.top1(dets, names).withColumn("species_confidence", F.col("top_prob").cast("float")).withColumn(
             "species", F.when(F.col("top_prob").isNotNull(), F.col("species"))).drop("logits", "top_idx", "top_prob")
     dets = dets if keep_crops else dets.drop("crop")
-    counted = seen.withColumn("detections", F.size("found")).drop("found", "width", "height")
+    counted = seen.withColumn("detections", F.size("found")).drop("found", "width", "height", *([] if draw else ["annotated"]))
     return dets, D.best_species(dets), counted
 
 

@@ -163,15 +163,60 @@ def state_batch_writer(target: str, key: str = "source"):
     return write
 
 
-def write_crops(crops: DataFrame, root: str, existing: DataFrame | None = None) -> DataFrame:
-    """K4: crop images under ``<safe label>/`` with first-free collision numbering (W2). Rows are
-    written as Parquet partitioned by ``safe_label`` (path, bytes, size); returns the path table."""
-    named = PA.crop_paths(crops, root, existing)
-    out = named.select("safe_label", "crop_path", "frame_id", "det_idx",
-                       F.col("crop.height").alias("height"), F.col("crop.width").alias("width"),
-                       F.col("crop.data").alias("data"))
-    out.hint("rebalance", "safe_label").write.mode("append").partitionBy("safe_label").parquet(root)
-    return named.select("frame_id", "det_idx", "crop_path")
+LEDGER_SCHEMA = ("safe_label string, ts string, crop_num bigint, frame_id bigint, det_idx int, crop_path string, day date, "
+                 "batch_id bigint")
+
+
+def crop_ledger(spark: SparkSession, root: str) -> DataFrame | None:
+    """The names given to crops below ``root`` so far (``LEDGER_SCHEMA``), or None."""
+    path = f"{root}.ledger"
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path) if _names(spark, path) else None
+
+
+def write_crops(crops: DataFrame, root: str, existing: DataFrame | None = None, *, batch_id: int | None = None) -> DataFrame:
+    """K4: crop images under ``<safe label>/`` with first-free collision numbering (W2), written as Parquet
+    partitioned by ``safe_label`` (path, size, bytes); returns the path table (frame_id, det_idx, crop_path).
+
+    With a ``batch_id`` (a stream) names go through a ledger beside the crops, partitioned by day and batch: a batch is
+    numbered after the names of the batches before it on its days, and its names are written before its pixels.
+    Names follow from the rows and the earlier batches alone and both writes replace their own partitions, so a
+    replayed batch, or one that was stopped in between, ends as if it had run once. Without a ``batch_id`` rows are
+    appended, numbered after ``existing``."""
+    spark = crops.sparkSession
+    pixels = [F.col("crop.height").alias("height"), F.col("crop.width").alias("width"), F.col("crop.data").alias("data")]
+    if batch_id is None:
+        named = PA.crop_paths(crops, root, existing)
+        out = named.select("safe_label", "crop_path", "frame_id", "det_idx", *pixels)
+        out.hint("rebalance", "safe_label").write.mode("append").partitionBy("safe_label").parquet(root)
+        return named.select("frame_id", "det_idx", "crop_path")
+    batch = F.lit(int(batch_id)).cast("long")
+    narrow = crops.select("frame_id", "det_idx", "epoch_s", "species", "detector_label").withColumn(
+        "day", F.to_date(F.timestamp_seconds("epoch_s")))
+    ledger = crop_ledger(spark, root)
+    if ledger is not None:
+        earlier = ledger.where(F.col("batch_id") < batch).join(narrow.select("day").distinct(), "day", "left_semi")
+        known = earlier.select(F.col("crop_path").alias("path"))
+        existing = known if existing is None else existing.select("path").unionByName(known)
+    written_to = f"{root}.ledger"
+    (PA.crop_paths(narrow, root, existing).select("safe_label", "ts", "crop_num", "frame_id", "det_idx", "crop_path", "day", batch.alias("batch_id"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(written_to))
+    made = crop_ledger(spark, root)
+    if made is None:
+        return narrow.select("frame_id", "det_idx", F.lit(None).cast("string").alias("crop_path")).limit(0)
+    mine = made.where(F.col("batch_id") == batch).select("frame_id", "det_idx", "safe_label", "crop_path")
+    (crops.select("frame_id", "det_idx", *pixels).join(mine, ["frame_id", "det_idx"]).withColumn("batch_id", batch)
+     .hint("rebalance", "batch_id", "safe_label").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id", "safe_label").parquet(root))
+    return mine.select("frame_id", "det_idx", "crop_path")
+
+
+def write_latest(annotated: DataFrame, root: str) -> None:
+    """The newest annotated frame of each source (``source, epoch_s, frame_id, data``) as a retained state (K3): what a
+    dashboard shows. Only the rows that win among narrow ones bring their pixels."""
+    newest = annotated.groupBy("source").agg(F.max(F.struct("epoch_s", "frame_id")).alias("m")).select(
+        F.col("source").alias("_s"), F.col("m.frame_id").alias("_i"))
+    rows = annotated.join(newest, F.col("source").eqNullSafe(F.col("_s")) & (F.col("frame_id") == F.col("_i")))
+    upsert_state(rows.select("source", "epoch_s", "frame_id", F.col("annotated.data").alias("data")), root, order=("epoch_s", "frame_id"))
 
 
 def write_annotated(annotated: DataFrame, root: str, keep: int = config.KEEP_LAST_ANNOTATED) -> DataFrame:
