@@ -2,8 +2,8 @@
 (P4), crop window (P5), frames without detections (J3), best species (A3), nested detections (A4),
 summary text (A5), display label (P8) and run counters (A8).
 
-Everything groups by ``frame_id`` with hash aggregation (partial aggregation before the shuffle), so
-a frame with very many boxes is still combined map-side.
+Everything groups by ``frame_id`` with partial aggregation before the shuffle, so a frame with very many boxes is
+still combined map-side.
 """
 
 from __future__ import annotations
@@ -86,8 +86,8 @@ def best_candidate() -> F.Column:
 def best_species(dets: DataFrame) -> DataFrame:
     """A3: per frame the species with the highest species confidence (see ``best_candidate``).
 
-    Frames without a candidate produce no row (their best is null). Aggregation, not a sort: the
-    max is combined map-side before the shuffle.
+    Frames without a candidate produce no row (their best is null). The maximum of a struct with a string
+    runs as a sort-based aggregate, combined map-side; rows that come sorted by frame aren't sorted again.
     """
     best = dets.groupBy("frame_id").agg(best_candidate().alias("b")).where(F.col("b").isNotNull())
     return best.select(

@@ -128,7 +128,8 @@ def read_events(df: DataFrame, json_col: str = "value") -> tuple[DataFrame, Data
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Newest row per key by ``order`` (last wins), via ``max_by`` - hash aggregation, no sort.
+    """Newest row per key by ``order`` (last wins), via ``max_by``: each task sorts its rows by key and keeps the
+    newest of each before the shuffle (whole rows don't fit a hash aggregate's buffer), so only winners travel.
 
     Returns the original columns.
     """

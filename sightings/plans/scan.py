@@ -9,7 +9,7 @@ all lazy (building a query runs no job), and nulls in keys or order form a group
 sorts first, as in Spark's windows.
 
 * ``ordered_scan``: ranks, running sums and maxima, previous rows.
-* ``runs``: numbers stretches of rows between breaks, a break being decided by two neighbours.
+* rules that walk a key's rows with a state: ``plans.blocks``.
 * ``cooldown_flags`` (``plans.cooldown``): the greedy "emit when at least C seconds since the last emission" rule.
 * ``exact_rank_threshold``: the k-th smallest 64-bit hash by radix narrowing with bounded histograms,
   for exact-size splits without a global sort.
@@ -17,7 +17,7 @@ sorts first, as in Spark's windows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,7 +58,6 @@ def ordered_scan(
     sums: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
     lags: Mapping[str, str] | None = None,
-    at_last: Mapping[str, tuple[str, Column]] | None = None,
     rank_col: str = "_rank",
 ) -> DataFrame:
     """Per key and in ascending ``order`` (a total order, nulls first), add
@@ -66,14 +65,12 @@ def ordered_scan(
     * ``rank_col``: 0-based position of the row inside its key,
     * each ``sums[name]``: inclusive running sum,
     * each ``maxes[name]``: inclusive running max,
-    * each ``lags[name] = col``: ``col`` of the previous row of the same key (null on the first),
-    * each ``at_last[name] = (sum, condition)``: that running sum, of values that are not negative, at the
-      latest row so far for which the condition holds (null before the first).
+    * each ``lags[name] = col``: ``col`` of the previous row of the same key (null on the first).
 
     ``blocks`` cut a key's order: expressions that ascend with it, most significant first. A key's
     summary has one row per block and stands in one task; the rows themselves never do.
     """
-    sums, maxes, lags, at_last = dict(sums or {}), dict(maxes or {}), dict(lags or {}), dict(at_last or {})
+    sums, maxes, lags = dict(sums or {}), dict(maxes or {}), dict(lags or {})
     w, w_run = _local(order)
     local = _keyed(df, keys, blocks).withColumns({
         "__pos": F.row_number().over(w), "__last": F.lead(F.lit(1)).over(w).isNull(),
@@ -81,9 +78,8 @@ def ordered_scan(
         **{f"__m_{n}": F.max(e).over(w_run) for n, e in maxes.items()},
         **{f"__l_{n}": F.lag(c).over(w) for n, c in lags.items()},
     })
-    local = local.withColumns({f"__a_{n}": F.max(F.when(cond, F.col(f"__s_{total}"))).over(w_run) for n, (total, cond) in at_last.items()})
     ends = local.where("__last").select(
-        "__key", "__blk", "__pos", *[f"__s_{n}" for n in sums], *[f"__m_{n}" for n in maxes], *[f"__a_{n}" for n in at_last],
+        "__key", "__blk", "__pos", *[f"__s_{n}" for n in sums], *[f"__m_{n}" for n in maxes],
         F.struct(F.lit(0).alias("z"), *[F.col(c).alias(n) for n, c in lags.items()]).alias("__end"))
     per_key = Window.partitionBy("__key").orderBy("__blk")
     before = per_key.rowsBetween(Window.unboundedPreceding, -1)
@@ -91,70 +87,17 @@ def ordered_scan(
         "__key", "__blk", F.coalesce(F.sum("__pos").over(before), F.lit(0)).alias("__off"),
         *[F.sum(f"__s_{n}").over(before).alias(f"__cs_{n}") for n in sums],
         *[F.max(f"__m_{n}").over(before).alias(f"__cm_{n}") for n in maxes],
-        *[f"__a_{n}" for n in at_last],
         F.lag("__end").over(per_key).alias("__prev"))
-    carry = carry.withColumns({f"__a_{n}": F.max(F.coalesce(F.col(f"__cs_{total}"), F.lit(0)) + F.col(f"__a_{n}")).over(before).alias(n)
-                               for n, (total, _) in at_last.items()}).withColumnsRenamed({f"__a_{n}": f"__ca_{n}" for n in at_last})
     out = local.join(carry, ["__key", "__blk"])
     return _dropped(out.withColumns({
         rank_col: (F.col("__off") + F.col("__pos") - 1).cast("long"),
         **{n: F.when(F.col(f"__cs_{n}").isNull(), F.col(f"__s_{n}")).otherwise(
             F.col(f"__cs_{n}") + F.coalesce(F.col(f"__s_{n}"), F.lit(0))) for n in sums},
         **{n: F.greatest(F.col(f"__cm_{n}"), F.col(f"__m_{n}")) for n in maxes},
-        **{n: F.greatest(F.col(f"__ca_{n}"), F.coalesce(F.col(f"__cs_{total}"), F.lit(0)) + F.col(f"__a_{n}"))
-           for n, (total, _) in at_last.items()},
         **{n: F.when(F.col("__pos") == 1, F.col(f"__prev.{n}")).otherwise(F.col(f"__l_{n}")) for n in lags},
     }))
 
 
-def runs(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    blocks: Sequence[Column],
-    prev: Mapping[str, str],
-    breaks: Callable[[Mapping[str, Column], Column], Column],
-    *,
-    own: Sequence[str] | None = None,
-    run_col: str = "run_id",
-    break_col: str = "_break",
-) -> DataFrame:
-    """Number the runs of each key from 1, in ascending ``order``.
-
-    ``prev[name] = col`` names columns of the previous row; ``breaks(previous, is_first)`` says
-    whether a new run begins, from those and the columns ``own`` of the row itself (any, if not given).
-    Adds the ``prev`` names, ``break_col`` and ``run_col``. One pass: only a block's first row has to wait
-    for the block before it.
-    """
-    w, w_run = _local(order)
-    local = _keyed(df, keys, blocks).withColumns({
-        "__pos": F.row_number().over(w), "__last": F.lead(F.lit(1)).over(w).isNull(),
-        **{f"__l_{n}": F.lag(c).over(w) for n, c in prev.items()},
-    })
-    inner = breaks({n: F.col(f"__l_{n}") for n in prev}, F.lit(False))
-    local = local.withColumn("__in", F.when(F.col("__pos") > 1, inner.cast("long")).otherwise(F.lit(0)))
-    own = sorted(df.columns if own is None else own)
-    local = local.withColumns({
-        "__sum": F.sum("__in").over(w_run),
-        "__first": F.first(F.struct(*[F.col(c) for c in own])).over(w_run)})
-    ends = local.where("__last").select(
-        "__key", "__blk", "__sum", *[F.col(f"__first.{c}").alias(c) for c in own],
-        F.struct(F.lit(0).alias("z"), *[F.col(c).alias(n) for n, c in prev.items()]).alias("__end"))
-    per_key = Window.partitionBy("__key").orderBy("__blk")
-    ends = ends.withColumn("__prev", F.lag("__end").over(per_key)).withColumn("__none", F.lag(F.lit(1)).over(per_key).isNull())
-    ends = ends.withColumn("__open", breaks({n: F.col(f"__prev.{n}") for n in prev}, F.col("__none")).cast("long"))
-    before = per_key.rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(
-        "__key", "__blk", "__prev", "__open",
-        (F.coalesce(F.sum(F.col("__sum") + F.col("__open")).over(before), F.lit(0)) + F.col("__open")).alias("__off"))
-    out = local.join(carry, ["__key", "__blk"])
-    return _dropped(out.withColumns({
-        **{n: F.when(F.col("__pos") == 1, F.col(f"__prev.{n}")).otherwise(F.col(f"__l_{n}")) for n in prev},
-        break_col: F.when(F.col("__pos") == 1, F.col("__open") == 1).otherwise(F.col("__in") == 1),
-        run_col: F.col("__off") + F.col("__sum"),
-    }))
-
-
 def exact_rank_threshold(df: DataFrame, hash_col: str, tie_col: str, k: int, n: int):
     """The ``(hash, tie, copies)`` of 0-based rank ``k`` under ``(hash_col, tie_col)`` order: rows of equal
     hash and tie are alike, and ``copies`` of them lie before the cut. None when ``k >= n``.

@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +24,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from .. import config
 from ..operators import events as EV
 from ..operators.images import IMAGE_TYPE
+from ..operators.rules import announce_rows, failure_rows
 from ..sources.files import with_frame_identity
 
 ATTEMPT_SCHEMA = "attempt_id LONG, source STRING, ts TIMESTAMP, ok BOOLEAN"
@@ -91,63 +91,6 @@ def conflate_stream(frames: DataFrame, slot_s: float, watermark: str, t_col: str
     )
 
 
-# ---- runs and cooldowns of one camera's rows ----------------------------------------------------
-
-def emissions(times: np.ndarray, last: float | None, gap: float, strict: bool = False) -> tuple[np.ndarray, float | None]:
-    """Which of the ascending ``times`` emit if the one before them was ``last`` (None: none yet), and
-    the last emission. Jumps from emission to emission."""
-    flags, at = np.zeros(len(times), bool), 0
-    while at < len(times):
-        if last is not None:
-            at = max(at, int(np.searchsorted(times, last + gap - 1e-3)))
-            waited = times[at:] - last
-            due = np.flatnonzero(waited > gap if strict else waited >= gap)
-            if not len(due):
-                break
-            at += int(due[0])
-        flags[at], last = True, float(times[at])
-        at += 1
-    return flags, last
-
-
-def _stretches(first: np.ndarray) -> list[tuple[int, int]]:
-    """(from, to) of the stretches that begin where ``first`` is true (and at the start)."""
-    at = np.flatnonzero(np.concatenate([[True], first[1:]])) if len(first) else np.zeros(0, int)
-    return list(zip(at.tolist(), [*at[1:].tolist(), len(first)]))
-
-
-def announce_rows(rows: pd.DataFrame, run: tuple[str | None, float | None], songs: dict[str, float], repeat_s: float,
-                  song_s: float, songs_enabled: bool) -> tuple[pd.DataFrame, tuple[str | None, float | None]]:
-    """W6 for a camera's next rows in order; ``run`` is the species it shows and when that was last
-    spoken. ``songs`` is updated. Returns the rows with their flags and the new ``run``."""
-    species, times = rows["best_species"].to_numpy(object), rows["epoch_s"].to_numpy(float)
-    before = np.concatenate([[run[0]], species[:-1]]) if len(rows) else species
-    changed = np.array([a != b for a, b in zip(species, before)], bool)
-    speak, play = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
-    for lo, hi in _stretches(changed):
-        speak[lo:hi], spoken = emissions(times[lo:hi], None if changed[lo] else run[1], repeat_s)
-        run = (species[lo], spoken)
-    for name, at in pd.Series(np.arange(len(rows))).groupby(species).groups.items() if songs_enabled else ():
-        play[at], songs[name] = emissions(times[at], songs.get(name), song_s)
-    return rows[["frame_id", "source", "epoch_s", "best_species"]].assign(changed=changed, speak=speak, play_song=play), run
-
-
-def failure_rows(rows: pd.DataFrame, failures: int, logged_at: float | None, quiet_s: float) -> tuple[pd.DataFrame, int, float | None]:
-    """W4 for a camera's next attempts in order; ``failures`` in a row so far, the last one printed at
-    ``logged_at``. Returns the failed attempts, and both numbers anew."""
-    ok, times = rows["ok"].to_numpy(bool), rows["t"].to_numpy(float)
-    fail_n, logged = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
-    for lo, hi in _stretches(ok):
-        if ok[lo]:
-            failures, logged_at, lo = 0, None, lo + 1
-        fail_n[lo:hi] = failures + np.arange(1, hi - lo + 1)
-        logged[lo:hi], logged_at = emissions(times[lo:hi], logged_at, quiet_s, strict=True)
-        failures += hi - lo
-    out = rows[["attempt_id", "source"]].assign(
-        fail_n=fail_n, backoff_s=np.minimum(config.BACKOFF_STEP_S * fail_n, config.BACKOFF_CAP_S), logged=logged)
-    return out[~ok], failures, logged_at
-
-
 def _released(waiting: list, new: pd.DataFrame, columns: list[str], time: str, tie: str, state: GroupState, timed: bool) -> tuple[pd.DataFrame, list]:
     """The rows that are final, in order, and those that still wait for the watermark."""
     rows = pd.concat([pd.DataFrame(waiting, columns=columns), new[columns]]) if waiting else new[columns]

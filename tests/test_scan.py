@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from sightings.operators import corpus as CO
 from sightings.operators import paths as PA
-from sightings.plans.scan import cooldown_flags, ordered_scan, runs, time_block
+from sightings.operators import alerts as AL
+from sightings.plans.scan import cooldown_flags, ordered_scan, time_block
 
 
 def simulate_cooldown(rows, c, strict):
@@ -42,20 +43,6 @@ def test_ordered_scan_matches_windows(spark, seconds):
     assert got == want
 
 
-@pytest.mark.parametrize("seconds", [20.0, 1e6])
-def test_runs_match_windows(spark, seconds):
-    rnd = random.Random(4)
-    rows = [(rnd.choice(["a", "a", None]), rnd.choice([None] + [float(rnd.randint(0, 500))] * 9), i, rnd.choice(["x", "y", None])) for i in range(1500)]
-    df = spark.createDataFrame(rows, "k string, t double, id int, v string")
-    s = runs(df, ["k"], ["t", "id"], [time_block("t", seconds)], {"p": "v"}, lambda prev, first: first | ~prev["p"].eqNullSafe(F.col("v")))
-    w = Window.partitionBy("k").orderBy("t", "id")
-    ref = df.withColumn("p2", F.lag("v").over(w)).withColumn("n", F.row_number().over(w)).withColumn(
-        "b2", (F.col("n") == 1) | ~F.col("p2").eqNullSafe(F.col("v")))
-    ref = ref.withColumn("r2", F.sum(F.col("b2").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    got = {r["id"]: (r["p"], r["_break"], r["run_id"]) for r in s.collect()}
-    assert got == {r["id"]: (r["p2"], r["b2"], r["r2"]) for r in ref.collect()}
-
-
 @pytest.mark.parametrize("strict", [False, True])
 @pytest.mark.parametrize("block_s", [7.0, 50.0, 1e6])
 def test_cooldown_flags_equals_simulation(spark, strict, block_s):
@@ -74,9 +61,12 @@ def test_cooldown_flags_equals_simulation(spark, strict, block_s):
 
 def test_building_an_ordered_query_runs_no_job(spark):
     df = spark.createDataFrame([("a", 1.0, 1)], "k string, t double, tie int")
+    best = spark.createDataFrame([(1, "a", 1.0, "wren", 0.9)], "frame_id long, source string, epoch_s double, best_species string, best_species_conf double")
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("lazy", "lazy")
-    cooldown_flags(runs(df, ["k"], ["t", "tie"], [time_block("t")], {"p": "t"}, lambda prev, first: first), ["k"], "t", "tie", 5.0)
+    cooldown_flags(df, ["k"], "t", "tie", 5.0)
+    AL.announce(best)
+    AL.species_visits(best, 5.0)
     assert not tracker.getJobIdsForGroup("lazy")
     spark.sparkContext.setJobGroup("rest", "rest")
 
@@ -117,20 +107,6 @@ def test_hot_key_is_split_across_blocks(spark):
     assert got[99] == (99, 100) and got[37] == (37, 38)
 
 
-def test_sum_at_the_last_matching_row(spark):
-    rnd = random.Random(8)
-    rows = [(rnd.choice(["a", "b", None]), float(rnd.randint(0, 300)), i, rnd.random() < 0.3) for i in range(1200)]
-    df = spark.createDataFrame(rows, "k string, t double, id int, ok boolean")
-    s = ordered_scan(df, ["k"], ["t", "id"], [time_block("t", 15.0)], sums={"n": F.lit(1)}, at_last={"at": ("n", F.col("ok"))})
-    want, count, seen = {}, {}, {}
-    for k, _, i, ok in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
-        count[k] = count.get(k, 0) + 1
-        if ok:
-            seen[k] = count[k]
-        want[i] = seen.get(k)
-    assert {r.id: r["at"] for r in s.collect()} == want
-
-
 def test_cooldown_kernels():
     import numpy as np
 
