@@ -20,11 +20,12 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from .cooldown import whole_groups
 
-BLOCK_S = 6 * 3600.0
+BLOCK_S = 24 * 3600.0
 _NO_TIME = -(1 << 62)  # the block of rows without a time, before all others
 
 
@@ -53,17 +54,18 @@ def blockwise(df: DataFrame, key: str, time_col: str, tie_col: str, fields: str,
             yield pa.RecordBatch.from_arrays([b["__key"], b["__blk"], pa.array(states, pa.string())], names=["__key", "__blk", "__state"])
 
     columns, new = df.columns, StructType.fromDDL(fields)
+    kinds = [to_arrow_type(f.dataType) for f in new.fields]
 
     def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, first, end in whole_groups(batches):
-            for a in first.tolist():
-                part = table.slice(a, end[a] - a)
-                state = part["__state"][0].as_py()
-                made = finish(part, None if state is None else json.loads(state))
-                out = part.select(columns)
-                for f, values in zip(new.names, made):
-                    out = out.append_column(f, values if isinstance(values, (pa.Array, pa.ChunkedArray)) else pa.array(values))
-                yield from out.to_batches()
+            states, made = table["__state"].take(pa.array(first)).to_pylist(), [[] for _ in kinds]
+            for a, state in zip(first.tolist(), states):
+                for parts, kind, values in zip(made, kinds, finish(table.slice(a, end[a] - a), None if state is None else json.loads(state))):
+                    parts.append(values if isinstance(values, pa.Array) else pa.array(values, kind))
+            out = table.select(columns)
+            for name, kind, parts in zip(new.names, kinds, made):
+                out = out.append_column(name, pa.chunked_array(parts, kind).combine_chunks())
+            yield from out.to_batches()
 
     summed = rows.withColumn("__pos", F.row_number().over(in_block)).mapInArrow(sums, "__key string, __blk bigint, summary string")
     per_key = Window.partitionBy("__key").orderBy("__blk")
