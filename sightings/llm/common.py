@@ -32,6 +32,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until no column of df is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def add_columns(df: DataFrame, compute: Callable[[pa.RecordBatch], list], fields: str, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of df (all, if not given) as they are, and new ones from each Arrow batch.
 

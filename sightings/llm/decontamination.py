@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightings.llm.common import add_columns
+from sightings.llm.common import add_columns, fresh_names
 
 WINDOW = 13
 SHARE = 20  # contaminated from one hit word in so many
@@ -274,17 +274,17 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE,
-         shard_symbols: int = SHARD_SYMBOLS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of ``docs`` plus the struct ``decon`` (n_words, n_hit, items, spans, contaminated).
+         shard_symbols: int = SHARD_SYMBOLS, block_bytes: int = BLOCK_BYTES, name: str = "decon") -> DataFrame:
+    """All columns of ``docs`` plus the struct ``name`` (n_words, n_hit, items, spans, contaminated).
 
     spans are the merged removal spans as byte offsets into the UTF-8 text, words the same as word
-    numbers, past the last one each. A column named decon is replaced."""
+    numbers, past the last one each. A column of that name is replaced."""
     words_type = "array<struct<first:bigint,past:bigint>>"
     decon = (f"struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:{words_type},words:{words_type},contaminated:boolean>")
     pairs = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
     arrow = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
                        ("spans", pairs), ("words", pairs), ("contaminated", pa.bool_())])
-    cur = docs.drop("decon").withColumn("decon", F.lit(None).cast(decon))
+    cur = docs.drop(name).withColumn(name, F.lit(None).cast(decon))
     names, schema = cur.columns, cur.schema
 
     def pass_over(block):
@@ -295,7 +295,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int
                 base = np.cumsum([0, *(len(t) + 1 for t in texts)])
                 first = np.cumsum(n_words) - n_words
                 out = []
-                for i, had in enumerate(b["decon"].to_pylist()):
+                for i, had in enumerate(b[name].to_pylist()):
                     old = [(r["first"], r["past"]) for r in had["words"]] if had else []
                     words = _union(old, ranges[i])
                     n_hit = sum(e - s for s, e in words)
@@ -321,12 +321,13 @@ def op1(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` with the removal spans cut out of the text."""
-    found = mark(docs, benchmark, **options)
+    """``docs`` with the removal spans cut out of the text; all other columns as they are."""
+    name, = fresh_names(docs, "decon")
+    found = mark(docs, benchmark, name=name, **options)
 
     def cut(b: pa.RecordBatch) -> list:
         texts = []
-        for t, d in zip(b["text"].to_pylist(), b["decon"].to_pylist()):
+        for t, d in zip(b["text"].to_pylist(), b[name].to_pylist()):
             if t is not None and d["spans"]:
                 raw, at, kept = t.encode("utf-8", "surrogatepass"), 0, []
                 for s in d["spans"]:
@@ -336,12 +337,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
             texts.append(t)
         return [pa.array(texts, pa.string())]
 
-    return add_columns(found, cut, "text string").select(*[c for c in docs.columns if c != "decon"])
+    return add_columns(found, cut, "text string").select(*docs.columns)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated, as they are."""
-    return mark(docs, benchmark).filter(~F.col("decon.contaminated")).drop("decon")
+    """The documents that aren't contaminated, with all their columns as they are."""
+    name, = fresh_names(docs, "decon")
+    return mark(docs, benchmark, name=name).filter(~F.col(f"{name}.contaminated")).drop(name)
 
 
 def digest_of(ids: list[str]) -> str:

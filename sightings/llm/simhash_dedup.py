@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightings.llm.common import add_columns, connected_components, local_components, stage
+from sightings.llm.common import add_columns, connected_components, fresh_names, local_components, stage
 
 NODE_LIMIT = 1 << 13
 _LEAF = 16  # node pairs with at most this many fingerprint pairs are compared directly
@@ -239,15 +239,16 @@ def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 2, seed: int = 42)
     join on them selects the rows; texts move only if the ids that go are many. Rows whose doc_id stands
     on several rows, one of which stays, are told apart by fingerprinting them again."""
     found = simhash_components(docs, shingle, budget, seed)
+    id_, fp, root = fresh_names(docs, "_id", "_fp", "_root")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.count(F.when(stays, 1)).alias("_kept"))
-    apart = stage(ids.filter("_kept = 0 or _rows > 1"), "simhash-apart")
-    same_id = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id"))
-    once = docs.join(apart.select("_id"), same_id, "left_anti")
-    again = apart.filter("_kept > 0").select("_id")
+    ids = found.groupBy(F.col("doc_id").alias(id_)).agg(F.count("*").alias("rows"), F.count(F.when(stays, 1)).alias("kept"))
+    apart = stage(ids.filter("kept = 0 or rows > 1"), "simhash-apart")
+    same_id = F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_))
+    once = docs.join(apart.select(id_), same_id, "left_anti")
+    again = apart.filter("kept > 0").select(id_)
     if again.isEmpty():
         return once
-    rows = add_columns(docs.join(again, same_id, "left_semi"), lambda b: [_fp_column(b, shingle, seed)], "_fp bigint")
-    roots = found.filter(stays).select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("doc_id").alias("_id")).distinct()
-    picked = rows.join(roots, (rows["_fp"] == roots["_fp"]) & same_id).dropDuplicates(["_root"])
+    rows = add_columns(docs.join(again, same_id, "left_semi"), lambda b: [_fp_column(b, shingle, seed)], f"{fp} bigint")
+    roots = found.filter(stays).select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("doc_id").alias(id_)).distinct()
+    picked = rows.join(roots, (rows[fp] == roots[fp]) & same_id).dropDuplicates([root])
     return once.unionByName(picked.select(*[rows[c] for c in docs.columns]))

@@ -20,6 +20,7 @@ percent-encoded; an empty table gives an empty archive; other columns are ignore
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -141,18 +142,32 @@ def _member(record: bytes) -> bytes:
     return zip_.compress(record) + zip_.flush()
 
 
+_PAGE = re.compile(r"<urn:page:(-?\d+)>")
+
+
 def _page(urn: str | None) -> int | None:
-    return int(urn[len("<urn:page:"):-1]) if urn else None
+    """The page of a record written here; None for records of other archives."""
+    found = _PAGE.fullmatch(urn or "")
+    return int(found[1]) if found else None
+
+
+def archive_name(path: str) -> str:
+    """A folder name for an archive: its file name without ending, and a mark of the whole path, as names repeat."""
+    stem = re.sub(r"(\.warc)?\.gz$", "", path.rsplit("/", 1)[-1])
+    return f"{re.sub(r'[^A-Za-z0-9._-]', '_', stem)}-{hashlib.sha1(path.encode()).hexdigest()[:10]}"
 
 
 def _facts(fields: dict[str, str], body: bytes) -> dict:
-    """What a record says: of responses measured on the payload, of revisits as the headers have it."""
-    response = fields["warc-type"] == "response"
-    digest = hashlib.sha1(body).hexdigest() if response else fields["warc-payload-digest"].removeprefix("sha1:")
-    if response and digest != fields["warc-payload-digest"].removeprefix("sha1:"):
+    """What a record says: of responses measured on the payload, of revisits as the headers have it. A response of
+    ours must have its digest; records of other archives (any id, any type) have no page, and are measured whole."""
+    kind, page = fields["warc-type"], _page(fields.get("warc-record-id"))
+    said = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    digest = said if kind == "revisit" else hashlib.sha1(body).hexdigest()
+    if kind == "response" and page is not None and digest != said:
         raise ValueError(f"payload of {fields.get('warc-record-id')} doesn't have its digest")
-    return {"page_id": _page(fields.get("warc-record-id")), "payload_digest": digest, "record_type": fields["warc-type"],
-            "payload_bytes": len(body) if response else int(fields["warc-payload-length"]), "refers_to": _page(fields.get("warc-refers-to"))}
+    size = int(fields.get("warc-payload-length", len(body))) if kind == "revisit" else len(body)
+    return {"page_id": page, "payload_digest": digest, "record_type": kind, "payload_bytes": size,
+            "refers_to": _page(fields.get("warc-refers-to")), "record_id": fields.get("warc-record-id")}
 
 
 def _binary(spark: SparkSession, path: str) -> DataFrame:
@@ -162,11 +177,13 @@ def _binary(spark: SparkSession, path: str) -> DataFrame:
 def normalise(spark: SparkSession, source: str, target: str) -> tuple[str, str]:
     """Rewrite each gzip file below ``source``; returns the folders of the archives and the index.
 
-    An archive is the file in ``archive=<name>``, its name taken from the source file. The sidecar
-    index (Parquet, in a folder of the same name) has page_id, record_type, offset and length of
-    every member. Both come from one pass over the source."""
-    kind = "archive string, content binary, entries array<struct<page_id:bigint,record_type:string,offset:bigint,length:bigint>>"
-    entry = pa.list_(pa.struct([("page_id", pa.int64()), ("record_type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
+    An archive is the file in ``archive=<name>``, its name taken from the source file's path (``archive_name``). The
+    sidecar index (Parquet, in a folder of the same name) has page_id (null for records of other archives),
+    record_id, record_type, offset and length of every member. Both come from one pass over the source."""
+    kind = ("archive string, content binary, "
+            "entries array<struct<page_id:bigint,record_id:string,record_type:string,offset:bigint,length:bigint>>")
+    entry = pa.list_(pa.struct([("page_id", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()),
+                                ("offset", pa.int64()), ("length", pa.int64())]))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,12 +191,12 @@ def normalise(spark: SparkSession, source: str, target: str) -> tuple[str, str]:
                 out, entries = bytearray(), []
                 for fields, head, body in parse(raw.as_py()):
                     member = _member(head + body + b"\r\n\r\n")
-                    entries.append({"page_id": _page(fields.get("warc-record-id")), "record_type": fields["warc-type"],
+                    entries.append({"page_id": _page(fields.get("warc-record-id")), "record_id": fields.get("warc-record-id"),
+                                    "record_type": fields["warc-type"],
                                     "offset": len(out), "length": len(member)})
                     out += member
                 if entries:
-                    name = path.rsplit("/", 1)[-1].split(".")[0]
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([bytes(out)], pa.binary()), pa.array([entries], entry)],
+                    yield pa.RecordBatch.from_arrays([pa.array([archive_name(path)]), pa.array([bytes(out)], pa.binary()), pa.array([entries], entry)],
                                                      names=["archive", "content", "entries"])
 
     made = _binary(spark, source).select("path", "content").mapInArrow(rewrite, kind)
@@ -195,9 +212,9 @@ def normalise(spark: SparkSession, source: str, target: str) -> tuple[str, str]:
 
 
 def read_archives(spark: SparkSession, archives: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record."""
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and record_id of every record."""
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,7 +222,7 @@ def read_archives(spark: SparkSession, archives: str) -> DataFrame:
                 rows = [_facts(fields, body) for fields, _, body in parse(raw.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names=names)
 
-    return _binary(spark, archives).select("content").mapInArrow(read, _RECORD)
+    return _binary(spark, archives).select("content").mapInArrow(read, f"{_RECORD}, record_id string")
 
 
 def read_records(spark: SparkSession, archives: str, index: str, page_ids: DataFrame) -> DataFrame:
@@ -232,7 +249,7 @@ def op3(pages: DataFrame) -> DataFrame:
     root = scratch_path(spark, "warc")
     write_monolithic(records(pages), f"{root}/crawl")
     archives, _ = normalise(spark, f"{root}/crawl", f"{root}/normal")
-    return read_archives(spark, archives)
+    return read_archives(spark, archives).drop("record_id")
 
 
 OP3_SQL = f"""

@@ -109,3 +109,13 @@ def test_empty_tables(spark):
     rows, items = fixture()
     assert dc.op1(spark.createDataFrame([], DOC_SCHEMA), bench(spark, items)).count() == 0
     assert result(dc.op1(docs(spark, rows[:3]), bench(spark, []))) == brute(rows[:3], [])
+
+
+def test_other_columns_stay_whatever_they_are_called(spark):
+    words = " ".join(f"w{i}" for i in range(20))
+    wide = docs(spark, [(1, words), (2, "clean text here")]).selectExpr("*", "'mine' as decon", "1 as DECON_")
+    bench = spark.createDataFrame([(1, words)], "item_id bigint, text string")
+    got = dc.keep_clean(wide, bench)
+    assert got.columns == wide.columns and [tuple(r) for r in got.collect()] == [tuple(r) for r in wide.filter("doc_id = 2").collect()]
+    cut = dc.clean(wide, bench)
+    assert cut.columns == wide.columns and {r.doc_id: (r.text, r.decon) for r in cut.collect()} == {1: ("", "mine"), 2: ("clean text here", "mine")}

@@ -137,3 +137,14 @@ def test_reduced_pairs_keep_the_components(monkeypatch):
 def test_thousands_of_copies_and_a_dense_ball(spark):
     rows = [(k, "same text in all of them") for k in range(3000)]
     assert {r["component_id"] for r in by_id(sd.op10(docs(spark, rows))).values()} == {0}
+
+
+def test_keep_one_with_columns_of_its_own_names(spark):
+
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y z u v w"), (3, "other words stand here"), (3, "x y z u v w")]
+    plain = docs(spark, rows)
+    wide = plain.withColumns({"_id": F.lit("mine"), "_FP": F.col("text"), "_root": F.lit(7), "kept": F.lit(True), "rows": F.lit("r")})
+    got = sd.keep_one(wide)
+    assert got.columns == wide.columns
+    want = sorted((r.doc_id, r.text) for r in sd.keep_one(plain).collect())
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == want and all(r._id == "mine" and r._FP == r.text and r._root == 7 for r in got.collect())

@@ -76,3 +76,29 @@ def test_members_index_and_random_access(spark):
 
 def test_empty_table(spark):
     assert warc.op3(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def foreign(kind, body, name, extra=""):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{name}>\r\n{extra}Content-Length: {len(body)}\r\n\r\n"
+    return head.encode() + body + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Any record id and type, and equal base names in several folders."""
+    sets = {}
+    for folder, name in (("a", "crawl.1.warc.gz"), ("a", "crawl.2.warc.gz"), ("b", "crawl.1.warc.gz")):
+        recs = [foreign("warcinfo", b"software: x", f"{folder}{name}0"),
+                foreign("request", b"GET / HTTP/1.1\r\n\r\n", f"{folder}{name}1"),
+                foreign("response", b"HTTP/1.1 200 OK\r\n\r\n" + folder.encode() * 50, f"{folder}{name}2", "WARC-Payload-Digest: sha1:ABCDEFG\r\n"),
+                foreign("metadata", b"", f"{folder}{name}3")]
+        (tmp_path / "in" / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / folder / name).write_bytes(gzip.compress(b"".join(recs)))
+        sets[folder, name] = recs
+    archives, index = warc.normalise(spark, str(tmp_path / "in" / "*"), str(tmp_path / "out"))
+    entries = spark.read.parquet(index).collect()
+    assert len(entries) == 12 and len({r.archive for r in entries}) == 3 and len({r.record_id for r in entries}) == 12
+    files = {os.path.basename(os.path.dirname(f)).removeprefix("archive="): f for f in _files(archives)}
+    members = sorted(gzip.decompress(open(files[r.archive], "rb").read()[r.offset:r.offset + r.length]) for r in entries)
+    assert members == sorted(x for recs in sets.values() for x in recs)
+    got = warc.read_archives(spark, archives).collect()
+    assert sorted(r.record_type for r in got) == sorted(["warcinfo", "request", "response", "metadata"] * 3) and all(r.page_id is None for r in got)
