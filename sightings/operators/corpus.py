@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import scalars as S
 from ..plans.scan import exact_rank_threshold, ordered_scan
+from ..session import written
 
 IMAGE_EXTENSIONS = (".jpg", ".png")  # lower-case only: a glob for *.jpg does not match .JPG
 
@@ -70,13 +71,11 @@ def split_exact(samples: DataFrame, frac: float = config.TRAIN_FRACTION, seed: i
                 path_col: str = "path") -> tuple[DataFrame, DataFrame]:
     """O2: train = the first ``int(frac * n)`` samples of the seeded permutation, val = the rest.
 
-    Exact sizes without a global sort: the cut point is found by radix narrowing of the hash
-    (bounded histograms), then each side is a filter.
+    Exact sizes without a global sort. The samples (narrow rows) are written with their hash once; one scan of it
+    counts by bucket, one fetches the bucket of the cut, and each side is a filter.
     """
-    keyed = samples.withColumn("_h", shuffle_key(seed, path_col))
-    n = keyed.count()
-    k = int(frac * n)
-    cut = exact_rank_threshold(keyed, "_h", path_col, k, n)
+    keyed = written(samples.withColumn("_h", shuffle_key(seed, path_col)), "split")
+    cut = exact_rank_threshold(keyed.select("_h", path_col), "_h", path_col, lambda n: int(frac * n))
     if cut is None:
         return keyed.drop("_h"), keyed.limit(0).drop("_h")
     h, p, copies = cut

@@ -11,13 +11,13 @@ sorts first, as in Spark's windows.
 * ``ordered_scan``: ranks, running sums and maxima, previous rows.
 * rules that walk a key's rows with a state: ``plans.blocks``.
 * ``cooldown_flags`` (``plans.cooldown``): the greedy "emit when at least C seconds since the last emission" rule.
-* ``exact_rank_threshold``: the k-th smallest 64-bit hash by radix narrowing with bounded histograms,
+* ``exact_rank_threshold``: the k-th smallest 64-bit hash from one bounded histogram and one small fetch,
   for exact-size splits without a global sort.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,31 +98,30 @@ def ordered_scan(
     }))
 
 
-def exact_rank_threshold(df: DataFrame, hash_col: str, tie_col: str, k: int, n: int):
-    """The ``(hash, tie, copies)`` of 0-based rank ``k`` under ``(hash_col, tie_col)`` order: rows of equal
-    hash and tie are alike, and ``copies`` of them lie before the cut. None when ``k >= n``.
+def exact_rank_threshold(df: DataFrame, hash_col: str, tie_col: str, rank: Callable[[int], int], fetch: int = 1 << 17):
+    """The ``(hash, tie, copies)`` of 0-based rank ``rank(n)`` of the n rows under ``(hash_col, tie_col)`` order: rows of
+    equal hash and tie are alike, and ``copies`` of them lie before the cut. None when it is n or more.
 
-    Radix narrowing over the signed 64-bit hash, 12 bits per round: each round is one scan that
-    returns at most 4096 bucket counts. At the end a bucket of at most 4096 rows is left, or one hash
-    value, of which the distinct ties (colliding hashes) are few; these are counted in order.
+    One scan counts the rows by the upper 16 bits of the signed 64-bit hash (at most 65,536 counts, whose sum is n),
+    a second fetches the one bucket that holds the rank, some n / 65,536 rows, grouped by hash and tie. Only where
+    that bucket has more than ``fetch`` rows it is counted by the next 16 bits first. One hash value isn't divided
+    further; its distinct ties (colliding hashes) are few.
     """
-    if k >= n or n == 0:
-        return None
-    h = F.col(hash_col)
-    remaining = k
-    cond = F.lit(True)
-    # (shift, mask) rounds cover bits 63..0: 12 bits at a time, the top bucket keeps the sign.
-    for shift, mask in [(52, None), (40, 0xFFF), (28, 0xFFF), (16, 0xFFF), (4, 0xFFF), (0, 0xF)]:
+    h, cond, remaining, left = F.col(hash_col), F.lit(True), None, None
+    for shift in (48, 32, 16, 0):
         bucket = F.shiftright(h, shift)
-        if mask is not None:
-            bucket = bucket.bitwiseAND(F.lit(mask))
-        counts = df.where(cond).groupBy(bucket.alias("b")).count().orderBy("b").collect()  # <= 4096 rows
+        counts = df.where(cond).groupBy(bucket.alias("b")).count().orderBy("b").collect()  # <= 65,536 rows
+        if remaining is None:
+            n = sum(row["count"] for row in counts)
+            remaining = rank(n)
+            if remaining >= n:
+                return None
         for row in counts:
             if remaining < row["count"]:
                 cond, left = cond & (bucket == F.lit(row["b"])), row["count"]
                 break
             remaining -= row["count"]
-        if left <= 4096:  # few enough to look at one by one
+        if left <= fetch:
             break
     ties = df.where(cond).groupBy(h.alias("h"), F.col(tie_col).alias("t")).count().orderBy("h", "t")
     for row in ties.toLocalIterator():

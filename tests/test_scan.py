@@ -136,3 +136,26 @@ def test_many_rows_in_one_block_take_linear_time(spark):
         assert flags.where("emit").count() == -(-n // 3)
         took[n] = time.perf_counter() - t0
     assert took[200_000] < 8 * took[50_000] + 2
+
+
+def test_split_scans_the_stored_hashes_twice_for_the_cut(spark):
+    """Two jobs find the cut, and what comes before the split is computed once."""
+    from sightings.plans import scan as SC
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(f"root/c/{i}.jpg",) for i in range(5000)], "path string").mapInArrow(count, "path string")
+    train, val = CO.split_exact(df, 0.8, seed=3)
+    assert (train.count(), val.count()) == (4000, 1000) and seen.value == 5000
+    keyed = spark.range(3000).select((F.col("id") % 7).alias("h"), (F.col("id") % 3).cast("string").alias("t"))
+    ordered = sorted((i % 7, str(i % 3)) for i in range(3000))
+    for k in (0, 1, 1700, 2999):
+        for fetch in (1 << 17, 5):
+            h, t, copies = SC.exact_rank_threshold(keyed, "h", "t", lambda n: k, fetch)
+            assert (h, t) == ordered[k] and copies == k - ordered.index((h, t))
+    assert SC.exact_rank_threshold(keyed, "h", "t", lambda n: n) is None
