@@ -89,25 +89,31 @@ def _image_struct(arrs, origins) -> pd.DataFrame:
 
 
 def crop_images(frames: DataFrame, dets: DataFrame, image_col: str = "image") -> DataFrame:
-    """M7: join each detection's crop window (P5 columns) to its frame on ``frame_id`` and slice.
+    """M7: each detection's crop window (P5 columns) sliced from its frame; adds ``crop`` (image struct).
 
-    Adds ``crop`` (image struct). The frame table keeps pixels; detections stay narrow until here.
-    """
-    j = dets.join(frames.select("frame_id", image_col), on="frame_id")
-
-    @F.pandas_udf(IMAGE_TYPE)
-    def cut(img: pd.DataFrame, x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.DataFrame:
-        arrs = [None if a is None else K.crop(a, int(a1), int(b1), int(a2), int(b2))
-                for a, a1, b1, a2, b2 in zip(_arrays(img), x1, y1, x2, y2)]
-        return _image_struct(arrs, img["origin"])
+    Windows are nested per frame first, so a frame's pixels meet them once, however many crops it has. With frames
+    stored by ``files.store_frames`` the pixels don't move: only the narrow detections are dealt to their buckets."""
+    cols = [c for c in dets.columns if c != "frame_id"]
+    per = dets.groupBy("frame_id").agg(F.collect_list(F.struct(*cols)).alias("_d"))
+    j = per.join(frames.select("frame_id", image_col), on="frame_id")
 
-    return j.withColumn("crop", cut(F.col(image_col), "crop_x1", "crop_y1", "crop_x2", "crop_y2")).drop(image_col)
+    @F.pandas_udf(T.ArrayType(IMAGE_TYPE))
+    def cut(img: pd.DataFrame, windows: pd.Series) -> pd.Series:
+        out = []
+        for a, origin, boxes in zip(_arrays(img), img["origin"], windows):
+            crops = [None if a is None else K.crop(a, *(int(v) for v in box)) for box in boxes]
+            out.append(_image_struct(crops, [origin] * len(crops)).to_dict("records"))
+        return pd.Series(out)
 
+    corners = F.transform("_d", lambda d: F.array(*[d[f"crop_{c}"].cast("int") for c in ("x1", "y1", "x2", "y2")]))
+    both = j.select("frame_id", F.arrays_zip(F.col("_d").alias("d"), cut(F.col(image_col), corners).alias("crop")).alias("_z"))
+    flat = both.select("frame_id", F.explode("_z").alias("z"))
+    return flat.select("frame_id", *[F.col(f"z.d.{c}").alias(c) for c in cols], F.col("z.crop").alias("crop"))
 
 
 def annotate(frames: DataFrame, dets: DataFrame, image_col: str = "image") -> DataFrame:
     """Per frame with detections, the frame with a 2-px green box per detection (detector
-    order); the label text stays a column (``labels``, F5 annotation form)."""
+    order); the label text stays a column (``labels``, F5 annotation form). Pixels move as in ``crop_images``."""
     from ..functions import scalars as S
 
     per = dets.groupBy("frame_id").agg(

@@ -48,6 +48,15 @@ def read_frames(spark: SparkSession, path: str, source: str | None = None) -> tu
         seen.where(F.col("reason").isNotNull()).select("path", "source", "scheduled_at", "reason")
 
 
+def store_frames(frames: DataFrame, table: str, path: str | None = None, buckets: int = 64) -> DataFrame:
+    """Frames as a table bucketed by frame_id: joins on frame_id (M7, M10) then read the pixels where they lie, and only
+    the narrow side is shuffled. ``path`` makes it an external table. Take at least as many buckets as joins have
+    shuffle partitions, else Spark prefers to deal the pixels anew."""
+    w = frames.write.mode("overwrite").format("parquet").bucketBy(buckets, "frame_id").sortBy("frame_id")
+    (w.option("path", path) if path else w).saveAsTable(table)
+    return frames.sparkSession.table(table)
+
+
 def read_labelled_images(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
     """One row per ``<root>/<class>/<file>.jpg|.png`` (depth exactly 2, lower-case suffix);
     the class is the parent directory. File bytes are only read when ``with_content``."""

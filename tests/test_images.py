@@ -77,3 +77,48 @@ def test_crop_and_annotate(spark):
     assert ann["labels"] == ["bird 0.90 -> blue_jay (0.80)", "cat 0.50"]
     img = K.to_array(ann["annotated"]["data"], 40, 64, 3)
     assert tuple(img[5, 15]) == (0, 255, 0)
+
+
+def test_crops_and_boxes_read_stored_pixels_in_place(spark, tmp_path):
+    """No exchange over image.data, and a frame with many crops is joined once."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from sightings.operators import images as IM
+    from sightings.sources import files as FS
+
+    img = F.struct(F.lit("o").alias("origin"), F.lit(2).alias("height"), F.lit(2).alias("width"), F.lit(3).alias("nChannels"),
+                   F.lit(IM.CV_8UC3).alias("mode"), F.unhex(F.repeat(F.lpad(F.hex(F.col("id") % 200), 2, "0"), 12)).alias("data"))
+    frames = FS.store_frames(spark.range(50).select(F.col("id").alias("frame_id"), img.alias("image")), "stored_frames", str(tmp_path / "f"), 16)
+    dets = spark.range(120).select((F.col("id") % 40).alias("frame_id"), (F.col("id") / 40).cast("int").alias("det_idx"), F.lit(0).alias("crop_x1"),
+                                   F.lit(0).alias("crop_y1"), (1 + F.col("id") % 2).cast("int").alias("crop_x2"), F.lit(1).alias("crop_y2"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        crops = IM.crop_images(frames, dets)
+        rows = crops.collect()
+        boxes = dets.select("frame_id", "det_idx", F.array(F.lit(0), F.lit(0), F.lit(1), F.lit(1)).alias("bbox"), F.lit("bird").alias("detector_label"),
+                            F.lit(0.5).cast("float").alias("confidence"), F.lit(None).cast("string").alias("species"), F.lit(None).cast("float").alias("species_confidence"))
+        drawn = IM.annotate(frames, boxes)
+        assert drawn.count() == 40
+        for df in (crops, drawn):
+            plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+            pixels = plan[plan.index("FileScan"):]
+            assert "Bucketed: true" in pixels and len(re.findall("FileScan", plan)) == 1
+            scan_line = next(line for line in plan.splitlines() if "FileScan" in line)
+            indent = len(scan_line) - len(scan_line.lstrip(" :+-*()0123456789"))
+            above = plan.splitlines()[:plan.splitlines().index(scan_line)]
+            path, depth = [], indent
+            for line in reversed(above):  # the operators between the scan and the root
+                at = len(line) - len(line.lstrip(" :+-*()0123456789"))
+                if at < depth:
+                    path.append(line)
+                    depth = at
+            assert not any("Exchange" in line for line in path)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE stored_frames")
+    assert len(rows) == 120 and {(r.frame_id, r.det_idx) for r in rows} == {(i % 40, i // 40) for i in range(120)}
+    assert all(bytes(r.crop.data) == bytes([r.frame_id] * 3 * r.crop_x2) and r.crop.width == r.crop_x2 for r in rows)
