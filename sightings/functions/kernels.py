@@ -39,22 +39,26 @@ def grey(bgr: np.ndarray) -> np.ndarray:
     return ((GREY_B * b + GREY_G * g + GREY_R * r + (1 << (GREY_SHIFT - 1))) >> GREY_SHIFT).astype(np.uint8)
 
 
+def flat_share(rows: np.ndarray, low_std: float) -> float:
+    """Share of the rows of a grey image whose population variance is below ``low_std`` squared, in whole numbers:
+    n * sum(x^2) - sum(x)^2 is n^2 times the variance."""
+    x, n = rows.astype(np.int64), rows.shape[1]
+    spread = n * np.einsum("ij,ij->i", x, x) - x.sum(axis=1) ** 2
+    return np.count_nonzero(spread < (low_std * n) ** 2) / max(len(x), 1)
+
+
 def frame_quality(bgr: np.ndarray | None, low_std: float = config.LOW_STD,
                   flat_ratio: float = config.FLAT_RATIO) -> tuple[bool, str | None]:
-    """(is_corrupt, reason). Corrupt if missing/empty; or at most one distinct byte value over
-    all channels (A11); or on the bottom half of the grey image (rows h//2 .. h) the share of rows
-    with population std < low_std is > flat_ratio (denominator max(rows, 1))."""
-    if bgr is None or bgr.size == 0:
-        return True, "empty frame"
-    if np.unique(bgr).size <= 1:
-        return True, "single value"
-    g = grey(bgr)
-    bottom = g[g.shape[0] // 2:]
-    std = bottom.astype(np.float64).std(axis=1)
-    flat = int((std < low_std).sum())
-    if flat / max(len(std), 1) > flat_ratio:
-        return True, "flat rows"
-    return False, None
+    """(is_corrupt, reason). A frame without pixels is an "empty frame"; one whose bytes are all alike over all
+    channels (A11) has a "single value"; "flat rows" make up more than ``flat_ratio`` of the lower half."""
+    pixels = np.zeros((0, 0, 3), np.uint8) if bgr is None else bgr
+    verdicts = {
+        "empty frame": lambda: pixels.size == 0,
+        "single value": lambda: pixels.min() == pixels.max(),
+        "flat rows": lambda: flat_share(grey(pixels)[pixels.shape[0] // 2:], low_std) > flat_ratio,
+    }
+    reason = next((name for name, holds in verdicts.items() if holds()), None)
+    return reason is not None, reason
 
 
 def _axis(n_in: int, n_out: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

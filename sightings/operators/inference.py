@@ -66,14 +66,15 @@ def onnx_factory(path: str) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
 
 
 def onnx_input_size(path: str, default: int = config.INPUT_SIZE) -> int:
-    """Input size read from the model (shape[2]), else the default 320."""
+    """The side of the image that the model asks for: the first of its spatial axes (behind batch and channel) with a
+    fixed size. ``default`` if all are symbolic or there is no model to ask."""
     try:
         import onnxruntime as ort
 
-        shape = ort.InferenceSession(path, providers=["CPUExecutionProvider"]).get_inputs()[0].shape
-        return int(shape[2]) if len(shape) >= 3 and isinstance(shape[2], int) else default
+        spatial = ort.InferenceSession(path, providers=["CPUExecutionProvider"]).get_inputs()[0].shape[2:]
     except Exception:
-        return default
+        spatial = []
+    return next((side for side in spatial if isinstance(side, int) and side > 0), default)
 
 
 def predict(df: DataFrame, factory: Callable[[], Callable], key: str, input_col: str = "tensor",
