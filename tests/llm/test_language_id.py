@@ -60,3 +60,43 @@ def test_chunks_join_seamlessly(monkeypatch):
 def test_empty_and_unlabelled_tables(spark):
     assert li.op4(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
     assert {r.lang_pred for r in li.op4(docs(spark, [(1, "text", None, "s"), (2, None, "en", "s")])).collect()} == {"und"}
+
+
+def test_prediction_equals_dictionaries_on_two_hundred_documents(spark):
+    """Document frequencies, weights and cosines by plain dictionaries, with the same centroids."""
+    import math
+    from collections import Counter
+
+    a, b, c = (int(x) for x in li._MIX)
+    word = 0xFFFFFFFF
+
+    def grams(text):
+        out = [0, 0]
+        for ch in text or "":
+            low = ch.lower()
+            x = (ord(low) if len(low) == 1 else ord(ch)) if ch.isalpha() else 0
+            if x or out[-1]:
+                out.append(x)
+        if not any(out):
+            return None
+        found = Counter()
+        for z, y, x in zip(out, out[1:], out[2:]):
+            one, two = x * a & word, y * b & word
+            for mixed in (one ^ 0x5BD1E995, one + two, one + two + z * c + 77):
+                found[(mixed * c & word) >> 19] += 1
+        return found
+
+    rows = corpus(200)
+    train = [r for r in rows if not held(r[0])]
+    df = Counter(d for r in train for d in (grams(r[1]) or ()))
+    n = sum(grams(r[1]) is not None for r in train)
+    model = li.fit(docs(spark, train))
+    idf = {d: math.log((1 + n) / (1 + df[d])) + 0.1 for d in range(li.DIMS)}
+    assert np.allclose(model["idf"], [idf[d] for d in range(li.DIMS)])
+    for (lang, score, _), r in zip(li.identify([r[1] for r in rows], model), rows):
+        g = grams(r[1])
+        w = {d: math.log1p(k) * idf[d] for d, k in g.items()}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        sims = [sum(float(centre[d]) * v for d, v in w.items()) / norm for centre in model["centre"]]
+        best = max(range(len(sims)), key=lambda j: sims[j])
+        assert lang == model["lang"][best] and score == pytest.approx(sims[best], abs=1e-4)

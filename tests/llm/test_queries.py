@@ -89,8 +89,12 @@ def test_held_out_accuracy(spark):
     labels = {r.doc_id: r for r in spark.read.parquet(f"{SF01}/labels.parquet").collect()}
     quality = E.queries()["op6_co_trained_quality"](spark, SF01).collect()
     assert np.mean([r.predicted == labels[r.doc_id].quality for r in quality if r.held_out and r.doc_id in labels]) > 0.93
-    toxic = E.queries()["op9_kneser_ney_toxicity"](spark, SF01).collect()
-    assert np.mean([r.predicted == labels[r.doc_id].toxic for r in toxic if r.held_out and r.doc_id in labels]) > 0.9
+    toxic = [r for r in E.queries()["op9_kneser_ney_toxicity"](spark, SF01).collect() if r.held_out and r.doc_id in labels]
+    y, score, said = (np.array(x) for x in zip(*[(labels[r.doc_id].toxic, r.score, r.predicted) for r in toxic]))
+    bad, good = score[y == 1], score[y == 0]
+    auc = (bad[:, None] > good).mean() + 0.5 * (bad[:, None] == good).mean()
+    # some label-1 rows show no vocabulary of their own, so recall is bounded; answering 0 always has none
+    assert said[y == 1].mean() > 0.6 and y[said == 1].mean() > 0.95 and auc > 0.85
 
 
 def test_extraction(spark):

@@ -94,3 +94,70 @@ def test_chunks_join_seamlessly():
     whole = np.concatenate(list(tx.gram_chunks(text)))
     for size in (1, 7, 100):
         assert np.array_equal(whole, np.concatenate(list(tx.gram_chunks(text, size))))
+
+
+def plain_model(texts):
+    """Kneser-Ney over dictionaries. texts: (text, toxic); returns the log-likelihood ratio of a 5-gram of symbols."""
+    import math
+    from collections import Counter, defaultdict
+
+    table = tx.symbol_table()
+
+    def grams(text):
+        out = [0]
+        for ch in text or "":
+            s = int(table[min(ord(ch), (1 << 16) - 1)])
+            if s or out[-1]:
+                out.append(s)
+        out = [0, 0, 0, *out]
+        return [tuple(out[i - 4:i + 1]) for i in range(4, len(out))]
+
+    counts = [Counter(g for t, k in texts if k == kind for g in grams(t)) for kind in (0, 1)]
+    cont, level = {}, set(counts[0]) | set(counts[1])
+    for k in range(4, 0, -1):
+        cont[k] = Counter(g[1:] for g in level)
+        level = set(cont[k])
+
+    def by_context(c):
+        total, kinds = defaultdict(float), defaultdict(int)
+        for g, n in c.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        return total, kinds
+
+    sums = {k: by_context(cont[k]) for k in cont}
+    tops = [by_context(c) for c in counts]
+
+    def shared(g):
+        lower = shared(g[1:]) if len(g) > 1 else 1 / 32
+        total, kinds = sums[len(g)]
+        if not total[g[:-1]]:
+            return lower
+        return (max(cont[len(g)][g] - tx.DISCOUNT, 0) + tx.DISCOUNT * kinds[g[:-1]] * lower) / total[g[:-1]]
+
+    def ratio(g):
+        logs = []
+        for c, (total, kinds) in zip(counts, tops):
+            n = total[g[:-1]]
+            weight = tx.DISCOUNT * kinds[g[:-1]] / n if n else 1.0
+            logs.append(math.log(max(c[g] - tx.DISCOUNT, 0) / max(n, 1) + weight * shared(g[1:])))
+        return logs[1] - logs[0]
+
+    return grams, ratio
+
+
+def test_model_equals_dictionaries_on_two_hundred_documents(spark):
+    rows, labels = corpus(200, seed=4)
+    toxic = {k: t for k, _, t in labels}
+    train = [(k, t) for k, t in rows if k % 4]
+    df = spark.createDataFrame([(t, toxic[k], 0) for k, t in train], "text string, toxic int, fold int").repartition(3)
+    codes, n = tx._collected(tx.gram_counts(df))
+    ratios = tx.dense(tx.kneser_ney(codes, n[0], n[1]))
+    grams, ratio = plain_model([(t, toxic[k]) for k, t in train])
+    for text in [t for k, t in rows if k % 4 == 0] + ["", None, "Ünsinn 42!", "дурак you idiot"]:
+        want = [ratio(g) for g in grams(text)]
+        got = tx.evidence(text, ratios)
+        if not want:
+            assert got == [0.0] * tx.FEATURES
+            continue
+        assert got[0] == pytest.approx(np.mean(want), abs=2e-3) and got[1] == pytest.approx(sum(want) / len(want) ** 0.5, abs=2e-2 + 2e-3 * len(want) ** 0.5)
