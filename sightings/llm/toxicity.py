@@ -3,9 +3,9 @@
 Two character models of order 5, one of toxic and one of ordinary text, differ in their top-order
 counts only; below that both back off to the same continuation counts, gathered over both classes.
 So an expression that one class hardly shows is smoothed by what all labelled text says of it.
-Characters fold to 32 symbols (a-z without accents, digits, four classes of other letters, and one
-separator), so the model has at most 32^5 cells whatever the corpus: that bounds what the driver
-collects and what is broadcast. Counts cover every labelled row outside the held-out fold, combined
+Characters are written in 32 symbols: a-z without accents, digits, one separator, and any other letter or code
+point above U+FFFF as two symbols by hash (104 pairs), so that words of other scripts and emoji keep apart. So
+the model has at most 32^5 cells whatever the corpus: that bounds what the driver collects and what is broadcast. Counts cover every labelled row outside the held-out fold, combined
 map-side.
 
 A text's evidence is log P_toxic - log P_ordinary per character: its mean (length-normalised), its
@@ -44,11 +44,12 @@ THRESHOLD = 0.7
 CALIBRATION_ROWS = 20_000
 _CHUNK = 1 << 20  # characters of a text handled at a time
 _STRETCH = 24
+_OTHER = 28  # the first of four symbols that begin a pair
 
 
 @lru_cache(maxsize=1)
 def symbol_table() -> np.ndarray:
-    """Symbol of each code point below 2^16 (higher ones are separators)."""
+    """Symbol of each code point below 2^16; ``_OTHER`` stands for letters that take two."""
     out = np.zeros(1 << 16, np.uint8)
     for cp in range((1 << 16) - 1):
         ch = chr(cp)
@@ -58,17 +59,27 @@ def symbol_table() -> np.ndarray:
         elif ch.isdigit():
             out[cp] = 27
         elif ch.isalpha():
-            out[cp] = 28 + cp % 4
+            out[cp] = _OTHER
     return out
 
 
+def symbols(cp: np.ndarray) -> np.ndarray:
+    """The symbols of a run of code points."""
+    sym = symbol_table()[np.minimum(cp, (1 << 16) - 1)]
+    wide = np.flatnonzero((sym == _OTHER) | (cp >= 1 << 16))
+    if len(wide):
+        mixed = cp[wide] * np.uint32(2654435761)
+        sym[wide] = _OTHER + (mixed >> np.uint32(30)).astype(np.uint8)
+        sym = np.insert(sym, wide + 1, (1 + (mixed >> np.uint32(20)) % np.uint32(26)).astype(np.uint8))
+    return sym
+
+
 def gram_chunks(text: str | None, chunk: int = _CHUNK) -> Iterator[np.ndarray]:
     """The text's 5-grams as cell numbers, one per symbol; runs of separators count once."""
-    table = symbol_table()
     last = np.zeros(ORDER - 1, np.int32)
     for at in range(0, len(text or ""), chunk):
         cp = np.frombuffer(text[at:at + chunk].encode("utf-32-le", "surrogatepass"), "<u4")
-        sym = table[np.minimum(cp, (1 << 16) - 1)]
+        sym = symbols(cp)
         keep = sym != 0
         keep[1:] |= sym[:-1] != 0
         keep[0] |= bool(last[-1])

@@ -107,7 +107,10 @@ def plain_model(texts):
         out = [0]
         for ch in text or "":
             s = int(table[min(ord(ch), (1 << 16) - 1)])
-            if s or out[-1]:
+            if s == 28 or ord(ch) > 0xFFFF:
+                mixed = ord(ch) * 2654435761 & 0xFFFFFFFF
+                out += [28 + (mixed >> 30), 1 + (mixed >> 20) % 26]
+            elif s or out[-1]:
                 out.append(s)
         out = [0, 0, 0, *out]
         return [tuple(out[i - 4:i + 1]) for i in range(4, len(out))]
@@ -154,10 +157,31 @@ def test_model_equals_dictionaries_on_two_hundred_documents(spark):
     codes, n = tx._collected(tx.gram_counts(df))
     ratios = tx.dense(tx.kneser_ney(codes, n[0], n[1]))
     grams, ratio = plain_model([(t, toxic[k]) for k, t in train])
-    for text in [t for k, t in rows if k % 4 == 0] + ["", None, "Ünsinn 42!", "дурак you idiot"]:
+    for text in [t for k, t in rows if k % 4 == 0] + ["", None, "Ünsinn 42!", "дурак you idiot", "😀😡 日本語"]:
         want = [ratio(g) for g in grams(text)]
         got = tx.evidence(text, ratios)
         if not want:
             assert got == [0.0] * tx.FEATURES
             continue
         assert got[0] == pytest.approx(np.mean(want), abs=2e-3) and got[1] == pytest.approx(sum(want) / len(want) ** 0.5, abs=2e-2 + 2e-3 * len(want) ** 0.5)
+
+
+def test_other_scripts_keep_apart(spark):
+    """Words that folded to the same symbols before, emoji, and a model that learns from them."""
+    def cells(t):
+        return [g for c in tx.gram_chunks(t) for g in c.tolist()]
+
+    assert cells("дурак") != cells("ичмдт") and cells("😀") != cells("😡") and len(cells("😀😡")) == 4
+    assert len({tuple(cells(w)) for w in ("дурак", "ичмдт", "привет", "друг", "слово", "дура", "кадур", "добро")}) == 8
+    rng = np.random.default_rng(3)
+    plain = ["привет", "друг", "слово", "добро", "мир", "день", "утро", "книга"]
+    rows, labels = [], []
+    for k in range(500):
+        w = [str(rng.choice(plain)) for _ in range(30)]
+        if k % 6 == 0:
+            w[int(rng.integers(0, 30))] = w[int(rng.integers(0, 30))] = "ичмдт" if k % 12 else "😡"
+        rows.append((k, " ".join(w)))
+        labels.append((k, 1, int(k % 6 == 0)))
+    got = by_id(tx.op9(docs(spark, rows), label_table(spark, labels)))
+    test = [k for k in range(500) if held(k)]
+    assert np.mean([got[k]["predicted"] == int(k % 6 == 0) for k in test]) > 0.97
