@@ -63,16 +63,17 @@ def tensorize(df: DataFrame, image_col: str = "image", size: int = config.INPUT_
     return df.withColumn("tensor", tens(F.col(image_col)))
 
 
-def augment(df: DataFrame, seed: int, epoch: int, image_col: str = "image", path_col: str = "path",
+def augment(df: DataFrame, seed: int, epoch: int | F.Column, image_col: str = "image", path_col: str = "path",
             size: int = config.INPUT_SIZE, train: bool = True) -> DataFrame:
-    """M2: adds ``tensor``; each row's generator is seeded by ``xxhash64(seed, path, epoch)``."""
+    """M2: adds ``tensor``; each row's generator is seeded by ``xxhash64(seed, path, epoch)``. ``epoch`` may be an INT
+    column, so that one job makes the samples of many epochs."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def aug(img: pd.DataFrame, key: pd.Series) -> pd.Series:
         return pd.Series([None if a is None else K.augment(a, size, int(k), train)
                           for a, k in zip(_arrays(img), key)])
 
-    key = F.xxhash64(F.lit(int(seed)), F.col(path_col), F.lit(int(epoch)))
+    key = F.xxhash64(F.lit(int(seed)), F.col(path_col), F.lit(epoch) if isinstance(epoch, int) else epoch)
     return df.withColumn("tensor", aug(F.col(image_col), key))
 
 

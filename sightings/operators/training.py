@@ -2,21 +2,26 @@
 
 The reference fine-tunes a CNN with AdamW and a cosine schedule. Re-aimed for a cluster: an MLlib
 multinomial logistic regression (or a small MLP) on feature vectors, with the exact 80/20 split of
-O2. Evaluation reports accuracy, the loss of A7 and a confusion matrix.
+O2. Evaluation reports accuracy, the loss of A7 and a confusion matrix. ``train_from_images`` is the whole
+training script over labelled image folders, augmentation included.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
+from ..sources import files as FS
 from . import corpus as CO
+from . import images as IM
 from . import vectors as VE
 
 
@@ -69,6 +74,46 @@ def train_epochs(df: DataFrame, hidden: list[int], epochs: int = config.EPOCHS,
     return best, log, val
 
 
+def pooled(df: DataFrame, size: int, grid: int, tensor_col: str = "tensor") -> DataFrame:
+    """The mean of each cell of a ``grid`` x ``grid`` net over each channel of a CHW tensor, as ``embedding``."""
+    step = size // grid
+
+    @F.pandas_udf("array<double>")
+    def pool(t: pd.Series) -> pd.Series:
+        x = np.stack(t.to_numpy()).reshape(-1, 3, size, size)[:, :, :step * grid, :step * grid].astype(float)
+        return pd.Series(list(x.reshape(-1, 3, grid, step, grid, step).mean(axis=(3, 5)).reshape(len(t), -1)))
+
+    return df.where(F.col(tensor_col).isNotNull()).withColumn("embedding", pool(tensor_col)).drop(tensor_col)
+
+
+def train_from_images(spark: SparkSession, root: str, epochs: int = config.EPOCHS, seed: int = 0, size: int = config.INPUT_SIZE,
+                      grid: int = 8, min_samples: int = config.MIN_SAMPLES, frac: float = config.TRAIN_FRACTION,
+                      max_iter: int = 100, reg: float = config.WEIGHT_DECAY):
+    """The training script over ``<root>/<class>/<image>``: S2 -> A1 / A2 -> W1 -> J4 -> O2 -> M2 -> M5 -> M6.
+
+    Each training image is augmented anew for every epoch (M2, reproducible by seed, path and epoch), all by one job;
+    validation images are resized only. The classifier is fit on the tensors' grid means. Returns ``(model, class
+    index, metrics, confusion)``; the index goes to K6."""
+    samples = FS.read_labelled_images(spark, root)
+    index = CO.class_index(CO.valid_classes(CO.class_counts(samples, FS.list_class_dirs(spark, root)), min_samples))
+    train, val = CO.split_exact(CO.sample_index(samples, index), frac, seed)
+    # Spark's readers write the scheme of local files in two ways
+    same = [F.regexp_replace(c, "^file:/+", "file:/") for c in ("path", "image.origin")]
+    images = spark.read.format("image").option("dropInvalid", True).load(root.rstrip("/") + "/*/*.{jpg,png}").select(
+        same[1].alias("file"), "image")
+
+    def with_pixels(side: DataFrame) -> DataFrame:
+        return side.select(same[0].alias("file"), "path", F.col("class_idx").alias("label")).join(images, "file").drop("file")
+
+    each = with_pixels(train).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max(epochs, 1) - 1))))
+    made = features(pooled(IM.augment(each, seed, F.col("epoch"), size=size).drop("image"), size, grid))
+    still = features(pooled(IM.augment(with_pixels(val), seed, 0, size=size, train=False).drop("image"), size, grid))
+    model = LogisticRegression(maxIter=max_iter, regParam=reg, family="multinomial", labelCol="label", featuresCol="features").fit(
+        made.select("label", "features"))
+    metrics, confusion = evaluate(model, still, key_col="path")
+    return model, index, metrics, confusion
+
+
 def evaluate(model, val: DataFrame, label_col: str = "label", batch_size: int = config.BATCH_SIZE,
              key_col: str = "vec_id") -> tuple[DataFrame, DataFrame]:
     """M6: (metrics row, confusion matrix). Metrics: A7 accuracy and mean of per-batch mean

@@ -172,3 +172,24 @@ def test_predict_batch_udf_variant_matches(spark):
     a = {r["vec_id"]: r["logits"] for r in INF.predict(df, INF.numpy_linear_factory(path), "lin64").collect()}
     b = {r["vec_id"]: r["logits"] for r in INF.predict_batched(df, INF.numpy_linear_factory(path), (64,), batch_size=16).collect()}
     assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-5) for k in a)
+
+
+def test_training_script_over_images(spark, tmp_path):
+    """Folders to classifier: small classes go, augmentation is reproducible, validation images are held out."""
+    import numpy as np
+
+    from sightings.operators import training as TR
+    from tests.pngs import png_bytes
+
+    rnd = np.random.default_rng(8)
+    for name, tint, n in (("jay", (0, 0, 150), 20), ("robin", (150, 0, 0), 20), ("rare", (0, 150, 0), 2)):
+        (tmp_path / name).mkdir()
+        for i in range(n):
+            rgb = np.clip(rnd.integers(0, 80, (24, 32, 3)) + np.array(tint), 0, 255).astype(np.uint8)
+            (tmp_path / name / f"{i}.png").write_bytes(png_bytes(rgb))
+    model, index, metrics, confusion = TR.train_from_images(spark, str(tmp_path), epochs=2, seed=3, size=16, grid=4, max_iter=20)
+    assert sorted((r.class_name, r.idx) for r in index.collect()) == [("jay", 0), ("robin", 1)]
+    row = metrics.first()
+    assert row.samples == 8 and row.accuracy == 100.0 and sum(r.n for r in confusion.collect()) == 8
+    again, *_ = TR.train_from_images(spark, str(tmp_path), epochs=2, seed=3, size=16, grid=4, max_iter=20)
+    assert np.allclose(model.coefficientMatrix.toArray(), again.coefficientMatrix.toArray(), atol=1e-6)
